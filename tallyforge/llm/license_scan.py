@@ -81,7 +81,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), NOT_WORD, " ")
     for spelling, one in SPELLINGS:
         out = F.regexp_replace(out, spelling, one.replace("\\1", "$1"))
-    return F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def license_scan(docs: DataFrame, known: DataFrame | Mapping[str, str] | None = None) -> DataFrame:

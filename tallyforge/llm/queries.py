@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sharding, url_filter
+from . import license_scan, sentencepiece_codec, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: SentencePiece encoding and decoding ----------------------------------------------------------------------
+
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+DROPOUT, SEED = 0.1, 20240
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    codec = sentencepiece_codec.SentencePiece(spark, model_file, DROPOUT, SEED)
+    out = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 # --- 4: URL filters ---------------------------------------------------------------------------------------------
 
 URL_RULES = [
@@ -88,7 +106,7 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_url_filter, op5_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_url_filter, op5_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
