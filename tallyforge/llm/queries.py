@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sentencepiece_codec, sharding, url_filter
+from . import language_id, license_scan, sentencepiece_codec, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_
     )
 
 
+# --- 3: language identification ---------------------------------------------------------------------------------
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, mod n: what splits rows into learned and held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs.select("doc_id", "text"), docs.where(remainder(4) != 2).select("text", "lang"))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 # --- 4: URL filters ---------------------------------------------------------------------------------------------
 
 URL_RULES = [
@@ -106,7 +120,7 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_url_filter, op5_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
