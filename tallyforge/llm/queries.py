@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, sentencepiece_codec, sharding, url_filter
+from . import decontamination, language_id, license_scan, sentencepiece_codec, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: benchmark decontamination -------------------------------------------------------------------------------
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def _words_sql(text: str) -> str:
+    lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(regexp_split_to_array({lowered}, '{decontamination.BREAKS}'), lambda x: x <> '')"
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_words_sql('text')}, []) AS w FROM documents),
+i AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s + 1:s + 13], ' ') AS t
+        FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) AS s FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT r, s, n, array_to_string(w[s + 1:s + n], ' ') AS t
+        FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT occ.r, occ.s, occ.n, win.item_id FROM occ JOIN win USING (n, t)),
+pos AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
 # --- 2: SentencePiece encoding and decoding ----------------------------------------------------------------------
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -120,8 +154,8 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op10_license_scan": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_license_scan": OP10_SQL}
