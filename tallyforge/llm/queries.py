@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, sentencepiece_codec, sharding, url_filter
+from . import decontamination, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# --- 8: language-model scoring ----------------------------------------------------------------------------------
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score(docs, docs.where(F.coalesce(remainder(7) != 2, F.lit(False))))
+    return out.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 # --- 10: licence scans ------------------------------------------------------------------------------------------
 
 
@@ -154,7 +165,7 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op8_lm_scoring, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
