@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, url_filter
+from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# --- 6: n-gram Jaccard join -------------------------------------------------------------------------------------
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- 8: language-model scoring ----------------------------------------------------------------------------------
 
 
@@ -165,7 +172,7 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op8_lm_scoring, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op8_lm_scoring, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
