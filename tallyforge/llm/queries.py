@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, url_filter
+from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, topk_search, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,6 +139,24 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 9: exact top-k search --------------------------------------------------------------------------------------
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10
+"""
+
 # --- 10: licence scans ------------------------------------------------------------------------------------------
 
 
@@ -172,8 +190,8 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op8_lm_scoring, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op8_lm_scoring, op9_topk_search, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_license_scan": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_url_filter": OP4_SQL, "op9_topk_search": OP9_SQL, "op10_license_scan": OP10_SQL}
