@@ -126,7 +126,7 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, items (sorted as strings), contaminated.
+    """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, items (sorted as strings), contaminated, row_hash (of id and text).
 
     Contaminated: some word is hit and share * n_hit >= n_words.
     """
@@ -146,6 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
         "doc_id", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.col("_h").alias("row_hash"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, topk_search, url_filter
+from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, topk_search, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,6 +128,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# --- 7: HTML extraction -----------------------------------------------------------------------------------------
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # --- 8: language-model scoring ----------------------------------------------------------------------------------
 
 
@@ -189,8 +197,14 @@ FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op8_lm_scoring, op9_topk_search, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op7_html_extraction, op8_lm_scoring, op9_topk_search, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
