@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -44,6 +45,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write df to the shared folder bucketed by key, so that joins on the key move only their other side."""
+    spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
+    table = f"{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+        .option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    )
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the next ones come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, stored
+from .common import bucketed, discard, release, stored
 
 #: Frequent shingles that the order knows at most (16 bytes each, broadcast).
 FREQUENT = 1 << 17
@@ -159,8 +159,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones."""
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
+    """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones.
+
+    The pivot b comes first: there many narrow rows meet one set. Then each document meets its own, evenly.
+    """
+    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
     return both.select("la", "lb", "set_a", "set_b").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
@@ -170,13 +173,6 @@ def _possible(x: str, y: str) -> Column:
     return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and 7 * ({rest}) >= 3 * ({x}.n + {y}.n)")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(x, y, lx, ly) -> distinct unordered pairs."""
-    swap = F.col("x") > F.col("y")
-    pick = lambda p, q, name: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name)
-    return rows.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("lx", "ly", "la"), pick("ly", "lx", "lb")).distinct()
-
-
 def _contract(labels: DataFrame, edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """One step of contraction: each label moves to the least of its neighbours by a hash of the seed.
 
@@ -200,8 +196,8 @@ def _round(lists: DataFrame, labels: DataFrame, sets: DataFrame, r: int) -> Data
     mine = _labelled(lists.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r), labels)
     pivots = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "n", "i", "label")).alias("p")).select("key", "p.*")
     met = mine.alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
-    rows = met.select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y"), F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
-    return _verified(_pairs(rows), sets)
+    pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    return _verified(pairs, sets)
 
 
 def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,8 +212,31 @@ def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     met = mixed.where("label <> major").alias("x").join(mixed.alias("y"), "key").where(
         F.expr("x.label <> y.label and (y.label = y.major or x.doc < y.doc)") & _possible("x", "y")
     )
-    rows = met.select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y"), F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
-    return _verified(_pairs(rows), sets)
+    pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    return _verified(pairs, sets)
+
+
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """Stored rows (key, doc, n, i) of everything that some other document might be linked with.
+
+    Keys are prefix shingles, listed once a group and then expanded to members, and for the members of one group its prefix.
+    """
+    same = ["n", "p1", "p2"]
+    groups = prefixes.groupBy(*same).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
+    listed = groups.select("gid", "cold", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "key"))
+    packed = F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("at")  # size and place in one word
+    # a row whose neighbours by size in its list are both too far off has no partner there
+    by_size = Window.partitionBy("key").orderBy("at")
+    near = lambda other: F.coalesce(4 * F.least(F.shiftright(other, 32), F.shiftright("at", 32)) >= 3 * F.greatest(F.shiftright(other, 32), F.shiftright("at", 32)), F.lit(False))
+    cold = listed.where("i < cold").select("key", "gid", packed).withColumn("p", F.lag("at").over(by_size)).withColumn("q", F.lead("at").over(by_size)).where(near("p") | near("q"))
+    hot = listed.where("i >= cold").select("key", "gid", packed)
+    reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+    ids = reps.groupBy(*same).agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members"))
+    members = stored(reps.join(ids, same).select("doc", "gid", "n", "p1", "members"), "members")
+    by_shingle = cold.select("key", "gid", "at").unionAll(hot).join(members.select("doc", "gid"), "gid")
+    within = members.where("members > 1").select(F.col("p1").alias("key"), "doc", "n", F.lit(0).alias("i"))
+    unpacked = by_shingle.select("key", "doc", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
+    return stored(unpacked.unionAll(within), "lists")
 
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -233,21 +252,9 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     prefixes = stored(
         texts.mapInArrow(_prefixes(width, frequent), "doc_id bigint, n int, d1 bigint, d2 bigint, p1 bigint, p2 bigint, cold int, prefix array<bigint>"), "prefixes"
     )
-    same = ["n", "p1", "p2"]
-    groups = prefixes.groupBy(*same).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
-    listed = groups.select("gid", "n", "cold", F.posexplode("prefix").alias("i", "key"))
-    by_key = Window.partitionBy("key")
-    cold = listed.where("i < cold").drop("cold").withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").drop("c")
-    hot = listed.where("i >= cold").drop("cold")
-    reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    ids = reps.groupBy(*same).agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = stored(reps.join(ids, same).select("doc", "gid", "n", "p1", "members"), "members")
-    lists = stored(
-        cold.unionAll(hot.select(*cold.columns)).join(members.select("doc", "gid"), "gid").select("key", "doc", "n", "i")
-        .unionAll(members.where("members > 1").select(F.col("p1").alias("key"), "doc", "n", F.lit(0).alias("i"))),
-        "lists",
-    )
+    lists = _lists(prefixes)
     discard(prefixes)
+    release(docs.sparkSession)
 
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -255,7 +262,8 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     for r in spots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect():
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
     shared = sc.broadcast(bits)
-    sets = stored(texts.where("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("s")).mapInArrow(_wanted_sets(width, shared), "doc bigint, set binary"), "sets")
+    sets = bucketed(texts.where("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("s")).mapInArrow(_wanted_sets(width, shared), "doc bigint, set binary"), "doc", "sets")
+    release(docs.sparkSession)
 
     # documents with their class's representative; ids that stand for several classes tie these together
     plain = scan.where(F.col("key").isNull()).select("doc_id", "n", "d1", "d2")
@@ -272,6 +280,7 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
         if found.isEmpty():
             break  # what little is left is found below
         labels, edges = _contract(labels, found, seed := seed + 1)
+        release(docs.sparkSession)
     while not edges.isEmpty():
         labels, edges = _contract(labels, edges, seed := seed + 1)
     edges = stored(_rest(lists, labels, sets), "found")
