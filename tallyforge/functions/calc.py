@@ -10,6 +10,7 @@ import decimal
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Scale words, currency symbols, unit suffixes.
 SCALES = {
@@ -106,7 +107,7 @@ def _exact(metric: str, values: list[decimal.Decimal], years: decimal.Decimal |
     return (c.multiply(value, 100) if metric == "margin" else value), None
 
 
-@F.arrow_udf("value string, error_code string")
+@F.arrow_udf(T.StructType().add("value", "string").add("error_code", "string"))
 def exact(metric: pa.Array, values: pa.Array, years: pa.Array) -> pa.Array:
     """metric string, values array<string>, years string -> the decimal as text, or an error code."""
     out = []

@@ -11,6 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .calc import scale_factor
 
@@ -49,7 +50,8 @@ GRAMMAR = re.compile(
     re.I | re.M,
 )
 FIELDS = ("kind", "start", "stop", "raw", "number", "scale", "currency", "unit", "minus", "paren", "year", "month", "day", "year_end", "is_range")
-FOUND = "array<struct<kind:string,start:int,stop:int,raw:string,number:string,scale:string,currency:string,unit:string,minus:boolean,paren:boolean,year:int,month:int,day:int,year_end:int,is_range:boolean>>"
+KINDS_OF_FIELDS = ("string", "int", "int", *["string"] * 5, "boolean", "boolean", *["int"] * 4, "boolean")
+FOUND = T.ArrayType(T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}[k]) for n, k in zip(FIELDS, KINDS_OF_FIELDS)]))
 
 
 def _year(digits: str | None) -> int | None:
@@ -91,8 +93,8 @@ def scan(text: str) -> list[tuple]:
 
 @F.arrow_udf(FOUND)
 def find_figures(texts: pa.Array) -> pa.Array:
-    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.bool_(), pa.bool_(), *[pa.int32()] * 4, pa.bool_()]
-    kind = pa.list_(pa.struct(list(zip(FIELDS, kinds))))
+    arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    kind = pa.list_(pa.struct([(n, arrow[k]) for n, k in zip(FIELDS, KINDS_OF_FIELDS)]))
     return pa.array([None if t is None else [dict(zip(FIELDS, x)) for x in scan(t)] for t in texts.to_pylist()], kind)
 
 

@@ -12,6 +12,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Scores, threshold, context window and boost; patterns by type; context words; spans that are harmless.
 STRONG, SHAPE, GATED, THRESHOLD, BOOST, WINDOW = 0.85, 0.6, 0.3, 0.5, 0.4, 40
@@ -122,16 +123,17 @@ def apply_mask(text: str, found: list[tuple[str, int, int, float]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+FINDINGS = T.ArrayType(T.StructType().add("type", "string").add("start", "integer").add("end", "integer").add("score", "double"))
 _FINDINGS = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-@F.arrow_udf("array<struct<type:string,start:int,end:int,score:double>>")
+@F.arrow_udf(FINDINGS)
 def _detect(texts: pa.Array) -> pa.Array:
     names = ("type", "start", "end", "score")
     return pa.array([None if t is None else [dict(zip(names, f)) for f in scan(t)] for t in texts.to_pylist()], _FINDINGS)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _mask(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else apply_mask(t, scan(t)) for t in texts.to_pylist()], pa.string())
 
@@ -142,7 +144,7 @@ def may_hold(text: Column) -> Column:
 
 
 def detect(text: Column) -> Column:
-    return F.when(may_hold(text), _detect(F.when(may_hold(text), text))).otherwise(F.when(text.isNotNull(), F.array().cast("array<struct<type:string,start:int,end:int,score:double>>")))
+    return F.when(may_hold(text), _detect(F.when(may_hold(text), text))).otherwise(F.when(text.isNotNull(), F.array().cast(FINDINGS)))
 
 
 def mask(text: Column) -> Column:

@@ -13,12 +13,12 @@ KEYS = KEY.split(", ")
 
 
 @query("flagship", """
-SELECT l_returnflag, count(*) AS invoices, CAST(round(sum(CAST(total AS DECIMAL(18,2))), 2) AS DOUBLE) AS total
+SELECT l_returnflag, count(*) AS invoices, CAST(sum(CAST(total AS DECIMAL(18,4))) AS DOUBLE) AS total
 FROM (SELECT l_returnflag, round(l_extendedprice + l_extendedprice * l_tax, 4) AS total FROM lineitem WHERE l_extendedprice > 20000) GROUP BY 1""")
 def flagship(t):
     big = sheet.filter_rows(t.lineitem, (">", "l_extendedprice", 20000.0))
     taxed = add_calculated_column(big, "total", "ROUND([l_extendedprice] + [l_extendedprice] * [l_tax], 4)")
-    out = taxed.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("invoices"), F.sum(sheet.money("total")).cast("double").alias("total"))
+    out = taxed.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("invoices"), F.sum(F.col("total").cast("decimal(18,4)")).cast("double").alias("total"))
     return sheet.sort(out, [("l_returnflag", False)])
 
 
