@@ -227,7 +227,8 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     packed = F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("at")  # size and place in one word
     # a row whose neighbours by size in its list are both too far off has no partner there
     by_size = Window.partitionBy("key").orderBy("at")
-    near = lambda other: F.coalesce(4 * F.least(F.shiftright(other, 32), F.shiftright("at", 32)) >= 3 * F.greatest(F.shiftright(other, 32), F.shiftright("at", 32)), F.lit(False))
+    size = lambda c: F.shiftright(c, 32)
+    near = lambda other: F.col(other).isNotNull() & (4 * F.least(size(other), size("at")) >= 3 * F.greatest(size(other), size("at")))
     cold = listed.where("i < cold").select("key", "gid", packed).withColumn("p", F.lag("at").over(by_size)).withColumn("q", F.lead("at").over(by_size)).where(near("p") | near("q"))
     hot = listed.where("i >= cold").select("key", "gid", packed)
     reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
