@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENCODINGS = "utf-16 utf-8 cp1252"
+#: Bytes of a file that tell its encoding.
+HEAD = 1 << 20
 
 
 def schema(columns: Sequence[str]) -> T.StructType:
@@ -35,7 +36,8 @@ def _sniff(head: bytes) -> str:
     try:
         head.decode("utf-8")
     except UnicodeDecodeError as e:
-        return "UTF-8" if e.start > len(head) - 4 else "windows-1252"
+        cut = len(head) == HEAD and e.start > HEAD - 4  # a character cut in two is no sign of another encoding
+        return "UTF-8" if cut else "windows-1252"
     return "UTF-8"
 
 
@@ -47,4 +49,4 @@ def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
         return pa.array([None if c is None else _sniff(c) for c in content.to_pylist()], pa.string())
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", sniff(F.substring("content", 1, 1 << 20)).alias("encoding"))
+    return files.select("path", sniff(F.substring("content", 1, HEAD)).alias("encoding"))
