@@ -28,14 +28,16 @@ from pyspark.sql.window import Window
 UNKNOWN = "und"
 #: Characters of a stretch; stretches parsed together; languages at most (their sample shrinks, so tables stay bounded).
 STRETCH, TOGETHER, MOST_LANGUAGES = 256, 16384, 128
+#: Characters that are looked up at once.
+AT_ONCE = 2_000_000
 #: How sharply a difference in bits per letter turns into confidence.
 SHARPNESS = 6.0
 
 
 @dataclass(frozen=True)
 class Sample:
-    sample_docs: int = 32
-    sample_chars: int = 640
+    sample_docs: int = 128
+    sample_chars: int = 240
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -95,6 +97,17 @@ class CrossParser:
         return table.ravel()
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; texts are taken a few million characters at a time."""
+        langs, scores, a = [], [], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= AT_ONCE):
+                size, b = size + len(texts[b] or ""), b + 1
+            some = self._predict(texts[a:b])
+            langs, scores, a = langs + some[0], scores + some[1], b
+        return langs, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lookup, is_letter = _classes(self.letters, self.width)
         whole = [t or "" for t in texts]
         points = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
