@@ -57,9 +57,6 @@ def _(t):
     return by.select("o_custkey", calc.exact(F.lit("mean"), "v", F.lit(None).cast("string")).alias("r")).select("o_custkey", "r.value", "r.error_code")
 
 
-_LABELS = "(VALUES ('FY22'), ('CY2024'), ('''25'), ('2023E'), ('2021'), ('Q1'), ('FY 19'), ('x20')) v(label)"
-
-
 @query("period_year", """
 SELECT o_orderkey, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS year FROM (SELECT o_orderkey, try_cast(regexp_extract('FY' || (o_orderkey % 130), '^FY((?:19|20)\\d{2}|\\d{2})$', 1) AS INT) AS y FROM orders)""")
 def _(t):
