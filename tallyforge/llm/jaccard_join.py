@@ -6,9 +6,13 @@ group, so prefixes are listed once a group. Lists of groups that share a prefix
 expanded to members, and the members' whole sets are compared. No link between different sets is lost, and pairs are not
 enumerated inside what is already known to be connected:
 
-1. Rounds: in each list every member is compared with one pivot of the list. Links merge labels.
-2. The rest: in every list that still holds several labels, members outside its commonest label are compared with all
-   members of other labels. Members with one label are connected already, so their pairs decide nothing.
+1. Short lists: all their pairs.
+2. Rounds over the long lists: every member is compared with one pivot of the list. Links merge labels.
+3. The rest: in every long list that still holds several labels, members outside its commonest label are compared with
+   all members of other labels. Members with one label are connected already, so their pairs decide nothing.
+
+Before whole sets meet, 256-byte parity sketches do: the bits in which they differ can't outnumber the shingles in which
+the sets differ, so pairs that differ in too many bits are not linked.
 
 The order: shingles counted as frequent somewhere come last, by count; the others go by hash. Any order gives the same
 result; this one keeps common passages out of prefixes. The frequent ones are bounded in number and broadcast.
@@ -36,6 +40,10 @@ from .common import bucketed, discard, release, stored
 FREQUENT = 1 << 17
 #: Bits of the filter that tells which documents' sets are needed (2 MB); a wrong bit only costs work.
 FILTER_BITS = 1 << 24
+#: Documents of a list whose pairs are all compared at once; longer lists go through rounds.
+SHORT = 16
+#: Bits of a sketch.
+SKETCH = 2048
 #: Rounds of pivots, each over one residue of the lists' keys.
 ROUNDS = 6
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -96,8 +104,16 @@ def _often(sets: list[np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*no, pa.array(keys), pa.array(times, pa.int64())], _SCAN)
 
 
+PREFIXES = "doc_id bigint, n int, d1 bigint, d2 bigint, p1 bigint, p2 bigint, cold int, sketch binary, prefix array<bigint>"
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Per bit, whether an odd number of the set's shingles falls on it."""
+    return np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def _prefixes(width: int, shared):
-    """(doc_id, n, d1, d2, p1, p2, cold, prefix): prefix in the global order, its first `cold` shingles not frequent."""
+    """Rows of PREFIXES: prefix in the global order, its first `cold` shingles not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
@@ -117,13 +133,13 @@ def _prefixes(width: int, shared):
                     cold = len(prefix)
                     if cold < long:
                         prefix = np.append(prefix, s[hot][np.argsort(ranks[place[hot]], kind="stable")][: long - cold])
-                    rows.append((i, n, *_two(xxhash.xxh3_128_digest(s.tobytes())), *_two(xxhash.xxh3_128_digest(prefix.tobytes())), cold, prefix.view(np.int64)))
+                    rows.append((i, n, *_two(xxhash.xxh3_128_digest(s.tobytes())), *_two(xxhash.xxh3_128_digest(prefix.tobytes())), cold, sketch(s), prefix.view(np.int64)))
                 if rows:
-                    i, n, d1, d2, p1, p2, cold, prefix = zip(*rows)
+                    i, n, d1, d2, p1, p2, cold, bits, prefix = zip(*rows)
                     ends = np.cumsum([0, *map(len, prefix)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
                     longs = [pa.array(x, pa.int64()) for x in (d1, d2, p1, p2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(n, pa.int32()), *longs, pa.array(cold, pa.int32()), lists], ["doc_id", "n", "d1", "d2", "p1", "p2", "cold", "prefix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(n, pa.int32()), *longs, pa.array(cold, pa.int32()), pa.array(bits, pa.binary()), lists], ["doc_id", "n", "d1", "d2", "p1", "p2", "cold", "sketch", "prefix"])
 
     return run
 
@@ -158,6 +174,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("la").filter(pa.array(ok, pa.bool_())), batch.column("lb").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
+def _bits_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH // 8)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, la, lb, na, nb, sa, sb) -> the (a, b, la, lb) whose sketches allow a link."""
+    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
+    for batch in batches:
+        if batch.num_rows:
+            apart = ones[_bits_of(batch.column("sa")) ^ _bits_of(batch.column("sb"))].sum(axis=1)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            ok = pa.array(7 * (both - apart) >= 6 * both)  # twice the overlap is at most both - apart
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "la", "lb")], ["a", "b", "la", "lb"])
+
+
+def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs(a, b, la, lb), b the pivot, without those that their sketches rule out."""
+    side = lambda c: members.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "la", "lb", "na", "nb", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint, la bigint, lb bigint")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones.
 
@@ -191,16 +228,16 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels, "doc")
 
 
-def _round(lists: DataFrame, labels: DataFrame, sets: DataFrame, r: int) -> DataFrame:
+def _round(lists: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, r: int) -> DataFrame:
     """Edges found by comparing, in each list of this round, every member with a pivot."""
     mine = _labelled(lists.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r), labels)
     pivots = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "n", "i", "label")).alias("p")).select("key", "p.*")
     met = mine.alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
     pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    return _verified(pairs, sets)
+    return _verified(_plausible(pairs, members), sets)
 
 
-def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(lists: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges among all pairs of different labels that meet in some list and pass the filters."""
     here = _labelled(lists, labels)
     major = (
@@ -213,31 +250,45 @@ def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         F.expr("x.label <> y.label and (y.label = y.major or x.doc < y.doc)") & _possible("x", "y")
     )
     pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    return _verified(pairs, sets)
+    return _verified(_plausible(pairs, members), sets)
 
 
-def _lists(prefixes: DataFrame) -> DataFrame:
-    """Stored rows (key, doc, n, i) of everything that some other document might be linked with.
+def _lists(prefixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: members (doc, gid, n, sketch), long lists (key, doc, n, i), and the pairs (a, b) of short lists that sketches allow.
 
     Keys are prefix shingles, listed once a group and then expanded to members, and for the members of one group its prefix.
     """
     same = ["n", "p1", "p2"]
-    groups = prefixes.groupBy(*same).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
-    listed = groups.select("gid", "cold", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "key"))
-    packed = F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("at")  # size and place in one word
+    reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("sketch").alias("sketch"))
+    ids = reps.groupBy(*same).agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members"))
+    members = stored(reps.join(ids, same).select("doc", "gid", "n", "p1", "members", "sketch"), "members")
+
+    groups = prefixes.groupBy(*same).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"), F.count(F.lit(1)).alias("w"))
+    listed = groups.select("gid", "cold", F.col("n").cast("long").alias("n"), F.least("w", F.lit(255)).alias("w"), F.posexplode("prefix").alias("i", "key"))
+    # size, documents of the group (255: or more) and place (of a longer prefix: or later) in one word
+    place = F.least(F.col("i"), F.lit(0xFFFFFF)).cast("long")
+    packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft("w", 24)).bitwiseOR(place).alias("at")
     # a row whose neighbours by size in its list are both too far off has no partner there
-    by_size = Window.partitionBy("key").orderBy("at")
+    by_size, by_key = Window.partitionBy("key").orderBy("at"), Window.partitionBy("key")
     size = lambda c: F.shiftright(c, 32)
     near = lambda other: F.col(other).isNotNull() & (4 * F.least(size(other), size("at")) >= 3 * F.greatest(size(other), size("at")))
-    cold = listed.where("i < cold").select("key", "gid", packed).withColumn("p", F.lag("at").over(by_size)).withColumn("q", F.lead("at").over(by_size)).where(near("p") | near("q"))
-    hot = listed.where("i >= cold").select("key", "gid", packed)
-    reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    ids = reps.groupBy(*same).agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = stored(reps.join(ids, same).select("doc", "gid", "n", "p1", "members"), "members")
-    by_shingle = cold.select("key", "gid", "at").unionAll(hot).join(members.select("doc", "gid"), "gid")
+    cold = (
+        listed.where("i < cold").select("key", "gid", packed)
+        .withColumn("p", F.lag("at").over(by_size)).withColumn("q", F.lead("at").over(by_size)).withColumn("c", F.sum(F.shiftright("at", 24).bitwiseAND(F.lit(255))).over(by_key))
+        .where(near("p") | near("q")).drop("p", "q")
+    )
+    hot = listed.where("i >= cold").select("key", "gid", packed, F.lit(SHORT + 1).cast("long").alias("c"))
+    unpack = [F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("i")]
+    kept = stored(cold.unionAll(hot).select("key", "gid", "c", *unpack), "kept")
+
     within = members.where("members > 1").select(F.col("p1").alias("key"), "doc", "n", F.lit(0).alias("i"))
-    unpacked = by_shingle.select("key", "doc", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
-    return stored(unpacked.unionAll(within), "lists")
+    lists = stored(kept.where(F.col("c") > SHORT).join(members.select("doc", "gid"), "gid").select("key", "doc", "n", "i").unionAll(within), "lists")
+
+    few = kept.where(F.col("c") <= SHORT)
+    meet = few.alias("x").join(few.alias("y"), "key").where((F.col("x.gid") < F.col("y.gid")) & _possible("x", "y")).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    side = lambda c: members.select(F.col("gid").alias(f"g{c}"), F.col("doc").alias(c), F.col("doc").alias(f"l{c}"))
+    pairs = stored(_plausible(meet.join(side("a"), "ga").join(side("b"), "gb").select("a", "b", "la", "lb"), members), "pairs")
+    return members, lists, pairs
 
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -251,15 +302,16 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     frequent = sc.broadcast((keys, np.argsort(np.lexsort((keys, times)))))
 
     prefixes = stored(
-        texts.mapInArrow(_prefixes(width, frequent), "doc_id bigint, n int, d1 bigint, d2 bigint, p1 bigint, p2 bigint, cold int, prefix array<bigint>"), "prefixes"
+        texts.mapInArrow(_prefixes(width, frequent), PREFIXES), "prefixes"
     )
-    lists = _lists(prefixes)
+    members, lists, pairs = _lists(prefixes)
     discard(prefixes)
     release(docs.sparkSession)
 
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    spots = lists.select((spot("doc") + 1).alias("s"))  # bitmap places count from 1
+    needed = lists.select("doc").unionAll(pairs.select("a")).unionAll(pairs.select("b"))
+    spots = needed.select((spot("doc") + 1).alias("s"))  # bitmap places count from 1
     for r in spots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect():
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
     shared = sc.broadcast(bits)
@@ -272,21 +324,28 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     classed = stored(plain.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "classed")
     twice = classed.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b").distinct()
     edges = stored(twice, "edges")
-    nodes = lists.select("doc").union(edges.select("a")).union(edges.select("b")).distinct()
+    nodes = needed.unionAll(edges.select("a")).unionAll(edges.select("b")).distinct()
     labels = stored(nodes.select("doc", F.col("doc").alias("label")), "labels")
 
     seed = 0
+
+    def merge(labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        nonlocal seed
+        seed += 1
+        release(docs.sparkSession)
+        return _contract(labels, found, seed)
+
+    labels, edges = merge(labels, stored(_verified(pairs, sets).unionAll(edges), "found"))
     for r in range(ROUNDS):
-        found = stored(_round(lists, labels, sets, r).unionAll(edges), "found")
+        found = stored(_round(lists, labels, members, sets, r), "found")
         if found.isEmpty():
             break  # what little is left is found below
-        labels, edges = _contract(labels, found, seed := seed + 1)
-        release(docs.sparkSession)
+        labels, edges = merge(labels, found.unionAll(edges))
     while not edges.isEmpty():
-        labels, edges = _contract(labels, edges, seed := seed + 1)
-    edges = stored(_rest(lists, labels, sets), "found")
+        labels, edges = merge(labels, edges)
+    edges = stored(_rest(lists, labels, members, sets), "found")
     while not edges.isEmpty():
-        labels, edges = _contract(labels, edges, seed := seed + 1)
+        labels, edges = merge(labels, edges)
 
     least = labels.groupBy("label").agg(F.min("doc").alias("component"))
     named = labels.join(least, "label").select(F.col("doc").alias("rep"), "component")
