@@ -1,14 +1,16 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff n-gram model that lives in tables.
 
-Counts. All training tokens are counted. Words at or above a relative frequency are *common*; n-grams of common words at
-or above it, whose parts are kept too, become states. As their counts sum to at most all tokens, at most 1 / frequency n-grams
-of an order are kept however large the corpus, so the automaton is broadcast. All other words still have exact counts,
-which reach their documents by a join.
+Counts. All training tokens are counted. Every word is in the model, and every longer n-gram that occurs at least
+``least`` times, so the model grows with the corpus. It is written to Parquet and joined; neither it nor a part of it
+passes through the driver.
 
-Model. Unigrams are add-one smoothed; higher orders use absolute discounting, and the rest of a state's mass goes to its
-failure arc. A text is traversed once, left to right: from the current state follow the word's arc, or failure arcs with
-their weights until one exists. Only common words have arcs above the root, so a rare word's part is its unigram
-log-probability, joined in, after the failure weights down to the root.
+Model. Unigrams are add-one smoothed; higher orders use absolute discounting, and the rest of a context's mass goes to its
+failure weight. An n-gram's value is its log-probability less what is added up without it: its context's failure weight and
+its suffix's log-probability; the failure weight after it is added. So the score of a text is the sum of the values of its
+n-grams of all orders, and those the model lacks add nothing: each text is joined with the n-grams it has.
+
+Keys. A word's key is its 64-bit hash, a longer n-gram's a mix of the keys of the n-grams without its last (c) and without
+its first word (s). Among k n-grams, k * k / 2 ** 65 pairs are expected to share a key: under one up to six billion.
 
 Tokens: white-space words with A-Z lower-cased, then one end token, which no word equals.
 
@@ -19,241 +21,159 @@ Ties: none arise. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, release, stored
 
 END = " "  # no word has a space in it
-ROOT = ()
+#: Texts that are split at once.
+AT_ONCE = 512
 
 
 @dataclass(frozen=True)
 class Settings:
-    """order: longest n-gram. word_frequency, frequency: least count of a common word and of a kept n-gram, relative to all training tokens."""
+    """order: longest n-gram. least: count from which an n-gram of two or more words is kept."""
 
     order: int = 3
-    word_frequency: float = 1e-6
-    frequency: float = 2e-6
+    least: int = 2
     discount: float = 0.6
-    #: Distinct n-grams a task gathers before it hands them on.
-    gathered: int = 200_000
-
-
-def tokens(text: str | None) -> list[str]:
-    """bytes.lower and bytes.split know ASCII letters and white space only, as the definition asks."""
-    return [x.decode() for x in (text or "").encode().lower().split()]
-
-
-def _counted(settings: Settings, count):
-    """mapInArrow function: count(texts, counter) over bounded batches, as rows (key, n)."""
+    #: Occurrences a task gathers before it hands on their counts.
+    gathered: int = 2_000_000
+
+
+def mixed(c: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Key of the n-gram whose parts without the last and the first word have the keys c and s."""
+    x = c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every token, and the place of its text. bytes.lower and bytes.split know the letters and white space the definition asks."""
+    split = [(t or "").encode().lower().split() for t in texts.to_pylist()]
+    n = len(split)
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, split), np.int64, n))
+    coded = pa.array([*chain.from_iterable(split)], pa.binary()).dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
+    codes = coded.indices.to_numpy()
+    keys, place = np.empty(len(codes) + n, np.int64), np.empty(len(codes) + n, np.int64)
+    at, ends = np.arange(len(codes)) + owner, np.cumsum(np.bincount(owner, minlength=n)) + np.arange(n)
+    keys[at], place[at] = hashes[codes], owner
+    keys[ends], place[ends] = np.uint64(xxhash.xxh3_64_intdigest(END.encode())).view(np.int64), np.arange(n)
+    return keys, place
+
+
+def grams_of(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every n-gram of this order: its key, its c and s (for words the key again), and the place of its text."""
+    k, place = words_of(texts)
+    c = s = k
+    for n in range(2, order + 1):
+        c, s = k[:-1], k[1:]
+        k = mixed(c, s)
+        if n < order:
+            continue
+        there = place[: len(k)] == place[n - 1 :]
+        k, c, s, place = k[there], c[there], s[there], place[: len(there)][there]
+    return k, c, s, place
+
+
+def gram_counts(train: DataFrame, order: int, settings: Settings) -> DataFrame:
+    """train(text) -> stored k, c, s, n: all words, or the n-grams of this order that occur at least `least` times."""
+
+    def counted(waiting: list) -> pa.RecordBatch:
+        k, c, s = map(np.concatenate, zip(*waiting))
+        _, first, n = np.unique(k, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(s[first]), pa.array(n)], ["c", "s", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: Counter = Counter()
+        waiting, size = [], 0
         for batch in batches:
-            texts = batch.column(0)
-            for a in range(0, len(texts), 256):
-                count(texts.slice(a, 256).to_pylist(), gathered)
-                if len(gathered) > settings.gathered:
-                    yield _rows(gathered)
-                    gathered.clear()
-        if gathered:
-            yield _rows(gathered)
-
-    return run
-
-
-def _rows(counter: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counter.keys()), pa.array(counter.values(), pa.int64())], ["key", "n"])
-
-
-def word_counts(train: DataFrame, settings: Settings) -> DataFrame:
-    """train(text) -> stored key, n for every token, the end included."""
+            for a in range(0, batch.num_rows, AT_ONCE):
+                waiting.append(grams_of(batch.column(0).slice(a, AT_ONCE), order)[:3])
+                size += len(waiting[-1][0])
+                if size > settings.gathered:
+                    yield counted(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield counted(waiting)
 
-    def count(texts: list[str | None], into: Counter) -> None:
-        for t in texts:
-            into.update((t or "").encode().lower().split())
-        into[END.encode()] += len(texts)
+    @F.arrow_udf("bigint")
+    def key(c: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.array(mixed(c.to_numpy(), s.to_numpy()))
 
-    got = train.select("text").mapInArrow(_counted(settings, count), "key binary, n bigint")
-    return stored(got.groupBy(F.col("key").cast("string").alias("key")).agg(F.sum("n").alias("n")), "words")
+    got = train.select("text").mapInArrow(run, "c bigint, s bigint, n bigint").groupBy("c", "s").agg(F.sum("n").alias("n"))
+    if order == 1:
+        return stored(got.withColumn("k", F.col("c")), "words")
+    return stored(got.where(F.col("n") >= settings.least).withColumn("k", key("c", "s")), "grams")
 
 
 @dataclass
-class Automaton:
-    """Common words, and the arcs and failure weights of the states; a state is a tuple of word numbers."""
+class Model:
+    """values: per order a table k, value, for words n and p too. Counts of tokens and distinct words."""
 
-    words: list[str]
     n_tokens: int
     n_words: int
-    unigrams: list[int]
-    grams: list[dict[tuple[int, ...], int]] = field(default_factory=list)  # per order from 2
-
-    def number(self) -> dict[bytes, int]:
-        return {w.encode(): i for i, w in enumerate(self.words)}
-
-    def base(self, count: int) -> float:
-        return math.log10((count + 1) / (self.n_tokens + self.n_words + 1))
-
-
-class Scorer:
-    """The automaton with states numbered, as a worker uses it."""
-
-    def __init__(self, model: Automaton, settings: Settings):
-        self.number = model.number()
-        self.base = [model.base(c) for c in model.unigrams]
-        width = self.width = len(model.words)
-        end = self.number.get(END.encode())
-        contexts: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for grams in model.grams:
-            for gram, n in grams.items():
-                contexts.setdefault(gram[:-1], []).append((gram[-1], n))
-        counts = {(i,): c for i, c in enumerate(model.unigrams)} | {g: n for grams in model.grams for g, n in grams.items()}
-        states = {ROOT: 0} | {h: i + 1 for i, h in enumerate(sorted(contexts, key=lambda h: (len(h), h)))}
-        self.fail, self.weight = [0] * len(states), [0.0] * len(states)
-        self.arcs: dict[int, tuple[int, float]] = {}
-
-        def longest(gram: tuple[int, ...]) -> int:
-            while gram not in states:
-                gram = gram[1:]
-            return states[gram]
-
-        def probability(h: tuple[int, ...], w: int) -> float:
-            """log10 of w after h, by arcs and failures among shorter contexts, which are done."""
-            state, total = longest(h), 0.0
-            while state:
-                if (arc := self.arcs.get(state * width + w)) is not None:
-                    return total + arc[1]
-                total += self.weight[state]
-                state = self.fail[state]
-            return total + self.base[w]
-
-        for h, state in states.items():
-            if not h:
-                continue
-            seen, c_h = contexts[h], counts[h]
-            kept = sum(n - settings.discount for _, n in seen) / c_h
-            below = sum(10 ** probability(h[1:], w) for w, _ in seen)
-            self.fail[state] = longest(h[1:])
-            # both rests are positive but for rounding: lower orders leave mass to words never seen
-            self.weight[state] = math.log10(max(1 - kept, 1e-12) / max(1 - below, 1e-12))
-            for w, n in seen:
-                self.arcs[state * width + w] = (0 if w == end else longest((h + (w,))[-(settings.order - 1):] if settings.order > 1 else ROOT), math.log10((n - settings.discount) / c_h))
-        self.enter = [0 if w == end else states.get((w,), 0) for w in range(width)]
-
-    def score(self, text: str | None) -> tuple[int, int, float, float, Counter]:
-        """Tokens, common tokens, their base and model log10 probability (with all failure weights), and the rare words."""
-        words = (text or "").encode().lower().split()
-        words.append(END.encode())
-        number, arcs, fail, weight, base, enter, width = self.number.get, self.arcs, self.fail, self.weight, self.base, self.enter, self.width
-        state, total, base_total, rare = 0, 0.0, 0.0, []
-        for word in words:
-            w = number(word)
-            if w is None:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-                rare.append(word)
-                continue
-            base_total += base[w]
-            while state:
-                arc = arcs.get(state * width + w)
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += base[w]
-                state = enter[w]
-        return len(words), len(words) - len(rare), base_total, total, Counter(rare)
-
-
-def fit(train: DataFrame, counts: DataFrame, settings: Settings) -> Automaton:
-    """counts: word_counts(train). What comes to the driver has at most 1 / frequency rows an order."""
-    n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, math.ceil(settings.word_frequency * n_tokens))
-    common = {r["key"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
-    words = sorted(common)
-    model = Automaton(words, n_tokens, n_words, [common[w] for w in words])
-    sc, keys, names = train.sparkSession.sparkContext, [], [(i,) for i in range(len(words))]
-    shared = sc.broadcast(Automaton(words, n_tokens, n_words, []))
-    least = max(2, math.ceil(settings.frequency * n_tokens))
-    for _ in range(2, settings.order + 1):
-        got = train.select("text").mapInArrow(_gram_counts(shared, sc.broadcast([*keys]), settings), "key bigint, n bigint")
-        rows = sorted((r["key"], r["n"]) for r in got.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect())
-        names = [names[k // len(words)] + (k % len(words),) for k, _ in rows]
-        keys.append(np.array([k for k, _ in rows], np.int64))
-        model.grams.append(dict(zip(names, (n for _, n in rows))))
-    return model
-
-
-def _gram_counts(shared, kept, settings: Settings):
-    """mapInArrow function: n-grams of one more word than `kept` (sorted keys; None: words), as rows (key, n).
-
-    A key is the place of the n-gram without its last word in `kept` (or that word's number) times the number of words,
-    plus the last word's number. Both the n-gram without its last and without its first word must be kept.
-    """
-
-    def grams(texts: list[str | None]) -> np.ndarray:
-        number = _numbers(shared.value)
-        end, width = number.get(END.encode(), -1), max(1, len(number))
-        ids = np.array([number.get(w, -1) for t in texts for w in (*(t or "").encode().lower().split(), END.encode())], np.int64)
-        place = ids  # of the n-gram that ends at each token, or -1
-        for keys in kept.value:
-            before = np.where(ids == end, -1, place)[:-1]  # nothing follows an end
-            got = before * width + ids[1:]
-            at = np.searchsorted(keys, got)
-            there = (before >= 0) & (ids[1:] >= 0) & (at < len(keys))
-            there[there] = keys[at[there]] == got[there]
-            place = np.append(-1, np.where(there, at, -1))
-        before = np.where(ids == end, -1, place)[:-1]
-        return (before * width + ids[1:])[(before >= 0) & (place[1:] >= 0)]
+    values: list[DataFrame]
+
+
+def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
+    """train(text) -> tables; the driver sees two totals."""
+    words = gram_counts(train, 1, settings)
+    n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    # p: log10 of the n-gram's probability; less: what is added up without it
+    done = [words]
+    lower = words.select("k", "n", F.log10((F.col("n") + 1) / F.lit(float(n_tokens + n_words + 1))).alias("p"), F.lit(0.0).alias("less"))
+    values = []
+    for order in range(2, settings.order + 1):
+        grams = gram_counts(train, order, settings)
+        release(train.sparkSession)
+        rest = F.col("n") - F.lit(settings.discount)
+        parts = stored(
+            grams.join(lower.select(F.col("k").alias("c"), F.col("n").alias("n_c")), "c")
+            .join(lower.select(F.col("k").alias("s"), F.col("p").alias("p_s")), "s")
+            .select("k", "c", "n", F.log10(rest / F.col("n_c")).alias("p"), "p_s", (rest / F.col("n_c")).alias("kept")),
+            "parts",
+        )
+        # both rests are positive but for rounding: lower orders leave mass to words never seen
+        left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+        failure = stored(parts.groupBy("c").agg(F.log10(left("kept") / left(F.pow(F.lit(10.0), "p_s"))).alias("weight")), "failure")
+        after = lower.join(failure.withColumnRenamed("c", "k"), "k", "left")
+        value = (F.col("p") - F.col("less") + F.coalesce("weight", F.lit(0.0))).alias("value")
+        values.append(stored(after.select("k", value, *(("n", "p") if order == 2 else ())), "values"))
+        lower = stored(parts.join(failure, "c").select("k", "n", "p", (F.col("weight") + F.col("p_s")).alias("less")), "lower")
+        for table in (*done, grams, parts, failure):
+            discard(table)
+        done = [lower]
+        release(train.sparkSession)
+    values.append(lower.select("k", "n", (F.col("p") - F.col("less")).alias("value"), "p"))  # the highest order's contexts have no failure weights after them
+    return Model(n_tokens, n_words, values)
+
+
+def asked(docs: DataFrame, order: int) -> DataFrame:
+    """docs(_h, text) -> _h, k, times: the n-grams of each text; those of one word once, longer ones at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
         for batch in batches:
-            texts = batch.column(0)
-            for a in range(0, len(texts), 512):
-                waiting.append(grams(texts.slice(a, 512).to_pylist()))
-                size += len(waiting[-1])
-                if size > settings.gathered * 4:
-                    yield _unique(waiting)
-                    waiting, size = [], 0
-        if size:
-            yield _unique(waiting)
-
-    return run
-
-
-def _unique(parts: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-
-_worker: dict[str, object] = {}
+            for a in range(0, batch.num_rows, AT_ONCE):
+                row = batch.column(0).slice(a, AT_ONCE).to_numpy()
+                k, _, _, place = grams_of(batch.column(1).slice(a, AT_ONCE), order)
+                times = np.ones(len(k), np.int64)
+                if order == 1:
+                    names, code = np.unique(k, return_inverse=True)
+                    pairs, times = np.unique(place * len(names) + code, return_counts=True)
+                    place, k = pairs // max(1, len(names)), names[pairs % max(1, len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(row[place]), pa.array(k), pa.array(times, pa.int64())], ["_h", "k", "times"])
 
-
-def _numbers(model: Automaton) -> dict[bytes, int]:
-    if _worker.get("counted") is not model:
-        _worker.clear()
-        _worker.update(counted=model, numbers=model.number())
-    return _worker["numbers"]
-
-
-def _scorer(model: Automaton, settings: Settings) -> Scorer:
-    if _worker.get("scored") is not model:
-        _worker.clear()
-        _worker.update(scored=model, scorer=Scorer(model, settings))
-    return _worker["scorer"]
+    return docs.mapInArrow(run, "_h bigint, k bigint, times bigint")
 
 
 def score(docs: DataFrame, train: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -261,38 +181,33 @@ def score(docs: DataFrame, train: DataFrame, settings: Settings = Settings()) ->
 
     -> doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
-    counts = word_counts(train, settings)
-    model = fit(train, counts, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scorer, texts = _scorer(shared.value, settings), batch.column(2)
-            for a in range(0, len(texts), 512):
-                got = [scorer.score(t) for t in texts.slice(a, 512).to_pylist()]
-                n, known, base, total, rare = zip(*got)
-                columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total)]
-                words = [[{"word": w, "times": k} for w, k in r.items()] for r in rare]
-                columns.append(pa.array(words, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), batch.column(1).slice(a, 512), *columns], ["_row", "doc_id", "n_tokens", "n_common", "base", "total", "rare"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    kind = dict(numbered.dtypes)["doc_id"]
-    scored = stored(numbered.mapInArrow(run, f"_row bigint, doc_id {kind}, n_tokens bigint, n_common bigint, base double, total double, rare array<struct<word:binary,times:int>>"), "scored")
-    rare = scored.select("_row", F.inline("rare")).select("_row", F.col("word").cast("string").alias("key"), "times")
-    floor = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.n_tokens + model.n_words + 1)))
-    parts = (
-        rare.join(counts, "key", "left")
-        .groupBy("_row")
-        .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("known"), F.sum(F.col("times") * floor).alias("log10"))
-    )
-    both = scored.drop("rare").join(parts, "_row", "left")
-    extra = F.coalesce("log10", F.lit(0.0))
-    return both.select(
+    model = fit(train, settings)
+    row = F.xxhash64("doc_id", "text").alias("_h")  # equal rows share it; the end tokens tell how many they are
+    keyed = docs.select(row, "text")
+    floor = F.lit(1.0 / (model.n_tokens + model.n_words + 1))
+    end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END.encode())).view(np.int64)))
+    sums = None
+    for order, table in enumerate(model.values, 1):
+        met = asked(keyed, order).join(table, "k", "left" if order == 1 else "inner")
+        if order == 1:
+            got = met.groupBy("_h").agg(
+                F.sum("times").alias("tokens"),
+                F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))), F.lit(0)).alias("known"),
+                F.sum(F.when(F.col("k") == end, F.col("times"))).alias("copies"),
+                F.sum(F.col("times") * F.coalesce("p", F.log10(floor))).alias("base"),
+                F.sum(F.col("times") * F.coalesce("value", F.log10(floor))).alias("total"),
+            )
+        else:
+            got = met.groupBy("_h").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        got = stored(got, f"sums{order}")
+        release(docs.sparkSession)
+        sums = got if sums is None else sums.join(got, "_h", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).drop("more")
+    each = lambda c: F.col(c) / F.col("copies")
+    return docs.select("doc_id", row).join(sums, "_h").select(
         "doc_id",
-        "n_tokens",
-        (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        each("tokens").cast("long").alias("n_tokens"),
+        each("known").cast("long").alias("n_known"),
         F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"),
-        (F.col("total") + extra).alias("score"),
+        each("base").alias("base_score"),
+        each("total").alias("score"),
     )

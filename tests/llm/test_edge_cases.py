@@ -213,3 +213,20 @@ def test_license(spark, docs, none):
     assert rows[3]["text_sha256"] is None and rows[4]["license"] is None and rows[5]["license"] is None
     assert license_scan.license_scan(texts).count() == 6 and license_scan.license_scan(none).count() == 0
     assert license_scan.license_scan(docs).count() == len(TEXTS)
+
+
+def test_lm_grows_with_the_corpus(spark):
+    """A bigram seen twice stays in the model when a million other tokens are learned from as well."""
+    few = [(i, "rare pair stands here") for i in (1, 2)] + [(3, "rare other"), (4, "some pair")]
+    many = few + [(i, "filler " * 1800) for i in range(10, 610)]
+    held = spark.createDataFrame([(0, "rare pair")], "doc_id bigint, text string")
+    for rows in (few, many):
+        r = lm_scoring.score(held, spark.createDataFrame(rows, "doc_id bigint, text string")).first()
+        n = sum(len(t.split()) + 1 for _, t in rows)
+        v = len({w for _, t in rows for w in t.split()}) + 1
+        # rare: unigram 3 of n; rare -> pair 2 of 3; (rare, pair) -> end unseen, as is pair -> end twice or more
+        p1 = lambda c: (c + 1) / (n + v + 1)
+        after_pair = (1 - (2 - 0.6) / 3) / (1 - p1(2))  # pair -> stands
+        after_rare_pair = (1 - (2 - 0.6) / 2) / (1 - (2 - 0.6) / 3)
+        want = [p1(3), (2 - 0.6) / 3, after_rare_pair * after_pair * p1(len(rows))]
+        assert abs(r["score"] - sum(map(__import__("math").log10, want))) < 1e-9
