@@ -2,12 +2,14 @@
 
 A text is read as the model reads it: one space before it, spaces as the word mark, characters the model lacks as UTF-8
 byte pieces. Merges are taken from an agenda, best score first and leftmost among equals. With dropout, each candidate
-that comes up is skipped for good when a hash of it, keyed by the seed, falls under the rate; a skipped pair can still
-be swallowed by a neighbouring merge. So a seed fixes a segmentation, other seeds and other texts vary it, and every
-segmentation decodes to the same text.
+that comes up is skipped for good when a hash of it, keyed by the seed, the text and the place in the text, falls under
+the rate; a skipped pair can still be swallowed by a neighbouring merge. So a seed fixes a segmentation, other seeds and
+texts vary it, each occurrence of a word in a text has its own, and every segmentation decodes to the same text.
 
 The merges of a text never cross the places where no piece of the vocabulary has the two characters in a row, so a text
-is cut there into short units, each encoded by itself. A worker keeps the units it has met, up to a bound.
+is cut there into short units, each encoded by itself. A worker keeps the units it has met, up to a bound: of each the
+candidates in the order they came up, as a tree that forks where one was taken or skipped, with the ids at its ends. An
+occurrence draws its own skips down the tree; where no end is reached the agenda is run, and its course is added.
 
 Defined results. Null text: null ids; null ids: null text. Empty text: no ids. A word mark in the text itself becomes
 byte pieces, so it comes back as it was. Ids outside the vocabulary fail the decoding. Repeated rows are encoded alike.
@@ -31,11 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Random words that place a candidate's left, middle and right end in its unit; XORed with the unit's keyed hash they decide.
+#: Random words that place a candidate's left, middle and right end in its unit; mixed with the occurrence's key they decide.
 PLACES = 4095
+WORD, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 LEFT, MIDDLE, RIGHT = ([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), k) for i in range(PLACES + 1)] for k in (1, 2, 3))
-#: Units that a worker remembers, over all variants, before the older half of what it has met goes: about 250 bytes each.
-REMEMBERED = 1_000_000
+#: Courses of the agenda that a worker remembers before the older half of what it has met goes: about 500 bytes each.
+REMEMBERED = 400_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
 
@@ -65,11 +68,11 @@ class Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary, seed, rate and number of variants; lives in a worker."""
+    """Encoder and decoder of one vocabulary, seed and rate; lives in a worker."""
 
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, variants: int):
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED):
         v = self.vocabulary = vocabulary
-        self.seed, self.variants, self.below = seed, variants, int(rate * (1 << 64))
+        self.seed, self.remembered, self.below = seed, remembered, int(rate * (1 << 64))
         normal = range(v.first_piece, len(v.pieces))
         self.id_of = {v.pieces[i]: i for i in normal}
         self.none = len(v.pieces)
@@ -81,7 +84,9 @@ class Codec:
         other = "[^ " + re.escape(alone) + "]"
         word = self._word_before_stop(adjacent)
         self.units = re.compile(f"{word} *{other}+| +" + (f"|[{re.escape(alone)}]" if alone else ""))
-        self.met = [_Met(self, k) for k in range(variants)]
+        self.met: dict[str, bytes | list] = {}
+        self.older: dict[str, bytes | list] = {}
+        self.courses = 0
         bytes_of = [b""] * len(v.pieces)
         for i in normal:
             bytes_of[i] = v.pieces[i].replace(MARK, " ").encode()
@@ -103,20 +108,55 @@ class Codec:
         """Ids as int32 in native order."""
         if not text:
             return b""
-        k = xxhash.xxh3_64_intdigest(text.encode(), self.seed) % self.variants if self.below and self.variants > 1 else 0
-        return b"".join(map(self.met[k].__getitem__, self.units.findall(" " + text)))
-
-    def unit(self, unit: str, variant: int) -> bytes:
-        key = xxhash.xxh3_64_intdigest(unit.encode(), self.seed * self.variants + variant) if self.below else 0
+        units = self.units.findall(" " + text)
+        met, below, out = self.met.get, self.below, []
+        for unit, key in zip(units, self.keys(text, len(units)) if below else repeat(0)):
+            node = met(unit)
+            while type(node) is list:  # a candidate, and what follows when it is taken or skipped
+                node = node[2 if (key ^ node[0]) * SPREAD & WORD < below else 1]
+            out.append(self._run(unit, key) if node is None else node)
+        return b"".join(out)
+
+    def keys(self, text: str, n: int) -> list[int]:
+        """A random word for each unit of a text."""
+        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SPREAD) + np.uint64(xxhash.xxh3_64_intdigest(text.encode(), self.seed))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))).tolist()
+
+    def _run(self, unit: str, key: int) -> bytes:
+        """The unit's ids; what came up on the way is remembered."""
+        if unit not in self.met and unit in self.older:
+            self.met[unit] = node = self.older.pop(unit)
+            while type(node) is list:
+                node = node[2 if (key ^ node[0]) * SPREAD & WORD < self.below else 1]
+            if node is not None:
+                return node
+        trail: list[int] = []
+        ids = self.unit(unit, key, trail)
+        if self.below and len(unit) > SHORT:  # hardly one of its many courses comes again
+            return ids
+        self.courses += 1
+        holder, at = self.met, unit
+        for c in trail:
+            node = holder.get(at) if holder is self.met else holder[at]
+            if node is None:
+                node = holder[at] = [c, None, None]
+            holder, at = node, 2 if (key ^ c) * SPREAD & WORD < self.below else 1
+        holder[at] = ids
+        return ids
+
+    def unit(self, unit: str, key: int, trail: list[int] | None = None) -> bytes:
+        """trail: gets the candidates in the order they come up."""
         if len(unit) <= SHORT and MARK not in unit:
-            part = self._scan(list(unit.replace(" ", MARK)), key)
+            part = self._scan(list(unit.replace(" ", MARK)), key, trail)
         else:
             part = []
             symbols = [MARK if c == " " else f"{c}\0" if c == MARK else c for c in unit]  # a mark of the text's own matches no piece
             start = 0
             for i in range(1, len(symbols) + 1):
                 if i == len(symbols) or symbols[i - 1] + symbols[i] not in self.adjacent:
-                    part += self._agenda(symbols[start:i], key, start)
+                    part += self._agenda(symbols[start:i], key, start, trail)
                     start = i
         ids = list(map(self.id_of.get, part))
         if None in ids:
@@ -124,16 +164,20 @@ class Codec:
             ids = [y for x, s in zip(ids, part) for y in ([x] if x is not None else [first + b for b in s.rstrip("\0").encode() or b"\0"])]
         return array("i", ids).tobytes()
 
-    def _scan(self, part: list[str], key: int) -> list[str]:
+    def _scan(self, part: list[str], key: int, trail: list[int] | None = None) -> list[str]:
         """The agenda as a list by place: its least rank, leftmost first, comes up next."""
         rank, none, below = self.rank_of.get, self.none, self.below
         at = list(range(len(part) + 1))
         agenda = list(map(rank, map(add, part, part[1:]), repeat(none)))
         while agenda and (best := min(agenda)) < none:
             i = agenda.index(best)
-            if below and key ^ LEFT[at[i]] ^ MIDDLE[at[i + 1]] ^ RIGHT[at[i + 2]] < below:
-                agenda[i] = none
-                continue
+            if below:
+                c = LEFT[at[i]] ^ MIDDLE[at[i + 1]] ^ RIGHT[at[i + 2]]
+                if trail is not None:
+                    trail.append(c)
+                if (key ^ c) * SPREAD & WORD < below:
+                    agenda[i] = none
+                    continue
             part[i] += part.pop(i + 1)
             del at[i + 1], agenda[i]
             if i:
@@ -142,7 +186,7 @@ class Codec:
                 agenda[i] = rank(part[i] + part[i + 1], none)
         return part
 
-    def _agenda(self, part: list[str], key: int, offset: int) -> list[str]:
+    def _agenda(self, part: list[str], key: int, offset: int, trail: list[int] | None = None) -> list[str]:
         """The same over a heap and linked symbols, for long units."""
         n, rank, none = len(part), self.rank_of.get, self.none
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -158,8 +202,12 @@ class Codec:
             _, i, j, stop = heapq.heappop(heap)
             if part[i] == "" or after[i] != j or end[i] != j or end[j] != stop:
                 continue
-            if self.below and key ^ LEFT[offset + i & PLACES] ^ MIDDLE[offset + j & PLACES] ^ RIGHT[offset + stop & PLACES] < self.below:
-                continue
+            if self.below:
+                c = LEFT[offset + i & PLACES] ^ MIDDLE[offset + j & PLACES] ^ RIGHT[offset + stop & PLACES]
+                if trail is not None:
+                    trail.append(c)
+                if (key ^ c) * SPREAD & WORD < self.below:
+                    continue
             part[i] += part[j]
             part[j], end[i], after[i] = "", stop, after[j]
             if after[i] < n:
@@ -169,9 +217,8 @@ class Codec:
         return [s for s in part if s]
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
-        if sum(map(len, self.met)) > REMEMBERED // 2:
-            for m in self.met:
-                m.age()
+        if self.courses > self.remembered // 2:  # what is met again before the next time moves back from the older half
+            self.met, self.older, self.courses = {}, self.met, 0
         parts = [None if t is None else self.encode(t) for t in texts]
         ends = np.cumsum([0, *(len(p or b"") // 4 for p in parts)])
         flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
@@ -187,21 +234,6 @@ class Codec:
         return pa.array([None if x is None else self.decode(x.tolist()) for x in _lists(ids)], pa.string())
 
 
-class _Met(dict):
-    def __init__(self, codec: Codec, variant: int):
-        super().__init__()
-        self.codec, self.variant, self.older = codec, variant, {}
-
-    def age(self) -> None:
-        """What is met again before the next time moves back from the older half."""
-        self.older = dict(self)
-        self.clear()
-
-    def __missing__(self, unit: str) -> bytes:
-        got = self[unit] = self.older.pop(unit, None) or self.codec.unit(unit, self.variant)
-        return got
-
-
 def _lists(ids: pa.Array) -> Iterator[np.ndarray | None]:
     values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
     for i, ok in enumerate(ids.is_valid().to_pylist()):
@@ -222,12 +254,12 @@ def _codec(shared, *how) -> Codec:
 class SentencePiece:
     """Column functions over a model file, which only the driver reads."""
 
-    def __init__(self, spark: SparkSession, model_file: str, dropout: float = 0.0, seed: int = 0, variants: int = 2):
-        """dropout: rate at which candidates are skipped. variants: how many segmentations a word can have in one seed."""
-        if not 0 <= dropout <= 1 or variants < 1 or seed < 0:
-            raise ValueError("dropout must be in [0, 1], variants positive, seed not negative")
+    def __init__(self, spark: SparkSession, model_file: str, dropout: float = 0.0, seed: int = 0):
+        """dropout: rate at which candidates are skipped."""
+        if not 0 <= dropout <= 1 or seed < 0:
+            raise ValueError("dropout must be in [0, 1], seed not negative")
         shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))  # as large as the model file
-        how = (dropout, seed, variants)
+        how = (dropout, seed)
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:

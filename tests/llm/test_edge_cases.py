@@ -230,3 +230,21 @@ def test_lm_grows_with_the_corpus(spark):
         after_rare_pair = (1 - (2 - 0.6) / 2) / (1 - (2 - 0.6) / 3)
         want = [p1(3), (2 - 0.6) / 3, after_rare_pair * after_pair * p1(len(rows))]
         assert abs(r["score"] - sum(map(__import__("math").log10, want))) < 1e-9
+
+
+def test_dropout_varies_by_occurrence():
+    """A word has its own skips at every place of a text and in every text, and what is remembered changes nothing."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(queries.MODEL_FILE), 0.1, 1)
+    texts = [" ".join(["international"] * 40) + f" {i}" for i in range(50)]
+    words = {}
+    for t in texts:
+        got = codec.units.findall(" " + t)
+        words[t] = [codec.unit(u, k) for u, k in zip(got, codec.keys(t, len(got)))]
+        assert codec.encode(t) == b"".join(words[t]) == codec.encode(t)
+        assert len(set(words[t][1:40])) > 2
+    assert len({w for t in texts for w in words[t][1:40]}) > 5
+    assert len({tuple(w[1:40]) for w in words.values()}) == len(texts)
+    n = sum(len(w[1:40]) for w in words.values())
+    plain = sentencepiece_codec.Codec(codec.vocabulary, 0.0, 1).unit(" international", 0)
+    kept = sum(w == plain for t in texts for w in words[t][1:40]) / n
+    assert 0.9 ** len("▁international") < kept < 1
