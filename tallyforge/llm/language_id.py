@@ -5,8 +5,11 @@ in the language's text is one phrase, then parsing starts afresh. Related text i
 language with the fewest phrases, normalised to bits per letter by the size of its text (phrases * log2(size) / letters),
 wins. Texts are parsed whole, in stretches of a fixed length, so many stretches advance through the automata together.
 
-Fitting takes a bounded sample: of each language, ``sample_docs`` labelled texts (by hash of the text, so any order of
-rows gives the same) and at most ``sample_chars`` characters of each. Everything else covers all rows.
+Fitting takes a bounded sample: of each language ``sample_docs`` distinct labelled texts, the first by hash, so neither
+the order of rows nor copies matter, and of each a stretch of ``sample_chars`` characters from a hashed place in it, so
+that shared openings don't stand for the language: 128 * 240 = 30,720 characters a language. Where a language has fewer
+texts, each gives more stretches, or the whole of it if that is no longer. Beyond 128 languages each gets a smaller
+share of the same total. Everything else covers all rows.
 
 Defined results. Null text, or one without a letter: ``und``, score 0. No labelled language at all: ``und``, score 0, for
 every row. Ties: the language that sorts first. Null lang or id: not learned from. Repeated rows: predicted alike. Empty
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
-#: Characters of a stretch; stretches parsed together; languages at most (their sample shrinks, so tables stay bounded).
+#: Characters of a stretch; stretches parsed together; languages with a full sample (beyond, samples shrink, so tables stay bounded).
 STRETCH, TOGETHER, MOST_LANGUAGES = 256, 16384, 128
 #: Characters that are looked up at once.
 AT_ONCE = 2_000_000
@@ -176,18 +179,30 @@ def _classes(letters: str, width: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: Sample = Sample()) -> CrossParser:
     """labelled(text, lang) -> automata; only the bounded sample comes to the driver."""
     known = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") > 0)).select("text", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    distinct = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    n_langs = distinct.agg(F.count_distinct("lang")).first()[0]
+    each = MOST_LANGUAGES * sample.sample_docs * sample.sample_chars // max(n_langs, MOST_LANGUAGES)  # characters a language
+    chars = max(1, min(sample.sample_chars, each))
+    n_docs = max(1, min(sample.sample_docs, each // chars))
+    chosen = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= n_docs)
+    most = F.ceil(F.lit(n_docs) / F.max("n").over(Window.partitionBy("lang"))).cast("int").alias("most")
+    size, i = F.char_length("text"), F.col("i")
+    whole = size <= F.col("most") * chars
+    pieces = F.when(whole, F.ceil(size / chars)).otherwise(F.col("most")).cast("int")
+    place = F.when(whole, i * chars).otherwise(F.pmod(F.xxhash64("h", "i"), size - chars + 1)).cast("int") + 1
     rows = (
-        known.select("lang", F.substring("text", 1, sample.sample_chars).alias("text"), F.row_number().over(by).alias("n"))
-        .where(F.col("n") <= sample.sample_docs)
-        .limit(MOST_LANGUAGES * sample.sample_docs + 1)
+        known.withColumn("h", F.xxhash64("text"))
+        .join(F.broadcast(chosen.select("lang", "h", most)), ["lang", "h"])  # at most the sample's number of rows
+        .select("lang", "h", "text", "most", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
+        .select("lang", "h", "i", F.substring("text", place, F.lit(chars)).alias("text"))
+        .distinct()
         .collect()
     )
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    if len(texts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages")
+    for r in sorted(rows, key=lambda r: (r["lang"], r["i"], r["h"])):
+        got = texts.setdefault(r["lang"], [])
+        if len(got) < n_docs:
+            got.append(r["text"])
     return CrossParser(texts)
 
 

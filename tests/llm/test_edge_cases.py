@@ -248,3 +248,26 @@ def test_dropout_varies_by_occurrence():
     plain = sentencepiece_codec.Codec(codec.vocabulary, 0.0, 1).unit(" international", 0)
     kept = sum(w == plain for t in texts for w in words[t][1:40]) / n
     assert 0.9 ** len("▁international") < kept < 1
+
+
+def test_language_sample(spark):
+    """Shared openings, many copies and many languages don't take the sample."""
+    import random
+
+    header = "this header opens all documents of the collection and has nothing to say of their language " * 4
+    draw = random.Random(1)
+    words = {k: ["".join(draw.choice(letters) for _ in range(5)) for _ in range(200)] for k, letters in (("a", "abcdefgh"), ("b", "mnopqrst"))}
+    body = lambda k: " ".join(draw.choice(words[k]) for _ in range(400))
+    labelled = spark.createDataFrame([(header + body(k), k) for k in words for _ in range(20)], "text string, lang string")
+    asked = spark.createDataFrame([(i, body("ab"[i % 2])) for i in range(20)], "doc_id int, text string")
+    assert all(r["lang_pred"] == "ab"[r["doc_id"] % 2] and r["score"] > 0.9 for r in language_id.identify(asked, labelled).collect())
+    sample = language_id.Sample(4, 40)
+    copied = [(f"copy {k} " * 20, "x") for k in range(3) for _ in range(200)]
+    others = [(" ".join(f"{w}{chr(97 + k)}" for w in words["a"][:20]), "x") for k in range(9)]
+    rows = spark.createDataFrame(copied + others, "text string, lang string")
+    once = spark.createDataFrame([*dict.fromkeys(copied + others)], "text string, lang string")
+    assert language_id.fit(rows, sample).sizes == language_id.fit(once, sample).sizes
+    alone = language_id.fit(spark.createDataFrame([("only text " * 11, "x"), ("y" * 7, "y")], "text string, lang string"), sample)
+    assert alone.sizes == [109, 7]
+    many = spark.createDataFrame([(f"word {k}", f"l{k}") for k in range(130)], "text string, lang string")
+    assert len(language_id.fit(many, sample).languages) == 130
