@@ -9,6 +9,10 @@ the article (navigation, footers, asides, forms, elements classed as adverts, co
 page shares it; what stands inside an article or main element stays even where the neighbour has it too, since copies of
 an article and passages that many articles quote are text all the same. Everything else is decided by differencing.
 
+A class, an id or a role rules an element out by a whole name only ("sidebar", not "has-sidebar"), and neither it nor a
+form does so to an element outside articles that has an article or main element in it. Names that articles use too
+(related, share, notice, header and the like) rule nothing out: what is named so is decided by differencing, in articles too.
+
 Blocks: character references decoded, white space to one space, trimmed, blank ones dropped, joined by \\n.
 
 Defined results. Null or empty html, or a page of boilerplate only: empty text. Null url: a host of its own kind, the
@@ -46,30 +50,32 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("nav footer aside form button select menu dialog head object audio video canvas".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-?header|page-?header"
-    r"|header|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-\w+|respond|disqus"
-    r"|replies|pagination|pager|toolbar|widget|copyright|disclaimer|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer site-footer"
+    " page-footer masthead site-header page-header cookie cookies cookie-banner cookie-notice consent popup modal newsletter subscribe signup login comment comments respond"
+    " disqus disqus_thread replies pagination pager toolbar widget complementary contentinfo search".split()
 )
+WEAK = frozenset("header notice notification alert promo promotion share sharing social related recommended copyright disclaimer".split())
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     """Text blocks that the markup doesn't rule out, in page order: (text, whether it stands in an article or main element)."""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, list[bool] | None]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open element, ruled out, in an article
-    ruled_out = inside = False
+    # open element, whether it is ruled out for good, by its name unless an article follows in it, whether it is in an article or main, in an article
+    stack: list[tuple[str, bool, list[bool] | None, bool, bool]] = []
+    ruled_out = inside = in_article = False
+    unless: list[bool] | None = None
 
     def flush() -> None:
         if text:
             if not ruled_out and (block := " ".join(html.unescape("".join(text)).split())):
-                out.append((block, inside))
+                out.append((block, inside, unless))
             text.clear()
 
     def reset() -> None:
-        nonlocal ruled_out, inside
-        _, ruled_out, inside = stack[-1] if stack else ("", False, False)
+        nonlocal ruled_out, unless, inside, in_article
+        _, ruled_out, unless, inside, in_article = stack[-1] if stack else ("", False, None, False, False)
 
     for m in TOKEN.finditer(page or ""):
         tag, got = m[2], m[0]
@@ -98,16 +104,24 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
                 reset()
         if tag in VOID or got.endswith("/>"):
             continue
-        said = [a for x in ATTRIBUTE.finditer(m[3]) for a in x.groups()[1:] if a] if "=" in m[3] else []
+        said = [a.lower() for x in ATTRIBUTE.finditer(m[3]) for a in x.groups()[1:] if a] if "=" in m[3] else []
         article = tag in ("article", "main")
-        out_now = tag in NOT_TEXT or (tag == "header" and not inside) or (not article and tag not in ("body", "html") and any(map(BOILERPLATE.search, said)))
-        if out_now or article or tag in ("div", "section", "body", "header", "ul", "ol", "table") or said or tag in CLOSED_BY_BLOCK:
-            if out_now or article:
+        names = {n for a in said for n in a.split()}
+        by_name = not article and tag not in ("body", "html") and (tag == "form" or not names.isdisjoint(BOILERPLATE))
+        out_now = (tag in NOT_TEXT and tag != "form") or (tag == "header" and not inside) or (by_name and in_article)
+        weak = not article and not names.isdisjoint(WEAK)
+        if out_now or by_name or article or weak or tag in ("div", "section", "body", "header", "ul", "ol", "table") or said or tag in CLOSED_BY_BLOCK:
+            if out_now or by_name or article or weak:
                 flush()
-            stack.append((tag, ruled_out or out_now, inside or article))
+            if article and not in_article:  # what it stands in isn't ruled out by names
+                for frame in stack:
+                    if frame[2]:
+                        frame[2][0] = False
+                unless = None
+            stack.append((tag, ruled_out or out_now, [True] if by_name and not out_now else unless, (inside or article) and not weak, in_article or tag == "article"))
             reset()
     flush()
-    return out
+    return [(block, within) for block, within, named in out if not (named and named[0])]
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:

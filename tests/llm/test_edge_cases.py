@@ -271,3 +271,16 @@ def test_language_sample(spark):
     assert alone.sizes == [109, 7]
     many = spark.createDataFrame([(f"word {k}", f"l{k}") for k in range(130)], "text string, lang string")
     assert len(language_id.fit(many, sample).languages) == 130
+
+
+def test_html_names_rule_out_no_articles(spark):
+    """Layout classes around an article, and weak names in one, lose no text; declared boilerplate goes all the same."""
+    text = lambda page: [b for b, _ in html_extraction.blocks_of(page)]
+    for says in ('class="layout has-sidebar"', "class=no-header", "class='with-nav'", 'class="comment-status-open"', 'id="social-policy"', 'class="sidebar widget"', 'role="search"'):
+        assert text(f"<div {says}><p>Before</p><article><p>Text</p></article></div>") == ["Before", "Text"]
+    assert text("<form><div class=ad>buy</div><main><p>Text</p></main></form>") == ["Text"]
+    assert text("<article><p>Text</p><div class=comments><article>me too</article></div></article>") == ["Text"]
+    assert text("<div class='sidebar'>x</div><form>y</form><nav><article>z</article></nav><main><div class=ads>buy</div>Text</main>") == ["Text"]
+    page = lambda own: f"<article><p>{own}</p><p class=related>About {own}</p><div class='share'>Tell others</div><p class='notice'>Of {own}</p></article>"
+    rows = spark.createDataFrame([(i, f"http://a.com/{i}", page(f"text{i}")) for i in (1, 2)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract(rows).collect()} == {i: f"text{i}\nAbout text{i}\nOf text{i}" for i in (1, 2)}
