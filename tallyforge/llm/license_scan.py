@@ -11,6 +11,7 @@ ids gives the smaller one. Other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,10 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-TEXTS = {"MIT": (MIT, "MIT License\n" + MIT), "ISC": (ISC, "ISC License\n" + ISC), "BSD-2-Clause": (BSD_2,), "Zlib": (ZLIB,)}
+BSD_3 = BSD_2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+#: Long texts, as files named by their ids; with "END OF TERMS AND CONDITIONS", what stands before it is known as well, with and without that line.
+WHOLE, LAST = Path(__file__).with_name("licenses"), "END OF TERMS AND CONDITIONS"
+TEXTS = {"MIT": (MIT, "MIT License\n" + MIT), "ISC": (ISC, "ISC License\n" + ISC), "BSD-2-Clause": (BSD_2,), "BSD-3-Clause": (BSD_3,), "Zlib": (ZLIB,)}
 NAMES = {
     "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0"),
     "MIT": ("the MIT License", "MIT License"),
@@ -74,6 +78,10 @@ VERBS = ("Licensed under", "Released under", "This work is licensed under", "Thi
 def known_licenses() -> list[tuple[str, str]]:
     """(id, text): whole licence texts, and each notice that a verb and a name make."""
     whole = [(k, t) for k, texts in TEXTS.items() for t in texts]
+    for path in sorted(WHOLE.glob("*.txt")):
+        text = path.read_text()
+        terms, line, _ = text.partition(LAST)
+        whole += [(path.stem, t) for t in dict.fromkeys((text, terms, terms + line))]
     return whole + [(k, f"{verb} {name}.") for k, names in NAMES.items() for name in names for verb in VERBS]
 
 

@@ -284,3 +284,18 @@ def test_html_names_rule_out_no_articles(spark):
     page = lambda own: f"<article><p>{own}</p><p class=related>About {own}</p><div class='share'>Tell others</div><p class='notice'>Of {own}</p></article>"
     rows = spark.createDataFrame([(i, f"http://a.com/{i}", page(f"text{i}")) for i in (1, 2)], "page_id bigint, url string, html string")
     assert {r["page_id"]: r["text"] for r in html_extraction.extract(rows).collect()} == {i: f"text{i}\nAbout text{i}\nOf text{i}" for i in (1, 2)}
+
+
+def test_license_whole_texts(spark):
+    """The complete texts, with and without the appendix, are known."""
+    bsd = license_scan.BSD_2.replace("\nTHIS", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS")
+    rows = [("BSD-3-Clause", "Copyright (c) 2020 Someone\n\n" + bsd), ("BSD-2-Clause", license_scan.BSD_2)]
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"):
+        whole = (license_scan.WHOLE / f"{name}.txt").read_text()
+        assert len(whole) > 10_000
+        rows += [(name, whole), (name, whole.upper().replace("\n", "\n   "))]
+        if "END OF TERMS AND CONDITIONS" in whole:
+            rows.append((name, whole.split("END OF TERMS AND CONDITIONS")[0]))
+    docs = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(rows)], "doc_id int, name string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
