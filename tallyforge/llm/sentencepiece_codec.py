@@ -7,9 +7,10 @@ the rate; a skipped pair can still be swallowed by a neighbouring merge. So a se
 texts vary it, each occurrence of a word in a text has its own, and every segmentation decodes to the same text.
 
 The merges of a text never cross the places where no piece of the vocabulary has the two characters in a row, so a text
-is cut there into short units, each encoded by itself. A worker keeps the units it has met, up to a bound: of each the
-candidates in the order they came up, as a tree that forks where one was taken or skipped, with the ids at its ends. An
-occurrence draws its own skips down the tree; where no end is reached the agenda is run, and its course is added.
+is cut there into short units, each encoded by itself. What can come up in a unit is a tree of courses: a course is the
+candidates that come up when none of them is skipped, with the ids at its end, and each candidate leads to the course that
+follows its skip. A worker keeps the courses it has met, up to a bound, and all occurrences of a batch walk the trees
+together: those with a skip in their course go over to the next one, until no skip is left.
 
 Defined results. Null text: null ids; null ids: null text. Empty text: no ids. A word mark in the text itself becomes
 byte pieces, so it comes back as it was. Ids outside the vocabulary fail the decoding. Repeated rows are encoded alike.
@@ -23,7 +24,7 @@ import string
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -37,10 +38,13 @@ MARK = "▁"
 PLACES = 4095
 WORD, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 LEFT, MIDDLE, RIGHT = ([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), k) for i in range(PLACES + 1)] for k in (1, 2, 3))
-#: Courses of the agenda that a worker remembers before the older half of what it has met goes: about 500 bytes each.
+_LEFT, _MIDDLE, _RIGHT = (np.array(x, np.uint64) for x in (LEFT, MIDDLE, RIGHT))
+#: Courses that a worker remembers before it starts anew: about 350 bytes each.
 REMEMBERED = 400_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
+#: Characters of texts that are encoded at once.
+AT_ONCE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -67,12 +71,48 @@ class Vocabulary:
         return cls(pieces, tuple(place[s] for s in scores), first_byte, first_byte + 256)
 
 
+class Grown:
+    """A NumPy array that is appended to."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, values) -> int:
+        """Returns the place of the first."""
+        at, self.n = self.n, self.n + len(values)
+        while self.n > len(self.data):
+            self.data = np.concatenate((self.data, np.empty_like(self.data)))
+        self.data[at : self.n] = values
+        return at
+
+
+class Courses:
+    """Courses by number: candidates (with the course that a skip leads to, -1 before it is met) and ids, each as a stretch of one array."""
+
+    def __init__(self):
+        self.candidates, self.skipped, self.ids = Grown(np.uint64), Grown(np.int32), Grown(np.int32)
+        self.first, self.many, self.first_id, self.many_ids = (Grown(np.int64) for _ in range(4))
+        self.of: list[tuple[str, tuple[int, ...]]] = []  # unit, and which of its candidates were skipped
+        self.root: dict[str, int] = {}
+
+    def add(self, units: list[str], skips: list[tuple[int, ...]], candidates: np.ndarray, many: np.ndarray, ids: np.ndarray, many_ids: np.ndarray) -> int:
+        """Returns the number of the first; candidates and ids stand one course after another."""
+        at = len(self.of)
+        self.of += zip(units, skips)
+        self.first.add(self.candidates.add(candidates) + np.cumsum(many) - many)
+        self.skipped.add(np.full(len(candidates), -1))
+        self.many.add(many)
+        self.first_id.add(self.ids.add(ids) + np.cumsum(many_ids) - many_ids)
+        self.many_ids.add(many_ids)
+        return at
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, seed and rate; lives in a worker."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED):
         v = self.vocabulary = vocabulary
-        self.seed, self.remembered, self.below = seed, remembered, int(rate * (1 << 64))
+        self.seed, self.remembered, self.below = seed, remembered, min(int(rate * (1 << 64)), WORD)
         normal = range(v.first_piece, len(v.pieces))
         self.id_of = {v.pieces[i]: i for i in normal}
         self.none = len(v.pieces)
@@ -84,9 +124,23 @@ class Codec:
         other = "[^ " + re.escape(alone) + "]"
         word = self._word_before_stop(adjacent)
         self.units = re.compile(f"{word} *{other}+| +" + (f"|[{re.escape(alone)}]" if alone else ""))
-        self.met: dict[str, bytes | list] = {}
-        self.older: dict[str, bytes | list] = {}
-        self.courses = 0
+        self.courses = Courses()
+        # for many units at once: ids of characters, and the piece that two pieces in a row make
+        self.id_of_char = np.full(0x110000, -1, np.int32)
+        for piece, i in self.id_of.items():
+            if len(piece) == 1:
+                self.id_of_char[ord(" " if piece == MARK else piece)] = i
+        self.id_of_char[ord(MARK)] = -1
+        made = {}
+        for piece, i in self.id_of.items():
+            for k in range(1, len(piece)):
+                left, right = self.id_of.get(piece[:k]), self.id_of.get(piece[k:])
+                if left is not None and right is not None:
+                    made[left * self.none + right] = i
+        self.pairs = np.array(sorted(made), np.int64)
+        self.makes = np.array([made[x] for x in self.pairs.tolist()], np.int32)
+        self.rank_of_id = np.array([*v.ranks, self.none], np.int32)
+        self.rank_of_id[: v.first_piece] = self.none
         bytes_of = [b""] * len(v.pieces)
         for i in normal:
             bytes_of[i] = v.pieces[i].replace(MARK, " ").encode()
@@ -106,57 +160,166 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as int32 in native order."""
-        if not text:
-            return b""
-        units = self.units.findall(" " + text)
-        met, below, out = self.met.get, self.below, []
-        for unit, key in zip(units, self.keys(text, len(units)) if below else repeat(0)):
-            node = met(unit)
-            while type(node) is list:  # a candidate, and what follows when it is taken or skipped
-                node = node[2 if (key ^ node[0]) * SPREAD & WORD < below else 1]
-            out.append(self._run(unit, key) if node is None else node)
-        return b"".join(out)
+        return self._encode([text])[1].tobytes()
 
     def keys(self, text: str, n: int) -> list[int]:
         """A random word for each unit of a text."""
-        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SPREAD) + np.uint64(xxhash.xxh3_64_intdigest(text.encode(), self.seed))
+        return self._keys([text], np.array([n])).tolist()
+
+    def _keys(self, texts: list[str], n: np.ndarray) -> np.ndarray:
+        seeds = np.array([xxhash.xxh3_64_intdigest(t.encode(), self.seed) for t in texts], np.uint64)
+        place = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)
+        x = place.astype(np.uint64) * np.uint64(SPREAD) + np.repeat(seeds, n)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        return (x ^ (x >> np.uint64(31))).tolist()
-
-    def _run(self, unit: str, key: int) -> bytes:
-        """The unit's ids; what came up on the way is remembered."""
-        if unit not in self.met and unit in self.older:
-            self.met[unit] = node = self.older.pop(unit)
-            while type(node) is list:
-                node = node[2 if (key ^ node[0]) * SPREAD & WORD < self.below else 1]
-            if node is not None:
-                return node
-        trail: list[int] = []
-        ids = self.unit(unit, key, trail)
-        if self.below and len(unit) > SHORT:  # hardly one of its many courses comes again
-            return ids
-        self.courses += 1
-        holder, at = self.met, unit
-        for c in trail:
-            node = holder.get(at) if holder is self.met else holder[at]
-            if node is None:
-                node = holder[at] = [c, None, None]
-            holder, at = node, 2 if (key ^ c) * SPREAD & WORD < self.below else 1
-        holder[at] = ids
-        return ids
-
-    def unit(self, unit: str, key: int, trail: list[int] | None = None) -> bytes:
-        """trail: gets the candidates in the order they come up."""
+        return x ^ (x >> np.uint64(31))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids."""
+        if len(self.courses.of) > self.remembered:
+            self.courses = Courses()
+        met = self.courses
+        split = [self.units.findall(" " + t) if t else [] for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        units = [*chain.from_iterable(split)]
+        course = [*map(met.root.get, units)]
+        keys = self._keys(texts, n) if self.below else np.zeros(len(units), np.uint64)
+        missing = [i for i, c in enumerate(course) if c is None or c < 0]
+        if missing:
+            places: dict[str, list[int]] = {}
+            for i in missing:
+                places.setdefault(units[i], []).append(i)
+            # a unit that comes up the first time, and once, takes its own draws right away, and so does a long one
+            drawn_now = lambda u: self.below and (len(u) > SHORT or len(places[u]) == 1 and u not in met.root)
+            alone, again = [u for u in places if drawn_now(u)], [u for u in places if not drawn_now(u)]
+            met.root |= zip(again, self._courses(again, [()] * len(again)).tolist())
+            for u in again:
+                for i in places[u]:
+                    course[i] = met.root[u]
+            drawn = [i for u in alone for i in places[u]]
+            for i, c in zip(drawn, self._courses([units[i] for i in drawn], None, keys[drawn]).tolist()):
+                course[i] = c
+            met.root |= zip((u for u in alone if len(u) <= SHORT), repeat(-1))
+        end = self._ends(np.array(course, np.int64), keys)
+        many = met.many_ids.data[end]
+        upto = np.cumsum(many)
+        place = np.arange(upto[-1] if len(upto) else 0) + np.repeat(met.first_id.data[end] - (upto - many), many)
+        bounds = np.append(0, upto)[np.append(0, np.cumsum(n))]
+        return np.diff(bounds), met.ids.data[place]
+
+    def _courses(self, units: list[str], skips: list[tuple[int, ...]] | None, keys: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the courses after these skips, newly met; without skips, of the courses that these keys draw to their ends."""
+        if not units:
+            return np.empty(0, np.int64)
+        of = skips or [()] * len(units)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        chars = self.id_of_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        one_by_one = (np.minimum.reduceat(chars, starts) < 0) | (lengths > SHORT)
+        number = np.empty(len(units), np.int64)
+        for i in np.flatnonzero(one_by_one).tolist():
+            trail: list[int] = []
+            ids = np.frombuffer(self.unit(units[i], 0 if keys is None else int(keys[i]), trail, skips and skips[i]), np.int32)
+            left = np.array(trail if skips and self.below else [], np.uint64)[of[i][-1] + 1 if of[i] else 0 :]
+            number[i] = self.courses.add([units[i]], [of[i]], left, np.array([len(left)]), ids, np.array([len(ids)]))
+        for n in np.unique(lengths[~one_by_one]):
+            some = np.flatnonzero((lengths == n) & ~one_by_one)
+            mine = [of[i] for i in some.tolist()]
+            got = self._agendas(chars[starts[some][:, None] + np.arange(n)], mine, None if keys is None else keys[some])
+            number[some] = self.courses.add([units[i] for i in some.tolist()], mine, *got) + np.arange(len(some))
+        return number
+
+    def _agendas(self, symbols: np.ndarray, skips: list[tuple[int, ...]], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda over many units of one length, a row each: candidates after the last skip, how many each has, ids, how many.
+
+        With keys, the skips are drawn and no candidates are returned.
+
+        A symbol stands at the place of its first character; rank[u, i] is that of the pair which the symbol at i begins.
+        """
+        m, n = symbols.shape
+        none = self.none
+        rank = np.full((m, n), none, np.int32)
+        after = np.tile(np.arange(1, n + 1), (m, 1))
+        before = np.tile(np.arange(-1, n - 1), (m, 1))
+
+        def makes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pair = left.astype(np.int64) * none + right
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            return np.where(self.pairs[place] == pair, self.makes[place], none)
+
+        if n > 1:
+            rank[:, :-1] = self.rank_of_id[makes(symbols[:, :-1], symbols[:, 1:])]
+        alive = np.ones((m, n), bool)
+        most = 1 + max(map(len, skips))
+        to_skip = np.array([s + (-1,) * (most - len(s)) for s in skips])
+        skipped, came = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        rows, found = np.arange(m), []
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            on = rank[rows, at] < none
+            rows, at = rows[on], at[on]
+            middle = after[rows, at]
+            end = after[rows, middle]
+            if self.below:
+                candidate = _LEFT[at] ^ _MIDDLE[middle] ^ _RIGHT[end]
+                if keys is not None:
+                    forced = (keys[rows] ^ candidate) * np.uint64(SPREAD) < np.uint64(self.below)
+                else:
+                    turn = to_skip[rows, skipped[rows]]
+                    forced = turn == came[rows]
+                    found.append((rows[turn < 0], candidate[turn < 0]))
+                    came[rows] += 1
+                    skipped[rows] += forced
+                rank[rows[forced], at[forced]] = none
+                who, at, middle, end = rows[~forced], at[~forced], middle[~forced], end[~forced]
+            else:
+                who = rows
+            symbols[who, at] = makes(symbols[who, at], symbols[who, middle])
+            alive[who, middle] = False
+            rank[who, middle] = none
+            after[who, at] = end
+            for left in (at, before[who, at]):
+                right = after[who, left]
+                pair = (left >= 0) & (right < n)
+                w, i, j = who[pair], left[pair], right[pair]
+                before[w, j] = i
+                rank[w, i] = self.rank_of_id[makes(symbols[w, i], symbols[w, j])]
+                rank[who[right >= n], left[right >= n]] = none
+        who, what = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        return what[np.argsort(who, kind="stable")], np.bincount(who, minlength=m), symbols[alive], alive.sum(axis=1)
+
+    def _ends(self, course: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where the occurrences with these first courses and keys end."""
+        met, rows, at = self.courses, np.arange(len(course)), course.copy()
+        while len(rows):
+            many = met.many.data[at[rows]]
+            upto = np.cumsum(many)
+            row = np.repeat(rows, many)
+            place = np.arange(upto[-1]) + np.repeat(met.first.data[at[rows]] - (upto - many), many)
+            hit = np.flatnonzero((keys[row] ^ met.candidates.data[place]) * np.uint64(SPREAD) < np.uint64(self.below))
+            row, place = row[hit], place[hit]
+            first = np.append(True, row[1:] != row[:-1])[: len(row)]
+            rows, place = row[first], place[first]
+            new, i = np.unique(place[met.skipped.data[place] < 0], return_index=True)
+            if len(new):
+                came = at[rows[met.skipped.data[place] < 0][i]]
+                of = [met.of[c] for c in came]
+                number = new - met.first.data[came]
+                met.skipped.data[new] = self._courses([u for u, _ in of], [(*s, (s[-1] + 1 if s else 0) + k) for (_, s), k in zip(of, number.tolist())])
+            at[rows] = met.skipped.data[place]
+        return at
+
+    def unit(self, unit: str, key: int, trail: list[int] | None = None, skips: tuple[int, ...] | None = None) -> bytes:
+        """trail: gets the candidates in the order they come up. skips: numbers of the candidates to skip, instead of drawing them."""
         if len(unit) <= SHORT and MARK not in unit:
-            part = self._scan(list(unit.replace(" ", MARK)), key, trail)
+            part = self._scan(list(unit.replace(" ", MARK)), key, trail, skips)
         else:
             part = []
             symbols = [MARK if c == " " else f"{c}\0" if c == MARK else c for c in unit]  # a mark of the text's own matches no piece
             start = 0
             for i in range(1, len(symbols) + 1):
                 if i == len(symbols) or symbols[i - 1] + symbols[i] not in self.adjacent:
-                    part += self._agenda(symbols[start:i], key, start, trail)
+                    part += self._agenda(symbols[start:i], key, start, trail, skips)
                     start = i
         ids = list(map(self.id_of.get, part))
         if None in ids:
@@ -164,20 +327,21 @@ class Codec:
             ids = [y for x, s in zip(ids, part) for y in ([x] if x is not None else [first + b for b in s.rstrip("\0").encode() or b"\0"])]
         return array("i", ids).tobytes()
 
-    def _scan(self, part: list[str], key: int, trail: list[int] | None = None) -> list[str]:
+    def _skipped(self, candidate: int, key: int, trail: list[int] | None, skips: tuple[int, ...] | None) -> bool:
+        if trail is not None:
+            trail.append(candidate)
+        return len(trail) - 1 in skips if skips is not None else (key ^ candidate) * SPREAD & WORD < self.below
+
+    def _scan(self, part: list[str], key: int, trail: list[int] | None = None, skips: tuple[int, ...] | None = None) -> list[str]:
         """The agenda as a list by place: its least rank, leftmost first, comes up next."""
-        rank, none, below = self.rank_of.get, self.none, self.below
+        rank, none = self.rank_of.get, self.none
         at = list(range(len(part) + 1))
         agenda = list(map(rank, map(add, part, part[1:]), repeat(none)))
         while agenda and (best := min(agenda)) < none:
             i = agenda.index(best)
-            if below:
-                c = LEFT[at[i]] ^ MIDDLE[at[i + 1]] ^ RIGHT[at[i + 2]]
-                if trail is not None:
-                    trail.append(c)
-                if (key ^ c) * SPREAD & WORD < below:
-                    agenda[i] = none
-                    continue
+            if self.below and self._skipped(LEFT[at[i]] ^ MIDDLE[at[i + 1]] ^ RIGHT[at[i + 2]], key, trail, skips):
+                agenda[i] = none
+                continue
             part[i] += part.pop(i + 1)
             del at[i + 1], agenda[i]
             if i:
@@ -186,7 +350,7 @@ class Codec:
                 agenda[i] = rank(part[i] + part[i + 1], none)
         return part
 
-    def _agenda(self, part: list[str], key: int, offset: int, trail: list[int] | None = None) -> list[str]:
+    def _agenda(self, part: list[str], key: int, offset: int, trail: list[int] | None = None, skips: tuple[int, ...] | None = None) -> list[str]:
         """The same over a heap and linked symbols, for long units."""
         n, rank, none = len(part), self.rank_of.get, self.none
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -202,12 +366,8 @@ class Codec:
             _, i, j, stop = heapq.heappop(heap)
             if part[i] == "" or after[i] != j or end[i] != j or end[j] != stop:
                 continue
-            if self.below:
-                c = LEFT[offset + i & PLACES] ^ MIDDLE[offset + j & PLACES] ^ RIGHT[offset + stop & PLACES]
-                if trail is not None:
-                    trail.append(c)
-                if (key ^ c) * SPREAD & WORD < self.below:
-                    continue
+            if self.below and self._skipped(LEFT[offset + i & PLACES] ^ MIDDLE[offset + j & PLACES] ^ RIGHT[offset + stop & PLACES], key, trail, skips):
+                continue
             part[i] += part[j]
             part[j], end[i], after[i] = "", stop, after[j]
             if after[i] < n:
@@ -217,13 +377,17 @@ class Codec:
         return [s for s in part if s]
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
-        if self.courses > self.remembered // 2:  # what is met again before the next time moves back from the older half
-            self.met, self.older, self.courses = {}, self.met, 0
-        parts = [None if t is None else self.encode(t) for t in texts]
-        ends = np.cumsum([0, *(len(p or b"") // 4 for p in parts)])
-        flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
-        mask = pa.array([p is None for p in parts]) if any(p is None for p in parts) else None
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=mask)
+        counts, ids, a, size = [], [], 0, 0
+        for b, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size >= AT_ONCE or b == len(texts):
+                n, got = self._encode([t or "" for t in texts[a:b]])
+                counts.append(n)
+                ids.append(got)
+                a, size = b, 0
+        ends = np.cumsum(np.concatenate([[0], *counts]))
+        mask = pa.array([t is None for t in texts]) if None in texts else None
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])), mask=mask)
 
     # -- decoding
 
