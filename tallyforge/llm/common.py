@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import atexit
 import functools
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir()).rstrip("/")
+    """The folder all executors see: spark.checkpoint.dir; one of our own only where that is unset on a single machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or _local_dir()).rstrip("/")
 
 
 @functools.cache
@@ -30,11 +31,23 @@ def _local_dir() -> str:
     return path
 
 
+#: Spark deletes the shuffle files of a query as soon as it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read many times."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read many times.
+
+    Nothing executes this plan again, so its shuffle files go with it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,25 +59,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Write df to the shared folder bucketed by key, so that joins on the key move only their other side."""
-    spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
-    table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
-        .option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    )
-    return spark.table(table)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the next ones come."""
-    for _ in range(2):  # what the first collection finds unreachable is cleaned up while the second runs
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

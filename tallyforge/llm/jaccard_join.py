@@ -1,51 +1,49 @@
 """N-gram Jaccard self-join by grouped prefixes, as connected components of all links.
 
-A document is the set of its distinct word shingles. Equal sets are one class. With shingles in one global order, the
-rarest first, two sets at the threshold share a shingle of their prefixes; classes with the same size and prefix are one
-group, so prefixes are listed once a group. Lists of groups that share a prefix shingle are filtered by size and place,
-expanded to members, and the members' whole sets are compared. No link between different sets is lost, and pairs are not
-enumerated inside what is already known to be connected:
-
-1. Short lists: all their pairs.
-2. Rounds over the long lists: every member is compared with one pivot of the list. Links merge labels.
-3. The rest: in every long list that still holds several labels, members outside its commonest label are compared with
-   all members of other labels. Members with one label are connected already, so their pairs decide nothing.
-
-Before whole sets meet, 256-byte parity sketches do: the bits in which they differ can't outnumber the shingles in which
-the sets differ, so pairs that differ in too many bits are not linked.
-
-The order: shingles counted as frequent somewhere come last, by count; the others go by hash. Any order gives the same
-result; this one keeps common passages out of prefixes. The frequent ones are bounded in number and broadcast.
-
-Defined results. Null or wordless text: no shingles, linked with nothing, a component of its own. Fewer words than a
-shingle: the whole sequence is the one shingle. Rows with one doc_id are one node, even if their texts differ. Null
-doc_id: linked by equal sets only; its component is null where no id shares its set. Repeated rows: each is returned.
-Empty table: no rows. Other columns are ignored. Shingles are compared by 64-bit hashes, sets by 128-bit digests.
+A document is the set of its distinct word shingles. Equal sets are one class. Shingles have one global order, by the number
+of documents that have them: two sets at the threshold share a shingle of their prefixes, and this shingle is met twice or
+more. So a document with enough shingles of its own has no partner, and of the others only the shingles that are met
+elsewhere are listed. Classes with the same size and prefix are one group; prefixes are listed once a group, pairs of groups
+are filtered by size and place, and only what they leave is expanded to members and verified. No link between different
+texts is lost, and pairs are not enumerated inside what is already known to be connected:
+
+1. Every group's representative is compared with the pivot that most of its lists agree upon, members with their group's.
+2. As long as lists with several labels have many pairs left, what is outside a list's commonest label meets pivots of it.
+3. The rest: in lists and groups that still hold several labels, all pairs of different labels that pass the filters.
+
+Counting. Stretches of whole documents deal their shingles out to buckets, each bucket counts, and what is met twice goes back
+to its stretch, packed in arrays: a shingle that a stretch has often is asked for once. Shingles are told apart by bucket and
+48 bits, sets by 128.
+
+Defined results. Null or wordless text: no shingles, linked with nothing, a component of its own. Fewer words than a shingle:
+the whole sequence is the one shingle. Rows with one doc_id are one node, even if their texts differ. Null doc_id: linked like
+others; component_id is the smallest id that is reachable, null where there is none. Repeated rows: each is returned. doc_id
+must be an integer. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .common import bucketed, discard, release, stored
-
-#: Frequent shingles that the order knows at most (16 bytes each, broadcast).
-FREQUENT = 1 << 17
-#: Bits of the filter that tells which documents' sets are needed (2 MB); a wrong bit only costs work.
-FILTER_BITS = 1 << 24
-#: Documents of a list whose pairs are all compared at once; longer lists go through rounds.
-SHORT = 16
-#: Bits of a sketch.
-SKETCH = 2048
-#: Rounds of pivots, each over one residue of the lists' keys.
-ROUNDS = 6
+
+from .common import discard, shuffle_partitions, stored
+
+#: Shingles and sets that a stretch holds at most, unless one document has more; sets are numbered by 16 bits.
+STRETCH, SETS = 2_000_000, 60_000
+#: Occurrences from which a stretch asks for a shingle once, not for each document.
+OFTEN = 8
+#: Bytes of text for which there is a bucket.
+BUCKET = 16 << 20
+#: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
+ROUNDS, MANY = 8, 4
+LOW = np.uint64((1 << 48) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -65,290 +63,331 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def _two(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
-def _scan(width: int):
-    """Rows of two kinds: (doc_id, n, d1, d2) for a document, (key, times) for a shingle met three times in a stretch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(a, 512), batch.column(1).slice(a, 512).to_pylist()
-                sets = [shingle_set(t, width) for t in texts]
-                d = [_two(xxhash.xxh3_128_digest(s.tobytes())) for s in sets]
-                nothing = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), nothing, nothing], _SCAN)
-                waiting += sets
-                size += sum(map(len, sets))
-                if size > 2_000_000:
-                    yield from _often(waiting, ids.type)
-                    waiting, size = [], 0
-            kind = batch.column(0).type
-        if size:
-            yield from _often(waiting, kind)
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the key."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-    return run
 
+def _name(low: np.ndarray, bucket) -> np.ndarray:
+    """What a shingle is called after counting."""
+    return low & LOW | (np.asarray(bucket).astype(np.uint64) << np.uint64(48))
 
-_SCAN = ["doc_id", "n", "d1", "d2", "key", "times"]
 
+# -- counting: rows (bucket, batch, head, data) between the steps; data holds pickled arrays
 
-def _often(sets: list[np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    keys, times = np.unique(np.concatenate(sets), return_counts=True)
-    keys, times = keys[times >= 3].view(np.int64), times[times >= 3]
-    if len(keys):
-        no = [pa.nulls(len(keys), t) for t in (kind, pa.int32(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*no, pa.array(keys), pa.array(times, pa.int64())], _SCAN)
+DEALT = "bucket int, batch bigint, head boolean, data binary"
 
 
-PREFIXES = "doc_id bigint, n int, d1 bigint, d2 bigint, p1 bigint, p2 bigint, cold int, sketch binary, prefix array<bigint>"
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    bucket, batch, head, data = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(batch, pa.int64()), pa.array(head), pa.array([pickle.dumps(x, 5) for x in data], pa.binary())], ["bucket", "batch", "head", "data"])
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Per bit, whether an odd number of the set's shingles falls on it."""
-    return np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+def _dealt(width: int, buckets: int):
+    """(doc_id, text) -> a head for each stretch (its documents, sets and frequent shingles) and its other shingles by bucket."""
 
-
-def _prefixes(width: int, shared):
-    """Rows of PREFIXES: prefix in the global order, its first `cold` shingles not frequent."""
+    def stretch(number: int, ids: list, which: list[int], sets: dict[bytes, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        n = np.array([len(s) for _, s in sets.values()], np.int32)
+        keys = np.concatenate([s for _, s in sets.values()])
+        owner = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        inside = np.sort(keys)
+        first = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(inside) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(inside)))
+        often, times = inside[first[times >= OFTEN]], times[times >= OFTEN]
+        place = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
+        hot = often[place] == keys if len(often) else np.zeros(len(keys), bool)
+        head = (ids, np.array(which, np.int32), n, b"".join(sets), owner[hot], keys[hot])
+        yield _rows([((number + (number >> 32)) % buckets, number, True, head)])
+        keys, owner = keys[~hot], owner[~hot]
+        bucket = _bucket(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, owner = keys[order], owner[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        ends_often = np.searchsorted(_bucket(often, buckets), np.arange(buckets + 1))
+        rows = []
+        for b in np.flatnonzero((np.diff(ends) > 0) | (np.diff(ends_often) > 0)).tolist():
+            k, o = keys[ends[b] : ends[b + 1]], owner[ends[b] : ends[b + 1]]
+            mine = slice(ends_often[b], ends_often[b + 1])
+            rows.append((b, number, False, (k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), o, often[mine] & LOW, times[mine])))
+        if rows:
+            yield _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = shared.value
+        number = TaskContext.get().partitionId() << 32
+        ids, which, sets, size = [], [], {}, 0
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                rows = []
                 for i, t in zip(batch.column(0).slice(a, 512).to_pylist(), batch.column(1).slice(a, 512).to_pylist()):
                     s = shingle_set(t, width)
-                    if i is None or not len(s):
-                        continue
-                    n = len(s)
-                    long = n - (3 * n + 3) // 4 + 1
-                    place = np.searchsorted(keys, s)
-                    place[place == len(keys)] = 0
-                    hot = keys[place] == s if len(keys) else np.zeros(n, bool)
-                    prefix = s[~hot][:long]
-                    cold = len(prefix)
-                    if cold < long:
-                        prefix = np.append(prefix, s[hot][np.argsort(ranks[place[hot]], kind="stable")][: long - cold])
-                    rows.append((i, n, *_two(xxhash.xxh3_128_digest(s.tobytes())), *_two(xxhash.xxh3_128_digest(prefix.tobytes())), cold, sketch(s), prefix.view(np.int64)))
-                if rows:
-                    i, n, d1, d2, p1, p2, cold, bits, prefix = zip(*rows)
-                    ends = np.cumsum([0, *map(len, prefix)])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-                    longs = [pa.array(x, pa.int64()) for x in (d1, d2, p1, p2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(n, pa.int32()), *longs, pa.array(cold, pa.int32()), pa.array(bits, pa.binary()), lists], ["doc_id", "n", "d1", "d2", "p1", "p2", "cold", "sketch", "prefix"])
+                    digest = xxhash.xxh3_128_digest(s.tobytes())
+                    if digest not in sets:
+                        sets[digest] = len(sets), s
+                        size += len(s)
+                    ids.append(i)
+                    which.append(sets[digest][0])
+                    if size > STRETCH or len(sets) > SETS or len(ids) > 20 * SETS:
+                        yield from stretch(number, ids, which, sets)
+                        number, ids, which, sets, size = number + 1, [], [], {}, 0
+        if ids:
+            yield from stretch(number, ids, which, sets)
 
     return run
 
 
-def _wanted_sets(width: int, shared):
-    """(doc, set) of the documents that the filter lets through."""
-
+def _together(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list]]:
+    """Rows in a row with the same value, heads first."""
+    value, rows = None, []
+    for batch in batches:
+        for v, row in zip(batch.column(by).to_pylist(), zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "head")), batch.column("data"))):
+            if v != value and rows:
+                yield value, rows
+                rows = []
+            value = v
+            rows.append(row)
+    if rows:
+        yield value, rows
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By bucket: each part gets back those of its shingles that are met twice or more, with their numbers."""
+    for bucket, rows in _together(batches, "bucket"):
+        for row in rows:
+            if row[2]:
+                yield _rows([(*row[:3], pickle.loads(row[3].as_py()))])
+        parts = [(row[1], pickle.loads(row[3].as_py())) for row in rows if not row[2]]
+        if not parts:
+            continue
+        keys = np.concatenate([x for _, (low, high, _, often, _) in parts for x in (low | high.astype(np.uint64) << np.uint64(32), often)])
+        weight = np.concatenate([x for _, (low, _, _, _, times) in parts for x in (np.ones(len(low), np.int64), times)])
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        met = np.empty(len(keys), np.int64)
+        met[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(keys))))
+        out, at = [], 0
+        for number, (low, _, owner, often, _) in parts:
+            k, m = _name(keys[at : at + len(low)], bucket), met[at : at + len(low)]
+            at += len(low)
+            of = _name(often, bucket), met[at : at + len(often)]
+            at += len(often)
+            out.append((bucket, number, False, (k[m > 1], m[m > 1].astype(np.uint32), owner[m > 1], *of)))
+        yield _rows(out)
+
+
+#: Of a document: doc_id, n and its set's digest. Of a set that may have partners besides: u shingles met nowhere else, place of
+#: the group (p1), the other shingles of its prefix in order, all of them as sorted bytes.
+SCAN = "doc_id bigint, n int, d1 bigint, d2 bigint, u int, p1 bigint, prefix array<bigint>, keys binary"
+
+
+def _scanned(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            spot = batch.column(2).to_numpy()
-            some = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7)) & 1 == 1))
-            for a in range(0, some.num_rows, 512):
-                part = some.slice(a, 512)
-                sets = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc", "set"])
+        for _, rows in _together(batches, "batch"):
+            head = next(pickle.loads(r[3].as_py()) for r in rows if r[2])
+            parts = [pickle.loads(r[3].as_py()) for r in rows if not r[2]]
+            yield from scanned(head, parts)
+
+    def scanned(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, which, n, digests, hot_owner, hot_keys = head
+        d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        size = len(which)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(ids, pa.int64()), pa.array(n[which]), pa.array(d[which, 0]), pa.array(d[which, 1]),
+            *(pa.nulls(size, t) for t in (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())),
+        ], ["doc_id", "n", "d1", "d2", "u", "p1", "prefix", "keys"])
+        if not parts:
+            return
+        keys, met, owner, often, often_met = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(often)
+        hot = _name(hot_keys, _bucket(hot_keys, buckets) & 0xFFFF)
+        place = order[np.searchsorted(often[order], hot)] if len(hot) else np.empty(0, np.int64)
+        keys, met, owner = np.concatenate([keys, hot]), np.concatenate([met, often_met[place]]), np.concatenate([owner, hot_owner])
+        order = np.lexsort((keys, met, owner))
+        keys, ends = keys[order], np.searchsorted(owner[order], np.arange(len(n) + 1))
+        u = n - np.diff(ends)
+        long = n - (3 * n + 3) // 4 + 1
+        some = np.flatnonzero((n > 0) & (u < long))
+        for a in range(0, len(some), 2048):
+            c = some[a : a + 2048]
+            mine = [keys[ends[i] : ends[i + 1]] for i in c]
+            prefix = [k[: long[i] - u[i]] for i, k in zip(c, mine)]
+            own = [digests[16 * i : 16 * i + 16] if u[i] else b"" for i in c]
+            p1 = np.array([xxhash.xxh3_64_intdigest(k.tobytes() + x) for k, x in zip(prefix, own)], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(c), pa.int64()), pa.array(n[c]), pa.array(d[c, 0]), pa.array(d[c, 1]), pa.array(u[c].astype(np.int32)), pa.array(p1), lists,
+                pa.array([np.sort(k).tobytes() for k in mine], pa.binary()),
+            ], ["doc_id", "n", "d1", "d2", "u", "p1", "prefix", "keys"])
 
     return run
 
 
+# -- comparing
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) -> the linked (a, b)."""
+    """(la, lb, na, nb, keys_a, keys_b) -> the linked (a, b) by label. What two sets share is met twice, so it is among the keys."""
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+        both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        for x, y, n in zip(batch.column("keys_a"), batch.column("keys_b"), both.tolist()):
             s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(s) > len(t):
                 s, t = t, s
             at = np.searchsorted(t, s)
             at[at == len(t)] = 0
-            ok.append(7 * int(np.count_nonzero(t[at] == s)) >= 3 * (len(s) + len(t)))
-        yield pa.RecordBatch.from_arrays([batch.column("la").filter(pa.array(ok, pa.bool_())), batch.column("lb").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
-
-
-def _bits_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH // 8)
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, la, lb, na, nb, sa, sb) -> the (a, b, la, lb) whose sketches allow a link."""
-    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
-    for batch in batches:
-        if batch.num_rows:
-            apart = ones[_bits_of(batch.column("sa")) ^ _bits_of(batch.column("sb"))].sum(axis=1)
-            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = pa.array(7 * (both - apart) >= 6 * both)  # twice the overlap is at most both - apart
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "la", "lb")], ["a", "b", "la", "lb"])
-
-
-def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """pairs(a, b, la, lb), b the pivot, without those that their sketches rule out."""
-    side = lambda c: members.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "la", "lb", "na", "nb", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint, la bigint, lb bigint")
+            ok.append(7 * int(np.count_nonzero(t[at] == s)) >= 3 * n)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("la", "lb")], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones.
 
     The pivot b comes first: there many narrow rows meet one set. Then each document meets its own, evenly.
     """
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("la", "lb", "set_a", "set_b").mapInArrow(_compare, "a bigint, b bigint").distinct()
+    side = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("la", "lb", "na", "nb", "keys_a", "keys_b").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
 def _possible(x: str, y: str) -> Column:
-    """Size and place filters of a pair that meets in a list: the prefix shingles from there on must suffice."""
-    rest = f"1 + least({x}.n - {x}.i, {y}.n - {y}.i) - 1"
-    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and 7 * ({rest}) >= 3 * ({x}.n + {y}.n)")
+    """Size and place filters of a pair that meets in a list: the shingles from there on must suffice."""
+    rest = f"least({x}.n - {x}.i, {y}.n - {y}.i)"
+    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and 7 * {rest} >= 3 * ({x}.n + {y}.n)")
 
 
-def _contract(labels: DataFrame, edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One step of contraction: each label moves to the least of its neighbours by a hash of the seed.
+def _connected(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> label, to: one name for all labels of a component.
 
-    Returns the new labels and the edges that remain between different ones; components halve about each step.
+    Each step moves every label to the least of its neighbours, by the order of pivots first and by a hash of the step's number
+    later, so components shrink to about a half; at the end the moves are followed backwards.
     """
-    near = edges.select(F.col("a").alias("label"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("label"), F.col("a").alias("to")))
-    order = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("v"))
-    moved = stored(near.groupBy("label").agg(F.min(order("to")).alias("m")).select("label", F.least("m", order("label"))["v"].alias("to")), "moved")
-    new = labels.join(moved, "label", "left").select("doc", F.coalesce("to", "label").alias("label"))
-    a, b = moved.select(F.col("label").alias("a"), F.col("to").alias("ta")), moved.select(F.col("label").alias("b"), F.col("to").alias("tb"))
-    rest = edges.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-    return stored(new, "labels"), stored(rest, "edges")
+    moves: list[DataFrame] = []
+    while True:
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("v"))
+        near = edges.select(F.col("a").alias("label"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("label"), F.col("a").alias("to")))
+        moved = stored(near.groupBy("label").agg(F.min(order("to")).alias("m")).select("label", F.least("m", order("label"))["v"].alias("to")), "moved")
+        moves.append(moved)
+        side = lambda c: moved.select(F.col("label").alias(c), F.col("to").alias(f"t{c}"))
+        edges = stored(edges.join(side("a"), "a").join(side("b"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    end = moves.pop()
+    while moves:
+        end = stored(moves.pop().join(end.select(F.col("label").alias("to"), F.col("to").alias("end")), "to", "left").select("label", F.coalesce("end", "to").alias("to")), "moved")
+    return end
+
+
+def _pivot_order(seed: int) -> Column:
+    return F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "i")
+
+
+def _first_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Each group's representative with the pivot that most of its lists have, and members with their representatives."""
+    pivots = lists.groupBy("key").agg(F.min(_pivot_order(0)).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p.*")
+    met = lists.alias("x").join(pivots.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y"))
+    times = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.h").alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    best = times.groupBy("a").agg(F.min(F.struct(-F.col("c"), "h", "b"))["b"].alias("b"))
+    pairs = best.unionAll(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
+    return pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Of entries(key, id, n, i, label, lo, hi) the keys with several labels, with the commonest one. lo, hi: of the id's members."""
+    major = (
+        entries.groupBy("key", "lo").agg(F.count(F.lit(1)).alias("c"), F.max("hi").alias("hi"))
+        .groupBy("key").agg(F.max(F.struct("c", "lo")).alias("most"), F.min("lo").alias("least"), F.max("hi").alias("greatest"))
+        .where("least <> greatest").select("key", F.col("most.lo").alias("major"))
+    )
+    return stored(entries.join(major, "key"), "mixed")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    return lists.join(labels, "doc")
+MINOR = "(lo <> major or hi <> major)"
 
 
-def _round(lists: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame, r: int) -> DataFrame:
-    """Edges found by comparing, in each list of this round, every member with a pivot."""
-    mine = _labelled(lists.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r), labels)
-    pivots = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "n", "i", "label")).alias("p")).select("key", "p.*")
-    met = mine.alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
-    pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    return _verified(_plausible(pairs, members), sets)
+def _more_pairs(mixed: DataFrame, seed: int) -> DataFrame:
+    """What is outside a list's commonest label with a pivot inside it."""
+    pivots = mixed.where(f"not {MINOR}").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n", "i")).alias("p")).select("key", "p.*")
+    met = mixed.where(MINOR).alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("x.major")) & _possible("x", "y"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("x.major").alias("lb")).distinct()
 
 
-def _rest(lists: DataFrame, labels: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges among all pairs of different labels that meet in some list and pass the filters."""
-    here = _labelled(lists, labels)
-    major = (
-        here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("different"))
-        .where("different > 1").select("key", F.col("most.label").alias("major"))
-    )
-    mixed = stored(here.join(major, "key"), "mixed")
-    met = mixed.where("label <> major").alias("x").join(mixed.alias("y"), "key").where(
-        F.expr("x.label <> y.label and (y.label = y.major or x.doc < y.doc)") & _possible("x", "y")
+def _rest_pairs(mixed: DataFrame) -> DataFrame:
+    """ids (a, b) of all pairs with different labels that pass the filters."""
+    met = mixed.where(MINOR).alias("x").join(mixed.alias("y"), "key").where(
+        F.expr("x.id <> y.id and not (x.lo = y.hi and x.hi = y.lo) and (y.lo = y.major and y.hi = y.major or x.id < y.id)") & _possible("x", "y")
     )
-    pairs = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    return _verified(_plausible(pairs, members), sets)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _lists(prefixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored: members (doc, gid, n, sketch), long lists (key, doc, n, i), and the pairs (a, b) of short lists that sketches allow.
-
-    Keys are prefix shingles, listed once a group and then expanded to members, and for the members of one group its prefix.
-    """
-    same = ["n", "p1", "p2"]
-    reps = prefixes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("sketch").alias("sketch"))
-    ids = reps.groupBy(*same).agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = stored(reps.join(ids, same).select("doc", "gid", "n", "p1", "members", "sketch"), "members")
-
-    groups = prefixes.groupBy(*same).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"), F.count(F.lit(1)).alias("w"))
-    listed = groups.select("gid", "cold", F.col("n").cast("long").alias("n"), F.least("w", F.lit(255)).alias("w"), F.posexplode("prefix").alias("i", "key"))
-    # size, documents of the group (255: or more) and place (of a longer prefix: or later) in one word
-    place = F.least(F.col("i"), F.lit(0xFFFFFF)).cast("long")
-    packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft("w", 24)).bitwiseOR(place).alias("at")
-    # a row whose neighbours by size in its list are both too far off has no partner there
-    by_size, by_key = Window.partitionBy("key").orderBy("at"), Window.partitionBy("key")
-    size = lambda c: F.shiftright(c, 32)
-    near = lambda other: F.col(other).isNotNull() & (4 * F.least(size(other), size("at")) >= 3 * F.greatest(size(other), size("at")))
-    cold = (
-        listed.where("i < cold").select("key", "gid", packed)
-        .withColumn("p", F.lag("at").over(by_size)).withColumn("q", F.lead("at").over(by_size)).withColumn("c", F.sum(F.shiftright("at", 24).bitwiseAND(F.lit(255))).over(by_key))
-        .where(near("p") | near("q")).drop("p", "q")
-    )
-    hot = listed.where("i >= cold").select("key", "gid", packed, F.lit(SHORT + 1).cast("long").alias("c"))
-    unpack = [F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("i")]
-    kept = stored(cold.unionAll(hot).select("key", "gid", "c", *unpack), "kept")
+def _rest(lists: DataFrame, inside: DataFrame, here: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges among all that is left: pairs of groups in mixed lists, expanded to members, and pairs inside mixed groups."""
+    of = lambda key, c: here.select(F.col(key).alias(f"g{c}"), F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
+    named = lambda pairs, key: pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(of(key, "a"), "ga").join(of(key, "b"), "gb")
+    pairs = named(_rest_pairs(lists), "gid").unionAll(named(_rest_pairs(inside), "rep")).where("la <> lb").select("a", "b", "la", "lb")
+    return stored(_verified(pairs, nodes), "found")
 
-    within = members.where("members > 1").select(F.col("p1").alias("key"), "doc", "n", F.lit(0).alias("i"))
-    lists = stored(kept.where(F.col("c") > SHORT).join(members.select("doc", "gid"), "gid").select("key", "doc", "n", "i").unionAll(within), "lists")
 
-    few = kept.where(F.col("c") <= SHORT)
-    meet = few.alias("x").join(few.alias("y"), "key").where((F.col("x.gid") < F.col("y.gid")) & _possible("x", "y")).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
-    side = lambda c: members.select(F.col("gid").alias(f"g{c}"), F.col("doc").alias(c), F.col("doc").alias(f"l{c}"))
-    pairs = stored(_plausible(meet.join(side("a"), "ga").join(side("b"), "gb").select("a", "b", "la", "lb"), members), "pairs")
-    return members, lists, pairs
+def _nodes(scan: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored: sets that may have partners, by class: rep, least, gid (its group's representative), n, u, prefix, keys."""
+    same = ["n", "d1", "d2"]
+    once = scan.where(F.col("keys").isNotNull()).groupBy(*same).agg(*(F.first(c).alias(c) for c in ("u", "p1", "prefix", "keys")))
+    sets = stored(once.join(classes, same).drop("d1", "d2"), "sets")
+    groups = sets.groupBy("n", "p1").agg(F.min("rep").alias("gid"))
+    nodes = stored(sets.join(groups, ["n", "p1"]).drop("p1"), "nodes")
+    discard(sets)
+    return nodes
 
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs(doc_id bigint, text) -> doc_id, n_shingles, component_id for links at a Jaccard similarity of 3/4 or more."""
-    sc = docs.sparkSession.sparkContext
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id for links at a Jaccard similarity of 3/4 or more."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = stored(texts.mapInArrow(_scan(width), "doc_id bigint, n int, d1 bigint, d2 bigint, key bigint, times bigint"), "scan")
-    often = scan.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("times").alias("times")).where("times >= 8").orderBy(F.desc("times"), "key").limit(FREQUENT)
-    rows = sorted((np.uint64(r["key"] & 0xFFFFFFFFFFFFFFFF), r["times"]) for r in often.collect())
-    keys, times = np.array([k for k, _ in rows], np.uint64), np.array([t for _, t in rows], np.int64)
-    frequent = sc.broadcast((keys, np.argsort(np.lexsort((keys, times)))))
-
-    prefixes = stored(
-        texts.mapInArrow(_prefixes(width, frequent), PREFIXES), "prefixes"
+    parts = shuffle_partitions(docs.sparkSession)
+    buckets = max(parts, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    dealt = texts.mapInArrow(_dealt(width, buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(_counted, DEALT).repartition(parts, "batch").sortWithinPartitions("batch")
+    scan = stored(counted.mapInArrow(_scanned(buckets), SCAN), "scan")
+
+    # a class is named by its least id; one without ids by its digest
+    plain = scan.where(F.col("keys").isNull()).select("doc_id", "n", "d1", "d2")
+    least = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
+    classes = stored(least.withColumn("rep", F.coalesce("least", "d1")), "classes")
+    classed = stored(plain.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "least"), "classed")
+    nodes = _nodes(scan, classes)
+    for table in (scan, classes):
+        discard(table)
+    members = nodes.select("rep", "gid", "n")
+    lists = stored(
+        nodes.where("rep = gid").select(F.col("rep").alias("id"), "n", "u", F.posexplode("prefix").alias("at", "key")).select("key", "id", "n", (F.col("u") + F.col("at")).alias("i")),
+        "lists",
     )
-    members, lists, pairs = _lists(prefixes)
-    discard(prefixes)
-    release(docs.sparkSession)
-
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    needed = lists.select("doc").unionAll(pairs.select("a")).unionAll(pairs.select("b"))
-    spots = needed.select((spot("doc") + 1).alias("s"))  # bitmap places count from 1
-    for r in spots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect():
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
-    shared = sc.broadcast(bits)
-    sets = bucketed(texts.where("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("s")).mapInArrow(_wanted_sets(width, shared), "doc bigint, set binary"), "doc", "sets")
-    release(docs.sparkSession)
-
-    # documents with their class's representative; ids that stand for several classes tie these together
-    plain = scan.where(F.col("key").isNull()).select("doc_id", "n", "d1", "d2")
-    classes = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classed = stored(plain.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "classed")
-    twice = classed.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b").distinct()
-    edges = stored(twice, "edges")
-    nodes = needed.unionAll(edges.select("a")).unionAll(edges.select("b")).distinct()
-    labels = stored(nodes.select("doc", F.col("doc").alias("label")), "labels")
-
-    seed = 0
-
-    def merge(labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        nonlocal seed
-        seed += 1
-        release(docs.sparkSession)
-        return _contract(labels, found, seed)
-
-    labels, edges = merge(labels, stored(_verified(pairs, sets).unionAll(edges), "found"))
-    for r in range(ROUNDS):
-        found = stored(_round(lists, labels, members, sets, r), "found")
-        if found.isEmpty():
-            break  # what little is left is found below
-        labels, edges = merge(labels, found.unionAll(edges))
-    while not edges.isEmpty():
-        labels, edges = merge(labels, edges)
-    edges = stored(_rest(lists, labels, members, sets), "found")
-    while not edges.isEmpty():
-        labels, edges = merge(labels, edges)
-
-    least = labels.groupBy("label").agg(F.min("doc").alias("component"))
-    named = labels.join(least, "label").select(F.col("doc").alias("rep"), "component")
+    # ids that stand for several classes tie these together
+    tied = classed.where("doc_id is not null and rep is not null")
+    first = tied.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    ties = stored(tied.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "ties")
+    known = nodes.select("rep", "least").unionAll(ties.select("a", "a")).unionAll(ties.select("b", "b")).groupBy("rep").agg(F.min("least").alias("least"))
+
+    def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        return stored(labels.join(_connected(edges), "label", "left").select("rep", "least", F.coalesce("to", "label").alias("label")), "labels")
+
+    labels = merged(known.select("rep", "least", F.col("rep").alias("label")), stored(_verified(_first_pairs(lists, members), nodes).unionAll(ties), "found"))
+    listed = lists.count()
+    for seed in range(1, ROUNDS + 1):
+        here = members.join(labels, "rep")
+        groups = here.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("rep") == F.col("gid"), F.col("label"))).alias("label"))
+        mixed = _mixed(lists.join(groups.withColumnRenamed("gid", "id"), "id"))
+        inside = _mixed(here.select(F.col("gid").alias("key"), F.col("rep").alias("id"), "n", F.lit(0).alias("i"), "label", F.col("label").alias("lo"), F.col("label").alias("hi")))
+        by_key = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr(MINOR)).alias("minor"))
+        left = by_key.agg(F.sum(F.col("all") * F.col("minor"))).first()[0] or 0
+        if left <= MANY * listed or seed == ROUNDS:
+            break
+        edges = stored(_verified(_more_pairs(mixed, seed), nodes), "found")
+        if edges.isEmpty():
+            break
+        labels = merged(labels, edges)
+    if left or not inside.isEmpty():
+        labels = merged(labels, _rest(mixed, inside, here, nodes))
+
+    component = labels.groupBy("label").agg(F.min("least").alias("component"))
+    named = labels.join(component, "label").select("rep", "component")
     return classed.join(named, "rep", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "least")).alias("component_id")
     )
