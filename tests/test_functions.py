@@ -31,7 +31,7 @@ def one(spark, column):
     ("FY24", [("period", "DATE", 20240000.0)]),
     ("in 2023", [("year", "DATE", 20230000.0)]),
     ("3 deals", [("number", "COUNT", 3.0)]),
-    ("see page 12", [("locator", "PLAIN", None)]),
+    ("see page 12", [("locator", "PLAIN", 12.0)]),
     ("5.2x leverage", [("number", "MULTIPLE", 5.2)]),
     ("2011-12", [("period", "DATE", 20120000.0)]),
     ("USD 5-7 million", [("number", "USD", 5e6), ("number", "USD", 7e6)]),
