@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -33,6 +34,20 @@ def _local_dir() -> str:
 
 #: Spark deletes the shuffle files of a query as soon as it ends, instead of when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Whole texts are long: so many rows at most go to Python at once.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextlib.contextmanager
+def _released(spark: SparkSession):
+    before = {k: spark.conf.get(k, d) for k, d in ((CLEANUP, "false"), (BATCH, "10000"))}
+    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,19 +57,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _released(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Like stored(), in n buckets by key: tables with the same buckets are joined on the key where they lie."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    with _released(spark):
+        df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table written by stored() that no later plan reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    """Delete a table written by stored() or bucketed() that no later plan reads."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        spark.sql(f"DROP TABLE IF EXISTS `{folder.rsplit('/', 1)[1]}`")
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 

@@ -23,7 +23,6 @@ must be an integer. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, shuffle_partitions, stored
+from .packed import DEALT, LOW, bucket_of, grouped, joined48, low48, rows, together, unpacked
 
 #: Shingles and sets that a stretch holds at most, unless one document has more; sets are numbered by 16 bits.
-STRETCH, SETS = 2_000_000, 60_000
+STRETCH, SETS = 1_000_000, 60_000
 #: Occurrences from which a stretch asks for a shingle once, not for each document.
 OFTEN = 8
 #: Bytes of text for which there is a bucket.
-BUCKET = 16 << 20
+BUCKET = 6 << 20
 #: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
 ROUNDS, MANY = 8, 4
-LOW = np.uint64((1 << 48) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -63,24 +62,12 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Rises with the key."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
 def _name(low: np.ndarray, bucket) -> np.ndarray:
     """What a shingle is called after counting."""
     return low & LOW | (np.asarray(bucket).astype(np.uint64) << np.uint64(48))
 
 
-# -- counting: rows (bucket, batch, head, data) between the steps; data holds pickled arrays
-
-DEALT = "bucket int, batch bigint, head boolean, data binary"
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    bucket, batch, head, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(batch, pa.int64()), pa.array(head), pa.array([pickle.dumps(x, 5) for x in data], pa.binary())], ["bucket", "batch", "head", "data"])
+# -- counting
 
 
 def _dealt(width: int, buckets: int):
@@ -90,27 +77,25 @@ def _dealt(width: int, buckets: int):
         n = np.array([len(s) for _, s in sets.values()], np.int32)
         keys = np.concatenate([s for _, s in sets.values()])
         owner = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-        inside = np.sort(keys)
-        first = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(inside) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(inside)))
-        often, times = inside[first[times >= OFTEN]], times[times >= OFTEN]
+        order, first, times = grouped(keys)
+        often, times = keys[order[first[times >= OFTEN]]], times[times >= OFTEN]
         place = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
         hot = often[place] == keys if len(often) else np.zeros(len(keys), bool)
         head = (ids, np.array(which, np.int32), n, b"".join(sets), owner[hot], keys[hot])
-        yield _rows([((number + (number >> 32)) % buckets, number, True, head)])
+        yield rows([((number + (number >> 32)) % buckets, number, True, head)])
         keys, owner = keys[~hot], owner[~hot]
-        bucket = _bucket(keys, buckets)
+        bucket = bucket_of(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         keys, owner = keys[order], owner[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        ends_often = np.searchsorted(_bucket(often, buckets), np.arange(buckets + 1))
-        rows = []
+        ends_often = np.searchsorted(bucket_of(often, buckets), np.arange(buckets + 1))
+        made = []
         for b in np.flatnonzero((np.diff(ends) > 0) | (np.diff(ends_often) > 0)).tolist():
             k, o = keys[ends[b] : ends[b + 1]], owner[ends[b] : ends[b + 1]]
             mine = slice(ends_often[b], ends_often[b + 1])
-            rows.append((b, number, False, (k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), o, often[mine] & LOW, times[mine])))
-        if rows:
-            yield _rows(rows)
+            made.append((b, number, False, (*low48(k), o, often[mine] & LOW, times[mine])))
+        if made:
+            yield rows(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -134,35 +119,20 @@ def _dealt(width: int, buckets: int):
     return run
 
 
-def _together(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list]]:
-    """Rows in a row with the same value, heads first."""
-    value, rows = None, []
-    for batch in batches:
-        for v, row in zip(batch.column(by).to_pylist(), zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "head")), batch.column("data"))):
-            if v != value and rows:
-                yield value, rows
-                rows = []
-            value = v
-            rows.append(row)
-    if rows:
-        yield value, rows
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket: each part gets back those of its shingles that are met twice or more, with their numbers."""
-    for bucket, rows in _together(batches, "bucket"):
-        for row in rows:
+    for bucket, met_rows in together(batches, "bucket"):
+        for row in met_rows:
             if row[2]:
-                yield _rows([(*row[:3], pickle.loads(row[3].as_py()))])
-        parts = [(row[1], pickle.loads(row[3].as_py())) for row in rows if not row[2]]
+                yield rows([(*row[:3], unpacked(row[3]))])
+        parts = [(row[1], unpacked(row[3])) for row in met_rows if not row[2]]
         if not parts:
             continue
-        keys = np.concatenate([x for _, (low, high, _, often, _) in parts for x in (low | high.astype(np.uint64) << np.uint64(32), often)])
+        keys = np.concatenate([x for _, (low, high, _, often, _) in parts for x in (joined48(low, high), often)])
         weight = np.concatenate([x for _, (low, _, _, _, times) in parts for x in (np.ones(len(low), np.int64), times)])
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        order, first, times = grouped(keys)
         met = np.empty(len(keys), np.int64)
-        met[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(keys))))
+        met[order] = np.repeat(np.add.reduceat(weight[order], first), times)
         out, at = [], 0
         for number, (low, _, owner, often, _) in parts:
             k, m = _name(keys[at : at + len(low)], bucket), met[at : at + len(low)]
@@ -170,7 +140,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = _name(often, bucket), met[at : at + len(often)]
             at += len(often)
             out.append((bucket, number, False, (k[m > 1], m[m > 1].astype(np.uint32), owner[m > 1], *of)))
-        yield _rows(out)
+        yield rows(out)
 
 
 #: Of a document: doc_id, n and its set's digest. Of a set that may have partners besides: u shingles met nowhere else, place of
@@ -180,9 +150,9 @@ SCAN = "doc_id bigint, n int, d1 bigint, d2 bigint, u int, p1 bigint, prefix arr
 
 def _scanned(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _together(batches, "batch"):
-            head = next(pickle.loads(r[3].as_py()) for r in rows if r[2])
-            parts = [pickle.loads(r[3].as_py()) for r in rows if not r[2]]
+        for _, mine in together(batches, "batch"):
+            head = next(unpacked(r[3]) for r in mine if r[2])
+            parts = [unpacked(r[3]) for r in mine if not r[2]]
             yield from scanned(head, parts)
 
     def scanned(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +167,7 @@ def _scanned(buckets: int):
             return
         keys, met, owner, often, often_met = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(often)
-        hot = _name(hot_keys, _bucket(hot_keys, buckets) & 0xFFFF)
+        hot = _name(hot_keys, bucket_of(hot_keys, buckets) & 0xFFFF)
         place = order[np.searchsorted(often[order], hot)] if len(hot) else np.empty(0, np.int64)
         keys, met, owner = np.concatenate([keys, hot]), np.concatenate([met, often_met[place]]), np.concatenate([owner, hot_owner])
         order = np.lexsort((keys, met, owner))

@@ -1,210 +1,299 @@
-"""Language-model scoring with a backoff n-gram model that lives in tables.
+"""Language-model scoring by a weighted backoff automaton whose arcs are counted and weighted across the cluster.
 
-Counts. All training tokens are counted. Every word is in the model, and every longer n-gram that occurs at least
-``least`` times, so the model grows with the corpus. It is written to Parquet and joined; neither it nor a part of it
-passes through the driver.
+Counts. All training tokens are counted. Every training word is in the model, and every longer n-gram that occurs at least
+``least`` times and whose parts are in it, so the model grows with the corpus. Nothing of it passes through the driver but two
+totals.
 
-Model. Unigrams are add-one smoothed; higher orders use absolute discounting, and the rest of a context's mass goes to its
-failure weight. An n-gram's value is its log-probability less what is added up without it: its context's failure weight and
-its suffix's log-probability; the failure weight after it is added. So the score of a text is the sum of the values of its
-n-grams of all orders, and those the model lacks add nothing: each text is joined with the n-grams it has.
+Model. Unigrams are add-one smoothed; higher orders use absolute discounting, and the rest of a context's mass goes to the weight
+of its failure arc. The automaton's states are the model's contexts: a kept n-gram is an arc, and a state without an arc for
+the next word fails to its longest proper suffix, at the failure arc's weight. After each word the automaton is in the state
+of the longest kept context, so all places of a stretch take their step at once, each following failure arcs until it has an arc.
 
-Keys. A word's key is its 64-bit hash, a longer n-gram's a mix of the keys of the n-grams without its last (c) and without
-its first word (s). Among k n-grams, k * k / 2 ** 65 pairs are expected to share a key: under one up to six billion.
+A stretch is a file row with some whole documents as word codes. In each round the stretches ask buckets for the counts of
+their n-grams and for the failure weights of the contexts they pass (see ``packed``), so each has the part of the automaton that its
+texts can reach, and carries it from round to round. Of an n-gram that several stretches have, one tells its context of it.
+
+Keys. A word's key is its 64-bit hash, a longer n-gram's a mix of the keys of the n-grams without its last and without its first word.
 
 Tokens: white-space words with A-Z lower-cased, then one end token, which no word equals.
 
-Defined results. Null text: the end token only. Training set empty: N = 0, V = 0, every token has probability 1.
-Null id: not learned from unless the training filter says so; scored. Repeated rows: each is counted and each is scored.
-Ties: none arise. Empty table: no rows. Other columns are ignored.
+Defined results. Null text: the end token only. Training set empty: N = 0, V = 0, every token has probability 1. Null id: not
+learned from unless the training filter says so; scored. Repeated rows: each is counted and each is scored. Ties: none
+arise. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import bucketed, discard, shuffle_partitions, stored
+from .packed import DEALT, bucket_of, grouped, joined48, low48, rows, together, unpacked
 
-END = " "  # no word has a space in it
-#: Texts that are split at once.
-AT_ONCE = 512
+END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space in it
+#: Tokens of a stretch, unless one document has more, and bytes of text for which there is a bucket.
+STRETCH, BUCKET = 1_000_000, 8 << 20
+STATE = "batch bigint, n bigint, data binary"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """order: longest n-gram. least: count from which an n-gram of two or more words is kept."""
+    """order: longest n-gram, 2 or more. least: count from which an n-gram of two or more words is kept."""
 
     order: int = 3
     least: int = 2
     discount: float = 0.6
-    #: Occurrences a task gathers before it hands on their counts.
-    gathered: int = 2_000_000
 
 
 def mixed(c: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Key of the n-gram whose parts without the last and the first word have the keys c and s."""
-    x = c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.view(np.uint64)
+    x = c * np.uint64(0x9E3779B97F4A7C15) + s
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Key of every token, and the place of its text. bytes.lower and bytes.split know the letters and white space the definition asks."""
-    split = [(t or "").encode().lower().split() for t in texts.to_pylist()]
-    n = len(split)
-    owner = np.repeat(np.arange(n), np.fromiter(map(len, split), np.int64, n))
-    coded = pa.array([*chain.from_iterable(split)], pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
-    codes = coded.indices.to_numpy()
-    keys, place = np.empty(len(codes) + n, np.int64), np.empty(len(codes) + n, np.int64)
-    at, ends = np.arange(len(codes)) + owner, np.cumsum(np.bincount(owner, minlength=n)) + np.arange(n)
-    keys[at], place[at] = hashes[codes], owner
-    keys[ends], place[ends] = np.uint64(xxhash.xxh3_64_intdigest(END.encode())).view(np.int64), np.arange(n)
-    return keys, place
-
-
-def grams_of(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every n-gram of this order: its key, its c and s (for words the key again), and the place of its text."""
-    k, place = words_of(texts)
-    c = s = k
-    for n in range(2, order + 1):
-        c, s = k[:-1], k[1:]
-        k = mixed(c, s)
-        if n < order:
-            continue
-        there = place[: len(k)] == place[n - 1 :]
-        k, c, s, place = k[there], c[there], s[there], place[: len(there)][there]
-    return k, c, s, place
-
-
-def gram_counts(train: DataFrame, order: int, settings: Settings) -> DataFrame:
-    """train(text) -> stored k, c, s, n: all words, or the n-grams of this order that occur at least `least` times."""
-
-    def counted(waiting: list) -> pa.RecordBatch:
-        k, c, s = map(np.concatenate, zip(*waiting))
-        _, first, n = np.unique(k, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(s[first]), pa.array(n)], ["c", "s", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                waiting.append(grams_of(batch.column(0).slice(a, AT_ONCE), order)[:3])
-                size += len(waiting[-1][0])
-                if size > settings.gathered:
-                    yield counted(waiting)
-                    waiting, size = [], 0
-        if size:
-            yield counted(waiting)
-
-    @F.arrow_udf("bigint")
-    def key(c: pa.Array, s: pa.Array) -> pa.Array:
-        return pa.array(mixed(c.to_numpy(), s.to_numpy()))
-
-    got = train.select("text").mapInArrow(run, "c bigint, s bigint, n bigint").groupBy("c", "s").agg(F.sum("n").alias("n"))
-    if order == 1:
-        return stored(got.withColumn("k", F.col("c")), "words")
-    return stored(got.where(F.col("n") >= settings.least).withColumn("k", key("c", "s")), "grams")
-
-
-@dataclass
-class Model:
-    """values: per order a table k, value, for words n and p too. Counts of tokens and distinct words."""
-
-    n_tokens: int
-    n_words: int
-    values: list[DataFrame]
-
-
-def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
-    """train(text) -> tables; the driver sees two totals."""
-    words = gram_counts(train, 1, settings)
-    n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # p: log10 of the n-gram's probability; less: what is added up without it
-    done = [words]
-    lower = words.select("k", "n", F.log10((F.col("n") + 1) / F.lit(float(n_tokens + n_words + 1))).alias("p"), F.lit(0.0).alias("less"))
-    values = []
-    for order in range(2, settings.order + 1):
-        grams = gram_counts(train, order, settings)
-        rest = F.col("n") - F.lit(settings.discount)
-        parts = stored(
-            grams.join(lower.select(F.col("k").alias("c"), F.col("n").alias("n_c")), "c")
-            .join(lower.select(F.col("k").alias("s"), F.col("p").alias("p_s")), "s")
-            .select("k", "c", "n", F.log10(rest / F.col("n_c")).alias("p"), "p_s", (rest / F.col("n_c")).alias("kept")),
-            "parts",
-        )
-        # both rests are positive but for rounding: lower orders leave mass to words never seen
-        left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
-        failure = stored(parts.groupBy("c").agg(F.log10(left("kept") / left(F.pow(F.lit(10.0), "p_s"))).alias("weight")), "failure")
-        after = lower.join(failure.withColumnRenamed("c", "k"), "k", "left")
-        value = (F.col("p") - F.col("less") + F.coalesce("weight", F.lit(0.0))).alias("value")
-        values.append(stored(after.select("k", value, *(("n", "p") if order == 2 else ())), "values"))
-        lower = stored(parts.join(failure, "c").select("k", "n", "p", (F.col("weight") + F.col("p_s")).alias("less")), "lower")
-        for table in (*done, grams, parts, failure):
-            discard(table)
-        done = [lower]
-    values.append(lower.select("k", "n", (F.col("p") - F.col("less")).alias("value"), "p"))  # the highest order's contexts have no failure weights after them
-    return Model(n_tokens, n_words, values)
-
-
-def asked(docs: DataFrame, order: int) -> DataFrame:
-    """docs(_h, text) -> _h, k, times: the n-grams of each text; those of one word once, longer ones at each place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return x ^ (x >> np.uint64(31))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, learn, ask) -> a row of STATE for each stretch, n its training tokens."""
+    number = TaskContext.get().partitionId() << 32
+    ids, learn, ask, split, size = [], [], [], [], 0
+
+    def stretch() -> pa.RecordBatch:
+        lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
+        coded = pa.array([*chain.from_iterable(split)], pa.binary()).dictionary_encode()
+        hashes = np.array([*map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), END], np.uint64)
+        words, place = np.unique(hashes, return_inverse=True)
+        codes = np.full(lengths.sum(), place[-1])
+        inside = np.ones(len(codes), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        codes[inside] = place[coded.indices.to_numpy()]
+        data = (ids, np.array(learn), np.array(ask), lengths, words, codes.astype(np.uint16), (codes >> 16).astype(np.uint16))
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(lengths[np.array(learn)].sum())]), pa.array([pickle.dumps(data, 5)], pa.binary())], ["batch", "n", "data"])
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            for i, t, x, y in zip(*(part.column(c).to_pylist() for c in range(4))):
+                ids.append(i)
+                split.append((t or "").encode().lower().split())
+                learn.append(x)
+                ask.append(y)
+                size += len(split[-1]) + 1
+                if size > STRETCH:
+                    yield stretch()
+                    number, ids, learn, ask, split, size = number + 1, [], [], [], [], 0
+    if ids:
+        yield stretch()
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at]; what stands for -1 is not used."""
+    return values[at] if len(values) else np.zeros(len(at), values.dtype)
+
+
+class Stretch:
+    """A stretch with what it has been told: per order the keys of its n-grams, which of them stands at each place, counts, weights."""
+
+    def __init__(self, data: pa.Scalar, told: list[pa.Scalar], settings: Settings):
+        self.ids, self.learn, self.ask, self.lengths, words, low, high = unpacked(data)
+        self.settings = settings
+        code = low.astype(np.int64) | high.astype(np.int64) << 16
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(len(code)) - np.repeat(starts, self.lengths)
+        self.starts, self.learned = starts, np.repeat(self.learn, self.lengths)
+        self.keys, self.at = [words], [code]  # by order; at: -1 where no n-gram of the order ends
+        self.counts, self.tells, self.weights = [], [], []
+        self._extend()
+        for round_, answer in enumerate(map(unpacked, told)):
+            if round_:
+                self.weights.append(answer[0])
+            for count in answer[1 if round_ else 0 :]:
+                self.counts.append(count >> 1)
+                self.tells.append(count & 1 == 1)
+            if len(self.counts) == len(self.keys) < settings.order:
+                self._extend()
+
+    def kept(self, order: int) -> np.ndarray:
+        """Per place, whether the n-gram that ends there is in the model."""
+        at = self.at[order - 1]
+        if len(self.counts) < order:
+            return at >= 0
+        return (at >= 0) & _taken(self.counts[order - 1] >= (1 if order == 1 else self.settings.least), at)
+
+    def _extend(self) -> None:
+        """The n-grams of the next order: those whose parts are kept, as far as is known."""
+        order = len(self.keys) + 1
+        key, kept = _taken(self.keys[-1], self.at[-1]), self.kept(order - 1)
+        here = (self.place >= order - 1) & kept & np.append(False, kept[:-1])
+        ends = np.flatnonzero(here)
+        grams, inside = np.unique(mixed(key[ends - 1], key[ends]), return_inverse=True)
+        at = np.full(len(key), -1)
+        at[ends] = inside
+        self.keys.append(grams)
+        self.at.append(at)
+
+    def counted(self, order: int) -> np.ndarray:
+        """Occurrences in training texts by n-gram."""
+        at = self.at[order - 1]
+        return np.bincount(at[(at >= 0) & self.learned], minlength=len(self.keys[order - 1]))
+
+    def log_p(self, order: int, base: np.ndarray) -> np.ndarray:
+        """Per place the log10 probability of the arc of this order that ends there; nan where there is none. base: by word."""
+        if order == 1:
+            return base[self.at[0]]
+        out = np.full(len(self.place), np.nan)
+        ends = np.flatnonzero(self.kept(order))
+        of = self.counts[order - 2][self.at[order - 2][ends - 1]]
+        out[ends] = np.log10((self.counts[order - 1][self.at[order - 1][ends]] - self.settings.discount) / of)
+        return out
+
+    def told_contexts(self, order: int, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By n-gram of this order, as a context: mass of the arcs that this stretch tells of, and their mass without the context."""
+        ends = np.flatnonzero(self.kept(order + 1))
+        one = np.unique(self.at[order][ends], return_index=True)[1]  # a place for each
+        ends = ends[one]
+        ends = ends[self.tells[order][self.at[order][ends]]]
+        contexts = self.at[order - 1][ends - 1]
+        n = len(self.keys[order - 1])
+        return tuple(np.bincount(contexts, 10.0 ** self.log_p(k, base)[ends], n) for k in (order + 1, order))
+
+    def score(self, base: np.ndarray) -> np.ndarray:
+        """Per place the log10 probability of its token: from the longest context, along failure arcs until there is an arc."""
+        total = np.zeros(len(self.place))
+        open_ = np.ones(len(self.place), bool)
+        for order in range(self.settings.order, 0, -1):
+            arc = self.log_p(order, base)
+            there = open_ & ~np.isnan(arc)
+            total[there] += arc[there]
+            open_ &= ~there
+            if order > 1:
+                context = np.append(-1, self.at[order - 2][:-1])
+                fails = np.flatnonzero(open_ & (self.place >= order - 1) & (context >= 0))
+                total[fails] += self.weights[order - 2][context[fails]]
+        return total
+
+
+def _asks(stretch: Stretch, round_: int, base: np.ndarray) -> list[tuple]:
+    """(keys, values...) of a round: contexts with what is told of them, n-grams with their counts."""
+    if round_ == 0:
+        return [(stretch.keys[order - 1], stretch.counted(order)) for order in (1, 2)]
+    asks = [(stretch.keys[round_ - 1], *stretch.told_contexts(round_, base))]
+    if round_ + 2 <= stretch.settings.order:
+        asks.append((stretch.keys[round_ + 1], stretch.counted(round_ + 2)))
+    return asks
+
+
+def _answer(bucket: int, parts: list[tuple[int, list]], first_round: bool) -> Iterator[tuple]:
+    """Counts as twice the sum, and one for the part that tells of the n-gram; failure weights as log10."""
+    answers: list[list[np.ndarray]] = [[] for _ in parts]
+    for kind, asked in enumerate(zip(*(p for _, p in parts))):
+        keys = np.concatenate([joined48(*a[:2]) for a in asked])
+        order, first, times = grouped(keys)
+        sums = [np.add.reduceat(np.concatenate([a[v] for a in asked])[order], first) if len(keys) else np.empty(0) for v in range(2, len(asked[0]))]
+        out = np.empty(len(keys), np.int64 if len(sums) == 1 else np.float64)
+        if len(sums) == 1:
+            out[order] = np.repeat(2 * sums[0], times)
+            out[order[first]] += 1
+            if first_round and kind == 0:
+                yield bucket, -1, True, int((sums[0] > 0).sum())
+        else:
+            left = [np.maximum(1 - s, 1e-12) for s in sums]  # positive but for rounding: lower orders leave mass to words never seen
+            out[order] = np.repeat(np.where(sums[0] > 0, np.log10(left[0] / left[1]), 0.0), times)
+        for mine, x in zip(answers, np.split(out, np.cumsum([len(a[0]) for a in asked])[:-1])):
+            mine.append(x)
+    for (number, _), mine in zip(parts, answers):
+        yield bucket, number, False, mine
+
+
+def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int, int], buckets: int, parts: int) -> DataFrame:
+    """What the stretches are told in this round, as rows of STATE; under batch -1, n is the number of training words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                row = batch.column(0).slice(a, AT_ONCE).to_numpy()
-                k, _, _, place = grams_of(batch.column(1).slice(a, AT_ONCE), order)
-                times = np.ones(len(k), np.int64)
-                if order == 1:
-                    names, code = np.unique(k, return_inverse=True)
-                    pairs, times = np.unique(place * len(names) + code, return_counts=True)
-                    place, k = pairs // max(1, len(names)), names[pairs % max(1, len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(row[place]), pa.array(k), pa.array(times, pa.int64())], ["_h", "k", "times"])
+            for i in range(batch.num_rows):
+                stretch = Stretch(batch.column("data")[i], [batch.column(f"told{k}")[i] for k in range(round_)], settings)
+                asks, by = [], []
+                for keys, *values in _asks(stretch, round_, _base(stretch, totals)):
+                    asks.append((*low48(keys), *values))
+                    by.append(np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1)))
+                number = batch.column("batch")[i].as_py()
+                for a in range(0, buckets, 512):
+                    yield rows([(b, number, False, [tuple(x[e[b] : e[b + 1]] for x in kind) for kind, e in zip(asks, by)]) for b in range(a, min(buckets, a + 512))])
 
-    return docs.mapInArrow(run, "_h bigint, k bigint, times bigint")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, mine in together(batches, "bucket"):
+            yield rows([*_answer(bucket, [(r[1], unpacked(r[3])) for r in mine], round_ == 0)])
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, mine in together(batches, "batch"):
+            got = [unpacked(r[3]) for r in mine]
+            n, data = (sum(got), None) if number < 0 else (None, pickle.dumps([np.concatenate(x) for x in zip(*got)], 5))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["batch", "n", "data"])
 
-def score(docs: DataFrame, train: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs(doc_id, text) scored by a model of train(text).
+    asked = state.mapInArrow(ask, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    told = asked.mapInArrow(answer, DEALT).repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
+    return bucketed(told.mapInArrow(tell, STATE), "batch", parts, "told")
+
+
+def _base(stretch: Stretch, totals: tuple[int, int]) -> np.ndarray:
+    """log10 of a word's unigram probability."""
+    if not stretch.counts:
+        return np.zeros(len(stretch.keys[0]))
+    return np.log10((stretch.counts[0] + 1) / float(sum(totals) + 1))
+
+
+def score_rows(docs: DataFrame, learn: Column, ask: Column, settings: Settings = Settings()) -> DataFrame:
+    """docs(doc_id, text): the rows that `ask` chooses, scored by a model of those that `learn` chooses.
 
     -> doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
-    model = fit(train, settings)
-    row = F.xxhash64("doc_id", "text").alias("_h")  # equal rows share it; the end tokens tell how many they are
-    keyed = docs.select(row, "text")
-    floor = F.lit(1.0 / (model.n_tokens + model.n_words + 1))
-    end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END.encode())).view(np.int64)))
-    sums = None
-    for order, table in enumerate(model.values, 1):
-        met = asked(keyed, order).join(table, "k", "left" if order == 1 else "inner")
-        if order == 1:
-            got = met.groupBy("_h").agg(
-                F.sum("times").alias("tokens"),
-                F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))), F.lit(0)).alias("known"),
-                F.sum(F.when(F.col("k") == end, F.col("times"))).alias("copies"),
-                F.sum(F.col("times") * F.coalesce("p", F.log10(floor))).alias("base"),
-                F.sum(F.col("times") * F.coalesce("value", F.log10(floor))).alias("total"),
-            )
-        else:
-            got = met.groupBy("_h").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
-        got = stored(got, f"sums{order}")
-        sums = got if sums is None else sums.join(got, "_h", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).drop("more")
-    each = lambda c: F.col(c) / F.col("copies")
-    return docs.select("doc_id", row).join(sums, "_h").select(
-        "doc_id",
-        each("tokens").cast("long").alias("n_tokens"),
-        each("known").cast("long").alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        each("base").alias("base_score"),
-        each("total").alias("score"),
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(ask, F.lit(False)).alias("ask"))
+    parts = shuffle_partitions(docs.sparkSession)
+    buckets = max(parts, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    tables = [bucketed(marked.mapInArrow(_stretches, STATE), "batch", parts, "stretches")]
+    totals = (tables[0].agg(F.sum("n")).first()[0] or 0, 0)
+
+    def state() -> DataFrame:
+        out = tables[0].select("batch", "data")
+        for k, table in enumerate(tables[1:]):
+            out = out.join(table.select("batch", F.col("data").alias(f"told{k}")), "batch")
+        return out
+
+    for round_ in range(settings.order):
+        tables.append(_round(state(), round_, settings, totals, buckets, parts))
+        if round_ == 0:
+            totals = totals[0], tables[1].where("batch = -1").agg(F.sum("n")).first()[0] or 0
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = Stretch(batch.column("data")[i], [batch.column(f"told{k}")[i] for k in range(settings.order)], settings)
+                base = _base(s, totals)
+                by_text = lambda x: np.add.reduceat(x, s.starts)[s.ask]
+                out = [s.lengths[s.ask], by_text((s.counts[0] > 0)[s.at[0]].astype(np.int64)), by_text(base[s.at[0]]), by_text(s.score(base))]
+                ids = pa.array([d for d, y in zip(s.ids, s.ask) if y], batch_type)
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    out = stored(state().mapInArrow(scored, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"), "scores")
+    for table in tables:
+        discard(table)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, train: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """docs(doc_id, text) scored by a model of train(text); see score_rows, which reads texts once that are in both."""
+    both = docs.select("doc_id", "text", F.lit(False).alias("_train")).unionAll(train.select(F.lit(None).cast(docs.schema["doc_id"].dataType), "text", F.lit(True)))
+    return score_rows(both, F.col("_train"), ~F.col("_train"), settings)

@@ -141,7 +141,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lm_scoring.score(docs, docs.where(F.coalesce(remainder(7) != 2, F.lit(False))))
+    out = lm_scoring.score_rows(docs, remainder(7) != 2, F.lit(True))
     return out.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
