@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyforge.llm import decontamination, jaccard_join, language_id, sentencepiece_codec
 from tallyforge.llm.common import stored
@@ -25,16 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of linked documents, and one row of it. Rows without an id stay if none with an id has their shingles."""
-    groups = jaccard_join.components(docs.select("doc_id", "text"))
-    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(leaders, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    nameless = docs.where("doc_id is null")
-    if groups.where("doc_id is null").isEmpty():
-        return kept
-    copies = docs.where("doc_id is not null").select(F.xxhash64("text").alias("_h")).distinct()
-    return kept.select(*docs.columns).unionAll(nameless.withColumn("_h", F.xxhash64("text")).join(copies, "_h", "left_anti").select(*docs.columns))
+    """Keeps one row of each group of linked documents: the smallest doc_id, and of its rows the one whose text has the least hash.
+
+    A row without an id is known by its text's hash, above all other ids, so it stays only where no linked row has one.
+    """
+    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    row = F.struct(*docs.columns)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("key"), F.col("text").alias("said"), row.alias("row"))
+    leaders = jaccard_join.components(keyed.select(F.col("key").alias("doc_id"), F.col("said").alias("text"))).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    one = keyed.groupBy("key").agg(F.min_by("row", F.xxhash64("said")).alias("row"))
+    return one.join(leaders, "key", "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
