@@ -90,15 +90,48 @@ def failure_runs(df: DataFrame, key: str, order: Sequence[str], failed: Column)
     return runs.withColumn("failures", F.sum(1 - F.col("_ok")).over(inside)).drop("_ok", "_run")
 
 
-def range_join(values: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
-    """values(dim, key, ...) inside intervals(dim, lo, hi, ...): lo <= key < hi, for positive and negative numbers alike.
+def range_join(values: DataFrame, intervals: DataFrame) -> DataFrame:
+    """values(dim, key, ...) inside intervals(dim, lo, hi, ...): lo <= key < hi.
 
-    Both sides are cut into bins whose width grows with magnitude, so an interval covers few of them: an equi-join on
-    dimension and bin, then the exact test. `width` is the relative width of a bin.
+    An interval falls into bins as wide as the next power of two, so it covers two or three of them, wherever it lies. A value
+    is listed once for each width that occurs (at most one for each binary exponent): an equi-join on dimension, width and bin,
+    then the exact test.
     """
-    scale = 1.0 / F.log(F.lit(1.0 + width))
-    place = lambda c: F.when(F.abs(c) < 1e-6, F.lit(0)).otherwise(F.signum(c).cast("int") * (F.floor(F.log(F.abs(c)) * scale) + 1_000_000)).cast("long")
-    low, high = F.least(place(F.col("lo")), place(F.col("hi"))), F.greatest(place(F.col("lo")), place(F.col("hi")))
-    # intervals here don't straddle zero by more than a bin; those that do are listed on both sides of it
-    wide = intervals.withColumn("_bin", F.explode(F.when(high - low < 1_000_000, F.sequence(low, high)).otherwise(F.concat(F.sequence(low, F.lit(-1_000_000 + 40_000).cast("long")), F.array(F.lit(0).cast("long")), F.sequence(F.lit(1_000_000 - 40_000).cast("long"), high)))))
-    return values.withColumn("_bin", place(F.col("key"))).join(wide, ["dim", "_bin"]).where("key >= lo AND key < hi").drop("_bin")
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("hi").cast("double") - F.col("lo").cast("double"), F.lit(1e-9)))))
+    place = lambda c: F.floor(F.col(c).cast("double") / F.col("_width"))
+    sized = intervals.where("lo < hi").withColumn("_width", width)
+    binned = sized.withColumn("_bin", F.explode(F.sequence(place("lo"), place("hi"))))
+    widths = sized.agg(F.collect_set("_width").alias("_widths"))  # one row of at most two thousand numbers
+    listed = values.crossJoin(F.broadcast(widths)).withColumn("_width", F.explode("_widths")).drop("_widths").withColumn("_bin", place("key"))
+    return listed.join(binned, ["dim", "_width", "_bin"]).where("key >= lo AND key < hi").drop("_bin", "_width")
+
+
+def chain_roots(df: DataFrame, ident: str, parent: str) -> DataFrame:
+    """ident, root and depth of each row: parents are followed to rows whose parent is null or not there.
+
+    Every pass doubles the distance, so as many joins are needed as the longest chain has binary digits. Rows of a cycle are left out.
+    """
+    rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("up"))
+    there = rows.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
+    known = rows.join(there, "up", "left").select("id", F.when(F.col("_there"), F.col("up")).alias("up"), F.when(F.col("_there"), F.col("up")).alias("top"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth"))
+    known = known.select("id", "up", F.coalesce("top", "id").alias("top"), "depth").persist()
+    for _ in range(62):
+        if known.where("up is not null").isEmpty():
+            break
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"))
+        known = known.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")).persist()
+    return known.where("up is null").select("id", F.col("top").alias("root"), "depth")
+
+
+def budget_choice(df: DataFrame, key: str, rank: Sequence[str], place: str, size: str, budget: int) -> DataFrame:
+    """Rows of each key taken greedily in rank order while they fit the budget: what doesn't fit is skipped, not the end.
+
+    Returned with `turn`, their order by place. A key's rows are gathered, so keys are to be bounded (the parts of one document).
+    """
+    item = F.struct(*rank, F.col(size).cast("long").alias("_size"), F.struct(*df.columns).alias("_row"))
+    items = F.array_sort(F.collect_list(item))
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.filter(F.col("_items"), lambda x: F.lit(False)).alias("taken"))
+    fits = lambda acc, x: acc["used"] + x["_size"] <= budget
+    take = lambda acc, x: F.struct(F.when(fits(acc, x), acc["used"] + x["_size"]).otherwise(acc["used"]).alias("used"), F.when(fits(acc, x), F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"))
+    chosen = df.groupBy(F.col(key).alias("_key")).agg(items.alias("_items")).select(F.explode(F.aggregate("_items", none, take)["taken"]).alias("_item")).select("_item._row.*")
+    return chosen.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(place)))

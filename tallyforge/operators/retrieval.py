@@ -26,7 +26,8 @@ def rank_fusion(rankings: DataFrame, constant: int = 60) -> DataFrame:
 def chunks(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
     """Runs of whole words: ident, chunk (from 0), body."""
     all_words = F.filter(F.split(text, r"[ \n\t]+"), lambda w: w != "")
-    rows = docs.select(ident, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_words) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(all_words, i * words + 1, words), " "))))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(w, i * words + 1, words), " "))
+    rows = docs.select(ident, F.posexplode(F.transform(F.array(all_words), cut)[0]))  # the text is split once, not for each chunk
     return rows.select(ident, F.col("pos").alias("chunk"), F.col("col").alias("body"))
 
 

@@ -122,8 +122,13 @@ def top_n(df: DataFrame, n: int, by: str, ids: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row per column: its type, rows, blanks and distinct values."""
-    names = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"b{i}") for i, c in enumerate(names)], *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(names)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_rows").alias("rows"), F.col(f"b{i}").alias("blanks"), F.col(f"d{i}").alias("distinct_values")) for i, (c, t) in enumerate(df.dtypes)])
-    return one.select(F.inline(cells))
+    """A row per column: its type, rows, blanks and distinct values, and how many rows of the table repeat another.
+
+    Cells are counted by column and value first, so what is shuffled is one row for each value that a task has met.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)]))
+    values = df.select(cells.alias("cell")).groupBy("cell.i", "cell.v").agg(F.count(F.lit(1)).alias("c"))
+    by = values.groupBy("i").agg(F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("blanks"), F.count("v").alias("distinct_values"))
+    repeated = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))  # one row
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type")) for c, t in df.dtypes])
+    return by.crossJoin(F.broadcast(repeated)).select(F.get(names, F.col("i"))["column"].alias("column"), F.get(names, F.col("i"))["type"].alias("type"), "rows", "blanks", "distinct_values", "duplicate_rows")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calc, figures, identifiers
 from ..functions import text as tx
-from ..operators import relational, retrieval, sheet
+from ..operators import grounding, relational, retrieval, sheet
 from ..sources import csv_text, events
 from .base import query
 
@@ -46,9 +46,9 @@ def _(t):
     return t.customer.groupBy("c_mktsegment").agg(F.round(_money("c_acctbal") / F.count(F.lit(1)), 4).alias("value"))
 
 
-@query("calc_display", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '−' ELSE '' END || '₹' || format('{:,.2f}', abs(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE) || ' crore' AS shown FROM customer WHERE abs(c_acctbal) >= 0.01")
+@query("calc_display", "SELECT c_custkey, CASE WHEN CAST(c_acctbal AS DECIMAL(18,2)) < 0 THEN '−' ELSE '' END || '₹' || format('{:,.2f}', abs(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE) || ' crore' AS shown FROM customer")
 def _(t):
-    return t.customer.where("abs(c_acctbal) >= 0.01").select("c_custkey", calc.display(F.col("c_acctbal"), "INR", "crore").alias("shown"))
+    return t.customer.select("c_custkey", calc.display(F.col("c_acctbal"), "INR", "crore").alias("shown"))
 
 
 @query("calc_exact")
@@ -87,11 +87,11 @@ def _(t):
     return t.part.select("p_partkey", tx.normalise_header(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("name"))
 
 
-@query("a1_parse", "SELECT l_orderkey, l_partkey, 'S' || l_suppkey AS sheet, l_linenumber + 26 AS c0, l_linenumber AS r0, l_linenumber + 26 AS c1, (l_linenumber + 4) AS r1 FROM lineitem WHERE l_orderkey <= 500")
+@query("a1_parse", "SELECT l_orderkey, l_partkey, 'S' || l_suppkey AS sheet, l_linenumber + 26 AS c0, l_linenumber AS r0, l_linenumber + 26 AS c1, (l_linenumber + 4) AS r1 FROM lineitem")
 def _(t):
     column = F.concat(F.lit("A"), F.chr(F.col("l_linenumber") + 64))
     cell = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("!"), column, F.col("l_linenumber").cast("string"), F.lit(":"), column, (F.col("l_linenumber") + 4).cast("string"))
-    return t.lineitem.where("l_orderkey <= 500").withColumn("a", tx.a1_range(cell)).select("l_orderkey", "l_partkey", "a.*")
+    return t.lineitem.withColumn("a", tx.a1_range(cell)).select("l_orderkey", "l_partkey", "a.*")
 
 
 @query("format_ist", "SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%d %b %Y, %H:%M') AS shown FROM events")
@@ -148,6 +148,60 @@ def _(t):
     return t.documents.select("doc_id", F.explode(figures.figures(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
+_CASES = """
+SELECT o_orderkey, CASE o_orderkey % 6
+  WHEN 0 THEN 'pan: ABCDE' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || 'F, signed' WHEN 1 THEN 'voter id ABC' || lpad((o_orderkey % 10000000)::VARCHAR, 7, '0')
+  WHEN 2 THEN 'paid by user' || o_orderkey || '@ybl today' WHEN 3 THEN 'order ' || o_orderkey WHEN 4 THEN 'NSE: ABCDE' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || 'F'
+  ELSE 'a/c 50' || lpad(o_orderkey::VARCHAR, 10, '0') || ' of the bank' END AS text FROM orders"""
+
+
+def _identifier_texts(t):
+    key, digits = F.col("o_orderkey"), lambda n: F.lpad((F.col("o_orderkey") % 10**n).cast("string"), n, "0")
+    texts = [
+        F.concat(F.lit("pan: ABCDE"), digits(4), F.lit("F, signed")), F.concat(F.lit("voter id ABC"), digits(7)), F.concat(F.lit("paid by user"), key.cast("string"), F.lit("@ybl today")),
+        F.concat(F.lit("order "), key.cast("string")), F.concat(F.lit("NSE: ABCDE"), digits(4), F.lit("F")), F.concat(F.lit("a/c 50"), digits(10), F.lit(" of the bank")),
+    ]
+    return t.orders.select("o_orderkey", F.get(F.array(*texts), (key % 6).cast("int")).alias("text"))
+
+
+@query("identifier_findings", f"""
+SELECT o_orderkey, type, start, length(text) - after AS "end", score FROM (SELECT *, o_orderkey % 6 AS k FROM ({_CASES})) JOIN (VALUES
+  (0, 'PAN', 5, 8, 1.0), (1, 'VOTER_ID', 9, 0, 0.7), (2, 'UPI_ID', 8, 6, 0.85), (5, 'BANK_ACCOUNT', 4, 12, 0.7)) v(k, type, start, after, score) USING (k)""")
+def _(t):
+    return _identifier_texts(t).select("o_orderkey", F.explode(identifiers.detect(F.col("text"))).alias("f")).select("o_orderkey", "f.*")
+
+
+@query("identifier_masking", f"""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pan: [PAN], signed' WHEN 1 THEN 'voter id [VOTER_ID]' WHEN 2 THEN 'paid by [UPI_ID] today' WHEN 5 THEN 'a/c [BANK_ACCOUNT] of the bank' ELSE text END AS text FROM ({_CASES})""")
+def _(t):
+    return _identifier_texts(t).select("o_orderkey", identifiers.mask(F.col("text")).alias("text"))
+
+
+@query("figure_findings", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 900 + 100 AS n, o_orderkey % 60 + 20 AS y FROM orders)
+SELECT k, kind, unit, raw, value FROM (
+  SELECT k, 'number' AS kind, 'INR' AS unit, '₹' || n || '.5 crore' AS raw, (n + 0.5) * 1e7 AS value FROM o UNION ALL SELECT k, 'period', 'DATE', 'FY' || y, (2000 + y) * 1e4 FROM o
+  UNION ALL SELECT k, 'number', 'PCT', '-' || n || '%', -n::DOUBLE FROM o UNION ALL SELECT k, 'locator', 'PLAIN', 'pages ' || n || '-' || (n + 2), n::DOUBLE FROM o)""")
+def _(t):
+    n, y = (F.col("o_orderkey") % 900 + 100), (F.col("o_orderkey") % 60 + 20).cast("string")
+    text = F.concat(F.lit("Sales of ₹"), n.cast("string"), F.lit(".5 crore in FY"), y, F.lit(" grew by -"), n.cast("string"), F.lit("%, see pages "), n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit("."))
+    found = t.orders.select(F.col("o_orderkey").alias("k"), F.explode(figures.figures(text)).alias("f"))
+    return found.select("k", "f.kind", "f.unit", "f.raw", F.col("f.value").cast("double").alias("value"))
+
+
+@query("grounding_texts", """
+WITH o AS (SELECT o_orderkey AS id, 100 + o_orderkey % 800 AS n FROM orders)
+SELECT id, raw, reason FROM (
+  SELECT id, '₹' || n || ' cr' AS raw, CASE id % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'cross_currency' ELSE 'not_found' END AS reason FROM o
+  UNION ALL SELECT id, n || ' bps', 'matched' FROM o UNION ALL SELECT id, 'page ' || n, 'exempt' FROM o)""")
+def _(t):
+    n = (F.col("o_orderkey") % 800 + 100).cast("string")
+    answer = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("It was ₹"), n, F.lit(" cr, up "), n, F.lit(" bps (page "), n, F.lit(")")).alias("text"))
+    amount = F.concat(F.when(F.col("o_orderkey") % 3 == 1, "$").otherwise("₹"), n, F.when(F.col("o_orderkey") % 3 == 2, ".6 crore").otherwise(".4 crore"))
+    source = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(amount, F.lit(" and "), F.round((F.col("o_orderkey") % 800 + 100) / 100, 2).cast("decimal(10,2)").cast("string"), F.lit("%")).alias("text"))
+    return grounding.verdicts(answer, source).select("id", "raw", "reason")
+
+
 @query("extract_amounts_simple", "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS amount FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("amount"))
@@ -170,7 +224,7 @@ def _(t):
     values = source.select(figures.dimension(F.col("unit")).alias("dim"), "key")
     other = F.when(F.col("unit") == "INR", "USD").otherwise("INR")
     asked = figure.select("id", (F.col("v") - 50).alias("lo"), (F.col("v") + 50).alias("hi"), F.explode(F.array(F.struct(F.lit(0).alias("rank"), figures.dimension(F.col("unit")).alias("dim")), F.struct(F.lit(1).alias("rank"), figures.dimension(other).alias("dim")))).alias("d"))
-    hits = relational.range_join(values, asked.select("id", "lo", "hi", "d.*"), 0.001).groupBy("id").agg(F.min("rank").alias("rank"))
+    hits = relational.range_join(values, asked.select("id", "lo", "hi", "d.*")).groupBy("id").agg(F.min("rank").alias("rank"))
     return figure.join(hits, "id", "left").select("id", F.when(F.col("rank") == 0, "matched").when(F.col("rank") == 1, "cross_currency").otherwise("not_found").alias("reason"))
 
 
@@ -208,10 +262,10 @@ def _(t):
     return csv_text.parse_lines(t.customer.select(line.alias("line")), "line", ["id", "name", "segment"])
 
 
-@query("sse_lines", "SELECT event_id, event_type AS name, '{\"v\":' || event_id || '}' AS data FROM events WHERE event_id < 2000")
+@query("sse_lines", "SELECT event_id, event_type AS name, '{\"v\":' || event_id || '}' AS data FROM events")
 def _(t):
     raw = F.concat(F.lit("event: "), "event_type", F.lit("\n: comment\ndata: {\"v\":\n"), F.lit("data: "), F.col("event_id").cast("string"), F.lit("}\n\n"))
-    parsed = events.parse_sse(t.events.where("event_id < 2000").select("event_id", raw.alias("raw")), "event_id", "raw")
+    parsed = events.parse_sse(t.events.select("event_id", raw.alias("raw")), "event_id", "raw")
     return parsed.select("event_id", "name", F.replace("data", F.lit("\n"), F.lit("")).alias("data"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..operators import relational
 from ..sources import sinks
 from .base import query
 
@@ -41,17 +42,11 @@ def _(t):
 
 
 @query("version_chain", """
-WITH RECURSIVE v AS (SELECT o_orderkey AS id, o_orderkey AS root, 0 AS depth FROM orders WHERE o_orderkey IN (1, 2, 3)
-UNION ALL SELECT o.o_orderkey, v.root, v.depth + 1 FROM v JOIN orders o ON o.o_orderkey // 4 = v.id WHERE v.depth < 4 AND o.o_orderkey <> v.id) SELECT id, root, depth FROM v""")
+WITH RECURSIVE p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey // 4 <> o_orderkey AND o_orderkey // 4 IN (SELECT o_orderkey FROM orders) THEN o_orderkey // 4 END AS up FROM orders),
+v AS (SELECT id, id AS root, 0::BIGINT AS depth FROM p WHERE up IS NULL UNION ALL SELECT p.id, v.root, v.depth + 1 FROM v JOIN p ON p.up = v.id) SELECT id, root, depth FROM v""")
 def _(t):
-    """A fixed number of steps down the versions: each step is one join."""
-    orders = t.orders.select(F.expr("o_orderkey div 4").alias("above"), F.col("o_orderkey").alias("next"))
-    step = t.orders.where("o_orderkey IN (1, 2, 3)").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("root"), F.lit(0).alias("depth"))
-    out = step
-    for depth in range(1, 5):
-        step = step.join(orders, F.col("above") == F.col("id")).where("next <> id").select(F.col("next").alias("id"), "root", F.lit(depth).alias("depth"))
-        out = out.unionAll(step)
-    return out
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.expr("nullif(o_orderkey div 4, o_orderkey)").alias("parent"))
+    return relational.chain_roots(rows, "id", "parent")
 
 
 @query("known_value_mask", "SELECT doc_id, regexp_replace(regexp_replace(text, 'password\\s*=\\s*\\w+', '[SECRET]', 'g'), 'Released\\s+under\\s+the\\s+MIT\\s+License', '[LICENSE]', 'g') AS text FROM documents")
@@ -70,11 +65,11 @@ def _(t):
     return t.customer.select("c_custkey", F.lower(F.trim(F.regexp_replace(F.concat(F.lit("  "), "c_name", F.lit("  X ")), r"\s+", " "))).alias("name"))
 
 
-@query("gpu_lines", "SELECT event_id, user_id AS used, (user_id * 2) AS total, round(value, 2) AS load FROM events WHERE event_id < 500")
+@query("gpu_lines", "SELECT event_id, user_id AS used, (user_id * 2) AS total, round(value, 2) AS load FROM events")
 def _(t):
     line = F.concat_ws(", ", F.col("user_id").cast("string"), (F.col("user_id") * 2).cast("string"), F.round("value", 2).cast("string"))
     parsed = F.from_csv(line, F.lit("used BIGINT, total BIGINT, load DOUBLE"), {"ignoreLeadingWhiteSpace": "true"})
-    return t.events.where("event_id < 500").select("event_id", parsed.alias("p")).select("event_id", "p.*")
+    return t.events.select("event_id", parsed.alias("p")).select("event_id", "p.*")
 
 
 @query("trailing_numbers", "SELECT s_suppkey, s_name AS label, s_nationkey::DOUBLE AS a, (s_suppkey * 3)::DOUBLE AS b FROM supplier")

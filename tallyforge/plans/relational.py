@@ -57,6 +57,11 @@ def _(t):
     return rel.budget_prefix(t.conversations, "conv_id", ["turn"], F.char_length("text"), 600).select("conv_id", "turn")
 
 
+@query("budget_choice")
+def _(t):
+    return rel.budget_choice(t.conversations.withColumn("size", F.char_length("text")), "conv_id", ["size", "turn"], "turn", "size", 600).select("conv_id", "turn")
+
+
 @query("join_members", "SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(t):
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -150,12 +155,12 @@ def _(t):
 
 
 @query("align_best_match", """
-SELECT a.vec_id, b.vec_id AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 25 = 0
+SELECT a.vec_id, b.vec_id AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) DESC, b.vec_id) = 1""")
 def _(t):
     dot = F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     b = t.embeddings.select(F.col("vec_id").alias("best"), "label", F.col("embedding").alias("other"))
-    pairs = t.embeddings.where("vec_id % 25 = 0").join(b, "label").where("vec_id <> best").select("vec_id", "best", F.round(dot, 6).alias("s"))
+    pairs = t.embeddings.join(b, "label").where("vec_id <> best").select("vec_id", "best", F.round(dot, 6).alias("s"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "best")
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("vec_id", "best")
 
@@ -243,9 +248,9 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("enum_sort", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey LIMIT 50")
+@query("enum_sort", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey")
 def _(t):
-    return t.orders.orderBy(F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
+    return t.orders.orderBy(F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2), "o_orderdate", "o_orderkey").select("o_orderkey")
 
 
 @query("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
@@ -307,14 +312,14 @@ SELECT id, count(*) AS n FROM f JOIN s ON s.dim = f.dim AND s.key >= f.v - 5 AND
 def _(t):
     values = t.lineitem.select(F.lit("NUMBER").alias("dim"), F.round("l_extendedprice", 0).alias("key")).distinct()
     figures = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("NUMBER").alias("dim"), (F.col("o_totalprice") - 5).alias("lo"), (F.col("o_totalprice") + 5).alias("hi"))
-    return rel.range_join(values, figures, 0.001).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return rel.range_join(values, figures).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("range_containment", """
-WITH e AS (SELECT l_suppkey AS s, l_orderkey AS id, l_linenumber AS r0, l_linenumber + 1 AS r1 FROM lineitem WHERE l_orderkey < 300), c AS (SELECT l_suppkey AS s, min(l_linenumber) AS r0, max(l_linenumber) AS r1 FROM lineitem WHERE l_quantity < 10 GROUP BY 1)
+WITH e AS (SELECT l_suppkey AS s, l_orderkey AS id, l_linenumber AS r0, l_linenumber + 1 AS r1 FROM lineitem), c AS (SELECT l_suppkey AS s, min(l_linenumber) AS r0, max(l_linenumber) AS r1 FROM lineitem WHERE l_quantity < 10 GROUP BY 1)
 SELECT id, e.s, e.r0 FROM e JOIN c ON e.s = c.s AND c.r0 <= e.r0 AND c.r1 >= e.r1""")
 def _(t):
-    asked = t.lineitem.where("l_orderkey < 300").selectExpr("l_suppkey AS s", "l_orderkey AS id", "l_linenumber AS r0", "l_linenumber + 1 AS r1")
+    asked = t.lineitem.selectExpr("l_suppkey AS s", "l_orderkey AS id", "l_linenumber AS r0", "l_linenumber + 1 AS r1")
     cited = t.lineitem.where("l_quantity < 10").groupBy(F.col("l_suppkey").alias("s")).agg(F.min("l_linenumber").alias("c0"), F.max("l_linenumber").alias("c1"))
     return asked.join(cited, "s").where("c0 <= r0 AND c1 >= r1").select("id", "s", "r0")
 

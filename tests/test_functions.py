@@ -111,7 +111,7 @@ def test_fair_claims_alternate(spark):
 def test_range_join_over_zero_and_magnitudes(spark):
     values = spark.createDataFrame([("N", float(v)) for v in (-1000, -5, -0.5, 0, 0.25, 3, 999, 1e9, 1e14)], "dim string, key double")
     spans = spark.createDataFrame([(1, "N", -6.0, 4.0), (2, "N", 0.0, 0.3), (3, "N", 9e8, 2e9), (4, "N", -2000.0, -1.0), (5, "M", 0.0, 9.0)], "id int, dim string, lo double, hi double")
-    got = sorted((r["id"], r["key"]) for r in relational.range_join(values, spans, 0.01).collect())
+    got = sorted((r["id"], r["key"]) for r in relational.range_join(values, spans).collect())
     want = sorted((s["id"], v["key"]) for s in spans.collect() for v in values.collect() if s["dim"] == v["dim"] and s["lo"] <= v["key"] < s["hi"])
     assert got == want
 

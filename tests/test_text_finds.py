@@ -52,3 +52,43 @@ def test_identifiers_clean_and_masked(spark):
 def test_figures_as_written(text, want):
     found = [f for f in figures.scan(text)]
     assert [(f[0], f[3]) for f in found] == want and all(text[f[1] : f[2]] == f[3] for f in found)
+
+
+GROUNDING = [
+    ("₹3,120 cr", "₹3,120.37 cr", "matched"), ("₹3,100 cr", "₹3,120.37 cr", "not_found"), ("₹3,120.37 cr", "₹3,120 cr", "not_found"), ("₹3,120 cr", "₹3,119.5 cr", "matched"), ("₹3,120 cr", "₹3,120.5 cr", "not_found"),
+    ("₹31,200 million", "₹3,120 crore", "matched"), ("31.2 bn", "₹3,120 crore", "matched"), ("₹1 lakh", "₹1,00,000", "matched"), ("$7m", "USD 7 million", "matched"), ("3,120", "₹3,120 cr", "matched"),
+    ("$3,120 cr", "₹3,120 cr", "cross_currency"), ("₹3,120 cr", "3,120 cr", "not_found"), ("135 bps", "1.35%", "matched"), ("50 bps", "0.6%", "not_found"), ("13.5%", "13.5x", "not_found"), ("5.4x", "5.4 times", "matched"),
+    ("-15%", "-15%", "matched"), ("-15%", "15%", "not_found"), ("(1,357)", "1,357", "matched"), ("(1,357)", "-1,357", "matched"), ("-1,357", "1,357", "not_found"),
+    ("30 June 2024", "2024-06-30", "matched"), ("June 2024", "30/06/2024", "matched"), ("30 June 2024", "June 2024", "not_found"), ("2024", "FY2024", "matched"), ("2024", "2,024", "not_found"), ("2,024", "in 2024", "not_found"),
+    ("5 deals", "", "exempt"), ("page 12", "", "exempt"), ("FY31", "", "exempt"),
+]
+
+
+def test_grounding(spark):
+    from tallyforge.operators import grounding
+
+    answers = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(GROUNDING)], "id int, text string")
+    sources = spark.createDataFrame([(i, s) for i, (_, s, _) in enumerate(GROUNDING)], "id int, text string")
+    got = {r["id"]: r["reason"] for r in grounding.verdicts(answers, sources).collect()}
+    assert {i: (a, s, got.get(i)) for i, (a, s, w) in enumerate(GROUNDING) if got.get(i) != w} == {}
+    cell = spark.createDataFrame([(0, "3,120", "INR", "crore"), (1, "3,120", "INR", "crore"), (2, "12.5", None, None), (3, "12.5", "PCT", None)], "id int, text string, unit string, scale string")
+    asked = spark.createDataFrame([(0, "₹3,120 cr"), (1, "₹3,120"), (2, "12.5%"), (3, "12.5%")], "id int, text string")
+    assert {r["id"]: r["reason"] for r in grounding.verdicts(asked, cell).collect()} == {0: "matched", 1: "not_found", 2: "not_found", 3: "matched"}
+
+
+def test_range_join_by_widths(spark):
+    from tallyforge.operators import relational
+
+    values = spark.createDataFrame([(d, float(k)) for d in "ab" for k in (-1000, -50, -0.5, 0, 0.25, 49, 50, 1e12)], "dim string, key double")
+    spans = spark.createDataFrame([(1, "a", -50.0, 50.0), (2, "a", 0.0, 1e-12), (3, "b", -1e13, 1e13), (4, "b", 50.0, 50.0), (5, "a", 49.0, 50.0)], "id int, dim string, lo double, hi double")
+    got = sorted((r["id"], r["dim"], r["key"]) for r in relational.range_join(values, spans).collect())
+    want = sorted((i, d, k) for i, d, lo, hi in map(tuple, spans.collect()) for e, k in map(tuple, values.collect()) if d == e and lo <= k < hi)
+    assert got == want
+
+
+def test_budget_choice(spark):
+    from tallyforge.operators import relational
+
+    rows = [("x", i, s) for i, s in enumerate((50, 30, 40, 10, 60))] + [("y", 0, 200)]
+    got = relational.budget_choice(spark.createDataFrame(rows, "doc string, place int, size int"), "doc", ["size"], "place", "size", 85).collect()
+    assert sorted((r["doc"], r["place"], r["turn"]) for r in got) == [("x", 1, 1), ("x", 2, 2), ("x", 3, 3)]
