@@ -33,11 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, ranged
+from .common import positions, ranged, stored
 from .url_filter import url_host, url_path
 
+# Attributes: a quote opens a string only where a value begins; elsewhere it is a character like others.
+_ATTRIBUTES = r"""(?>=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|[^>=])*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?:script|style)\b(?:" + _ATTRIBUTES + r")(?<!/)>.*?(?:</(?:script|style)\s*>|\Z)|<(noscript|template|svg|iframe|textarea|title)\b(?:" + _ATTRIBUTES
+    + r")(?<!/)>.*?</\1\s*>|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRIBUTES + r")>|</?[a-zA-Z][^<>]*\Z|[^<]+|<",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -53,9 +56,11 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer site-footer"
     " page-footer masthead site-header page-header cookie cookies cookie-banner cookie-notice consent popup modal newsletter subscribe signup login comment comments respond"
-    " disqus disqus_thread replies pagination pager toolbar widget complementary contentinfo search".split()
+    " disqus disqus_thread replies pagination pager toolbar widget complementary contentinfo".split()
 )
-WEAK = frozenset("header notice notification alert promo promotion share sharing social related recommended copyright disclaimer".split())
+#: Names of reader comments rule out articles too, each comment being one.
+COMMENTS = frozenset("comment comments comment-body reply replies respond".split())
+WEAK = frozenset("search header notice notification alert promo promotion share sharing social related recommended copyright disclaimer".split())
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
@@ -69,7 +74,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
 
     def flush() -> None:
         if text:
-            if not ruled_out and (block := " ".join(html.unescape("".join(text)).split())):
+            if not ruled_out and (block := " ".join("".join(text).split())):
                 out.append((block, inside, unless))
             text.clear()
 
@@ -81,7 +86,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         tag, got = m[2], m[0]
         if tag is None:
             if got[0] != "<" or got == "<":
-                text.append(got)
+                text.append(html.unescape(got))
             continue
         tag = tag.lower()
         if tag == "br":
@@ -102,18 +107,18 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
             while stack and stack[-1][0] in CLOSED_BY_BLOCK and (tag not in ("ul", "ol", "p", "div") or stack[-1][0] != "li"):
                 stack.pop()
                 reset()
-        if tag in VOID or got.endswith("/>"):
+        if tag in VOID or tag in ("script", "style", "svg", "iframe", "textarea", "title", "template", "noscript") or got.endswith("/>"):
             continue
         said = [a.lower() for x in ATTRIBUTE.finditer(m[3]) for a in x.groups()[1:] if a] if "=" in m[3] else []
         article = tag in ("article", "main")
         names = {n for a in said for n in a.split()}
         by_name = not article and tag not in ("body", "html") and (tag == "form" or not names.isdisjoint(BOILERPLATE))
-        out_now = (tag in NOT_TEXT and tag != "form") or (tag == "header" and not inside) or (by_name and in_article)
+        out_now = (tag in NOT_TEXT and tag != "form") or (tag == "header" and not inside) or (by_name and in_article) or (tag == "article" and not names.isdisjoint(COMMENTS))
         weak = not article and not names.isdisjoint(WEAK)
         if out_now or by_name or article or weak or tag in ("div", "section", "body", "header", "ul", "ol", "table") or said or tag in CLOSED_BY_BLOCK:
             if out_now or by_name or article or weak:
                 flush()
-            if article and not in_article:  # what it stands in isn't ruled out by names
+            if article and not in_article and not out_now:  # what it stands in isn't ruled out by names
                 for frame in stack:
                     if frame[2]:
                         frame[2][0] = False
@@ -178,7 +183,7 @@ def extract(pages: DataFrame) -> DataFrame:
     lines, blocks = F.arrow_udf(_lines, "array<bigint>"), F.arrow_udf(_blocks, "array<struct<text:string,inside:boolean>>")
     own_key = [F.col("page_id").alias("_id"), F.xxhash64("page_id", "url", "html").alias("_h")]
     keyed = pages.select("page_id", "url", *own_key, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), lines(F.col("html")).alias("lines"))
-    ordered = positions(ranged(keyed, ORDER, "pages"), ORDER).select(F.col("_pos").alias("pos"), "_id", "_h", "host", "path", "lines")
+    ordered = positions(ranged(stored(keyed, "lines"), ORDER, "pages"), ORDER).select(F.col("_pos").alias("pos"), "_id", "_h", "host", "path", "lines")
     before = ordered.select("pos", "host", F.col("path").alias("path_a"), F.col("lines").alias("a"))
     after = ordered.select((F.col("pos") - 1).alias("pos"), "host", F.col("path").alias("path_b"), F.col("lines").alias("b"))
     pairs = before.join(after, ["pos", "host"]).select("pos", "path_a", "path_b", "a", "b")

@@ -299,3 +299,16 @@ def test_license_whole_texts(spark):
     docs = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(rows)], "doc_id int, name string, text string")
     got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs).collect()}
     assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_html_markup_as_found():
+    """Unquoted values, self-closed elements, references across tags, comments that are articles."""
+    text = lambda page: [b for b, _ in html_extraction.blocks_of(page)]
+    assert text("<p title=it's>Hello world. Don't stop</p><p>second</p>") == ["Hello world. Don't stop", "second"]
+    assert text('<p title=\'a > b\' data-x="1 > 2">one</p><p a="unclosed>two</p>') == ["one", "two"]
+    for raw in ("<svg width=1 />", "<iframe src=x />", "<iframe src=x>", "<svg><path d='M0'/></svg>", "<script>if (a < b) '<p>x</p>'</script>", "<title>T</title>"):
+        assert text(f"<p>a</p>{raw}<p>b</p>") == ["a", "b"]
+    assert text("<p>&am<b>p; b</b> &lt;i&gt; &amp;lt;</p>") == ["&amp; b <i> &lt;"]
+    assert text("<article><p>Text</p><section id='search'><p>Of search</p></section><p class='related work'>Also</p></article><article class='comment'><p>me too</p></article>") == ["Text", "Of search", "Also"]
+    long = "<div>" * 20_000 + "<p>deep</p>" + "<p a='" * 2_000
+    assert text(long)[0] == "deep"
