@@ -69,6 +69,51 @@ def label_year(label: Column) -> Column:
     return F.when(year < 100, year + 2000).otherwise(year)
 
 
+def inferred_years(first: Column, last: Column, years: Column | None = None) -> Column:
+    """struct(value, error_code): years between two period labels, which must agree with `years` where both are known."""
+    years = F.lit(None).cast("int") if years is None else years
+    between = label_year(last) - label_year(first)
+    same = F.lower(F.trim(first)) == F.lower(F.trim(last))
+    error = (
+        F.when(same | (between <= 0) | (between != years), MISMATCHED_PERIODS)
+        .when(F.coalesce(years, between).isNull() | (F.coalesce(years, between) <= 0), INVALID_YEARS)
+    )
+    return _either(error, F.coalesce(years, between))
+
+
+# How each metric is written out; {0} and {1} are its operands.
+FORMULAS = {"growth": "({1} {m} {0}) ÷ |{0}| × 100", "cagr": "(({1} ÷ {0})^(1 ÷ {y}) {m} 1) × 100", "margin": "{0} ÷ {1} × 100", "ratio": "{0} ÷ {1}", "multiple": "{0} ÷ {1}"}
+
+
+def operand(value: Column, decimals: int, scale: Column | None = None) -> Column:
+    """A number as it is written in a formula: separators, negatives in brackets with a typographic minus, its scale word if given."""
+    digits = F.format_number(F.abs(value.cast(f"decimal(38,{decimals})")), decimals)
+    shown = F.when(value < 0, F.concat(F.lit(f"({MINUS}"), digits, F.lit(")"))).otherwise(digits)
+    return shown if scale is None else F.concat_ws(" ", shown, scale)
+
+
+def formula(metric: str, operands: list[Column], shown: Column, years: Column | None = None) -> Column:
+    """The calculation in words: operands in place, then what it comes to."""
+    if metric in ("sum", "mean"):
+        total = F.concat_ws(" + ", *operands)
+        text = total if metric == "sum" else F.concat(F.lit("("), total, F.lit(f") ÷ {len(operands)}"))
+    else:
+        parts, rest = [], FORMULAS[metric].replace("{m}", MINUS)
+        while rest:
+            before, mark, after = rest.partition("{")
+            parts.append(F.lit(before))
+            name, _, rest = after.partition("}") if mark else ("", "", "")
+            if mark:
+                parts.append(years.cast("string") if name == "y" else operands[int(name)])
+        text = F.concat(*parts)
+    return F.concat(text, F.lit(" = "), shown)
+
+
+def as_source(value: Column, unit: str) -> Column:
+    """A result as text and unit of a source, so that figures may be grounded in it."""
+    return F.struct(F.format_string("%.10f", value.cast("double")).alias("text"), F.lit(unit).alias("unit"), F.lit(None).cast("string").alias("scale"))
+
+
 def display(value: Column, unit: str, scale: str | None = None) -> Column:
     """Half up to two places, thousands separators, a typographic minus, then the unit's sign or the scale word."""
     exact = value.cast("decimal(38,10)")

@@ -103,3 +103,30 @@ def mask(text: Column, pattern: str, label: str) -> Column:
 def chain_hash(previous: Column, payload: Column) -> Column:
     """SHA-256 of the previous hash and the row's canonical JSON."""
     return F.sha2(F.concat(previous, payload), 256)
+
+
+def keyed_hash(value: Column, key: bytes) -> Column:
+    """HMAC-SHA256 in lower-case hex: equal values are recognised without the key's holder storing them."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, value.cast("binary")), 256))), 256)
+
+
+def encode_cursor(*parts: Column) -> Column:
+    """Place in a keyset page as URL-safe base64 without padding; parts must not hold a bar."""
+    return F.rtrim(F.translate(F.base64(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), "+/\r\n", "-_"), F.lit("="))
+
+
+def decode_cursor(cursor: Column, *types: str) -> Column:
+    """struct(_1, _2, ...) of the parts; null for a cursor that is none."""
+    plain = F.translate(cursor, "-_", "+/")
+    padded = F.rpad(plain, (F.ceil(F.char_length(plain) / 4) * 4).cast("int"), F.lit("="))
+    text = F.when(cursor.rlike("^[A-Za-z0-9_-]+$") & (F.char_length(cursor) % 4 != 1), F.unbase64(F.when(cursor.rlike("^[A-Za-z0-9_-]+$"), padded)).cast("string"))
+    parts = F.split(text, r"\|")
+    values = [F.get(parts, F.lit(i)).try_cast(t) for i, t in enumerate(types)]
+    whole = F.size(parts) == len(types)
+    for v in values:
+        whole = whole & v.isNotNull()
+    return F.when(whole, F.struct(*[v.alias(f"_{i}") for i, v in enumerate(values, 1)]))

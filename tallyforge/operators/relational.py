@@ -57,6 +57,35 @@ def chain_failures(rows: DataFrame, expected_hash: Column) -> DataFrame:
     return both.select("seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def append_chain(df: DataFrame, chain: str, order: Sequence[str], body: Column) -> DataFrame:
+    """Rows with seq, prev_hash and hash of their chain: each hash covers the one before it and the row's body.
+
+    A hash needs its predecessor's, so a chain is folded in order in one task; chains (a partition, a month) are to be bounded.
+    """
+    item = F.struct(*order, body.alias("_body"), F.struct(*df.columns).alias("_row"))
+    start = F.array(F.struct(F.lit("").alias("prev"), F.lit("").alias("hash")))
+    link = lambda done, x: F.concat(done, F.array(F.struct(F.element_at(done, -1)["hash"].alias("prev"), F.sha2(F.concat(F.element_at(done, -1)["hash"], x["_body"]), 256).alias("hash"))))
+    folded = df.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("_items")).select("_items", F.aggregate("_items", start, link).alias("_links"))
+    rows = folded.select(F.posexplode("_items").alias("_at", "_item"), "_links")
+    mine = F.get("_links", F.col("_at") + 1)
+    return rows.select("_item._row.*", (F.col("_at") + 1).alias("seq"), mine["prev"].alias("prev_hash"), mine["hash"].alias("hash"))
+
+
+def first_failure(rows: DataFrame, chain: str, body: Column) -> DataFrame:
+    """The first broken row of each chain that has one: rows(chain, seq, prev_hash, hash) -> chain, seq, reason.
+
+    GAP: no predecessor; PREV_HASH: not the predecessor's hash; HASH: not the hash of what stands before it and the body.
+    """
+    before = rows.select(F.col(chain).alias("_chain"), (F.col("seq") + 1).alias("_seq"), F.col("hash").alias("_before"))
+    both = rows.join(before, (F.col(chain) == F.col("_chain")) & (F.col("seq") == F.col("_seq")), "left")
+    reason = (
+        F.when((F.col("seq") > 1) & F.col("_before").isNull(), "GAP")
+        .when(F.coalesce("_before", F.lit("")) != F.col("prev_hash"), "PREV_HASH")
+        .when(F.sha2(F.concat("prev_hash", body), 256) != F.col("hash"), "HASH")
+    )
+    return both.withColumn("reason", reason).where("reason is not null").groupBy(chain).agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
+
+
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Overlapping or touching intervals of a key as one."""
     w = Window.partitionBy(key).orderBy(start, end)

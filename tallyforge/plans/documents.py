@@ -57,6 +57,27 @@ def _(t):
     return by.select("o_custkey", calc.exact(F.lit("mean"), "v", F.lit(None).cast("string")).alias("r")).select("o_custkey", "r.value", "r.error_code")
 
 
+@query("calc_years", """
+SELECT o_orderkey, CASE WHEN b > a AND (o_orderkey % 3 <> 0 OR b - a = 4) THEN b - a END AS years, CASE WHEN b <= a OR (o_orderkey % 3 = 0 AND b - a <> 4) THEN 'mismatched_periods' END AS error_code
+FROM (SELECT o_orderkey, (2000 + o_orderkey % 7)::INT AS a, (2000 + o_orderkey % 11)::INT AS b FROM orders)""")
+def _(t):
+    label = lambda n: F.concat(F.lit("FY"), (F.col("o_orderkey") % n + 2000).cast("string"))
+    r = calc.inferred_years(label(7), label(11), F.when(F.col("o_orderkey") % 3 == 0, 4))
+    return t.orders.select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("years"), "r.error_code")
+
+
+@query("calc_formula", """
+SELECT c_custkey, (CASE WHEN a < 0 THEN '(−' || format('{:,.2f}', -a) || ')' ELSE format('{:,.2f}', a) END) || ' ÷ 2,000.00 × 100 = x' AS shown FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2))::DOUBLE AS a FROM customer)""")
+def _(t):
+    return t.customer.select("c_custkey", calc.formula("margin", [calc.operand(F.col("c_acctbal"), 2), calc.operand(F.lit(2000), 2)], F.lit("x")).alias("shown"))
+
+
+@query("cursor_round_trip", "SELECT o_orderkey, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def _(t):
+    cursor = tx.encode_cursor(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey"))
+    return t.orders.select("o_orderkey", tx.decode_cursor(cursor, "string", "bigint").alias("c")).select("o_orderkey", F.col("c._2").alias("id"), F.col("c._1").alias("day"))
+
+
 @query("period_year", """
 SELECT o_orderkey, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS year FROM (SELECT o_orderkey, try_cast(regexp_extract('FY' || (o_orderkey % 130), '^FY((?:19|20)\\d{2}|\\d{2})$', 1) AS INT) AS y FROM orders)""")
 def _(t):

@@ -148,6 +148,31 @@ def _(t):
     return rel.chain_failures(_chain(t), F.col("good"))
 
 
+_AUDIT = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type || '|' || event_id AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+c AS (SELECT user_id, event_id, body, seq, '' AS prev_hash, sha256(body) AS hash FROM e WHERE seq = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.body, e.seq, c.hash, sha256(c.hash || e.body) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
+
+
+def _audit(t):
+    return rel.append_chain(t.events.select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.concat_ws("|", "event_type", F.col("event_id").cast("string")))
+
+
+@query("audit_append", _AUDIT + " SELECT user_id, event_id, seq, prev_hash, hash FROM c")
+def _(t):
+    return _audit(t).select("user_id", "event_id", F.col("seq").cast("bigint").alias("seq"), "prev_hash", "hash")
+
+
+@query("audit_first_failure", _AUDIT + """,
+b AS (SELECT user_id, seq, body, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE prev_hash END AS prev_hash, CASE WHEN event_id % 11 = 0 THEN 'y' ELSE hash END AS hash FROM c WHERE event_id % 13 <> 0),
+f AS (SELECT b.user_id, b.seq, CASE WHEN b.seq > 1 AND p.hash IS NULL THEN 'GAP' WHEN coalesce(p.hash, '') <> b.prev_hash THEN 'PREV_HASH' WHEN sha256(b.prev_hash || b.body) <> b.hash THEN 'HASH' END AS reason
+      FROM b LEFT JOIN b p ON p.user_id = b.user_id AND p.seq = b.seq - 1)
+SELECT user_id, min(seq) AS seq, arg_min(reason, seq) AS reason FROM f WHERE reason IS NOT NULL GROUP BY 1""")
+def _(t):
+    broken = _audit(t).where("event_id % 13 <> 0").withColumn("prev_hash", F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("prev_hash"))).withColumn("hash", F.when(F.col("event_id") % 11 == 0, "y").otherwise(F.col("hash")))
+    return rel.first_failure(broken, "user_id", F.concat_ws("|", "event_type", F.col("event_id").cast("string"))).withColumn("seq", F.col("seq").cast("bigint"))
+
+
 @query("row_hash", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"seq\":' || event_id || ',\"user_id\":' || user_id || '}') AS hash FROM events")
 def _(t):
     body = F.to_json(F.struct("event_type", F.col("event_id").alias("seq"), "user_id"), {"ignoreNullFields": "false"})

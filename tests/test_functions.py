@@ -164,3 +164,21 @@ def test_streams(spark, tmp_path):
     q = windows.fold_turns(stream, "conv", "seq", "action", "text").writeStream.outputMode("update").format("memory").queryName("turns").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["conv"], r["body"], r["done"]) for r in spark.table("turns").collect()) == [(1, "z!", True), (2, "q", False)]
+
+
+def test_keyed_hash_and_cursors(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"x" * 100):
+        assert one(spark, tx.keyed_hash(F.lit("é value"), key)) == hmac.new(key, "é value".encode(), hashlib.sha256).hexdigest()
+    assert one(spark, tx.decode_cursor(tx.encode_cursor(F.lit("2024-01-02"), F.lit(7)), "date", "int")) == (datetime.date(2024, 1, 2), 7)
+    for bad in ("", "a", "!!!!", "MTIz", None):
+        assert one(spark, tx.decode_cursor(F.lit(bad).cast("string"), "date", "int")) is None
+
+
+def test_calc_words(spark):
+    assert one(spark, calc.inferred_years(F.lit("FY20"), F.lit("FY24")))["value"] == 4 and one(spark, calc.inferred_years(F.lit("a"), F.lit("b")))["error_code"] == calc.INVALID_YEARS
+    assert one(spark, calc.formula("growth", [calc.operand(F.lit(-80.0), 1), calc.operand(F.lit(1250.0), 1)], F.lit("x"))) == "(1,250.0 − (−80.0)) ÷ |(−80.0)| × 100 = x"
+    assert one(spark, calc.formula("cagr", [F.lit("a"), F.lit("b")], F.lit("x"), F.lit(3))) == "((b ÷ a)^(1 ÷ 3) − 1) × 100 = x"
+    assert one(spark, calc.formula("mean", [F.lit("a"), F.lit("b")], F.lit("x"))) == "(a + b) ÷ 2 = x" and one(spark, calc.as_source(F.lit(1.5), "PCT"))["text"] == "1.5000000000"
