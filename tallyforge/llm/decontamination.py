@@ -23,14 +23,18 @@ from .common import ascii_lower, broadcast_if, row_key, stored
 
 # What separates words, before and after A-Z are lower-cased.
 BREAKS = r"[\x{0}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
-#: Up to so many test terms or windows (about 100 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_TERMS = 200_000
-#: Up to so many candidate documents (about 100 bytes and their few candidates each) are broadcast to the text.
-BROADCAST_DOCS = 20_000
+#: Windows, terms or candidates of up to so many bytes, counted with room for what a hash table adds, are broadcast; more are joined
+#: by shuffle, where Spark splits skewed terms.
+BROADCAST = 32 << 20
 #: The second-rarest list is intersected if it is at most so many times as long; else the words confirm at once.
 WORTH = 64
 
 
+def fits(df: DataFrame, size: Column) -> bool:
+    """Whether rows of this size are few enough to broadcast."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST
+
+
 def pieces(text: Column) -> Column:
     """Words in their own case; an empty string may stand first and last, so places in the array are word positions plus 0 or 1."""
     return F.split(text, BREAKS)
@@ -91,7 +95,7 @@ def intersect(index: DataFrame, probes: DataFrame, small: bool) -> DataFrame:
 def confirm(docs: DataFrame, found: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
     """The candidates whose words all agree: _id, _h, wid, start, n, items."""
     per_doc = stored(found.groupBy("_id", "_h").agg(F.collect_list(F.struct("wid", "start", "n")).alias("found")), "candidates")
-    few = per_doc.count() <= BROADCAST_DOCS
+    few = fits(per_doc, 64 + 32 * F.size("found"))
     k = per_doc.select(F.col("_id").alias("k_id"), F.col("_h").alias("k_h"), "found")
     text = docs.select(*row_key("doc_id", "text"), "text")
     met = text.join(broadcast_if(few, k), (F.col("_h") == F.col("k_h")) & F.col("_id").eqNullSafe(F.col("k_id")))
@@ -109,7 +113,7 @@ def confirm(docs: DataFrame, found: DataFrame, wins: DataFrame, small: bool) ->
 
 def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """Every place where a window's words stand in a document."""
-    small = wins.count() <= BROADCAST_TERMS // 16  # a window brings up to 13 terms
+    small = fits(wins, 2 * F.octet_length("window") + 64 * (F.col("n") + 1) + 16 * F.size("items"))  # as windows, or as terms
     probes = stored(rarest_terms(docs, wins, small), "probes")
     index = stored(postings(docs, probes, small), "postings")
     return confirm(docs, intersect(index, probes, small), wins, small)
@@ -152,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Stored postings of all terms, or of terms(term)."""
-    return stored(tokens(docs) if terms is None else postings(docs, terms, terms.count() <= BROADCAST_TERMS), "postings")
+    return stored(tokens(docs) if terms is None else postings(docs, terms, fits(terms, 2 * F.octet_length("term") + 64)), "postings")
 
 
 def phrase_search(index: DataFrame, phrases: DataFrame) -> DataFrame:

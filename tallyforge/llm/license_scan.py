@@ -21,8 +21,8 @@ from .common import broadcast_if
 #: Up to this many known digests (about 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_DIGESTS = 500_000
 
-# A copyright line; punctuation and white space apart from line ends; spellings held to be equivalent.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|\x{A9}|all rights reserved)[^\n]*"
+# A copyright line, where "(c)" alone may be a clause's letter; punctuation and white space apart from line ends; spellings held to be equivalent.
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)[ \t]*(?:[0-9]{4}|copyright|by )|\x{A9}|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x{0}-\x{9}\x{B}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{BF}\x{2000}-\x{206F}\x{FEFF}]+"
 SPELLINGS = (
     ("licen[cs]e", "license"),
