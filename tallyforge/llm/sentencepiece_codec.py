@@ -22,9 +22,10 @@ import heapq
 import re
 import string
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 from operator import add
 
 import numpy as np
@@ -40,7 +41,7 @@ WORD, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 LEFT, MIDDLE, RIGHT = ([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), k) for i in range(PLACES + 1)] for k in (1, 2, 3))
 _LEFT, _MIDDLE, _RIGHT = (np.array(x, np.uint64) for x in (LEFT, MIDDLE, RIGHT))
 #: Courses that a worker remembers before it starts anew: about 350 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
 #: Characters of texts that are encoded at once.
@@ -182,25 +183,23 @@ class Codec:
         split = [self.units.findall(" " + t) if t else [] for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
         units = [*chain.from_iterable(split)]
-        course = [*map(met.root.get, units)]
         keys = self._keys(texts, n) if self.below else np.zeros(len(units), np.uint64)
-        missing = [i for i, c in enumerate(course) if c is None or c < 0]
-        if missing:
-            places: dict[str, list[int]] = {}
-            for i in missing:
-                places.setdefault(units[i], []).append(i)
+        course = np.fromiter(map(met.root.get, units, repeat(-2)), np.int64, len(units))
+        missing = np.flatnonzero(course < 0)
+        if len(missing):
+            names = [units[i] for i in missing.tolist()]
+            times = Counter(names)
+            once = np.fromiter(map(times.__getitem__, names), np.int64, len(names)) == 1
+            long = np.fromiter(map(len, names), np.int64, len(names)) > SHORT
             # a unit that comes up the first time, and once, takes its own draws right away, and so does a long one
-            drawn_now = lambda u: self.below and (len(u) > SHORT or len(places[u]) == 1 and u not in met.root)
-            alone, again = [u for u in places if drawn_now(u)], [u for u in places if not drawn_now(u)]
-            met.root |= zip(again, self._courses(again, [()] * len(again)).tolist())
-            for u in again:
-                for i in places[u]:
-                    course[i] = met.root[u]
-            drawn = [i for u in alone for i in places[u]]
-            for i, c in zip(drawn, self._courses([units[i] for i in drawn], None, keys[drawn]).tolist()):
-                course[i] = c
-            met.root |= zip((u for u in alone if len(u) <= SHORT), repeat(-1))
-        end = self._ends(np.array(course, np.int64), keys)
+            alone = (long | once & (course[missing] == -2)) & (self.below > 0)
+            met.root.update(zip(compress(names, (alone & ~long).tolist()), repeat(-1)))
+            drawn, again = [*compress(names, alone.tolist())], [*compress(names, (~alone).tolist())]
+            new = [*dict.fromkeys(again)]
+            met.root.update(zip(new, self._courses(new, [()] * len(new)).tolist()))
+            course[missing[~alone]] = np.fromiter(map(met.root.__getitem__, again), np.int64, len(again))
+            course[missing[alone]] = self._courses(drawn, None, keys[missing[alone]])
+        end = self._ends(course, keys)
         many = met.many_ids.data[end]
         upto = np.cumsum(many)
         place = np.arange(upto[-1] if len(upto) else 0) + np.repeat(met.first_id.data[end] - (upto - many), many)
@@ -238,53 +237,63 @@ class Codec:
         """
         m, n = symbols.shape
         none = self.none
-        rank = np.full((m, n), none, np.int32)
-        after = np.tile(np.arange(1, n + 1), (m, 1))
-        before = np.tile(np.arange(-1, n - 1), (m, 1))
-
-        def makes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            pair = left.astype(np.int64) * none + right
-            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            return np.where(self.pairs[place] == pair, self.makes[place], none)
+        base, symbol = np.arange(m) * n, symbols.ravel()
+        # by row and place: the piece that the pair makes, its rank, the symbols beside
+        makes, rank = np.full(m * n, none, np.int32), np.full(m * n, none, np.int32)
+        after = np.tile(np.arange(1, n + 1), m)
+        before = np.tile(np.arange(-1, n - 1), m)
+        alive = np.ones(m * n, bool)
+
+        def pair(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            both = left.astype(np.int64) * none + right
+            place = np.searchsorted(self.pairs, both)
+            place[place == len(self.pairs)] = 0
+            makes[at] = made = np.where(self.pairs.take(place) == both, self.makes.take(place), none)
+            rank[at] = self.rank_of_id.take(made)
 
         if n > 1:
-            rank[:, :-1] = self.rank_of_id[makes(symbols[:, :-1], symbols[:, 1:])]
-        alive = np.ones((m, n), bool)
+            at = np.flatnonzero(after < n)
+            pair(at, symbol[at], symbol[at + 1])
         most = 1 + max(map(len, skips))
         to_skip = np.array([s + (-1,) * (most - len(s)) for s in skips])
         skipped, came = np.zeros(m, np.int64), np.zeros(m, np.int64)
         rows, found = np.arange(m), []
         while len(rows):
-            at = rank[rows].argmin(axis=1)
-            on = rank[rows, at] < none
-            rows, at = rows[on], at[on]
-            middle = after[rows, at]
-            end = after[rows, middle]
+            at = rank.reshape(m, n).take(rows, axis=0).argmin(axis=1)
+            first = base.take(rows)
+            here = first + at
+            on = rank.take(here) < none
+            if not on.all():
+                rows, at, first, here = rows[on], at[on], first[on], here[on]
+            middle = after.take(here)
+            there = first + middle
+            end = after.take(there)
             if self.below:
-                candidate = _LEFT[at] ^ _MIDDLE[middle] ^ _RIGHT[end]
+                candidate = _LEFT.take(at) ^ _MIDDLE.take(middle) ^ _RIGHT.take(end)
                 if keys is not None:
-                    forced = (keys[rows] ^ candidate) * np.uint64(SPREAD) < np.uint64(self.below)
+                    forced = (keys.take(rows) ^ candidate) * np.uint64(SPREAD) < np.uint64(self.below)
                 else:
-                    turn = to_skip[rows, skipped[rows]]
-                    forced = turn == came[rows]
+                    turn = to_skip[rows, skipped.take(rows)]
+                    forced = turn == came.take(rows)
                     found.append((rows[turn < 0], candidate[turn < 0]))
                     came[rows] += 1
                     skipped[rows] += forced
-                rank[rows[forced], at[forced]] = none
-                who, at, middle, end = rows[~forced], at[~forced], middle[~forced], end[~forced]
-            else:
-                who = rows
-            symbols[who, at] = makes(symbols[who, at], symbols[who, middle])
-            alive[who, middle] = False
-            rank[who, middle] = none
-            after[who, at] = end
-            for left in (at, before[who, at]):
-                right = after[who, left]
-                pair = (left >= 0) & (right < n)
-                w, i, j = who[pair], left[pair], right[pair]
-                before[w, j] = i
-                rank[w, i] = self.rank_of_id[makes(symbols[w, i], symbols[w, j])]
-                rank[who[right >= n], left[right >= n]] = none
+                if forced.any():
+                    rank[here[forced]] = none
+                    at, first, here, there, end = at[~forced], first[~forced], here[~forced], there[~forced], end[~forced]
+            symbol[here] = new = makes.take(here)
+            alive[there] = False
+            rank[there] = rank[here] = none
+            after[here] = end
+            has = end < n
+            beside = (first + end)[has]
+            before[beside] = at[has]
+            pair(here[has], new[has], symbol.take(beside))
+            left = before.take(here)
+            has = left >= 0
+            beside = (first + left)[has]
+            pair(beside, symbol.take(beside), new[has])
+        alive, symbols = alive.reshape(m, n), symbol.reshape(m, n)
         who, what = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
         return what[np.argsort(who, kind="stable")], np.bincount(who, minlength=m), symbols[alive], alive.sum(axis=1)
 
