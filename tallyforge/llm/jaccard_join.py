@@ -42,7 +42,7 @@ OFTEN = 8
 #: Bytes of text for which there is a bucket.
 BUCKET = 6 << 20
 #: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
-ROUNDS, MANY = 8, 4
+ROUNDS, MANY = 3, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -227,14 +227,18 @@ def _possible(x: str, y: str) -> Column:
 def _connected(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> label, to: one name for all labels of a component.
 
-    Each step moves every label to the least of its neighbours, by the order of pivots first and by a hash of the step's number
-    later, so components shrink to about a half; at the end the moves are followed backwards.
+    Each step moves every label to one of its neighbours or leaves it: by turns to the neighbour with most neighbours, which
+    ends stars at once, and to the least by a hash of the step's number, which halves chains. At the end the moves are followed
+    backwards.
     """
     moves: list[DataFrame] = []
     while True:
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("v"))
+        step = len(moves)
         near = edges.select(F.col("a").alias("label"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("label"), F.col("a").alias("to")))
-        moved = stored(near.groupBy("label").agg(F.min(order("to")).alias("m")).select("label", F.least("m", order("label"))["v"].alias("to")), "moved")
+        known = near.groupBy("label").agg(F.count(F.lit(1) if step % 2 == 0 else F.lit(None)).alias("c"))
+        order = lambda c, v: F.struct((-F.col(c)).alias("c"), F.xxhash64(v, F.lit(step)).alias("h"), F.col(v).alias("v"))
+        best = near.join(known.select(F.col("label").alias("to"), F.col("c").alias("to_c")), "to").groupBy("label").agg(F.min(order("to_c", "to")).alias("m"))
+        moved = stored(best.join(known, "label").select("label", F.least("m", order("c", "label"))["v"].alias("to")), "moved")
         moves.append(moved)
         side = lambda c: moved.select(F.col("label").alias(c), F.col("to").alias(f"t{c}"))
         edges = stored(edges.join(side("a"), "a").join(side("b"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
@@ -340,19 +344,19 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
 
     labels = merged(known.select("rep", "least", F.col("rep").alias("label")), stored(_verified(_first_pairs(lists, members), nodes).unionAll(ties), "found"))
     listed = lists.count()
-    for seed in range(1, ROUNDS + 1):
+    for seed in range(1, ROUNDS + 2):
         here = members.join(labels, "rep")
         groups = here.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("rep") == F.col("gid"), F.col("label"))).alias("label"))
         mixed = _mixed(lists.join(groups.withColumnRenamed("gid", "id"), "id"))
-        inside = _mixed(here.select(F.col("gid").alias("key"), F.col("rep").alias("id"), "n", F.lit(0).alias("i"), "label", F.col("label").alias("lo"), F.col("label").alias("hi")))
         by_key = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr(MINOR)).alias("minor"))
         left = by_key.agg(F.sum(F.col("all") * F.col("minor"))).first()[0] or 0
-        if left <= MANY * listed or seed == ROUNDS:
+        if left <= MANY * listed or seed > ROUNDS:
             break
         edges = stored(_verified(_more_pairs(mixed, seed), nodes), "found")
         if edges.isEmpty():
             break
-        labels = merged(labels, edges)
+        labels, lists = merged(labels, edges), mixed.select("key", "id", "n", "i")  # lists with one label stay so
+    inside = _mixed(here.select(F.col("gid").alias("key"), F.col("rep").alias("id"), "n", F.lit(0).alias("i"), "label", F.col("label").alias("lo"), F.col("label").alias("hi")))
     if left or not inside.isEmpty():
         labels = merged(labels, _rest(mixed, inside, here, nodes))
 
