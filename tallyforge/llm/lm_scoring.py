@@ -41,7 +41,7 @@ from .packed import DEALT, bucket_of, grouped, joined48, low48, rows, together,
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space in it
 #: Tokens of a stretch, unless one document has more, and bytes of text for which there is a bucket.
-STRETCH, BUCKET = 1_000_000, 8 << 20
+STRETCH, BUCKET = 500_000, 8 << 20
 STATE = "batch bigint, n bigint, data binary"
 
 
@@ -62,6 +62,11 @@ def mixed(c: np.ndarray, s: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, learn, ask) -> a row of STATE for each stretch, n its training tokens."""
     number = TaskContext.get().partitionId() << 32
@@ -76,7 +81,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.ones(len(codes), bool)
         inside[np.cumsum(lengths) - 1] = False
         codes[inside] = place[coded.indices.to_numpy()]
-        data = (ids, np.array(learn), np.array(ask), lengths, words, codes.astype(np.uint16), (codes >> 16).astype(np.uint16))
+        data = (ids, np.array(learn), np.array(ask), lengths, words, codes.astype(np.uint16), _narrow(codes >> 16))
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(lengths[np.array(learn)].sum())]), pa.array([pickle.dumps(data, 5)], pa.binary())], ["batch", "n", "data"])
 
     for batch in batches:
@@ -115,19 +120,25 @@ class Stretch:
         self._extend()
         for round_, answer in enumerate(map(unpacked, told)):
             if round_:
-                self.weights.append(answer[0])
+                weights = np.zeros(len(self.keys[round_ - 1]))
+                weights[self.in_model(round_)] = answer[0]
+                self.weights.append(weights)
             for count in answer[1 if round_ else 0 :]:
-                self.counts.append(count >> 1)
+                self.counts.append((count >> 1).astype(np.int64))
                 self.tells.append(count & 1 == 1)
             if len(self.counts) == len(self.keys) < settings.order:
                 self._extend()
 
+    def in_model(self, order: int) -> np.ndarray:
+        """By n-gram, whether the model has it."""
+        return self.counts[order - 1] >= (1 if order == 1 else self.settings.least)
+
     def kept(self, order: int) -> np.ndarray:
         """Per place, whether the n-gram that ends there is in the model."""
         at = self.at[order - 1]
         if len(self.counts) < order:
             return at >= 0
-        return (at >= 0) & _taken(self.counts[order - 1] >= (1 if order == 1 else self.settings.least), at)
+        return (at >= 0) & _taken(self.in_model(order), at)
 
     def _extend(self) -> None:
         """The n-grams of the next order: those whose parts are kept, as far as is known."""
@@ -185,10 +196,11 @@ class Stretch:
 def _asks(stretch: Stretch, round_: int, base: np.ndarray) -> list[tuple]:
     """(keys, values...) of a round: contexts with what is told of them, n-grams with their counts."""
     if round_ == 0:
-        return [(stretch.keys[order - 1], stretch.counted(order)) for order in (1, 2)]
-    asks = [(stretch.keys[round_ - 1], *stretch.told_contexts(round_, base))]
+        return [(stretch.keys[order - 1], _narrow(stretch.counted(order))) for order in (1, 2)]
+    contexts = stretch.in_model(round_)
+    asks = [tuple(x[contexts] for x in (stretch.keys[round_ - 1], *stretch.told_contexts(round_, base)))]
     if round_ + 2 <= stretch.settings.order:
-        asks.append((stretch.keys[round_ + 1], stretch.counted(round_ + 2)))
+        asks.append((stretch.keys[round_ + 1], _narrow(stretch.counted(round_ + 2))))
     return asks
 
 
@@ -198,8 +210,9 @@ def _answer(bucket: int, parts: list[tuple[int, list]], first_round: bool) -> It
     for kind, asked in enumerate(zip(*(p for _, p in parts))):
         keys = np.concatenate([joined48(*a[:2]) for a in asked])
         order, first, times = grouped(keys)
-        sums = [np.add.reduceat(np.concatenate([a[v] for a in asked])[order], first) if len(keys) else np.empty(0) for v in range(2, len(asked[0]))]
-        out = np.empty(len(keys), np.int64 if len(sums) == 1 else np.float64)
+        kind_of = np.int64 if len(asked[0]) == 3 else np.float64
+        sums = [np.add.reduceat(np.concatenate([a[v] for a in asked]).astype(kind_of)[order], first) if len(keys) else np.empty(0, kind_of) for v in range(2, len(asked[0]))]
+        out = np.empty(len(keys), kind_of)
         if len(sums) == 1:
             out[order] = np.repeat(2 * sums[0], times)
             out[order[first]] += 1
@@ -236,7 +249,7 @@ def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int,
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, mine in together(batches, "batch"):
             got = [unpacked(r[3]) for r in mine]
-            n, data = (sum(got), None) if number < 0 else (None, pickle.dumps([np.concatenate(x) for x in zip(*got)], 5))
+            n, data = (sum(got), None) if number < 0 else (None, pickle.dumps([_narrow(y) if (y := np.concatenate(x)).dtype == np.int64 else y for x in zip(*got)], 5))
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["batch", "n", "data"])
 
     asked = state.mapInArrow(ask, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
