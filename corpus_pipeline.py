@@ -13,14 +13,10 @@ from tallyforge.llm import decontamination, jaccard_join, language_id, sentencep
 from tallyforge.llm.common import stored
 from tallyforge.llm.queries import DROPOUT, MODEL_FILE, SEED
 
-#: A prediction surer than this names the language; with equal bits in every language nothing can be said.
-MIN_SCORE = 0.3
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: no letter at all, or no language ahead of the others."""
-    known = language_id.identify(docs, docs.select("text", "lang"))
-    return known.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Drops documents without a recognisable language: null texts, and texts without any letter."""
+    known = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), docs.select("text", "lang"))
+    return known.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +35,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more stand in windows of benchmark items."""
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    bad = found.select(F.col("doc_id").alias("_b"), "row_hash").distinct()
-    return docs.join(bad, (F.xxhash64("doc_id", "text") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("_b")), "left_anti")
+    bad = found.select("doc_id", "row_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    return rows.join(bad, (F.col("hash") == F.col("row_hash")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
