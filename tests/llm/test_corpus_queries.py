@@ -44,6 +44,38 @@ def test_op2_without_dropout_is_the_library(spark, docs):
         assert codec.encode_batch([text]).to_pylist()[0] == model.encode(text)
 
 
+def test_op2_brute_force(spark, data, docs):
+    """All texts by a plain agenda: the best pair left comes up, and is merged or skipped as its hash says."""
+    m = sentencepiece_codec
+    v = m.Vocabulary.load(q.MODEL_FILE)
+    codec, below = m.Codec(v, q.DROPOUT, q.SEED), int(q.DROPOUT * 2**64)
+    id_of = {v.pieces[i]: i for i in range(v.first_piece, len(v.pieces))}
+
+    def plain(text):
+        ids, units = [], codec.units.findall(" " + text)
+        for unit, key in zip(units, codec.keys(text, len(units))):
+            part = [("▁" if c == " " else c, i, i + 1) for i, c in enumerate(unit)]
+            skipped = set()
+            while True:
+                pairs = [(v.ranks[id_of[a[0] + b[0]]], k) for k, (a, b) in enumerate(zip(part, part[1:])) if a[0] + b[0] in id_of and (a[1], b[1], b[2]) not in skipped]
+                if not pairs:
+                    break
+                k = min(pairs)[1]
+                (x, i, j), (y, _, end) = part[k], part[k + 1]
+                if (key ^ m.LEFT[i & m.PLACES] ^ m.MIDDLE[j & m.PLACES] ^ m.RIGHT[end & m.PLACES]) * m.SPREAD % 2**64 < below:
+                    skipped.add((i, j, end))
+                else:
+                    part[k : k + 2] = [(x + y, i, end)]
+            for s, _, _ in part:
+                ids += [id_of[s]] if s in id_of else [v.first_byte + b for b in s.encode()]
+        return ids
+
+    sp = m.SentencePiece(spark, q.MODEL_FILE, q.DROPOUT, q.SEED)
+    got = {r["doc_id"]: list(r["ids"]) for r in m.encode_documents(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), sp).collect()}
+    short = [(i, t) for i, t, _ in docs if len(t) < 20_000]
+    assert len(short) > 0.9 * len(docs) and all(got[i] == plain(t) for i, t in short)
+
+
 def test_op3_held_out_accuracy(spark, data, docs):
     rows = {r["doc_id"]: r for r in q.op3_language_id(spark, data).collect()}
     assert len(rows) == len(docs)
