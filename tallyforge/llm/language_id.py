@@ -3,7 +3,9 @@
 Per language, a suffix automaton is built of labelled text. A text is parsed against each: the longest piece that occurs
 in the language's text is one phrase, then parsing starts afresh. Related text is cut into few long phrases, so the
 language with the fewest phrases, normalised to bits per letter by the size of its text (phrases * log2(size) / letters),
-wins. Texts are parsed whole, in stretches of a fixed length, so many stretches advance through the automata together.
+wins. Texts are parsed whole. Stretches of them advance through the automata together, each as if a phrase began there; then each
+is entered anew in the state that its predecessor ended in, until the two ways meet, which they do within a few phrases,
+and so on from stretches where they don't. The phrases are those of one parse from the text's beginning to its end.
 
 Fitting takes a bounded sample: of each language ``sample_docs`` distinct labelled texts, the first by hash, so neither
 the order of rows nor copies matter, and of each a stretch of ``sample_chars`` characters from a hashed place in it, so
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
-#: Characters of a stretch; stretches parsed together; languages with a full sample (beyond, samples shrink, so tables stay bounded).
-STRETCH, TOGETHER, MOST_LANGUAGES = 256, 16384, 128
+#: Characters of a stretch; languages with a full sample (beyond, samples shrink, so tables stay bounded).
+STRETCH, MOST_LANGUAGES = 256, 128
 #: Characters that are looked up at once.
 AT_ONCE = 2_000_000
 #: How sharply a difference in bits per letter turns into confidence.
@@ -77,26 +79,31 @@ class CrossParser:
         self.letters = "".join(letters)
         self.width = len(letters) + 2  # a space or anything else is 0, letters follow, the last is a letter unseen in fitting
         of = {c: i + 1 for i, c in enumerate(letters)} | {" ": 0}
-        self.sizes, self.tables = [], []
+        self.sizes, self.tables, self.narrow = [], [], []
         for k in self.languages:
             symbols = [of[c] for c in " ".join(" ".join(folded[k]).split())]
+            own = sorted(set(symbols) - {0})  # a language's table has columns for its own letters only
+            narrow = np.full(self.width, len(own) + 1, np.int32)
+            narrow[[0, *own]] = np.arange(len(own) + 1)
+            self.narrow.append(narrow)
             self.sizes.append(max(2, len(symbols)))
-            self.tables.append(self._table(suffix_automaton(symbols)))
+            self.tables.append(self._table(suffix_automaton(narrow[symbols].tolist()), len(own) + 2))
 
-    def _table(self, arcs: list[dict[int, int]]) -> np.ndarray:
+    @staticmethod
+    def _table(arcs: list[dict[int, int]], width: int) -> np.ndarray:
         """Per state and symbol: four times the place of the next state's row, plus the phrases that end there.
 
         Where a state lacks the symbol its phrase ends and the symbol starts the next; one that even the start lacks is a
         phrase by itself.
         """
-        start = np.ones(self.width, np.int32)
+        start = np.ones(width, np.int32 if len(arcs) * width < 1 << 29 else np.int64)
         for c, to in arcs[0].items():
-            start[c] = to * self.width * 4
+            start[c] = to * width * 4
         table = np.tile(start + 1, (len(arcs), 1))
         table[0] = start
         for state, out in enumerate(arcs):
             for c, to in out.items():
-                table[state, c] = to * self.width * 4
+                table[state, c] = to * width * 4
         return table.ravel()
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -135,27 +142,49 @@ class CrossParser:
         return langs, scores
 
     def _bits(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per language and text: phrases times log2 of the language's size. symbols: of all texts in a row."""
         counts = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(sizes)), counts)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = np.repeat(np.cumsum(sizes) - sizes, counts) + within * STRETCH
         length = np.minimum(STRETCH, sizes[owner] - within * STRETCH)
-        order = np.argsort(-length, kind="stable")
         out = np.zeros((len(self.languages), len(sizes)))
-        padded = np.append(symbols, np.zeros(STRETCH, symbols.dtype))
-        for a in range(0, len(order), TOGETHER):
-            lanes = order[a : a + TOGETHER]
-            block = padded[begin[lanes][None, :] + np.arange(length[lanes[0]])[:, None]].astype(np.int32)
-            active = len(lanes) - np.searchsorted(length[lanes][::-1], np.arange(block.shape[0]), side="right")
-            for k, table in enumerate(self.tables):
-                at, phrases = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
-                for t in range(block.shape[0]):
-                    n = active[t]
-                    step = table.take(at[:n] + block[t, :n])
-                    phrases[:n] += step & 3
-                    at[:n] = step >> 2
-                phrases += at != 0  # the phrase still open
-                np.add.at(out[k], owner[lanes], phrases * math.log2(self.sizes[k]))
+        for k, (table, narrow) in enumerate(zip(self.tables, self.narrow)):
+            mine = narrow[symbols]
+            state, ended = np.empty(len(mine), table.dtype), np.empty(len(mine), np.int8)
+            lanes = np.argsort(-length, kind="stable")
+            at = np.zeros(len(lanes), table.dtype)
+            active = len(lanes) - np.searchsorted(length[lanes][::-1], np.arange(STRETCH), side="right")
+            for t in range(int(length.max(initial=0))):
+                place = begin[lanes[: active[t]]] + t
+                step = table.take(at[: active[t]] + mine[place])
+                ended[place] = step & 3
+                state[place] = at[: active[t]] = step >> 2
+            last = begin + length - 1
+            lanes = np.flatnonzero(within > 0)
+            lanes = lanes[state[last[lanes - 1]] != 0]
+            while len(lanes):  # entered in the state before, until the ways meet
+                at, again = state[last[lanes - 1]], []
+                for t in range(STRETCH):
+                    over = length[lanes] <= t
+                    if over.any():  # the way changed to the end of the stretch, so its successor's begins elsewhere
+                        again.append(lanes[over])
+                        lanes, at = lanes[~over], at[~over]
+                    if not len(lanes):
+                        break
+                    place = begin[lanes] + t
+                    step = table.take(at + mine[place])
+                    ended[place] = step & 3
+                    met = state[place] == step >> 2
+                    state[place] = step >> 2
+                    lanes, at = lanes[~met], (step >> 2)[~met]
+                again = np.concatenate([*again, lanes]) + 1
+                again = again[again < len(owner)]
+                lanes = again[within[again] > 0]
+            phrases = np.add.reduceat(ended.astype(np.int64), begin[within == 0]) if len(owner) else np.zeros(0, np.int64)
+            some = np.flatnonzero(counts)
+            ends = last[np.cumsum(counts)[some] - 1]
+            out[k, some] = (phrases + (state[ends] != 0)) * math.log2(self.sizes[k])
         return out
 
 

@@ -312,3 +312,33 @@ def test_html_markup_as_found():
     assert text("<article><p>Text</p><section id='search'><p>Of search</p></section><p class='related work'>Also</p></article><article class='comment'><p>me too</p></article>") == ["Text", "Of search", "Also"]
     long = "<div>" * 20_000 + "<p>deep</p>" + "<p a='" * 2_000
     assert text(long)[0] == "deep"
+
+
+def test_cross_parse_of_long_texts():
+    """One parse from beginning to end, however long the text and its phrases are, and languages with letters of their own."""
+    import random
+
+    import numpy as np
+
+    draw = random.Random(7)
+    train = {"a": "".join(draw.choice("ab ") for _ in range(3000)).replace("  ", " "), "b": "xyz " * 300 + "ab", "c": "字語文 " * 40}
+    parser = language_id.CrossParser({k: [v] for k, v in train.items()})
+    texts = ["".join(draw.choice("ab ") for _ in range(10_000)), "xyz " * 2_000, "xyz " * 64 + "q" + train["a"] * 3, "b" * 700, "字語文 字 ab" * 100, "", "ab"]
+    folded = [" ".join("".join(c if c.isalpha() else " " for c in t).split(" ")) for t in texts]
+    symbols, sizes = [], []
+    for t in folded:
+        while "  " in t:
+            t = t.replace("  ", " ")
+        symbols.append(language_id._classes(parser.letters, parser.width)[0][np.frombuffer(t.encode("utf-32-le"), np.uint32)])
+        sizes.append(t)
+    got = parser._bits(np.concatenate(symbols), np.array([len(t) for t in sizes]))
+    for k, lang in enumerate(parser.languages):
+        known = " ".join(train[lang].split())
+        for i, t in enumerate(sizes):
+            n = at = 0
+            while at < len(t):
+                end = at
+                while end < len(t) and t[at : end + 1] in known:
+                    end += 1
+                n, at = n + 1, max(end, at + 1)
+            assert round(got[k, i] / np.log2(parser.sizes[k])) == n, (lang, i)
