@@ -118,7 +118,8 @@ class Stretch:
         self.keys, self.at = [words], [code]  # by order; at: -1 where no n-gram of the order ends
         self.counts, self.tells, self.weights = [], [], []
         self._extend()
-        for round_, answer in enumerate(map(unpacked, told)):
+        for round_, parts in enumerate(map(unpacked, told)):
+            answer = [*map(np.concatenate, parts)]
             if round_:
                 weights = np.zeros(len(self.keys[round_ - 1]))
                 weights[self.in_model(round_)] = answer[0]
@@ -222,7 +223,7 @@ def _answer(bucket: int, parts: list[tuple[int, list]], first_round: bool) -> It
             left = [np.maximum(1 - s, 1e-12) for s in sums]  # positive but for rounding: lower orders leave mass to words never seen
             out[order] = np.repeat(np.where(sums[0] > 0, np.log10(left[0] / left[1]), 0.0), times)
         for mine, x in zip(answers, np.split(out, np.cumsum([len(a[0]) for a in asked])[:-1])):
-            mine.append(x)
+            mine.append(_narrow(x) if kind_of is np.int64 else x)
     for (number, _), mine in zip(parts, answers):
         yield bucket, number, False, mine
 
@@ -249,7 +250,7 @@ def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int,
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, mine in together(batches, "batch"):
             got = [unpacked(r[3]) for r in mine]
-            n, data = (sum(got), None) if number < 0 else (None, pickle.dumps([_narrow(y) if (y := np.concatenate(x)).dtype == np.int64 else y for x in zip(*got)], 5))
+            n, data = (sum(got), None) if number < 0 else (None, pickle.dumps([*zip(*got)], 5))  # by bucket, as narrow as they came
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["batch", "n", "data"])
 
     asked = state.mapInArrow(ask, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
