@@ -8,7 +8,8 @@ are filtered by size and place, and only what they leave is expanded to members
 texts is lost, and pairs are not enumerated inside what is already known to be connected:
 
 1. Every group's representative is compared with the pivot that most of its lists agree upon, members with their group's.
-2. As long as lists with several labels have many pairs left, what is outside a list's commonest label meets pivots of it.
+2. While lists with several labels have many pairs left, and each round halves them, what is outside a list's commonest label meets
+   pivots of it.
 3. The rest: in lists and groups that still hold several labels, all pairs of different labels that pass the filters.
 
 Counting. Stretches of whole documents deal their shingles out to buckets, each bucket counts, and what is met twice goes back
@@ -344,14 +345,16 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
 
     labels = merged(known.select("rep", "least", F.col("rep").alias("label")), stored(_verified(_first_pairs(lists, members), nodes).unionAll(ties), "found"))
     listed = lists.count()
+    before = float("inf")
     for seed in range(1, ROUNDS + 2):
         here = members.join(labels, "rep")
         groups = here.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("rep") == F.col("gid"), F.col("label"))).alias("label"))
         mixed = _mixed(lists.join(groups.withColumnRenamed("gid", "id"), "id"))
         by_key = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr(MINOR)).alias("minor"))
         left = by_key.agg(F.sum(F.col("all") * F.col("minor"))).first()[0] or 0
-        if left <= MANY * listed or seed > ROUNDS:
+        if left <= MANY * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
             break
+        before = left
         edges = stored(_verified(_more_pairs(mixed, seed), nodes), "found")
         if edges.isEmpty():
             break
