@@ -34,7 +34,9 @@ UNKNOWN = "und"
 #: Characters of a stretch; languages with a full sample (beyond, samples shrink, so tables stay bounded).
 STRETCH, MOST_LANGUAGES = 256, 128
 #: Characters that are looked up at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Texts that a worker holds as strings at once.
+SLICE = 256
 #: How sharply a difference in bits per letter turns into confidence.
 SHARPNESS = 6.0
 
@@ -241,7 +243,10 @@ def predict(df: DataFrame, parser: CrossParser, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def parse(texts: pa.Array) -> pa.Array:
-        langs, scores = shared.value.predict(texts.to_pylist())
+        langs, scores = [], []
+        for a in range(0, len(texts), SLICE):
+            some = shared.value.predict(texts.slice(a, SLICE).to_pylist())
+            langs, scores = langs + some[0], scores + some[1]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return parse(text)

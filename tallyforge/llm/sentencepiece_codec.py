@@ -44,7 +44,8 @@ _LEFT, _MIDDLE, _RIGHT = (np.array(x, np.uint64) for x in (LEFT, MIDDLE, RIGHT))
 REMEMBERED = 600_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
-#: Characters of texts that are encoded at once.
+#: Texts that a worker holds as strings at once, and their characters that are encoded at once.
+SLICE = 1024
 AT_ONCE = 2_000_000
 
 
@@ -436,11 +437,14 @@ class SentencePiece:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            return _codec(shared, *how).encode_batch(texts.to_pylist())
+            codec = _codec(shared, *how)
+            parts = [codec.encode_batch(texts.slice(a, SLICE).to_pylist()) for a in range(0, len(texts), SLICE)]
+            return pa.concat_arrays(parts) if parts else codec.encode_batch([])
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            return _codec(shared, *how).decode_batch(ids)
+            parts = [_codec(shared, *how).decode_batch(ids.slice(a, SLICE)) for a in range(0, len(ids), SLICE)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
         self._encode, self._decode = encode, decode
 
