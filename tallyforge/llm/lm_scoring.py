@@ -254,8 +254,11 @@ def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["batch", "n", "data"])
 
     asked = state.mapInArrow(ask, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    told = asked.mapInArrow(answer, DEALT).repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
-    return bucketed(told.mapInArrow(tell, STATE), "batch", parts, "told")
+    answered = stored(asked.mapInArrow(answer, DEALT), "answers")  # the questions go before the answers are sorted
+    told = answered.repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
+    out = bucketed(told.mapInArrow(tell, STATE), "batch", parts, "told")
+    discard(answered)
+    return out
 
 
 def _base(stretch: Stretch, totals: tuple[int, int]) -> np.ndarray:
