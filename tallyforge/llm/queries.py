@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, topk_search, url_filter
+from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, topk_search, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,6 +196,12 @@ SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS text_sha256, k.found A
 FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN hits h ON h.n = d.n
 """
 
+# --- 11: embedding whitening ------------------------------------------------------------------------------------
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 32)
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -204,7 +210,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op7_html_extraction, op8_lm_scoring, op9_topk_search, op10_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op7_html_extraction, op8_lm_scoring, op9_topk_search, op10_license_scan, op11_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
