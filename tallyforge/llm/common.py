@@ -80,6 +80,31 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """Tables written on the way. They are deleted when the scope ends, those that are dropped sooner at once."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete one of the scope's tables that no later plan reads; others stay."""
+        if any(t is table for t in self.tables):
+            self.tables = [t for t in self.tables if t is not table]
+            discard(table)
+
+    def __exit__(self, *_) -> None:
+        for table in self.tables:
+            discard(table)
+        self.tables = []
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,12 +5,7 @@ of documents that have them: two sets at the threshold share a shingle of their
 more. So a document with enough shingles of its own has no partner, and of the others only the shingles that are met
 elsewhere are listed. Classes with the same size and prefix are one group; prefixes are listed once a group, pairs of groups
 are filtered by size and place, and only what they leave is expanded to members and verified. No link between different
-texts is lost, and pairs are not enumerated inside what is already known to be connected:
-
-1. Every group's representative is compared with the pivot that most of its lists agree upon, members with their group's.
-2. While lists with several labels have many pairs left, and each round halves them, what is outside a list's commonest label meets
-   pivots of it.
-3. The rest: in lists and groups that still hold several labels, all pairs of different labels that pass the filters.
+texts is lost, and pairs are not enumerated inside what is already known to be connected (see ``linking``).
 
 Counting. Stretches of whole documents deal their shingles out to buckets, each bucket counts, and what is met twice goes back
 to its stretch, packed in arrays: a shingle that a stretch has often is asked for once. Shingles are told apart by bucket and
@@ -33,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, stored
+from . import linking
+from .common import Scratch, shuffle_partitions, stored
+from .linking import Similarity
 from .packed import DEALT, LOW, bucket_of, grouped, joined48, low48, rows, together, unpacked
 
 #: Shingles and sets that a stretch holds at most, unless one document has more; sets are numbered by 16 bits.
@@ -42,8 +39,6 @@ STRETCH, SETS = 1_000_000, 60_000
 OFTEN = 8
 #: Bytes of text for which there is a bucket.
 BUCKET = 6 << 20
-#: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
-ROUNDS, MANY = 3, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -149,7 +144,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCAN = "doc_id bigint, n int, d1 bigint, d2 bigint, u int, p1 bigint, prefix array<bigint>, keys binary"
 
 
-def _scanned(buckets: int):
+def _scanned(buckets: int, similarity: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, mine in together(batches, "batch"):
             head = next(unpacked(r[3]) for r in mine if r[2])
@@ -174,7 +169,7 @@ def _scanned(buckets: int):
         order = np.lexsort((keys, met, owner))
         keys, ends = keys[order], np.searchsorted(owner[order], np.arange(len(n) + 1))
         u = n - np.diff(ends)
-        long = n - (3 * n + 3) // 4 + 1
+        long = similarity.prefix(n)
         some = np.flatnonzero((n > 0) & (u < long))
         for a in range(0, len(some), 2048):
             c = some[a : a + 2048]
@@ -191,180 +186,45 @@ def _scanned(buckets: int):
     return run
 
 
-# -- comparing
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(la, lb, na, nb, keys_a, keys_b) -> the linked (a, b) by label. What two sets share is met twice, so it is among the keys."""
-    for batch in batches:
-        ok = []
-        both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-        for x, y, n in zip(batch.column("keys_a"), batch.column("keys_b"), both.tolist()):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(s) > len(t):
-                s, t = t, s
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            ok.append(7 * int(np.count_nonzero(t[at] == s)) >= 3 * n)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("la", "lb")], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones.
-
-    The pivot b comes first: there many narrow rows meet one set. Then each document meets its own, evenly.
-    """
-    side = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("la", "lb", "na", "nb", "keys_a", "keys_b").mapInArrow(_compare, "a bigint, b bigint").distinct()
-
-
-def _possible(x: str, y: str) -> Column:
-    """Size and place filters of a pair that meets in a list: the shingles from there on must suffice."""
-    rest = f"least({x}.n - {x}.i, {y}.n - {y}.i)"
-    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and 7 * {rest} >= 3 * ({x}.n + {y}.n)")
-
-
-def _connected(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> label, to: one name for all labels of a component.
-
-    Each step moves every label to one of its neighbours or leaves it: by turns to the neighbour with most neighbours, which
-    ends stars at once, and to the least by a hash of the step's number, which halves chains. At the end the moves are followed
-    backwards.
-    """
-    moves: list[DataFrame] = []
-    while True:
-        step = len(moves)
-        near = edges.select(F.col("a").alias("label"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("label"), F.col("a").alias("to")))
-        known = near.groupBy("label").agg(F.count(F.lit(1) if step % 2 == 0 else F.lit(None)).alias("c"))
-        order = lambda c, v: F.struct((-F.col(c)).alias("c"), F.xxhash64(v, F.lit(step)).alias("h"), F.col(v).alias("v"))
-        best = near.join(known.select(F.col("label").alias("to"), F.col("c").alias("to_c")), "to").groupBy("label").agg(F.min(order("to_c", "to")).alias("m"))
-        moved = stored(best.join(known, "label").select("label", F.least("m", order("c", "label"))["v"].alias("to")), "moved")
-        moves.append(moved)
-        side = lambda c: moved.select(F.col("label").alias(c), F.col("to").alias(f"t{c}"))
-        edges = stored(edges.join(side("a"), "a").join(side("b"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            break
-    end = moves.pop()
-    while moves:
-        end = stored(moves.pop().join(end.select(F.col("label").alias("to"), F.col("to").alias("end")), "to", "left").select("label", F.coalesce("end", "to").alias("to")), "moved")
-    return end
-
-
-def _pivot_order(seed: int) -> Column:
-    return F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "i")
-
-
-def _first_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """Each group's representative with the pivot that most of its lists have, and members with their representatives."""
-    pivots = lists.groupBy("key").agg(F.min(_pivot_order(0)).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p.*")
-    met = lists.alias("x").join(pivots.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y"))
-    times = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.h").alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    best = times.groupBy("a").agg(F.min(F.struct(-F.col("c"), "h", "b"))["b"].alias("b"))
-    pairs = best.unionAll(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-    return pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
-
-
-def _mixed(entries: DataFrame) -> DataFrame:
-    """Of entries(key, id, n, i, label, lo, hi) the keys with several labels, with the commonest one. lo, hi: of the id's members."""
-    major = (
-        entries.groupBy("key", "lo").agg(F.count(F.lit(1)).alias("c"), F.max("hi").alias("hi"))
-        .groupBy("key").agg(F.max(F.struct("c", "lo")).alias("most"), F.min("lo").alias("least"), F.max("hi").alias("greatest"))
-        .where("least <> greatest").select("key", F.col("most.lo").alias("major"))
-    )
-    return stored(entries.join(major, "key"), "mixed")
-
-
-MINOR = "(lo <> major or hi <> major)"
-
-
-def _more_pairs(mixed: DataFrame, seed: int) -> DataFrame:
-    """What is outside a list's commonest label with a pivot inside it."""
-    pivots = mixed.where(f"not {MINOR}").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n", "i")).alias("p")).select("key", "p.*")
-    met = mixed.where(MINOR).alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("x.major")) & _possible("x", "y"))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("x.major").alias("lb")).distinct()
+# -- joining
 
 
-def _rest_pairs(mixed: DataFrame) -> DataFrame:
-    """ids (a, b) of all pairs with different labels that pass the filters."""
-    met = mixed.where(MINOR).alias("x").join(mixed.alias("y"), "key").where(
-        F.expr("x.id <> y.id and not (x.lo = y.hi and x.hi = y.lo) and (y.lo = y.major and y.hi = y.major or x.id < y.id)") & _possible("x", "y")
-    )
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
-def _rest(lists: DataFrame, inside: DataFrame, here: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges among all that is left: pairs of groups in mixed lists, expanded to members, and pairs inside mixed groups."""
-    of = lambda key, c: here.select(F.col(key).alias(f"g{c}"), F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
-    named = lambda pairs, key: pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(of(key, "a"), "ga").join(of(key, "b"), "gb")
-    pairs = named(_rest_pairs(lists), "gid").unionAll(named(_rest_pairs(inside), "rep")).where("la <> lb").select("a", "b", "la", "lb")
-    return stored(_verified(pairs, nodes), "found")
-
-
-def _nodes(scan: DataFrame, classes: DataFrame) -> DataFrame:
+def _nodes(scan: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Stored: sets that may have partners, by class: rep, least, gid (its group's representative), n, u, prefix, keys."""
     same = ["n", "d1", "d2"]
     once = scan.where(F.col("keys").isNotNull()).groupBy(*same).agg(*(F.first(c).alias(c) for c in ("u", "p1", "prefix", "keys")))
-    sets = stored(once.join(classes, same).drop("d1", "d2"), "sets")
+    sets = scratch(once.join(classes, same).drop("d1", "d2"), "sets")
     groups = sets.groupBy("n", "p1").agg(F.min("rep").alias("gid"))
-    nodes = stored(sets.join(groups, ["n", "p1"]).drop("p1"), "nodes")
-    discard(sets)
+    nodes = scratch(sets.join(groups, ["n", "p1"]).drop("p1"), "nodes")
+    scratch.drop(sets)
     return nodes
 
 
-def components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id for links at a Jaccard similarity of 3/4 or more."""
+def components(docs: DataFrame, width: int = 5, similarity: Similarity = Similarity(3, 4)) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id for links of the similarity between sets of `width`-word shingles."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_partitions(docs.sparkSession)
     buckets = max(parts, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     dealt = texts.mapInArrow(_dealt(width, buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(_counted, DEALT).repartition(parts, "batch").sortWithinPartitions("batch")
-    scan = stored(counted.mapInArrow(_scanned(buckets), SCAN), "scan")
-
-    # a class is named by its least id; one without ids by its digest
-    plain = scan.where(F.col("keys").isNull()).select("doc_id", "n", "d1", "d2")
-    least = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
-    classes = stored(least.withColumn("rep", F.coalesce("least", "d1")), "classes")
-    classed = stored(plain.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "least"), "classed")
-    nodes = _nodes(scan, classes)
-    for table in (scan, classes):
-        discard(table)
-    members = nodes.select("rep", "gid", "n")
-    lists = stored(
-        nodes.where("rep = gid").select(F.col("rep").alias("id"), "n", "u", F.posexplode("prefix").alias("at", "key")).select("key", "id", "n", (F.col("u") + F.col("at")).alias("i")),
-        "lists",
-    )
-    # ids that stand for several classes tie these together
-    tied = classed.where("doc_id is not null and rep is not null")
-    first = tied.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    ties = stored(tied.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "ties")
-    known = nodes.select("rep", "least").unionAll(ties.select("a", "a")).unionAll(ties.select("b", "b")).groupBy("rep").agg(F.min("least").alias("least"))
-
-    def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        return stored(labels.join(_connected(edges), "label", "left").select("rep", "least", F.coalesce("to", "label").alias("label")), "labels")
-
-    labels = merged(known.select("rep", "least", F.col("rep").alias("label")), stored(_verified(_first_pairs(lists, members), nodes).unionAll(ties), "found"))
-    listed = lists.count()
-    before = float("inf")
-    for seed in range(1, ROUNDS + 2):
-        here = members.join(labels, "rep")
-        groups = here.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("rep") == F.col("gid"), F.col("label"))).alias("label"))
-        mixed = _mixed(lists.join(groups.withColumnRenamed("gid", "id"), "id"))
-        by_key = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr(MINOR)).alias("minor"))
-        left = by_key.agg(F.sum(F.col("all") * F.col("minor"))).first()[0] or 0
-        if left <= MANY * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
-            break
-        before = left
-        edges = stored(_verified(_more_pairs(mixed, seed), nodes), "found")
-        if edges.isEmpty():
-            break
-        labels, lists = merged(labels, edges), mixed.select("key", "id", "n", "i")  # lists with one label stay so
-    inside = _mixed(here.select(F.col("gid").alias("key"), F.col("rep").alias("id"), "n", F.lit(0).alias("i"), "label", F.col("label").alias("lo"), F.col("label").alias("hi")))
-    if left or not inside.isEmpty():
-        labels = merged(labels, _rest(mixed, inside, here, nodes))
-
-    component = labels.groupBy("label").agg(F.min("least").alias("component"))
-    named = labels.join(component, "label").select("rep", "component")
-    return classed.join(named, "rep", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "least")).alias("component_id")
-    )
+    with Scratch() as scratch:
+        scan = scratch(counted.mapInArrow(_scanned(buckets, similarity), SCAN), "scan")
+        # a class is named by its least id; one without ids by its digest
+        plain = scan.where(F.col("keys").isNull()).select("doc_id", "n", "d1", "d2")
+        least = plain.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
+        classes = scratch(least.withColumn("rep", F.coalesce("least", "d1")), "classes")
+        classed = scratch(plain.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "least"), "classed")
+        nodes = _nodes(scan, classes, scratch)
+        for table in (scan, classes):
+            scratch.drop(table)
+        lists = scratch(
+            nodes.where("rep = gid").select(F.col("rep").alias("id"), "n", "u", F.posexplode("prefix").alias("at", "key")).select("key", "id", "n", (F.col("u") + F.col("at")).alias("i")),
+            "lists",
+        )
+        named = linking.components(classed, nodes, lists, similarity, scratch)
+        return stored(classed.join(named, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component()), "joined")
+
+
+def component() -> Column:
+    """A document's component_id: its class's, else its own id where it has no shingles, else its class's least id."""
+    return F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "least")).alias("component_id")

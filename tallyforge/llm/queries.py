@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, sentencepiece_codec, sharding, token_alignment, topk_search, url_filter, whitening
+from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, near_dedup, sentencepiece_codec, sharding, token_alignment, topk_search, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,6 +203,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 32)
 
 
+# --- 12: MinHash near-dedup --------------------------------------------------------------------------------------
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- 13: cross-tokenizer alignment ------------------------------------------------------------------------------
 
 BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -220,7 +227,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op7_html_extraction, op8_lm_scoring, op9_topk_search, op10_license_scan, op11_whitening, op13_token_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_language_id, op4_url_filter, op5_sharding, op6_jaccard_join, op7_html_extraction, op8_lm_scoring, op9_topk_search, op10_license_scan, op11_whitening, op12_near_dedup, op13_token_alignment, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
