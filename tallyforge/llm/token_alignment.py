@@ -6,6 +6,11 @@ The next token is either a prefix of the residual, or begins with it and so take
 An empty residual closes a group. Transitions are remembered by state and next token, so bytes are compared once for each
 pair that occurs, and a text costs a lookup for each of its tokens.
 
+A single space between two characters that are not white space begins a token on either side, if A splits text by the usual pattern
+and no piece of B goes on with a space behind anything else; the residual is empty there. So texts are cut at such spaces: what a
+worker has aligned is remembered by cut, within a bound, and a text's new cuts are aligned in one go. Where the files don't allow
+that, texts are aligned whole.
+
 A group's last tokens end together: they are its link. How often the corpus links a pair of ids is counted by Spark, and each
 document's distinct pairs are joined with these counts, which are broadcast only where their number, once known, is small.
 
@@ -40,8 +45,12 @@ from .common import broadcast_if, discard, stored
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that tiktoken's pattern is not trusted with.
 RUN = re.compile(r"\s{4000}")
-#: Transitions that a worker remembers before it begins anew, and pairs of ids that are broadcast at most (32 bytes each).
-MEMO, PAIRS = 1_000_000, 1_000_000
+#: A space where both sides begin a token.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Transitions, and characters of cuts, that a worker remembers before it begins anew.
+MEMO, CUTS = 1_000_000, 3_000_000
+#: Pairs of ids that are broadcast at most (32 bytes each).
+PAIRS = 1_000_000
 #: Documents that leave a worker together.
 ROWS = 256
 
@@ -68,6 +77,7 @@ class ByteLevel:
             self.fast = tiktoken.Encoding("A", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         else:
             self.fast = None
+        self.cuts = plain
 
     @functools.cached_property
     def slow(self):
@@ -88,8 +98,13 @@ class Pieces:
 
     def __init__(self, file: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(file)
+        normal, kinds = spec.normalizer_spec, spec.trainer_spec
+        keeps = normal.add_dummy_prefix and normal.escape_whitespaces and not (normal.remove_extra_whitespaces or normal.precompiled_charsmap or kinds.treat_whitespace_as_suffix)
+        self.cuts = keeps and kinds.model_type == kinds.BPE and all(re.fullmatch("▁*[^▁]*", p.piece) for p in spec.pieces)
         n = self.model.get_piece_size()
         self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.model.id_to_piece, range(n)))]
 
@@ -97,69 +112,71 @@ class Pieces:
         return self.model.encode(text, num_threads=1)
 
 
+class State(dict):
+    """A leader with a residual: what follows each token of the side that reads next. False: the bytes differ."""
+
+    __slots__ = ("machine", "leader", "residual", "reads_b")
+
+    def __init__(self, machine: Transducer, leader: int, residual: bytes):
+        self.machine, self.leader, self.residual, self.reads_b = machine, leader, residual, leader == 0
+
+    def __missing__(self, token: int) -> State | bool:
+        following = self[token] = self.machine.step(self, token)
+        return following
+
+
 class Transducer:
-    """States are numbered; 0 has no residual. Negative: the bytes differ."""
+    """States by leader (0: A, 1: B) and residual; without a residual A reads. Transitions are remembered in the states."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
-        self.tokens = (a, b)
-        self.width = max(len(a), len(b))
+        self.tokens, self.steps = (a, b), 0
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.states: list[tuple[int, bytes]] = [(1, b"")]  # who leads (0: A, 1: B) and by what; without residual A reads
-        self.number = {self.states[0]: 0}
-
-    def step(self, state: int, token: int) -> int:
-        leader, residual = self.states[state]
-        reader = 1 - leader
-        piece = self.tokens[reader][token]
+        self.remembered = 0
+        self.start = State(self, 1, b"")
+        self.states = {(1, b""): self.start}
+
+    def step(self, state: State, token: int) -> State | bool:
+        """Compares a token with the residual; where this is done once, the transition is known."""
+        self.steps, self.remembered = self.steps + 1, self.remembered + 1
+        leader, residual = state.leader, state.residual
+        piece = self.tokens[1 - leader][token]
         if residual.startswith(piece):
             following = leader, residual[len(piece) :]
         elif piece.startswith(residual):
-            following = reader, piece[len(residual) :]
+            following = 1 - leader, piece[len(residual) :]
         else:
-            return -1
+            return False
         if not following[1]:
-            return 0
-        if following not in self.number:
-            self.number[following] = len(self.states)
-            self.states.append(following)
-        return self.number[following]
+            return self.start
+        if following not in self.states:
+            self.states[following] = State(self, *following)
+        return self.states[following]
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         """How many tokens of A and of B stand before the end of each group; None if the bytes differ."""
-        if len(self.memo) > MEMO:
+        if self.remembered > MEMO:
             self._forget()
-        memo, states, width, step = self.memo, self.states, self.width, self.step
-        reads_b = [s[0] == 0 for s in states]
-        ends_a, ends_b = [], []
-        i = j = state = 0
+        start, ends_a, ends_b = self.start, [], []
+        i = j = 0
         n, m = len(a), len(b)
-        while True:
-            if reads_b[state]:
-                if j == m:
-                    return None
-                token = b[j]
-                j += 1
-            else:
-                if i == n:
-                    break
-                token = a[i]
+        try:
+            while i < n:
+                state = start[a[i]]
                 i += 1
-            key = state * width + token
-            following = memo.get(key)
-            if following is None:
-                following = memo[key] = step(state, token)
-                if len(states) > len(reads_b):
-                    reads_b.append(states[-1][0] == 0)
-            if not following:
+                while state is not start:
+                    if state.reads_b:
+                        state = state[b[j]]
+                        j += 1
+                    else:
+                        state = state[a[i]]
+                        i += 1
                 ends_a.append(i)
                 ends_b.append(j)
-            elif following < 0:
-                return None
-            state = following
-        return (ends_a, ends_b) if state == 0 and j == m else None
+        except (IndexError, AttributeError):  # one side ended, or the bytes differ
+            return None
+        return (ends_a, ends_b) if j == m else None
 
 
 class Aligner:
@@ -168,9 +185,14 @@ class Aligner:
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
         self.transducer = Transducer(a.pieces, b.pieces)
-        self.written = np.array([[f"{i}{end}" for i in range(max(len(a.pieces), len(b.pieces)))] for end in ",|;"], object).ravel().tolist()
-
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        self.width = max(len(a.pieces), len(b.pieces))
+        self.digits = [*map(str, range(self.width))]
+        self.begins = {i for i, p in enumerate(a.pieces) if p[:1] == b" "}
+        self.cuts = a.cuts and b.cuts
+        self.known: dict[str, tuple] = {}
+        self.size = 0
+
+    def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]] | None:
         """ids of A and of B, and for each group how many of them stand before its end."""
         if not text:
             return None
@@ -178,18 +200,60 @@ class Aligner:
         if b"".join(map(self.a.pieces.__getitem__, a)) != b" " + text.encode():
             return None
         ends = self.transducer.groups(a, b)
-        return ends and tuple(np.array(x, np.int64) for x in (a, b, *ends))
+        return ends and (a, b, *ends)
 
-    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-        """`a1,a2|b1;a3|b2,b3`: each id with what follows it, at its place."""
-        sizes_a, sizes_b, width = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0), self.transducer.width
-        out = np.empty(len(a) + len(b), np.int64)
-        a, b = a.copy(), b.copy()
-        a[ends_a - 1] += width
-        b[ends_b - 1] += 2 * width
-        out[np.arange(len(a)) + np.repeat(ends_b - sizes_b, sizes_a)] = a
-        out[np.arange(len(b)) + np.repeat(ends_a, sizes_b)] = b
-        return "".join(map(self.written.__getitem__, out.tolist()))[:-1]
+    def cut(self, text: str) -> list[tuple[int, int, str, bytes]] | None:
+        """For each cut of a text, all of whose spaces cut it: numbers of tokens, its groups as `a1,a2|b1;a3|b2,b3`, its links as numbers."""
+        got = self.align(text)
+        if got is None:
+            return None
+        a, b, ends_a, ends_b = got
+        links = (np.array([a[k - 1] for k in ends_a]) * self.width + np.array([b[k - 1] for k in ends_b])).tobytes()
+        begins, digits = self.begins, self.digits
+        name_a, name_b = [*map(digits.__getitem__, a)], [*map(digits.__getitem__, b)]
+        out, groups, i, j, i0, j0, g0 = [], [], 0, 0, 0, 0, 0
+        for g, (k, m) in enumerate(zip(ends_a, ends_b)):
+            if a[i] in begins and i:
+                out.append((i - i0, j - j0, ";".join(groups), links[8 * g0 : 8 * g]))
+                groups, i0, j0, g0 = [], i, j, g
+            groups.append((name_a[i] if k - i == 1 else ",".join(name_a[i:k])) + "|" + (name_b[j] if m - j == 1 else ",".join(name_b[j:m])))
+            i, j = k, m
+        out.append((i - i0, j - j0, ";".join(groups), links[8 * g0 :]))
+        return out
+
+    def _whole(self, text: str) -> tuple | None:
+        """The same of a whole text."""
+        parts = self.cut(text)
+        return parts and (sum(p[0] for p in parts), sum(p[1] for p in parts), ";".join(p[2] for p in parts), b"".join(p[3] for p in parts))
+
+    def parts(self, text: str) -> list[tuple] | None:
+        """What a text is put together of, in order; None if the bytes differ."""
+        if not self.cuts:
+            whole = self._whole(text)
+            return whole and [whole]
+        if self.size > CUTS:
+            self.known, self.size = {}, 0
+        cuts, known = CUT.split(text), self.known
+        new = [c for c in dict.fromkeys(cuts) if c not in known]
+        plain, odd = [c for c in new if " " not in c], [c for c in new if " " in c]
+        got = [self.cut(" ".join(plain)) if plain else [], *map(self._whole, odd)]
+        if None in got:
+            return None
+        known.update(zip(plain, got[0], strict=True))
+        known.update(zip(odd, got[1:]))
+        self.size += sum(map(len, new))
+        return [known[c] for c in cuts]
+
+    def summary(self, text: str | None) -> tuple:
+        """n_a, n_b, n_groups, digest of the groups, and the distinct links (a, b, how many)."""
+        parts = self.parts(text) if text else None
+        if parts is None:
+            return 0, 0, 0, "", *[np.empty(0, np.int32)] * 3
+        n_a, n_b, written, links = zip(*parts)
+        linked = np.frombuffer(b"".join(links), np.int64)
+        pairs, many = np.unique(linked, return_counts=True)
+        digest = hashlib.sha256(";".join(written).encode()).hexdigest()
+        return sum(n_a), sum(n_b), len(linked), digest, *(x.astype(np.int32) for x in (pairs // self.width, pairs % self.width, many))
 
 
 @functools.lru_cache(maxsize=1)
@@ -208,17 +272,6 @@ class Tokenizers:
 _ALIGNED = "row bigint, doc_id {}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, a array<int>, b array<int>, links array<int>"
 
 
-def _summary(aligner: Aligner, text: str | None) -> tuple:
-    got = aligner.align(text)
-    if got is None:
-        return 0, 0, 0, "", *[np.empty(0, np.int32)] * 3
-    a, b, ends_a, ends_b = got
-    width = aligner.transducer.width
-    pairs, links = np.unique(a[ends_a - 1] * width + b[ends_b - 1], return_counts=True)
-    digest = hashlib.sha256(aligner.text(*got).encode()).hexdigest()
-    return len(a), len(b), len(ends_a), digest, *((x).astype(np.int32) for x in (pairs // width, pairs % width, links))
-
-
 def aligned(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """docs(doc_id, text) -> a row for each row, see _ALIGNED. `row` numbers them anew in every run, so store it before it is read twice."""
     files, kind = tokenizers.files, docs.schema["doc_id"].dataType
@@ -229,8 +282,8 @@ def aligned(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column(1).dictionary_encode()  # copies are aligned once
-                each = [_summary(aligner, t.as_py()) for t in texts.dictionary]
-                none = _summary(aligner, None)
+                each = [aligner.summary(t.as_py()) for t in texts.dictionary]
+                none = aligner.summary(None)
                 rows = [none if k is None else each[k] for k in texts.indices.to_pylist()]
                 *plain, a, b, links = zip(*rows)
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (a, b, links)]
@@ -251,7 +304,7 @@ def alignments(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
         for batch in batches:
             for i, text in zip(batch.column(0), batch.column(1)):
                 got = aligner.align(text.as_py())
-                cut = [None, None] if got is None else [[x.tolist() for x in np.split(ids, ends[:-1])] for ids, ends in ((got[0], got[2]), (got[1], got[3]))]
+                cut = [None, None] if got is None else [[ids[i:k] for i, k in zip([0, *ends], ends)] for ids, ends in ((got[0], got[2]), (got[1], got[3]))]
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], arrow), *(pa.array([x], pa.list_(pa.list_(pa.int32()))) for x in cut)], ["doc_id", "a", "b"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, a array<array<int>>, b array<array<int>>")

@@ -105,6 +105,25 @@ def test_edge_cases(spark, libraries):
     assert groups[0] == (None, None) and [*zip(*groups[3])] == brute(texts[3], *libraries)
 
 
+def test_cuts_change_nothing(aligner, libraries, spark, data, monkeypatch):
+    """Results remembered by cut, with a memory that is emptied now and then, and whole texts, against the offsets."""
+    assert aligner.cuts
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()][:60] + ODD
+    texts += ["a ▁ b", "x  y", " x y ", "a\u00a0 b", "a \u0300b", "a 's b", "( ( 1 ² ½", "a\x1c b", "a  b c  d  e", "  ", " a", "a "]
+    monkeypatch.setattr(t, "CUTS", 3000)
+    for x in texts:
+        groups = brute(x, *libraries)
+        for cuts in (True, False):
+            aligner.cuts = cuts
+            got = aligner.summary(x)
+            if groups is None:
+                assert got[:4] == (0, 0, 0, "")
+                continue
+            line = ";".join(",".join(map(str, y)) + "|" + ",".join(map(str, z)) for y, z in groups)
+            assert got[:4] == (sum(len(y) for y, _ in groups), sum(len(z) for _, z in groups), len(groups), hashlib.sha256(line.encode()).hexdigest())
+            assert {(y, z): n for y, z, n in zip(*(v.tolist() for v in got[4:]))} == Counter((y[-1], z[-1]) for y, z in groups)
+
+
 def test_counts_beyond_a_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"w{k % 7} and some text {k % 3}") for k in range(60)], "doc_id int, text string")
     files = t.Tokenizers(spark, q.BYTE_FILE, q.MODEL_FILE)
@@ -140,5 +159,5 @@ def test_transducer(monkeypatch):
     assert machine.groups([], []) == ([], [])
     twice = t.Transducer([b"ab", b"c"], [b"a", b"b", b"bc"])
     assert twice.groups([0, 1], [0, 2]) == ([2], [2])
-    known = dict(twice.memo)
-    assert twice.groups([0, 1], [0, 2]) == ([2], [2]) and twice.memo == known  # nothing is compared again
+    steps = twice.steps
+    assert twice.groups([0, 1], [0, 2]) == ([2], [2]) and twice.steps == steps  # nothing is compared again
