@@ -10,7 +10,7 @@ inside what is already known to be connected:
    are still many, whatever other exact way the caller has for the sets in these lists.
 
 Labels are joined by union-find: each task makes a forest of the edges it has, and what the forests leave is contracted step by step
-across tasks, so no task and not the driver ever holds all links.
+across tasks until one task can take in the rest, so neither a task nor the driver ever holds all links.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import Scratch
 
 #: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
 ROUNDS, MANY = 3, 4
-#: Edges that a task's forest takes in at once.
-EDGES = 1 << 20
+#: Edges that a forest takes in at once (about 100 MB).
+EDGES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -88,44 +88,61 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> Dat
 # -- union-find
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) -> each label of a task's edges with its root, which connect what the edges did."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Labels that are connected have one root, the least of them."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        root = x
+    def find(self, x: int) -> int:
+        parent, root = self.parent, x
         while (up := parent.get(root, root)) != root:
             root = up
         while x != root:
             parent[x], x = root, parent.get(x, x)
         return root
 
-    def rooted() -> pa.RecordBatch:
-        pairs = [(x, find(x)) for x in parent]
-        a, b = zip(*[p for p in pairs if p[0] != p[1]]) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def add(self, edges: pa.RecordBatch) -> None:
+        for a, b in zip(edges.column(0).to_pylist(), edges.column(1).to_pylist()):
+            a, b = self.find(a), self.find(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def rows(self, a: str, b: str) -> pa.RecordBatch:
+        """Each label but the roots, with its root."""
+        labels = [*self.parent]
+        return pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array([self.find(x) for x in labels], pa.int64())], [a, b])
 
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> fewer edges that connect what these did: each label of a task's edges with its root."""
+    forest = Forest()
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) > EDGES:
-            yield rooted()
-            parent = {}
-    yield rooted()
+        forest.add(batch)
+        if len(forest.parent) > EDGES:
+            yield forest.rows("a", "b")
+            forest = Forest()
+    yield forest.rows("a", "b")
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) that are left, at most EDGES -> label, to."""
+    forest = Forest()
+    for batch in batches:
+        forest.add(batch)
+    yield forest.rows("label", "to")
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges(a, b) -> label, to: one name for all labels of a component.
+    """edges(a, b) -> label, to: one name for all labels of a component; a label that isn't there is its own.
 
-    Tasks' forests first. Then each step moves every label to one of its neighbours or leaves it: by turns to the neighbour with most
-    neighbours, which ends stars at once, and to the least by a hash of the step's number, which halves chains. At the end the
-    moves are followed backwards.
+    Tasks' forests first. While they leave more edges than a task takes in, every label is moved to one of its neighbours or left: by
+    turns to the neighbour with most neighbours, which ends stars at once, and to the least by a hash of the step's number, which
+    halves chains. What is left then goes into one forest, and the moves are followed backwards.
     """
     moves: list[DataFrame] = []
     edges = scratch(edges.mapInArrow(_forests, "a bigint, b bigint"), "edges")
-    while True:
+    while edges.count() > EDGES:
         step = len(moves)
         near = edges.select(F.col("a").alias("label"), F.col("b").alias("to")).unionAll(edges.select(F.col("b").alias("label"), F.col("a").alias("to")))
         known = near.groupBy("label").agg(F.count(F.lit(1) if step % 2 == 0 else F.lit(None)).alias("c"))
@@ -136,12 +153,13 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         side = lambda c: moved.select(F.col("label").alias(c), F.col("to").alias(f"t{c}"))
         before, edges = edges, scratch(edges.join(side("a"), "a").join(side("b"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         scratch.drop(before)
-        if edges.isEmpty():
-            break
-    end = moves.pop()
+    end = scratch(edges.coalesce(1).mapInArrow(_roots, "label bigint, to bigint"), "moved")
+    scratch.drop(edges)
     while moves:
-        last, end = end, scratch(moves.pop().join(end.select(F.col("label").alias("to"), F.col("to").alias("end")), "to", "left").select("label", F.coalesce("end", "to").alias("to")), "moved")
-        scratch.drop(last)
+        moved, last = moves.pop(), end
+        end = scratch(moved.join(end.select(F.col("label").alias("to"), F.col("to").alias("end")), "to", "left").select("label", F.coalesce("end", "to").alias("to")), "moved")
+        for table in (moved, last):
+            scratch.drop(table)
     return end
 
 
@@ -205,12 +223,12 @@ def ties(classed: DataFrame) -> DataFrame:
     return tied.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None, many: int = MANY) -> DataFrame:
     """rep, component: of all classes that may be linked, the least doc_id of their component.
 
     classed(doc_id, rep): documents with the names of their classes. nodes(rep, least, gid, n, keys): classes that may have links, their
     least doc_id, their group and their set. lists(key, id, n, i): candidates, by group. other(ids): edges (a, b) between
-    the labelled ids(id, label), by another way than pairs.
+    the labelled ids(id, label), by another way than pairs. many: see MANY.
     """
     members = nodes.select("rep", "gid", "n")
     tied = scratch(ties(classed), "ties")
@@ -232,7 +250,7 @@ def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarit
         scratch.drop(source)
         by_key = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr(MINOR)).alias("minor"))
         left = by_key.agg(F.sum(F.col("all") * F.col("minor"))).first()[0] or 0
-        if left <= MANY * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
+        if left <= many * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
             break
         before = left
         edges = scratch(_verified(_more_pairs(mixed, seed, similarity), nodes, similarity), "found")
@@ -241,7 +259,7 @@ def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarit
             break
         labels = merged(labels, edges)
     inside = scratch(_mixed(here.select(F.col("gid").alias("key"), F.col("rep").alias("id"), "n", F.lit(0).alias("i"), "label", F.col("label").alias("lo"), F.col("label").alias("hi"))), "mixed")
-    if other and left > MANY * listed:
+    if other and left > many * listed:
         mine = mixed.select(F.col("id").alias("gid")).distinct().join(here, "gid").select(F.col("rep").alias("id"), "label")
         labels = merged(labels, scratch(other(mine.unionAll(inside.select("id", "label")).distinct()), "found"))
     elif left or not inside.isEmpty():

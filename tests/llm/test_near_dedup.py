@@ -119,7 +119,7 @@ def near_copies(rng, base, ids, changes):
 @pytest.mark.parametrize("many", [4, 0])
 def test_groups_chains_passages(spark, monkeypatch, many):
     """Groups of near copies, a chain whose ends don't link, one long passage in unlike documents, and the very threshold; once with all rests by the prefix join."""
-    monkeypatch.setattr(linking, "MANY", many)
+    monkeypatch.setattr(n, "MANY", many)
     rng = random.Random(2)
     docs = near_copies(rng, [f"b{i}" for i in range(200)], range(100, 160), 3) + near_copies(rng, [f"g{i}" for i in range(30)], range(160, 190), 1)
     docs += [(i, " ".join(f"c{k}" for k in range(i * 6, i * 6 + 100))) for i in range(200, 212)]
@@ -143,8 +143,10 @@ def test_bands_lose_no_link(spark):
     assert got(n.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == want
 
 
-def test_union_find(spark):
-    """Chains, stars and a large ring over several tasks."""
+@pytest.mark.parametrize("most", [linking.EDGES, 0])
+def test_union_find(spark, monkeypatch, most):
+    """Chains, stars and a large ring over several tasks; once by contraction to the end."""
+    monkeypatch.setattr(linking, "EDGES", most)
     edges = [(i, i + 1) for i in range(0, 500)] + [(1000, i) for i in range(1001, 1400)] + [(2000 + i, 2000 + (i + 1) % 300) for i in range(300)] + [(5000, 5001)]
     random.Random(1).shuffle(edges)
     with Scratch() as scratch:
