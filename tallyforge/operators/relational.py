@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import discard, written
+
 
 def secured(df: DataFrame, memberships: DataFrame, user, space: str, owner: str | None = None) -> DataFrame:
     """Rows of the spaces that the user is a member of, and with an owner column only their own; no membership, no rows.
@@ -57,20 +59,6 @@ def chain_failures(rows: DataFrame, expected_hash: Column) -> DataFrame:
     return both.select("seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def append_chain(df: DataFrame, chain: str, order: Sequence[str], body: Column) -> DataFrame:
-    """Rows with seq, prev_hash and hash of their chain: each hash covers the one before it and the row's body.
-
-    A hash needs its predecessor's, so a chain is folded in order in one task; chains (a partition, a month) are to be bounded.
-    """
-    item = F.struct(*order, body.alias("_body"), F.struct(*df.columns).alias("_row"))
-    start = F.array(F.struct(F.lit("").alias("prev"), F.lit("").alias("hash")))
-    link = lambda done, x: F.concat(done, F.array(F.struct(F.element_at(done, -1)["hash"].alias("prev"), F.sha2(F.concat(F.element_at(done, -1)["hash"], x["_body"]), 256).alias("hash"))))
-    folded = df.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("_items")).select("_items", F.aggregate("_items", start, link).alias("_links"))
-    rows = folded.select(F.posexplode("_items").alias("_at", "_item"), "_links")
-    mine = F.get("_links", F.col("_at") + 1)
-    return rows.select("_item._row.*", (F.col("_at") + 1).alias("seq"), mine["prev"].alias("prev_hash"), mine["hash"].alias("hash"))
-
-
 def first_failure(rows: DataFrame, chain: str, body: Column) -> DataFrame:
     """The first broken row of each chain that has one: rows(chain, seq, prev_hash, hash) -> chain, seq, reason.
 
@@ -138,29 +126,20 @@ def range_join(values: DataFrame, intervals: DataFrame) -> DataFrame:
 def chain_roots(df: DataFrame, ident: str, parent: str) -> DataFrame:
     """ident, root and depth of each row: parents are followed to rows whose parent is null or not there.
 
-    Every pass doubles the distance, so as many joins are needed as the longest chain has binary digits. Rows of a cycle are left out.
+    Every pass doubles the distance and is written, so the plan doesn't grow; as many are needed as the longest chain has binary
+    digits. Rows of a cycle, or above which there is one, are left out: where a pass ends no chain, all that are left are such rows.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("up"))
     there = rows.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
-    known = rows.join(there, "up", "left").select("id", F.when(F.col("_there"), F.col("up")).alias("up"), F.when(F.col("_there"), F.col("up")).alias("top"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth"))
-    known = known.select("id", "up", F.coalesce("top", "id").alias("top"), "depth").persist()
-    for _ in range(62):
-        if known.where("up is not null").isEmpty():
-            break
+    mine = F.when(F.col("_there"), F.col("up"))
+    known = written(rows.join(there, "up", "left").select("id", mine.alias("up"), F.coalesce(mine, "id").alias("top"), mine.isNotNull().cast("long").alias("depth")), "chains")
+    left = known.where("up is not null").count()
+    while left:
         above = known.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"))
-        known = known.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")).persist()
+        further = written(known.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "chains")
+        discard(known)
+        known, before = further, left
+        left = known.where("up is not null").count()
+        if left == before:
+            break
     return known.where("up is null").select("id", F.col("top").alias("root"), "depth")
-
-
-def budget_choice(df: DataFrame, key: str, rank: Sequence[str], place: str, size: str, budget: int) -> DataFrame:
-    """Rows of each key taken greedily in rank order while they fit the budget: what doesn't fit is skipped, not the end.
-
-    Returned with `turn`, their order by place. A key's rows are gathered, so keys are to be bounded (the parts of one document).
-    """
-    item = F.struct(*rank, F.col(size).cast("long").alias("_size"), F.struct(*df.columns).alias("_row"))
-    items = F.array_sort(F.collect_list(item))
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.filter(F.col("_items"), lambda x: F.lit(False)).alias("taken"))
-    fits = lambda acc, x: acc["used"] + x["_size"] <= budget
-    take = lambda acc, x: F.struct(F.when(fits(acc, x), acc["used"] + x["_size"]).otherwise(acc["used"]).alias("used"), F.when(fits(acc, x), F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"))
-    chosen = df.groupBy(F.col(key).alias("_key")).agg(items.alias("_items")).select(F.explode(F.aggregate("_items", none, take)["taken"]).alias("_item")).select("_item._row.*")
-    return chosen.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(place)))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..operators import ordered, sheet
 from ..operators import relational as rel
-from ..operators import sheet
 from .base import query
 
 
@@ -57,9 +57,13 @@ def _(t):
     return rel.budget_prefix(t.conversations, "conv_id", ["turn"], F.char_length("text"), 600).select("conv_id", "turn")
 
 
-@query("budget_choice")
+@query("budget_choice", """
+WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS n FROM conversations),
+f AS (SELECT conv_id, turn, n, CASE WHEN size <= 600 THEN size ELSE 0 END AS used, size <= 600 AS taken FROM r WHERE n = 1
+      UNION ALL SELECT r.conv_id, r.turn, r.n, f.used + CASE WHEN f.used + r.size <= 600 THEN r.size ELSE 0 END, f.used + r.size <= 600 FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn FROM f WHERE taken""")
 def _(t):
-    return rel.budget_choice(t.conversations.withColumn("size", F.char_length("text")), "conv_id", ["size", "turn"], "turn", "size", 600).select("conv_id", "turn")
+    return ordered.budget_choice(t.conversations.withColumn("size", F.char_length("text")), "conv_id", ["size", "turn"], "turn", "size", 600).select("conv_id", "turn")
 
 
 @query("join_members", "SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -155,7 +159,7 @@ c AS (SELECT user_id, event_id, body, seq, '' AS prev_hash, sha256(body) AS hash
 
 
 def _audit(t):
-    return rel.append_chain(t.events.select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.concat_ws("|", "event_type", F.col("event_id").cast("string")))
+    return ordered.append_chain(t.events.select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.concat_ws("|", "event_type", F.col("event_id").cast("string")))
 
 
 @query("audit_append", _AUDIT + " SELECT user_id, event_id, seq, prev_hash, hash FROM c")

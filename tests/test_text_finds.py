@@ -87,8 +87,8 @@ def test_range_join_by_widths(spark):
 
 
 def test_budget_choice(spark):
-    from tallyforge.operators import relational
+    from tallyforge.operators import ordered
 
     rows = [("x", i, s) for i, s in enumerate((50, 30, 40, 10, 60))] + [("y", 0, 200)]
-    got = relational.budget_choice(spark.createDataFrame(rows, "doc string, place int, size int"), "doc", ["size"], "place", "size", 85).collect()
+    got = ordered.budget_choice(spark.createDataFrame(rows, "doc string, place int, size int"), "doc", ["size"], "place", "size", 85).collect()
     assert sorted((r["doc"], r["place"], r["turn"]) for r in got) == [("x", 1, 1), ("x", 2, 2), ("x", 3, 3)]
