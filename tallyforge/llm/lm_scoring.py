@@ -6,8 +6,9 @@ totals.
 
 Model. Unigrams are add-one smoothed; higher orders use absolute discounting, and the rest of a context's mass goes to the weight
 of its failure arc. The automaton's states are the model's contexts: a kept n-gram is an arc, and a state without an arc for
-the next word fails to its longest proper suffix, at the failure arc's weight. After each word the automaton is in the state
-of the longest kept context, so all places of a stretch take their step at once, each following failure arcs until it has an arc.
+the next word fails to its longest proper suffix, at the failure arc's weight. A text is read once from left to right, and the state
+is carried from word to word. All texts of a stretch are read together, in lanes: a state forgets all but the last words, so a lane
+may begin inside a text, a few words earlier than it counts.
 
 A stretch is a file row with some whole documents as word codes. In each round the stretches ask buckets for the counts of
 their n-grams and for the failure weights of the contexts they pass (see ``packed``), so each has the part of the automaton that its
@@ -42,6 +43,8 @@ from .packed import DEALT, bucket_of, grouped, joined48, low48, rows, together,
 END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space in it
 #: Tokens of a stretch, unless one document has more, and bytes of text for which there is a bucket.
 STRETCH, BUCKET = 500_000, 8 << 20
+#: Words of a lane.
+LANE = 256
 STATE = "batch bigint, n bigint, data binary"
 
 
@@ -122,7 +125,7 @@ class Stretch:
             answer = [*map(np.concatenate, parts)]
             if round_:
                 weights = np.zeros(len(self.keys[round_ - 1]))
-                weights[self.in_model(round_)] = answer[0]
+                weights[self.asked(round_)] = answer[0]
                 self.weights.append(weights)
             for count in answer[1 if round_ else 0 :]:
                 self.counts.append((count >> 1).astype(np.int64))
@@ -168,62 +171,167 @@ class Stretch:
         out[ends] = np.log10((self.counts[order - 1][self.at[order - 1][ends]] - self.settings.discount) / of)
         return out
 
-    def told_contexts(self, order: int, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By n-gram of this order, as a context: mass of the arcs that this stretch tells of, and their mass without the context."""
+    def told_arcs(self, order: int) -> np.ndarray:
+        """A place for each arc of contexts of this order that this stretch tells of."""
         ends = np.flatnonzero(self.kept(order + 1))
-        one = np.unique(self.at[order][ends], return_index=True)[1]  # a place for each
-        ends = ends[one]
-        ends = ends[self.tells[order][self.at[order][ends]]]
-        contexts = self.at[order - 1][ends - 1]
-        n = len(self.keys[order - 1])
-        return tuple(np.bincount(contexts, 10.0 ** self.log_p(k, base)[ends], n) for k in (order + 1, order))
+        ends = ends[np.unique(self.at[order][ends], return_index=True)[1]]
+        return ends[self.tells[order][self.at[order][ends]]]
 
-    def score(self, base: np.ndarray) -> np.ndarray:
-        """Per place the log10 probability of its token: from the longest context, along failure arcs until there is an arc."""
-        total = np.zeros(len(self.place))
-        open_ = np.ones(len(self.place), bool)
-        for order in range(self.settings.order, 0, -1):
-            arc = self.log_p(order, base)
-            there = open_ & ~np.isnan(arc)
-            total[there] += arc[there]
-            open_ &= ~there
+    def asked(self, order: int) -> np.ndarray:
+        """By n-gram of this order, whether it is asked about as a context: it fails here, or has arcs that are told of."""
+        out = self.fails(order)
+        out[self.at[order - 1][self.told_arcs(order) - 1]] = True
+        return out
+
+    def told_contexts(self, order: int, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts whose arcs are told of, as places among those asked about; these arcs' mass, and their mass without the context."""
+        ends = self.told_arcs(order)
+        which, place = np.unique(self.at[order - 1][ends - 1], return_inverse=True)
+        mass = lambda k: np.bincount(place, 10.0 ** self.log_p(k, base)[ends], len(which))
+        return (np.cumsum(self.asked(order)) - 1)[which], mass(order + 1), mass(order)
+
+    def fails(self, order: int) -> np.ndarray:
+        """By n-gram of this order, whether a word follows it somewhere that it may have no arc for: then its failure weight is wanted.
+
+        An n-gram that is met less often than arcs has no arcs and fails without a loss.
+        """
+        out = np.zeros(len(self.keys[order - 1]), bool)
+        context = np.append(-1, self.at[order - 1][:-1])
+        ends = (self.place >= order) & (context >= 0) & ~(self.kept(order + 1) if order < len(self.keys) else np.zeros(len(self.place), bool))
+        out[context[ends]] = True
+        return out & (self.counts[order - 1] >= self.settings.least)
+
+    def automaton(self, base: np.ndarray) -> Automaton:
+        """The part of the automaton that these texts can reach."""
+        words = len(base)
+        first = np.cumsum([1, *map(len, self.keys[: self.settings.order - 1])])  # of the states of each order; 0 has no context
+        fail, weight = np.zeros(first[-1], np.int64), np.zeros(first[-1])
+        known = self.in_model(1)
+        target = np.where(known, np.arange(words) + 1, 0)
+        arcs, costs, targets = [], [], []
+        for order in range(1, self.settings.order):
+            weight[first[order - 1] : first[order]] = self.weights[order - 1]
             if order > 1:
-                context = np.append(-1, self.at[order - 2][:-1])
-                fails = np.flatnonzero(open_ & (self.place >= order - 1) & (context >= 0))
-                total[fails] += self.weights[order - 2][context[fails]]
-        return total
+                there = np.flatnonzero(self.kept(order))
+                fail[first[order - 1] + self.at[order - 1][there]] = first[order - 2] + self.at[order - 2][there]
+            ends = np.flatnonzero(self.kept(order + 1))
+            ends = ends[np.unique(self.at[order][ends], return_index=True)[1]]
+            arcs.append((first[order - 1] + self.at[order - 1][ends - 1]) * words + self.at[0][ends])
+            costs.append(self.log_p(order + 1, base)[ends])
+            longest = order + 1 < self.settings.order  # else the arc's words without the first
+            targets.append(first[order if longest else order - 1] + self.at[order if longest else order - 1][ends])
+        keys = np.concatenate(arcs)
+        sort = np.argsort(keys)
+        return Automaton(words, base, target, keys[sort], np.concatenate(costs)[sort], np.concatenate(targets)[sort], fail, weight)
+
+    def score(self, base: np.ndarray) -> np.ndarray:
+        """Per place the log10 probability of its token."""
+        before = self.settings.order - 1
+        counts = -(-self.lengths // LANE)
+        text = np.repeat(np.arange(len(counts)), counts)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * LANE
+        end = self.starts[text] + np.minimum(begin + LANE, self.lengths[text])
+        return self.automaton(base).read(self.at[0], self.starts[text] + begin, self.starts[text] + np.maximum(begin - before, 0), end)
+
+
+@dataclass
+class Automaton:
+    """States by number; 0 has no context, and an arc for every word. Other arcs are found by state * words + word."""
+
+    words: int
+    base: np.ndarray
+    target: np.ndarray
+    arcs: np.ndarray
+    costs: np.ndarray
+    targets: np.ndarray
+    fail: np.ndarray
+    weight: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 probabilities: along failure arcs until there is an arc."""
+        total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            start = state == 0
+            key = state * self.words + word
+            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            there = ~start & (self.arcs[at] == key) if len(self.arcs) else np.zeros(len(key), bool)
+            total[left[there]] += self.costs[at[there]]
+            after[left[there]] = self.targets[at[there]]
+            total[left[start]] += self.base[word[start]]
+            after[left[start]] = self.target[word[start]]
+            on = ~(start | there)
+            left, state, word = left[on], state[on], word[on]
+            total[left] += self.weight[state]
+            state = self.fail[state]
+        return after, total
+
+    def read(self, code: np.ndarray, begin: np.ndarray, enter: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Lanes of a row of words, side by side: each is entered at `enter`, without context, and counts from `begin` to `end`."""
+        out = np.zeros(len(code))
+        order = np.argsort(enter - end, kind="stable")  # the longest first
+        begin, place, end = begin[order], enter[order].copy(), end[order]
+        state = np.zeros(len(order), np.int64)
+        active = len(order)
+        while True:
+            active = int(np.searchsorted(-(end[:active] - place[:active]), 0))  # those that have ended stand last
+            if not active:
+                return out
+            here = place[:active]
+            state[:active], cost = self.step(state[:active], code[here])
+            counts = here >= begin[:active]
+            out[here[counts]] = cost[counts]
+            place[:active] += 1
 
 
 def _asks(stretch: Stretch, round_: int, base: np.ndarray) -> list[tuple]:
-    """(keys, values...) of a round: contexts with what is told of them, n-grams with their counts."""
+    """Of a round: n-grams with their counts as (keys, counts); contexts with what is told of some of them as (keys, places, values, values)."""
     if round_ == 0:
         return [(stretch.keys[order - 1], _narrow(stretch.counted(order))) for order in (1, 2)]
-    contexts = stretch.in_model(round_)
-    asks = [tuple(x[contexts] for x in (stretch.keys[round_ - 1], *stretch.told_contexts(round_, base)))]
+    asks: list[tuple] = [(stretch.keys[round_ - 1][stretch.asked(round_)], *stretch.told_contexts(round_, base))]
     if round_ + 2 <= stretch.settings.order:
         asks.append((stretch.keys[round_ + 1], _narrow(stretch.counted(round_ + 2))))
     return asks
 
 
+def _by_bucket(ask: tuple, buckets: int) -> list[tuple]:
+    """What goes to each bucket; keys in 48 bits."""
+    keys, *values = ask
+    ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    parts = [*low48(keys)]
+    if len(values) == 1:
+        parts += values
+        return [tuple(x[a:b] for x in parts) for a, b in zip(ends, ends[1:])]
+    places, *told = values
+    at = np.searchsorted(places, ends)
+    return [(*(x[a:b] for x in parts), _narrow(places[i:j] - a), *(x[i:j] for x in told)) for a, b, i, j in zip(ends, ends[1:], at, at[1:])]
+
+
 def _answer(bucket: int, parts: list[tuple[int, list]], first_round: bool) -> Iterator[tuple]:
     """Counts as twice the sum, and one for the part that tells of the n-gram; failure weights as log10."""
     answers: list[list[np.ndarray]] = [[] for _ in parts]
     for kind, asked in enumerate(zip(*(p for _, p in parts))):
         keys = np.concatenate([joined48(*a[:2]) for a in asked])
+        sizes = [len(a[0]) for a in asked]
         order, first, times = grouped(keys)
-        kind_of = np.int64 if len(asked[0]) == 3 else np.float64
-        sums = [np.add.reduceat(np.concatenate([a[v] for a in asked]).astype(kind_of)[order], first) if len(keys) else np.empty(0, kind_of) for v in range(2, len(asked[0]))]
-        out = np.empty(len(keys), kind_of)
-        if len(sums) == 1:
-            out[order] = np.repeat(2 * sums[0], times)
+        summed = lambda x: np.add.reduceat(x[order], first) if len(keys) else x
+        if len(asked[0]) == 3:
+            sums = summed(np.concatenate([a[2] for a in asked]).astype(np.int64))
+            out = np.empty(len(keys), np.int64)
+            out[order] = np.repeat(2 * sums, times)
             out[order[first]] += 1
             if first_round and kind == 0:
-                yield bucket, -1, True, int((sums[0] > 0).sum())
+                yield bucket, -1, True, int((sums > 0).sum())
         else:
-            left = [np.maximum(1 - s, 1e-12) for s in sums]  # positive but for rounding: lower orders leave mass to words never seen
-            out[order] = np.repeat(np.where(sums[0] > 0, np.log10(left[0] / left[1]), 0.0), times)
-        for mine, x in zip(answers, np.split(out, np.cumsum([len(a[0]) for a in asked])[:-1])):
-            mine.append(_narrow(x) if kind_of is np.int64 else x)
+            at = np.concatenate([a[2].astype(np.int64) + before for a, before in zip(asked, np.cumsum([0, *sizes]))])
+            told = np.zeros((2, len(keys)))
+            told[:, at] = [np.concatenate([a[v] for a in asked]) for v in (3, 4)]
+            arcs, lower = map(summed, told)
+            out = np.empty(len(keys))
+            left = [np.maximum(1 - x, 1e-12) for x in (arcs, lower)]  # positive but for rounding: lower orders leave mass to words never seen
+            out[order] = np.repeat(np.where(arcs > 0, np.log10(left[0] / left[1]), 0.0), times)
+        for mine, x in zip(answers, np.split(out, np.cumsum(sizes)[:-1])):
+            mine.append(_narrow(x) if out.dtype == np.int64 else x)
     for (number, _), mine in zip(parts, answers):
         yield bucket, number, False, mine
 
@@ -235,13 +343,11 @@ def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int,
         for batch in batches:
             for i in range(batch.num_rows):
                 stretch = Stretch(batch.column("data")[i], [batch.column(f"told{k}")[i] for k in range(round_)], settings)
-                asks, by = [], []
-                for keys, *values in _asks(stretch, round_, _base(stretch, totals)):
-                    asks.append((*low48(keys), *values))
-                    by.append(np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1)))
                 number = batch.column("batch")[i].as_py()
-                for a in range(0, buckets, 512):
-                    yield rows([(b, number, False, [tuple(x[e[b] : e[b + 1]] for x in kind) for kind, e in zip(asks, by)]) for b in range(a, min(buckets, a + 512))])
+                kinds = [_by_bucket(x, buckets) for x in _asks(stretch, round_, _base(stretch, totals))]
+                wanted = [b for b in range(buckets) if any(len(kind[b][0]) for kind in kinds)] or [0]  # an answer for every stretch
+                for a in range(0, len(wanted), 512):
+                    yield rows([(b, number, False, [kind[b] for kind in kinds]) for b in wanted[a : a + 512]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, mine in together(batches, "bucket"):

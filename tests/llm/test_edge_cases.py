@@ -342,3 +342,25 @@ def test_cross_parse_of_long_texts():
                     end += 1
                 n, at = n + 1, max(end, at + 1)
             assert round(got[k, i] / np.log2(parser.sizes[k])) == n, (lang, i)
+
+
+def test_automaton_follows_failure_arcs():
+    """Words a=0, b=1, c=2. States: 0, a=1, b=2, c=3, ab=4. Arcs: root's, b after a, c after ab; ab fails to b, b to the root."""
+    import numpy as np
+
+    keys = np.array([1 * 3 + 1, 4 * 3 + 2])
+    machine = lm_scoring.Automaton(3, np.array([-1.0, -2.0, -3.0]), np.array([1, 2, 3]), keys, np.array([-0.5, -0.25]), np.array([4, 3]), np.array([0, 0, 0, 0, 2]), np.array([0.0, -0.1, -0.2, -0.4, -0.8]))
+    after, cost = machine.step(np.array([0, 1, 4, 4, 2]), np.array([0, 1, 2, 0, 2]))
+    assert after.tolist() == [1, 4, 3, 1, 3]
+    assert np.allclose(cost, [-1.0, -0.5, -0.25, -0.8 - 0.2 - 1.0, -0.2 - 3.0])  # ab fails to b, b to the root
+    code = np.array([0, 1, 2, 0, 1, 0, 2, 2, 0, 1])
+    whole = machine.read(code, np.array([0]), np.array([0]), np.array([len(code)]))
+    state, each = np.array([0]), []
+    for w in code:
+        state, c = machine.step(state, np.array([w]))
+        each.append(c[0])
+    assert np.allclose(whole, each)
+    lanes = np.arange(0, len(code), 3)  # lanes inside a text, entered two words earlier
+    assert np.allclose(machine.read(code, lanes, np.maximum(lanes - 2, 0), np.minimum(lanes + 3, len(code))), whole)
+    none = lm_scoring.Automaton(3, machine.base, machine.target, keys[:0], keys[:0], keys[:0], machine.fail, machine.weight)
+    assert np.allclose(none.step(np.array([0, 4]), np.array([2, 1]))[1], [-3.0, -0.8 - 0.2 - 2.0])
