@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import crypto
 from ..functions import json_schema as js
 from ..operators import known_values, notes, ordered, paragraphs, tool_calls
+from ..sources import xlsx
 from .base import query
 
 
@@ -143,3 +145,31 @@ def _(t):
     """Conversations as notes, merged under 1,200 characters a pack; a merged note has the first 120 characters of each."""
     joined = lambda texts: F.array_join(F.transform(texts, lambda x: F.substring(x, 1, 120)), "\n")
     return notes.merge_tree(t.conversations, ["conv_id"], ["turn"], "text", "turn", 1200, joined)
+
+
+@query("encrypted_columns", "SELECT c_custkey, c_mktsegment, c_name, c_acctbal, false AS plain FROM customer")
+def _(t):
+    """Names and balances are sealed under their segment's key, the master key is changed, and they are opened again."""
+    old, new = bytes(32), bytes([7] * 32)
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_name", "c_acctbal")
+    keys = crypto.new_keys(rows.select(F.col("c_mktsegment").alias("sheet")), old)
+    hidden = crypto.encrypted(rows.withColumn("_name", F.col("c_name").cast("binary")), "c_mktsegment", ["c_name", "c_acctbal"], keys, old)
+    marked = hidden.withColumn("plain", F.contains("c_name", "_name")).drop("_name")
+    return crypto.decrypted(marked, "c_mktsegment", {"c_name": "string", "c_acctbal": "double"}, crypto.rotated(keys, old, new), new)
+
+
+@query("grid_records", """
+SELECT l_returnflag AS sheet, year(l_shipdate) || '/' || quarter(l_shipdate) AS above, l_linestatus AS beside, count(*)::VARCHAR AS text FROM lineitem GROUP BY 1, 2, 3""")
+def _(t):
+    """Counts as a table with years over quarters and one row a status, read back with their headers."""
+    at = t.lineitem.select(F.col("l_returnflag").alias("sheet"), F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
+    row, col = F.ascii("status"), (F.col("y") - 1900) * 4 + F.col("q")
+    cell = lambda r, c, span, text, header: [r.cast("int").alias("row"), c.cast("int").alias("col"), F.lit(1).alias("row_span"), F.lit(span).alias("col_span"), text.cast("string").alias("text"), F.lit(header).alias("header")]
+    counts = at.groupBy("sheet", "status", "y", "q").count()
+    cells = (
+        counts.select("sheet", *cell(row, col, 1, F.col("count"), False))
+        .unionAll(at.select("sheet", "y").distinct().select("sheet", *cell(F.lit(0), (F.col("y") - 1900) * 4 + 1, 4, F.col("y"), True)))
+        .unionAll(at.select("sheet", "y", "q").distinct().select("sheet", *cell(F.lit(1), col, 1, F.col("q"), True)))
+        .unionAll(at.select("sheet", "status").distinct().select("sheet", *cell(row, F.lit(0), 1, F.col("status"), True)))
+    )
+    return xlsx.grid_records(cells, "sheet").select("sheet", F.array_join("above", "/").alias("above"), F.array_join("beside", "/").alias("beside"), "text")
