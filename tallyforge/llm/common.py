@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,14 +36,16 @@ def _local_dir() -> str:
 
 #: Spark deletes the shuffle files of a query as soon as it ends, instead of when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Whole texts are long: so many rows at most go to Python at once.
+#: Whole texts are long: so many rows, and about so many bytes, at most go to Python at once.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BYTES, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 @contextlib.contextmanager
 def _released(spark: SparkSession):
-    before = {k: spark.conf.get(k, d) for k, d in ((CLEANUP, "false"), (BATCH, "10000"))}
+    before = {k: spark.conf.get(k, d) for k, d in ((CLEANUP, "false"), (BATCH, "10000"), (BYTES, str(2**31 - 1)))}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BYTES, str(min(MOST, int(before[BYTES]))))
     spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
     try:
         yield
@@ -105,6 +109,16 @@ class Scratch:
         self.tables = []
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """What a worker has freed goes back to the system. Workers stay for later tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

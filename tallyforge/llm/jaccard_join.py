@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import Scratch, shuffle_partitions, stored
+from .common import Scratch, release, shuffle_partitions, stored
 from .linking import Similarity
 from .packed import DEALT, LOW, bucket_of, grouped, joined48, low48, rows, together, unpacked
 
@@ -109,8 +109,11 @@ def _dealt(width: int, buckets: int):
                     if size > STRETCH or len(sets) > SETS or len(ids) > 20 * SETS:
                         yield from stretch(number, ids, which, sets)
                         number, ids, which, sets, size = number + 1, [], [], {}, 0
+                        release()
         if ids:
             yield from stretch(number, ids, which, sets)
+        ids, which, sets = [], [], {}
+        release()
 
     return run
 
@@ -137,6 +140,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(often)
             out.append((bucket, number, False, (k[m > 1], m[m > 1].astype(np.uint32), owner[m > 1], *of)))
         yield rows(out)
+    release()
 
 
 #: Of a document: doc_id, n and its set's digest. Of a set that may have partners besides: u shingles met nowhere else, place of
@@ -150,6 +154,7 @@ def _scanned(buckets: int, similarity: Similarity):
             head = next(unpacked(r[3]) for r in mine if r[2])
             parts = [unpacked(r[3]) for r in mine if not r[2]]
             yield from scanned(head, parts)
+        release()
 
     def scanned(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, which, n, digests, hot_owner, hot_keys = head

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import release
+
 UNKNOWN = "und"
 #: Characters of a stretch; languages with a full sample (beyond, samples shrink, so tables stay bounded).
 STRETCH, MOST_LANGUAGES = 256, 128
@@ -247,6 +249,7 @@ def predict(df: DataFrame, parser: CrossParser, text: Column) -> Column:
         for a in range(0, len(texts), SLICE):
             some = shared.value.predict(texts.slice(a, SLICE).to_pylist())
             langs, scores = langs + some[0], scores + some[1]
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return parse(text)

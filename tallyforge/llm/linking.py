@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 
 #: Rounds of pivots in lists with several labels, and pairs for each listed row from which another round is made.
 ROUNDS, MANY = 3, 4
@@ -71,6 +71,7 @@ def _compare(similarity: Similarity):
                 at[at == len(t)] = 0
                 ok.append(similarity.both * int(np.count_nonzero(t[at] == s)) >= similarity.top * n)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("la", "lb")], ["a", "b"])
+        release()
 
     return run
 
@@ -193,11 +194,15 @@ def _mixed(entries: DataFrame) -> DataFrame:
 MINOR = "(lo <> major or hi <> major)"
 
 
-def _more_pairs(mixed: DataFrame, seed: int, similarity: Similarity) -> DataFrame:
-    """What is outside a list's commonest label with a pivot inside it."""
+def _more_pairs(mixed: DataFrame, seed: int, similarity: Similarity, one: bool) -> DataFrame:
+    """What is outside a list's commonest label with a pivot inside it, or with the one that most lists have."""
     pivots = mixed.where(f"not {MINOR}").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n", "i")).alias("p")).select("key", "p.*")
     met = mixed.where(MINOR).alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("x.major")) & similarity.possible("x", "y"))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("x.major").alias("lb")).distinct()
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("x.major").alias("lb"))
+    if not one:
+        return pairs.distinct()
+    best = pairs.groupBy("a", "b", "la", "lb").count().groupBy("a").agg(F.min(F.struct((-F.col("count")).alias("c"), F.xxhash64("b", F.lit(seed)).alias("h"), "b", "la", "lb")).alias("m"))
+    return best.select("a", "m.b", "m.la", "m.lb")
 
 
 def _rest_pairs(mixed: DataFrame, similarity: Similarity) -> DataFrame:
@@ -223,7 +228,7 @@ def ties(classed: DataFrame) -> DataFrame:
     return tied.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None, many: int = MANY) -> DataFrame:
+def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None, many: float = MANY) -> DataFrame:
     """rep, component: of all classes that may be linked, the least doc_id of their component.
 
     classed(doc_id, rep): documents with the names of their classes. nodes(rep, least, gid, n, keys): classes that may have links, their
@@ -253,7 +258,7 @@ def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarit
         if left <= many * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
             break
         before = left
-        edges = scratch(_verified(_more_pairs(mixed, seed, similarity), nodes, similarity), "found")
+        edges = scratch(_verified(_more_pairs(mixed, seed, similarity, other is not None), nodes, similarity), "found")
         source, lists = mixed, mixed.select("key", "id", "n", "i")  # lists with one label stay so
         if edges.isEmpty():
             break

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, shuffle_partitions, stored
+from .common import bucketed, discard, release, shuffle_partitions, stored
 from .packed import DEALT, bucket_of, grouped, joined48, low48, rows, together, unpacked
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space in it
@@ -348,10 +348,12 @@ def _round(state: DataFrame, round_: int, settings: Settings, totals: tuple[int,
                 wanted = [b for b in range(buckets) if any(len(kind[b][0]) for kind in kinds)] or [0]  # an answer for every stretch
                 for a in range(0, len(wanted), 512):
                     yield rows([(b, number, False, [kind[b] for kind in kinds]) for b in wanted[a : a + 512]])
+        release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, mine in together(batches, "bucket"):
             yield rows([*_answer(bucket, [(r[1], unpacked(r[3])) for r in mine], round_ == 0)])
+        release()
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, mine in together(batches, "batch"):

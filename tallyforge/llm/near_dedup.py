@@ -36,8 +36,8 @@ from .linking import Similarity
 
 #: Shingles that advance together, unless one document has more, and texts that a worker holds at once.
 AT_ONCE, TEXTS = 100_000, 256
-#: Pairs for each listed row from which another way than going through them is taken.
-MANY = 1
+#: Pairs for each listed row (a class has as many as bands) from which another way than going through them is taken.
+MANY = 1 / 8
 #: Candidate classes that are broadcast at most (40 bytes each).
 CHOSEN = 500_000
 _FREE = np.uint64(2**64 - 1)

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 MARK = "▁"
 #: Random words that place a candidate's left, middle and right end in its unit; mixed with the occurrence's key they decide.
 PLACES = 4095
@@ -439,6 +441,7 @@ class SentencePiece:
         def encode(texts: pa.Array) -> pa.Array:
             codec = _codec(shared, *how)
             parts = [codec.encode_batch(texts.slice(a, SLICE).to_pylist()) for a in range(0, len(texts), SLICE)]
+            release()
             return pa.concat_arrays(parts) if parts else codec.encode_batch([])
 
         @F.arrow_udf("string")
