@@ -33,13 +33,16 @@ BULLETS = "-*+•"
 _month = {name[:n]: i for i, name in enumerate(MONTHS, 1) for n in range(3, len(name) + 1) if n in (3, len(name)) or name[:n] == "sept"}
 _digits, _letters, _space = re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\s?")
 _interest = re.compile(r"[0-9]|[^\W\d_]+|[\['§₹$€]|\.(?=[0-9])")
-_spaces, _spaces_commas, _date_gap, _year_gap = (re.compile(p) for p in (r"\s*", r"[\s,]*", r"[\s\-/.]*", r"[\s\-/.,]*"))
 _decimal, _rest = re.compile(r"[0-9]+(?:\.[0-9]+)?"), re.compile(r"[\w.,]*\w")
 _figure_end = re.compile(r"[A-Za-z0-9_]")
-_quarter = re.compile(r"(?i)q[1-4]|h[12]|[1-4]q|[12]h")
-_months_so_far = re.compile(r"(?i)[1-9]m")
-_a1 = r"\$?[a-z]{1,3}\$?[0-9]+"
-_cells = re.compile(rf"(?i)(?:'[^'\n]{{1,64}}'|\w{{1,64}})!{_a1}(?::{_a1})?|{_a1}:{_a1}")
+#: Parts of a year by letter, and how many there are.
+PARTS = {"q": 4, "h": 2}
+#: Digit groups of a number that are followed; with more it is none (38 digits is the most a value has).
+GROUPS = 24
+#: A range of cells as a spreadsheet names it: a sheet has 31 characters at most, none of []:*?/ or a backslash.
+_cell = r"\$?[a-z]{1,3}\$?[0-9]+"
+_sheet = r"'[^'\[\]:*?/\\\n]{1,31}'|\w{1,31}"
+_cells = re.compile(rf"(?i)(?:{_sheet})!{_cell}(?::{_cell})?|{_cell}:{_cell}")
 
 FIELDS = ("kind", "start", "stop", "raw", "number", "scale", "currency", "unit", "minus", "paren", "year", "month", "day", "year_end", "is_range")
 KINDS_OF_FIELDS = ("string", "int", "int", *["string"] * 5, "boolean", "boolean", *["int"] * 4, "boolean")
@@ -63,27 +66,41 @@ def _after_space(text: str, at: int) -> int:
     return _space.match(text, at).end()
 
 
-def _grouped(groups: list[str]) -> int:
-    """How many of the digit groups make one number: thousands, or Indian pairs before the last three."""
-    for n in range(len(groups), 1, -1):
-        sizes = [len(g) for g in groups[1:n]]
-        if sizes[-1] == 3 and (len(groups[0]) <= 3 and set(sizes) == {3} or len(groups[0]) <= 2 and set(sizes[:-1]) == {2}):
-            return n
-    return 1
+def _past(text: str, at: int, marks: str = "") -> int:
+    """The place behind white space and these marks."""
+    while text[at : at + 1] and (text[at].isspace() or text[at] in marks):
+        at += 1
+    return at
+
+
+def _groups(text: str, first: int, end: int) -> int | None:
+    """Where the digit groups end that follow a number's first digits: thousands, or Indian pairs before the last three.
+
+    None if three more digits follow that fit neither, or groups without end: then it isn't a number.
+    """
+
+    def group(at: int) -> tuple[int, int]:
+        digits, stop = _run(text, at + 1) if text[at : at + 1] == "," else ("", at)
+        return len(digits), stop
+
+    size, stop = group(end)
+    followed, place = 0, end
+    while size == 2 and first <= 2 and followed < GROUPS:
+        followed, place = followed + 1, stop
+        size, stop = group(place)
+    if followed and size == 3:
+        end = stop
+    while not followed and size == 3 and first <= 3 and end - place < 4 * GROUPS:
+        end = stop
+        size, stop = group(end)
+    return None if followed == GROUPS or group(end)[0] == 3 else end
 
 
 def _numeral(text: str, at: int) -> tuple[str, int]:
     """A number as written; none where it is part of a longer dotted one, such as a version."""
     head, end = _run(text, at)
-    if head:
-        groups, ends = [head], [end]
-        while text[ends[-1] : ends[-1] + 1] == "," and (more := _run(text, ends[-1] + 1))[0]:
-            groups.append(more[0])
-            ends.append(more[1])
-        n = _grouped(groups)
-        end = ends[n - 1]
-        if n < len(groups) and len(groups[n]) == 3:
-            return "", at
+    if head and (end := _groups(text, len(head), end)) is None:
+        return "", at
     if text[end : end + 1] == "." and (more := _run(text, end + 1))[0]:
         end = more[1]
         if text[end : end + 1] == "." and _run(text, end + 1)[0]:
@@ -91,6 +108,15 @@ def _numeral(text: str, at: int) -> tuple[str, int]:
     return text[at:end], end
 
 
+def _year_part(text: str, at: int) -> tuple[str, int]:
+    """Q1 to Q4, H1 and H2, either way round."""
+    two = text[at : at + 2].lower()
+    for letter, digit in (two, two[::-1]) if len(two) == 2 else ():
+        if "1" <= digit <= str(PARTS.get(letter, 0)):
+            return text[at : at + 2], at + 2
+    return "", at
+
+
 def _word(text: str, at: int) -> tuple[str, int]:
     word, end = _run(text, at, _letters)
     return word.lower(), end
@@ -211,8 +237,9 @@ def _read_cells(text: str, at: int):
 
 def _read_period(text: str, at: int):
     """Q2 FY26, H1FY26, FY25-26, FY26E, Q3 2025, H1"""
-    part, end = _run(text, at, _quarter)
-    months, end = (part, end) if part else _run(text, at, _months_so_far)
+    part, end = _year_part(text, at)
+    if not part and "1" <= text[at : at + 1] <= "9" and text[at + 1 : at + 2] in ("m", "M"):
+        end = at + 2  # so many months of a year
     after = _after_space(text, end)
     fiscal = text[after : after + 2].lower() in ("fy", "cy")
     if not fiscal:
@@ -242,14 +269,14 @@ def _read_month(text: str, at: int):
         return None
     after = _after_space(text, end)
     digits, behind = _run(text, after)
-    if 0 < len(digits) <= 2 and int(digits) <= 39:
+    if 0 < len(digits) <= 2 and 1 <= int(digits) <= 31:
         suffix, behind = (text[behind : behind + 2].lower(), behind + 2) if text[behind : behind + 2].lower() in ("st", "nd", "rd", "th") else ("", behind)
         comma = behind + (text[behind : behind + 1] == ",")
-        gap = _run(text, comma, _spaces)[1]
+        gap = _past(text, comma)
         year, stop = _year(text, gap)
         if year and gap > comma and not _run(text, stop)[0]:
             return _dated(text, at, stop, year, month, int(digits))
-    gap = _run(text, end, _spaces_commas)[1]
+    gap = _past(text, end, ",")
     year, stop = _year(text, gap)
     if year is None or gap == end:
         mark = _dash(text, end)
@@ -295,10 +322,10 @@ def _read_day_month(text: str, at: int):
         return None
     if text[end : end + 2].lower() in ("st", "nd", "rd", "th"):
         end += 2
-    month, stop = _month_name(text, _run(text, end, _date_gap)[1])
+    month, stop = _month_name(text, _past(text, end, "-/."))
     if not month:
         return None
-    year, behind = _year(text, _run(text, stop, _year_gap)[1])
+    year, behind = _year(text, _past(text, stop, "-/.,"))
     if not year and (text[stop : stop + 1] in tuple("-/.'’")):
         year, behind = _year(text, stop + 1, short=True)
     return _dated(text, at, behind, year, month, int(digits)) if year and _closed(text, behind) else None
@@ -321,7 +348,7 @@ def _read_count(text: str, at: int):
 def _phrase(text: str, at: int, known) -> tuple[str | None, int]:
     """The longest of one or two words in `known`."""
     word, end = _word(text, at)
-    two, end2 = _word(text, _run(text, end, _spaces)[1]) if word else ("", end)
+    two, end2 = _word(text, _past(text, end)) if word else ("", end)
     if two and end2 > end and f"{word} {two}" in known:
         return f"{word} {two}", end2
     return (word, end) if word in known else (None, at)
@@ -396,6 +423,9 @@ def scan(text: str) -> Iterator[tuple]:
         if start and (text[start - 1].isalnum() or text[start - 1] == "_") and first not in ("[", "'"):
             at = m.end() if not first.isdigit() else _digits.match(text, start).end()
             continue
+        if first.isdigit() and text[max(start - 2, 0) : start][:1].isdigit() and text[start - 1] == ".":
+            at = _rest.match(text, start).end()  # behind a digit and a dot: a version's part
+            continue
         if first.isdigit():
             readers = ON_DIGIT
         elif first[0].isalpha():
@@ -465,7 +495,43 @@ def key(unit: Column, value: Column) -> Column:
     return F.when(unit == "BPS", value / 100).otherwise(value)
 
 
-def is_exempt(figure: Column) -> Column:
-    """Labels, places in documents and small counts need no source."""
+# Words that make a year next to them a period, before and behind it, and how far away they may stand.
+PERIOD_BEFORE, PERIOD_BEHIND = ("fiscal", "calendar", "fy", "cy", "year"), ("fiscal", "fy", "cy", "financial year", "calendar year")
+NEAR = 24
+#: A link to a source: [words](cite:place).
+CITED = r"\[[^\[\]\n]*\]\(cite:[^()\s]*\)"
+
+
+def is_exempt(figure: Column, text: Column | None = None) -> Column:
+    """Labels, places in documents and small counts need no source; in its text, nor do years of a period phrase and what a link to a source holds."""
     small = (figure["value"] >= 0) & (figure["value"] <= 12)
-    return figure["kind"].isin("period", "locator", "list_marker") | (figure["kind"].isin("ordinal") & small) | ((figure["kind"] == "number") & (figure["unit"] == "COUNT") & small)
+    out = figure["kind"].isin("period", "locator", "list_marker") | (figure["kind"].isin("ordinal") & small) | ((figure["kind"] == "number") & (figure["unit"] == "COUNT") & small)
+    if text is None:
+        return out
+    return out | ((figure["kind"] == "year") & in_period_phrase(text, figure["start"], figure["stop"])) | inside_any(cited_spans(text), figure["start"], figure["stop"])
+
+
+def in_period_phrase(text: Column, start: Column, stop: Column) -> Column:
+    """fiscal 2025, calendar year 2024, 2025 financial year: the last word before a place, or the first ones behind it."""
+    begin = F.greatest(start - NEAR, F.lit(0))
+    before = F.rtrim(F.lower(F.substring(text, begin + 1, start - begin)), F.lit(" \t\n\r\u00a0:'\u2019"))
+    behind = F.split(F.ltrim(F.lower(F.substring(text, stop + 1, F.lit(NEAR)))), "[^a-z]+", 3)
+    one, two = F.get(behind, F.lit(0)), F.concat_ws(" ", F.get(behind, F.lit(0)), F.get(behind, F.lit(1)))
+    return F.regexp_extract(before, "([a-z]+)$", 1).isin(*PERIOD_BEFORE) | one.isin(*PERIOD_BEHIND) | two.isin(*PERIOD_BEHIND)
+
+
+def cited_spans(text: Column) -> Column:
+    """array of struct(lo, hi): where links to sources stand."""
+    links, pieces = F.regexp_extract_all(text, F.lit(CITED), F.lit(0)), F.split(text, CITED, -1)
+    sizes = F.zip_with(pieces, links, lambda p, x: F.struct(F.char_length(p).alias("gap"), F.char_length(x).alias("link")))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    step = lambda done, x: F.concat(done, F.array(F.struct((_last(done) + x["gap"]).cast("int").alias("lo"), (_last(done) + x["gap"] + x["link"]).cast("int").alias("hi"))))
+    return F.when(F.contains(text, F.lit("](cite:")), F.aggregate(F.filter(sizes, lambda x: x["link"].isNotNull()), none, step)).otherwise(none)
+
+
+def _last(spans: Column) -> Column:
+    return F.coalesce(F.try_element_at(spans, F.lit(-1))["hi"], F.lit(0))
+
+
+def inside_any(spans: Column, start: Column, stop: Column) -> Column:
+    return F.exists(spans, lambda s: (s["lo"] <= start) & (stop <= s["hi"]))

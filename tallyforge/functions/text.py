@@ -48,6 +48,7 @@ def values_only(text: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
+    """Without control characters, separators and what file systems refuse; 120 characters at most."""
     return F.substring(F.trim(F.regexp_replace(name, r"[\x00-\x1f\x7f/\\:*?\"<>|]", "")), 1, 120)
 
 
@@ -60,6 +61,25 @@ def luhn_valid(digits: Column) -> Column:
     return F.when(digits.rlike("^[0-9]+$"), F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0).otherwise(False)
 
 
+def _worth(c: Column) -> Column:
+    """0 to 9, then 10 for A to 35 for Z."""
+    return F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+
+
+def gstin_valid(text: Column) -> Column:
+    """Tax registration: state, PAN, entity, Z, and a check character: weights 1 and 2 by turns, digits in base 36 summed."""
+    shape = text.rlike("^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$")
+    weighed = F.transform(F.split(F.substring(text, 1, 14), ""), lambda c, i: _worth(c) * (1 + i % 2))
+    total = F.aggregate(weighed, F.lit(0), lambda a, x: a + (x / 36).cast("int") + x % 36)
+    return F.when(shape, F.pmod(-total, F.lit(36)) == _worth(F.substring(text, 15, 1))).otherwise(F.when(text.isNotNull(), F.lit(False)))
+
+
+def isin_valid(text: Column) -> Column:
+    """Securities number: a country, nine characters and a check digit: letters as two digits, then every second digit doubled."""
+    digits = F.array_join(F.transform(F.split(text, ""), lambda c: _worth(c).cast("string")), "")
+    return F.when(text.rlike("^[A-Z]{2}[0-9A-Z]{9}[0-9]$"), luhn_valid(digits)).otherwise(F.when(text.isNotNull(), F.lit(False)))
+
+
 def column_number(letters: Column) -> Column:
     """A -> 1, Z -> 26, AA -> 27."""
     return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)

@@ -65,10 +65,9 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
     A figure matches an entry that rounds to it: half its last digit below is included, half above is not. A figure with a minus
     sign is compared with signs, others by size. One that stands only in another currency is told apart from one that stands
-    nowhere; labels, places and small counts are exempt.
+    nowhere; labels, places, small counts, years of a period phrase ("fiscal 2025") and all inside links to sources are exempt.
     """
-    f = answers.select("id", F.explode(figures.figures(F.col("text"))).alias("f")).select("id", "f.*", figures.is_exempt(F.col("f")).alias("exempt"))
-    f = f.withColumn("exempt", F.col("exempt") & ~((F.col("unit") == "DATE") & (F.col("kind") != "period")))
+    f = answers.select("id", "text", F.explode(figures.figures(F.col("text"))).alias("f")).select("id", "f.*", figures.is_exempt(F.col("f"), F.col("text")).alias("exempt"))
     value = figures.key(F.col("unit"), F.col("value")).cast("double")
     step = figures.key(F.col("unit"), F.col("step")).cast("double")
     signed = F.col("signed")

@@ -223,6 +223,37 @@ def _(t):
     return grounding.verdicts(answer, source).select("id", "raw", "reason")
 
 
+@query("grounding_contexts", """
+WITH o AS (SELECT o_orderkey AS id, (1990 + o_orderkey % 40)::VARCHAR AS y, (100 + o_orderkey % 800)::VARCHAR AS n FROM orders)
+SELECT id, raw, reason FROM (
+  SELECT id, y AS raw, 'exempt' AS reason FROM o UNION ALL SELECT id, y, 'exempt' FROM o UNION ALL SELECT id, n, 'exempt' FROM o
+  UNION ALL SELECT id, y, 'not_found' FROM o UNION ALL SELECT id, n, CASE WHEN id % 2 = 0 THEN 'matched' ELSE 'not_found' END FROM o)""")
+def _(t):
+    """Years of a period phrase, before and behind it, and what a link to a source holds need no source; the same figures elsewhere do."""
+    y, n = (F.col("o_orderkey") % 40 + 1990).cast("string"), (F.col("o_orderkey") % 800 + 100).cast("string")
+    text = F.concat(F.lit("In Fiscal Year: "), y, F.lit(" we had "), n, F.lit(" deals, ["), n, F.lit(" of them](cite:doc) until "), y, F.lit(" was over; see "), y, F.lit(" financial year."))
+    answer = t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    source = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("There were "), n, F.lit(" deals.")).alias("text"))
+    return grounding.verdicts(answer, source).select("id", "raw", "reason")
+
+
+_WORTH = "CASE WHEN {c} BETWEEN '0' AND '9' THEN ascii({c}) - 48 ELSE ascii({c}) - 55 END"
+
+
+@query("check_characters", f"""
+WITH o AS (SELECT o_orderkey AS k, lpad((o_orderkey % 37 + 1)::VARCHAR, 2, '0') || 'ABCDE' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || 'F1Z' AS g, 'IN' || lpad(o_orderkey::VARCHAR, 9, '0') AS i FROM orders),
+c AS (SELECT k, g, i, list_sum([(({_WORTH.format(c='g[p]')}) * (2 - p % 2)) // 36 + (({_WORTH.format(c='g[p]')}) * (2 - p % 2)) % 36 FOR p IN range(1, 15)]) AS s,
+             reverse(array_to_string([({_WORTH.format(c='i[p]')})::VARCHAR FOR p IN range(1, 12)], '')) AS d FROM o)
+SELECT k, (36 - s % 36) % 36 = k % 36 AS gstin, (10 - list_sum([CASE WHEN p % 2 = 0 THEN d[p]::INT WHEN d[p]::INT > 4 THEN d[p]::INT * 2 - 9 ELSE d[p]::INT * 2 END FOR p IN range(1, length(d) + 1)]) % 10) % 10 = k % 10 AS isin FROM c""")
+def _(t):
+    """Numbers made of order keys, with a check character that is right now and then."""
+    k = F.col("o_orderkey")
+    last = F.substring(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (k % 36 + 1).cast("int"), F.lit(1))
+    gstin = F.concat(F.lpad((k % 37 + 1).cast("string"), 2, "0"), F.lit("ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F1Z"), last)
+    isin = F.concat(F.lit("IN"), F.lpad(k.cast("string"), 9, "0"), (k % 10).cast("string"))
+    return t.orders.select(k.alias("k"), tx.gstin_valid(gstin).alias("gstin"), tx.isin_valid(isin).alias("isin"))
+
+
 @query("extract_amounts_simple", "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS amount FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("amount"))

@@ -92,3 +92,49 @@ def test_budget_choice(spark):
     rows = [("x", i, s) for i, s in enumerate((50, 30, 40, 10, 60))] + [("y", 0, 200)]
     got = ordered.budget_choice(spark.createDataFrame(rows, "doc string, place int, size int"), "doc", ["size"], "place", "size", 85).collect()
     assert sorted((r["doc"], r["place"], r["turn"]) for r in got) == [("x", 1, 1), ("x", 2, 2), ("x", 3, 3)]
+
+
+def test_versions_and_long_rows_of_numbers():
+    import time
+
+    raws = lambda text: [x[figures.FIELDS.index("raw")] for x in figures.scan(text)]
+    assert raws("v1.2.3 and 1.2.3.4") == [] and raws("v1.25 of 3.5") == ["3.5"]
+    assert raws("1,234,567 12,34,567 1,2,3 1234,567 12,34,567,890 12,34,56") == ["1,234,567", "12,34,567", "1", "2", "3", "12", "34", "56"]
+    took = []
+    for n in (2_000, 8_000):
+        for row in ("1,", "1,11,", "111,", "1,111,111.1.", "1,11,11,11,111."):
+            began = time.perf_counter()
+            assert raws(row * n) is not None
+            took.append(time.perf_counter() - began)
+    assert max(took) < 3
+    assert raws("," .join(["11"] * 400)) == [] and raws("9," + ",".join(["999"] * 8)) == ["9," + ",".join(["999"] * 8)]
+
+
+def test_dates_have_days_and_parts_of_years():
+    kinds = lambda text: [(x[0], x[3]) for x in figures.scan(text)]
+    assert kinds("March 31, 2025") == [("date", "March 31, 2025")] and ("date", "March 45, 2025") not in kinds("March 45, 2025")
+    assert kinds("Q4 FY26, 4Q FY26, H2 2025, 2H FY25") == [("period", x) for x in ("Q4 FY26", "4Q FY26", "H2 2025", "2H FY25")] and not [k for k, _ in kinds("Q5 H3") if k == "period"]
+    assert kinds("31 - March. 2025") == [("date", "31 - March. 2025")] and kinds(f"'{'x' * 31}'!A1 'a[b'!C3:D4")[0] == ("cell", f"'{'x' * 31}'!A1")
+
+
+def test_exempt_by_context(spark):
+    rows = [("fiscal 2025", True), ("Financial Year: 2025", True), ("FY '2025", True), ("2025 fiscal", True), ("2025, calendar year", True), ("in 2025", False), ("fiscally 2025", False), ("2025 years", False), ("[up 2025](cite:a/b#2)", True), ("[x](cite:a) 2025", False), ("[2025](http://x)", False), ("a [1](cite:q) b [2025 z](cite:r)", True)]
+    df = spark.createDataFrame(rows, "text string, want boolean").select("text", "want", F.explode(figures.figures(F.col("text"))).alias("f")).where("f.kind = 'year'")
+    got = {r["text"]: r["e"] for r in df.select("text", figures.is_exempt(F.col("f"), F.col("text")).alias("e")).collect()}
+    want = {t: w for t, w in rows if t in got}
+    assert got == want and len(got) >= 8
+
+
+def test_harmless_symbols_and_times(spark):
+    rows = ["NSE - ABCDE1234F", "BSE: ABCDE1234F", "NSE-ABCDE1234F", "ABCDE1234F.NS", "at 2024-01-01T10:22:33.123456", "tel (022) 2345 6789 01", "+91 98765-43210 12", "phone: 080-23456789"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")
+    found = df.select("i", F.size(identifiers.detect(F.col("text"))).alias("n")).where("n > 0").collect()
+    assert found == []
+
+
+def test_check_characters(spark):
+    from tallyforge.functions import text as tx
+
+    rows = [("27AAPFU0939F1ZV", "US0378331005"), ("27AAPFU0939F1ZW", "US0378331006"), ("27aapfu0939f1zv", "US037833100"), (None, None), ("", ""), ("29AAGCB7383J1Z4", "INE009A01021")]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "g string, i string").select(tx.gstin_valid(F.col("g")), tx.isin_valid(F.col("i"))).collect()]
+    assert got == [(True, True), (False, False), (False, False), (None, None), (False, False), (True, True)]
