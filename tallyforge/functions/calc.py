@@ -62,6 +62,23 @@ def same_unit(a: Column, b: Column) -> Column:
     return F.when((a == "DATE") | (b == "DATE") | (plain(a) != plain(b)), INCOMPATIBLE_UNITS)
 
 
+def unit_message(a: Column, b: Column) -> Column:
+    """Why two units don't go together, in words; null if they do."""
+    money = lambda u: u.isin(*SYMBOLS)
+    return F.when(same_unit(a, b).isNotNull(), F.when((a == "DATE") | (b == "DATE"), "A date can't be used in a calculation.").when(money(a) & money(b), "The values are in different currencies.").otherwise("The values are in different units."))
+
+
+def canonical(value: Column, scale: Column) -> Column:
+    """The value in base units; null for an unknown scale word."""
+    return value * scale_factor(scale)
+
+
+def of_figures(metric, a: Column, b: Column) -> Column:
+    """A metric of two figures struct(value, unit, scale), with their scales applied and their units compared: struct(value, error_code, message)."""
+    got, message = metric(canonical(a["value"], a["scale"]), canonical(b["value"], b["scale"])), unit_message(a["unit"], b["unit"])
+    return F.struct(F.when(message.isNull(), got["value"]).alias("value"), F.coalesce(same_unit(a["unit"], b["unit"]), got["error_code"]).alias("error_code"), message.alias("message"))
+
+
 def label_year(label: Column) -> Column:
     """FY22, CY2024, '25, 2023E -> the year; two digits are 20YY; null for anything else."""
     digits = F.regexp_extract(F.trim(label), r"(?i)^(?:FY|CY)?\s*['’]?((?:19|20)\d{2}|\d{2})[AEFP]?$", 1)

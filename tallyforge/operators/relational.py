@@ -21,6 +21,11 @@ def secured(df: DataFrame, memberships: DataFrame, user, space: str, owner: str
     return seen.where(F.col(owner) == user) if owner else seen
 
 
+def owned(df: DataFrame, ident: str, wanted, owner: str, user) -> DataFrame:
+    """The row of an id, if it is the user's: no row tells another's apart from one that isn't there, and rows without an owner are nobody's."""
+    return df.where((F.col(ident) == wanted) & (F.col(owner) == user))
+
+
 def keyset_page(df: DataFrame, order: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:
     """The rows that follow a cursor in descending order, one more than the limit to tell whether there are others."""
     key = F.struct(*order)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import crypto
+from ..functions import calc, crypto, guard
 from ..functions import json_schema as js
-from ..operators import known_values, notes, ordered, paragraphs, tool_calls
-from ..sources import xlsx
+from ..operators import known_values, notes, ordered, paragraphs, relational, tool_calls
+from ..sources import sinks, xlsx
 from .base import query
 
 
@@ -173,3 +173,54 @@ def _(t):
         .unionAll(at.select("sheet", "status").distinct().select("sheet", *cell(row, F.lit(0), 1, F.col("status"), True)))
     )
     return xlsx.grid_records(cells, "sheet").select("sheet", F.array_join("above", "/").alias("above"), F.array_join("beside", "/").alias("beside"), "text")
+
+
+@query("job_of_owner", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7 AND o_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
+def _(t):
+    """An order looked up by its id and its own customer."""
+    owner = t.orders.where("o_orderkey = 7").select(F.col("o_custkey").alias("me"))
+    rows = t.orders.join(F.broadcast(owner))  # one row
+    return relational.owned(rows, "o_orderkey", 7, "o_custkey", F.col("me")).select("o_orderkey", "o_orderstatus")
+
+
+@query("guard_outputs", """
+SELECT event_id, CASE event_type WHEN 'view' THEN 'safe' WHEN 'click' THEN 'unsafe' ELSE 'controversial' END AS safety,
+       CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'parse_error' WHEN user_id % 2 = 0 THEN 'A b,Zed' ELSE '' END AS categories,
+       CASE WHEN event_type IN ('view', 'click', 'signup') AND value > 20 THEN value > 50 END AS refusal FROM events""")
+def _(t):
+    safety = F.when(F.col("event_type") == "view", "SAFE").when(F.col("event_type") == "click", "unsafe").when(F.col("event_type") == "signup", "Controversial").otherwise("maybe")
+    refusal = F.when(F.col("value") > 50, "\nRefusal: Yes").when(F.col("value") > 20, "\nRefusal: no ").otherwise("\nRefusal: perhaps")
+    text = F.concat(F.lit("  safety: "), safety, F.lit("\nCategories: "), F.when(F.col("user_id") % 2 == 0, "Zed, A b , none, Zed").otherwise("None"), refusal)
+    return t.events.select("event_id", guard.guard_output(text).alias("g")).select("event_id", "g.safety", F.array_join("g.categories", ",").alias("categories"), "g.refusal")
+
+
+@query("feature_verdicts", """
+SELECT user_id, CASE WHEN same IS NULL OR other IS NULL OR same <= 0 THEN 'inconclusive' WHEN other > 0 THEN 'ignored' ELSE 'honoured' END AS salt,
+       CASE WHEN rejected IS NOT NULL THEN 'unsupported' WHEN high IS NULL OR mid IS NULL THEN 'inconclusive' WHEN high < mid * 0.5 THEN 'honoured' ELSE 'ignored' END AS priority
+FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS same, CASE WHEN user_id % 3 > 0 THEN count(*) FILTER (event_type = 'view' AND value > 80) END AS other,
+             min(value) FILTER (event_type = 'signup') AS high, median(value) FILTER (event_type = 'error') AS mid, CASE WHEN user_id % 7 = 0 THEN 503 END AS rejected FROM events GROUP BY 1)""")
+def _(t):
+    kind = F.col("event_type")
+    counters = t.events.groupBy("user_id").agg(
+        F.count_if(kind == "click").alias("same"), F.count_if((kind == "view") & (F.col("value") > 80)).alias("other"), F.min(F.when(kind == "signup", F.col("value"))).alias("high"), F.collect_list(F.when(kind == "error", F.col("value"))).alias("low")
+    ).withColumns({"other": F.when(F.col("user_id") % 3 > 0, F.col("other")), "rejected": F.when(F.col("user_id") % 7 == 0, 503)})
+    return counters.select("user_id", guard.salt_verdict(F.col("same"), F.col("other"))["verdict"].alias("salt"), guard.priority_verdict(F.col("rejected"), F.col("high"), F.col("low"))["verdict"].alias("priority"))
+
+
+@query("calc_scaled", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN round((o_totalprice * 1e5 - o_orderkey * 1e7) / (o_orderkey * 1e7) * 100, 6) END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'incompatible_units' END AS error_code,
+       CASE o_orderkey % 6 WHEN 0 THEN 'The values are in different currencies.' WHEN 3 THEN 'The values are in different units.' END AS message FROM orders WHERE o_orderkey > 0""")
+def _(t):
+    """Growth from crores to lakhs, of the same or of other units."""
+    k = F.col("o_orderkey")
+    figure = lambda value, unit, scale: F.struct(value.cast("double").alias("value"), unit.alias("unit"), F.lit(scale).alias("scale"))
+    other = F.when(k % 6 == 0, "USD").when(k % 6 == 3, "PCT").otherwise("INR")
+    got = calc.of_figures(calc.growth, figure(k, F.lit("INR"), "crore"), figure(F.col("o_totalprice"), other, "Lakhs"))
+    return t.orders.where("o_orderkey > 0").select("o_orderkey", got.alias("g")).select("o_orderkey", F.round("g.value", 6).alias("value"), "g.error_code", "g.message")
+
+
+@query("canonical_rows", """
+SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","id":' || event_id || ',"name":"\\u20b9 ' || event_type || ' \\ud83d\\ude00","none":null,"took":' || (user_id * 1000000 + 5) || '}' AS body FROM events""")
+def _(t):
+    rows = t.events.select("event_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), F.concat(F.lit("₹ "), "event_type", F.lit(" 😀")).alias("name"), F.lit(None).cast("string").alias("none"), F.expr("make_dt_interval(0, 0, 0, user_id + 0.000005)").alias("took"))
+    return rows.select("event_id", sinks.canonical_row(rows, "id", "at", "name", "none", "took").alias("body"))

@@ -41,6 +41,32 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("value"))
 
 
+def _ascii(text: Column) -> Column:
+    """JSON's escapes for what isn't ASCII, in UTF-16 halves beyond the basic plane."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    beyond = lambda n: n - 0x10000
+    high, low = (lambda n: (beyond(n) / 1024).cast("int") + 0xD800), (lambda n: beyond(n) % 1024 + 0xDC00)
+    each = lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 0x10000, unit(F.ascii(c))).otherwise(F.concat(unit(high(F.ascii(c))), unit(low(F.ascii(c)))))
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.array_join(F.transform(F.split(text, ""), each), "")).otherwise(text)
+
+
+def canonical_row(df: DataFrame, *columns: str) -> Column:
+    """A row as JSON that is the same wherever it is made: keys sorted, no spaces, ASCII only, nulls kept.
+
+    Times are UTC with microseconds and Z, durations whole microseconds; all columns where none are named.
+    """
+
+    def value(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind.startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return F.expr(f"unix_micros(timestamp_micros(0) + `{name}`)") if kind.startswith("interval day") or kind.startswith("interval hour") else c
+
+    kinds = dict(df.dtypes)
+    fields = [value(c, kinds[c]).alias(c) for c in sorted(columns or df.columns)]
+    return _ascii(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
 def canonical_json(columns: list[str]) -> Column:
     """Sorted keys, no spaces, nulls kept; for ASCII values."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

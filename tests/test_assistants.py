@@ -339,3 +339,20 @@ def test_merge_tree(spark):
     assert got == {k: plain_tree(ts, 100, 12) for k, ts in texts.items()}
     levels = {r["k"]: r["level"] for r in notes.merge_tree(df, ["k"], ["i"], "t", "i", 100, lambda a: F.array_join(F.transform(a, lambda x: F.substring(x, 1, 12)), "|")).collect()}
     assert levels["y"] == 0 and levels["w"] >= 3
+
+
+# -- models and servers
+
+
+def test_guard_outputs_and_verdicts(spark):
+    from tallyforge.functions import guard
+
+    texts = ["Safety: Unsafe\nCategories: Violent, PII , violent\nRefusal: YES", "safety:safe", " Safety: Controversial \n Categories: None\nRefusal: maybe", "Safety: fine", "", None, "x Safety: Safe", "Refusal: No\nSafety: Safe\nCategories:"]
+    got = [tuple(r["g"]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(guard.guard_output(F.col("t")).alias("g")).collect()]
+    bad = ("controversial", ["parse_error"], None)
+    assert got == [("unsafe", ["PII", "Violent", "violent"], True), ("safe", [], None), ("controversial", [], None), bad, bad, bad, bad, ("safe", [], False)]
+    replies = spark.createDataFrame([(0, []), (1, [("fine", None), (None, "")]), (2, [("a <think>", None)]), (3, [("a", "hm")]), (4, None)], "i int, r array<struct<content: string, reasoning: string>>")
+    assert [r[0] for r in replies.orderBy("i").select(guard.thinking_verdict(F.col("r"))["verdict"]).collect()] == ["inconclusive", "pass", "fail", "fail", "inconclusive"]
+    times = spark.createDataFrame([(0, None, 1.0, [3.0, 2.0, None]), (1, None, 1.3, [2.0, 3.0]), (2, 400, 0.1, [9.0]), (3, None, None, [1.0]), (4, None, 1.0, []), (5, None, 1.0, None)], "i int, rejected int, high double, low array<double>")
+    verdicts = [r[0] for r in times.orderBy("i").select(guard.priority_verdict(F.col("rejected"), F.col("high"), F.col("low"))["verdict"]).collect()]
+    assert verdicts == ["honoured", "ignored", "unsupported", "inconclusive", "inconclusive", "inconclusive"]
