@@ -11,7 +11,9 @@ an article and passages that many articles quote are text all the same. Everythi
 
 A class, an id or a role rules an element out by a whole name only ("sidebar", not "has-sidebar"), and neither it nor a
 form does so to an element outside articles that has an article or main element in it. Names that articles use too
-(related, share, notice, header and the like) rule nothing out: what is named so is decided by differencing, in articles too.
+(related, share, notice, header and the like) rule nothing out: blocks named so are decided by differencing, in articles too. Elements whose
+name is about reader comments ("user-comments", "comment-list", "comments-1") go, in articles too, unless a page has nothing else or, outside
+articles, they have an article in them. Elements inside a line (span, a, b) start no block; if a name rules one out, only its words go.
 
 Blocks: character references decoded, white space to one space, trimmed, blank ones dropped, joined by \\n.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,11 +41,8 @@ from .url_filter import url_host, url_path
 
 # Attributes: a quote opens a string only where a value begins; elsewhere it is a character like others.
 _ATTRIBUTES = r"""(?>=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|[^>=])*+"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:script|style)\b(?:" + _ATTRIBUTES + r")(?<!/)>.*?(?:</(?:script|style)\s*>|\Z)|<(noscript|template|svg|iframe|textarea|title)\b(?:" + _ATTRIBUTES
-    + r")(?<!/)>.*?</\1\s*>|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRIBUTES + r")>|</?[a-zA-Z][^<>]*\Z|[^<]+|<",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRIBUTES + r")>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S)
+TRUNCATED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Elements that start and end blocks; elements that are never article text; words in class, id or role that say so.
@@ -52,6 +52,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("nav footer aside form button select menu dialog head object audio video canvas".split())
+#: Elements whose content isn't parsed. The first two end with the page at the latest, of the others only the tag goes where no end follows.
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer site-footer"
@@ -60,73 +62,122 @@ BOILERPLATE = frozenset(
 )
 #: Names of reader comments rule out articles too, each comment being one.
 COMMENTS = frozenset("comment comments comment-body reply replies respond".split())
+#: What a name says of its kind after its head word.
+KINDS = frozenset("area block body box container content form item list section thread wrap wrapper".split())
+
+
+def about_comments(name: str) -> bool:
+    """Whether a class or id has comments as its head word: user-comments, comment-list, comments-1; not comment-status-open."""
+    parts = [x for x in re.split("[-_]", name) if x and not x.isdigit()]
+    while len(parts) > 1 and parts[-1] in KINDS:
+        parts.pop()
+    return bool(parts) and parts[-1] in ("comment", "comments", "replies")
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
+    """Tag name, attributes and whole text of each token, in time linear in the page."""
+    at, last, endless = 0, page.rfind(">"), set()
+    while at < len(page):
+        if at > last:  # no tag ends any more
+            cut = page.rfind("<", at)
+            yield None, "", page[at : cut if cut >= 0 and TRUNCATED.match(page, cut) else len(page)]
+            return
+        m = TOKEN.match(page, at)
+        at = m.end()
+        tag = m[1] and m[1].lower()
+        yield tag, m[2] or "", m[0]
+        if tag in RAW and m[0][1] != "/" and not m[0].endswith("/>") and tag not in endless:
+            end = _ends[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW[:2]:
+                return
+            else:
+                endless.add(tag)
+
+
+_ends = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 WEAK = frozenset("search header notice notification alert promo promotion share sharing social related recommended copyright disclaimer".split())
 
 
+class _Named:
+    """An element that its name rules out, unless an article follows in it; soft: only where the page has something else."""
+
+    def __init__(self, soft: bool):
+        self.holds, self.soft = True, soft
+
+
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     """Text blocks that the markup doesn't rule out, in page order: (text, whether it stands in an article or main element)."""
-    out: list[tuple[str, bool, list[bool] | None]] = []
+    out: list[tuple[str, bool, _Named | None]] = []
     text: list[str] = []
-    # open element, whether it is ruled out for good, by its name unless an article follows in it, whether it is in an article or main, in an article
-    stack: list[tuple[str, bool, list[bool] | None, bool, bool]] = []
+    # open element, whether it is ruled out for good, what rules it out by name, whether it is in an article or main, in an article
+    stack: list[tuple[str, bool, _Named | None, bool, bool]] = []
+    many: Counter[str] = Counter()
     ruled_out = inside = in_article = False
-    unless: list[bool] | None = None
+    named: _Named | None = None
 
     def flush() -> None:
         if text:
-            if not ruled_out and (block := " ".join("".join(text).split())):
-                out.append((block, inside, unless))
+            if block := " ".join("".join(text).split()):
+                out.append((block, inside, named))
             text.clear()
 
     def reset() -> None:
-        nonlocal ruled_out, unless, inside, in_article
-        _, ruled_out, unless, inside, in_article = stack[-1] if stack else ("", False, None, False, False)
+        nonlocal ruled_out, named, inside, in_article
+        _, ruled_out, named, inside, in_article = stack[-1] if stack else ("", False, None, False, False)
+
+    def pop(k: int) -> None:
+        many.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+        reset()
 
-    for m in TOKEN.finditer(page or ""):
-        tag, got = m[2], m[0]
+    for tag, attributes, got in tokens(page or ""):
         if tag is None:
-            if got[0] != "<" or got == "<":
+            if not ruled_out and (got[:1] != "<" or got == "<"):
                 text.append(html.unescape(got))
             continue
-        tag = tag.lower()
-        if tag == "br":
+        if tag == "br" and not ruled_out:
             text.append(" ")
         if tag in BLOCKS:
             flush()
         if got[1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    reset()
-                    break
-                if stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break  # a stray end tag doesn't close the article
+            if many[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        if any(x[0] in BLOCKS for x in stack[k:]):
+                            flush()
+                        pop(k)
+                        break
+                    if stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
+                        break  # a stray end tag doesn't close the article
             continue
         if tag in BLOCKS:
             while stack and stack[-1][0] in CLOSED_BY_BLOCK and (tag not in ("ul", "ol", "p", "div") or stack[-1][0] != "li"):
-                stack.pop()
-                reset()
-        if tag in VOID or tag in ("script", "style", "svg", "iframe", "textarea", "title", "template", "noscript") or got.endswith("/>"):
+                pop(len(stack) - 1)
+        if tag in VOID or tag in RAW or got.endswith("/>"):
             continue
-        said = [a.lower() for x in ATTRIBUTE.finditer(m[3]) for a in x.groups()[1:] if a] if "=" in m[3] else []
-        article = tag in ("article", "main")
+        said = [a.lower() for x in ATTRIBUTE.finditer(attributes) for a in x.groups()[1:] if a] if "=" in attributes else []
+        article, block = tag in ("article", "main"), tag in BLOCKS
         names = {n for a in said for n in a.split()}
-        by_name = not article and tag not in ("body", "html") and (tag == "form" or not names.isdisjoint(BOILERPLATE))
-        out_now = (tag in NOT_TEXT and tag != "form") or (tag == "header" and not inside) or (by_name and in_article) or (tag == "article" and not names.isdisjoint(COMMENTS))
-        weak = not article and not names.isdisjoint(WEAK)
-        if out_now or by_name or article or weak or tag in ("div", "section", "body", "header", "ul", "ol", "table") or said or tag in CLOSED_BY_BLOCK:
-            if out_now or by_name or article or weak:
-                flush()
+        may = not article and tag not in ("body", "html")
+        by_name = may and (tag == "form" or not names.isdisjoint(BOILERPLATE))
+        soft = may and not by_name and any(map(about_comments, names))
+        out_now = (tag in NOT_TEXT and tag != "form") or (tag == "header" and not inside) or (by_name and (in_article or not block)) or (tag == "article" and not names.isdisjoint(COMMENTS))
+        weak = block and not article and not names.isdisjoint(WEAK)
+        if out_now or by_name or soft or article or weak or tag in ("div", "section", "body", "header", "ul", "ol", "table") or said or tag in CLOSED_BY_BLOCK:
             if article and not in_article and not out_now:  # what it stands in isn't ruled out by names
                 for frame in stack:
                     if frame[2]:
-                        frame[2][0] = False
-                unless = None
-            stack.append((tag, ruled_out or out_now, [True] if by_name and not out_now else unless, (inside or article) and not weak, in_article or tag == "article"))
+                        frame[2].holds = False
+                named = None
+            mine = _Named(soft) if block and (by_name or soft) and not out_now and not (named and named.holds) else named
+            stack.append((tag, ruled_out or out_now or (soft and not block), mine, (inside or article) and not weak, in_article or tag == "article"))
+            many[tag] += 1
             reset()
     flush()
-    return [(block, within) for block, within, named in out if not (named and named[0])]
+    kept = [(block, within) for block, within, by in out if not (by and by.holds)]
+    return kept or [(block, within) for block, within, by in out if by.soft]
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -159,6 +210,22 @@ def _blocks(texts: pa.Array) -> pa.Array:
     return pa.array([[{"text": t, "inside": i} for t, i in blocks_of(x)] for x in texts.to_pylist()], kind)
 
 
+def _kept(pages: pa.Array, shared: pa.Array) -> pa.Array:
+    """Pages' blocks without the undecided ones of these numbers, as texts; null where nothing is shared."""
+    out = []
+    for blocks, numbers in zip(pages.to_pylist(), shared.to_pylist()):
+        if blocks is None:
+            out.append(None)
+            continue
+        gone, n, lines = frozenset(numbers or ()), -1, []
+        for block in blocks:
+            n += not block["inside"]
+            if block["inside"] or n not in gone:
+                lines.append(block["text"])
+        out.append("\n".join(lines))
+    return pa.array(out, pa.string())
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours (a before b) -> for either: its place, length of the common path prefix, which side, its shared lines."""
     for batch in batches:
@@ -180,7 +247,7 @@ ORDER = ["host", "path", "url", "page_id", "_h"]
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text."""
-    lines, blocks = F.arrow_udf(_lines, "array<bigint>"), F.arrow_udf(_blocks, "array<struct<text:string,inside:boolean>>")
+    lines, blocks, kept = F.arrow_udf(_lines, "array<bigint>"), F.arrow_udf(_blocks, "array<struct<text:string,inside:boolean>>"), F.arrow_udf(_kept, "string")
     own_key = [F.col("page_id").alias("_id"), F.xxhash64("page_id", "url", "html").alias("_h")]
     keyed = pages.select("page_id", "url", *own_key, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), lines(F.col("html")).alias("lines"))
     ordered = positions(ranged(stored(keyed, "lines"), ORDER, "pages"), ORDER).select(F.col("_pos").alias("pos"), "_id", "_h", "host", "path", "lines")
@@ -192,15 +259,6 @@ def extract(pages: DataFrame) -> DataFrame:
     gone = ordered.select("pos", "_id", "_h").join(nearest.where(F.size("shared") > 0), "pos").groupBy(F.col("_id").alias("g_id"), F.col("_h").alias("g_h")).agg(F.first("shared").alias("shared"))
     cut = pages.select("page_id", "url", *own_key, blocks(F.col("html")).alias("blocks"))
     both = cut.join(gone, (F.col("_h") == F.col("g_h")) & F.col("_id").eqNullSafe(F.col("g_id")), "left")
-    # undecided blocks are numbered in page order; the shared ones go
-    nothing = F.struct(F.lit(-1).alias("n"), F.array().cast("array<string>").alias("kept"))
-    kept = F.aggregate(
-        "blocks", nothing,
-        lambda acc, x: F.struct(
-            (acc["n"] + F.when(x["inside"], 0).otherwise(1)).alias("n"),
-            F.when(~x["inside"] & F.array_contains(F.col("shared"), acc["n"] + 1), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["text"]))).alias("kept"),
-        ),
-        lambda acc: acc["kept"],
-    )
-    whole = F.transform("blocks", lambda x: x["text"])
-    return both.select("page_id", "url", F.array_join(F.when(F.col("shared").isNull(), whole).otherwise(kept), "\n").alias("text"))
+    whole = F.array_join(F.transform("blocks", lambda x: x["text"]), "\n")
+    some = kept(F.when(F.col("shared").isNotNull(), F.col("blocks")), F.col("shared"))
+    return both.select("page_id", "url", F.coalesce(some, whole).alias("text"))

@@ -364,3 +364,57 @@ def test_automaton_follows_failure_arcs():
     assert np.allclose(machine.read(code, lanes, np.maximum(lanes - 2, 0), np.minimum(lanes + 3, len(code))), whole)
     none = lm_scoring.Automaton(3, machine.base, machine.target, keys[:0], keys[:0], keys[:0], machine.fail, machine.weight)
     assert np.allclose(none.step(np.array([0, 4]), np.array([2, 1]))[1], [-3.0, -0.8 - 0.2 - 2.0])
+
+
+def plain(page):
+    return [t for t, _ in html_extraction.blocks_of(page)]
+
+
+def test_html_comments_and_inline_elements():
+    page = "<body><article><div id='comments-1' class='user-comments'><p>reader</p></div><p>z</p><ul class='comment-list'><li>one</li></ul></article></body>"
+    assert plain(page) == ["z"]
+    assert plain("<body class='comment-status-open'><article><p>See <span class='notice'>this</span> now, <a class='link' href='x'>there</a>.</p></article>") == ["See this now, there."]
+    assert html_extraction.blocks_of("<article><p>See <span class='notice'>this</span> now</p></article>") == [("See this now", True)]
+    assert plain("<article><p>a <span class='ad'>buy <b>me</b></span>b <button>x</button>c<br>d</p></article>") == ["a b c d"]
+    assert plain("<div class='user-comments'><p>only this</p></div>") == ["only this"]  # a page has nothing else
+    assert plain("<div class='user-comments'><article><p>text</p></article><p>more</p></div>") == ["text", "more"]
+    assert plain("<div class='user-comments'><p>gone</p></div><p>kept</p>") == ["kept"]
+    assert plain("<p>a</p><svg><path>b</path></svg><p>c<svg>d") == ["a", "cd"] and plain("<p>a</p><script>x") == ["a"]
+    assert plain("a < b <c") == ["a < b"] and plain("x <a b=1") == ["x"]
+
+
+def test_html_is_linear():
+    import time
+
+    for piece in ("<svg>", "<div></span>", "<a b=", "<p><b>", "</div>", "<a b='", "<!--", "<div class='comments'>"):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.perf_counter()
+            html_extraction.blocks_of(piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < max(10 * took[0], 1.0), (piece, took)
+
+
+def test_html_differencing_by_brute_force(spark):
+    """Random pages without articles: each loses the lines of a longest common subsequence with its nearest neighbour by path."""
+    import random
+
+    rng = random.Random(3)
+    pages = []
+    for k in range(40):
+        path = "/" + "/".join(rng.choice("ab") for _ in range(3)) + f"/{k:02}"
+        pages.append((k, f"http://{rng.choice('xy')}.org{path}", "".join(f"<p>{rng.choice('mnopqr')}</p>" for _ in range(rng.randrange(0, 9)))))
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    for host in "xy":
+        mine = sorted((u.split("/", 3)[3], k, plain(h)) for k, u, h in pages if f"//{host}." in u)
+        for i, (path, k, lines) in enumerate(mine):
+            near = [(next((n for n, (c, d) in enumerate(zip(path, mine[j][0])) if c != d), min(len(path), len(mine[j][0]))), j < i, mine[j][2]) for j in (i - 1, i + 1) if 0 <= j < len(mine)]
+            other = max(near, key=lambda x: x[:2])[2] if near else []
+            best = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for x, a in enumerate(lines):
+                for y, b in enumerate(other):
+                    best[x + 1][y + 1] = best[x][y] + 1 if a == b else max(best[x][y + 1], best[x + 1][y])
+            left = got[k].split("\n") if got[k] else []
+            assert len(left) == len(lines) - best[-1][-1]
+            rest = iter(lines)
+            assert all(x in rest for x in left)  # in order
