@@ -194,15 +194,16 @@ def _mixed(entries: DataFrame) -> DataFrame:
 MINOR = "(lo <> major or hi <> major)"
 
 
-def _more_pairs(mixed: DataFrame, seed: int, similarity: Similarity, one: bool) -> DataFrame:
-    """What is outside a list's commonest label with a pivot inside it, or with the one that most lists have."""
+def _more_pairs(mixed: DataFrame, seed: int, similarity: Similarity, few: int | None) -> DataFrame:
+    """What is outside a list's commonest label with a pivot inside it, or with so few of the pivots, those that most of its lists have."""
     pivots = mixed.where(f"not {MINOR}").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n", "i")).alias("p")).select("key", "p.*")
     met = mixed.where(MINOR).alias("x").join(pivots.alias("y"), "key").where((F.col("x.label") != F.col("x.major")) & similarity.possible("x", "y"))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("x.major").alias("lb"))
-    if not one:
+    if few is None:
         return pairs.distinct()
-    best = pairs.groupBy("a", "b", "la", "lb").count().groupBy("a").agg(F.min(F.struct((-F.col("count")).alias("c"), F.xxhash64("b", F.lit(seed)).alias("h"), "b", "la", "lb")).alias("m"))
-    return best.select("a", "m.b", "m.la", "m.lb")
+    ranked = F.struct((-F.col("count")).alias("c"), F.xxhash64("b", F.lit(seed)).alias("h"), "b", "la", "lb")
+    best = pairs.groupBy("a", "b", "la", "lb").count().groupBy("a").agg(F.array_sort(F.collect_list(ranked)).alias("m"))  # at most one for each of its lists
+    return best.select("a", F.explode(F.slice("m", 1, few)).alias("m")).select("a", "m.b", "m.la", "m.lb")
 
 
 def _rest_pairs(mixed: DataFrame, similarity: Similarity) -> DataFrame:
@@ -228,12 +229,12 @@ def ties(classed: DataFrame) -> DataFrame:
     return tied.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None, many: float = MANY) -> DataFrame:
+def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarity: Similarity, scratch: Scratch, other: Callable[[DataFrame], DataFrame] | None = None, many: float = MANY, few: int | None = None) -> DataFrame:
     """rep, component: of all classes that may be linked, the least doc_id of their component.
 
     classed(doc_id, rep): documents with the names of their classes. nodes(rep, least, gid, n, keys): classes that may have links, their
     least doc_id, their group and their set. lists(key, id, n, i): candidates, by group. other(ids): edges (a, b) between
-    the labelled ids(id, label), by another way than pairs. many: see MANY.
+    the labelled ids(id, label), by another way than pairs. many: see MANY. few: pivots that a set meets in a round, by default one for each list.
     """
     members = nodes.select("rep", "gid", "n")
     tied = scratch(ties(classed), "ties")
@@ -258,7 +259,7 @@ def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarit
         if left <= many * listed or 2 * left > before or seed > ROUNDS:  # few are left, or pivots don't make them fewer
             break
         before = left
-        edges = scratch(_verified(_more_pairs(mixed, seed, similarity, other is not None), nodes, similarity), "found")
+        edges = scratch(_verified(_more_pairs(mixed, seed, similarity, few), nodes, similarity), "found")
         source, lists = mixed, mixed.select("key", "id", "n", "i")  # lists with one label stay so
         if edges.isEmpty():
             break

@@ -37,7 +37,9 @@ from .linking import Similarity
 #: Shingles that advance together, unless one document has more, and texts that a worker holds at once.
 AT_ONCE, TEXTS = 100_000, 256
 #: Pairs for each listed row (a class has as many as bands) from which another way than going through them is taken.
-MANY = 1 / 8
+MANY = 1
+#: Pivots that a class meets in a round.
+PIVOTS = 4
 #: Candidate classes that are broadcast at most (40 bytes each).
 CHOSEN = 500_000
 _FREE = np.uint64(2**64 - 1)
@@ -177,6 +179,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, similarity: Similarity = Si
             named = joined.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").join(ids.select(F.col("id").alias("component_id"), F.col("label").alias("b")), "component_id")
             return named.where("label <> b").select(F.col("label").alias("a"), "b").distinct()
 
-        found = linking.components(classed, nodes, lists, similarity, scratch, exactly, MANY)
+        found = linking.components(classed, nodes, lists, similarity, scratch, exactly, MANY, PIVOTS)
         out = classed.join(found, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component())
         return stored(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
