@@ -101,10 +101,22 @@ WEAK = frozenset("search header notice notification alert promo promotion share
 
 
 class _Named:
-    """An element that its name rules out, unless an article follows in it; soft: only where the page has something else."""
+    """An element that its name rules out, unless an article follows in it; soft: only where the page has something else. outer: one it stands in."""
 
-    def __init__(self, soft: bool):
-        self.holds, self.soft = True, soft
+    def __init__(self, soft: bool, outer: _Named | None):
+        self.holds, self.soft, self.outer = True, soft, outer
+        self.known: tuple[bool, bool] | None = None
+
+    def rules_out(self) -> tuple[bool, bool]:
+        """At the end of the page: whether it, or one it stands in, still holds; and whether one does that isn't soft."""
+        path, it = [], self
+        while it and it.known is None:
+            path.append(it)
+            it = it.outer
+        some, hard = it.known if it else (False, False)
+        for it in reversed(path):
+            some, hard = it.known = some or it.holds, hard or (it.holds and not it.soft)
+        return some, hard
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool]]:
@@ -171,13 +183,13 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
                     if frame[2]:
                         frame[2].holds = False
                 named = None
-            mine = _Named(soft) if block and (by_name or soft) and not out_now and not (named and named.holds) else named
+            mine = _Named(soft, named) if block and (by_name or soft) and not out_now else named
             stack.append((tag, ruled_out or out_now or (soft and not block), mine, (inside or article) and not weak, in_article or tag == "article"))
             many[tag] += 1
             reset()
     flush()
-    kept = [(block, within) for block, within, by in out if not (by and by.holds)]
-    return kept or [(block, within) for block, within, by in out if by.soft]
+    kept = [(block, within) for block, within, by in out if not (by and by.rules_out()[0])]
+    return kept or [(block, within) for block, within, by in out if not by.rules_out()[1]]
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
