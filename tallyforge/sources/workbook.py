@@ -14,6 +14,7 @@ import datetime
 import decimal
 import io
 import json
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -70,8 +71,7 @@ class WorkbookWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Part:
         from pyspark import TaskContext
 
-        store, folder = self._files(self.staging)
-        store.create_dir(folder, recursive=True)
+        store, folder = self._files(self.staging)  # made before the job, so a task that outlives an abort finds no place to write
         name, rows = uuid.uuid4().hex, 0
         with store.open_output_stream(f"{folder}/{name}") as raw, io.TextIOWrapper(raw, "utf-8", newline="\n") as out:
             for row in iterator:
@@ -94,7 +94,6 @@ class WorkbookWriter(DataSourceWriter):
             self.abort(messages)
             raise FileExistsError(self.path)
         half = f"{self._files(self.staging)[1]}/workbook"
-        store.create_dir(half.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(half) as raw, zipfile.ZipFile(_Counted(raw), "w", zipfile.ZIP_DEFLATED) as z:
             names = self._write_sheets(z, self._lines(parts))
             _package(z, names)
@@ -118,10 +117,21 @@ class WorkbookWriter(DataSourceWriter):
                     out(_row(row))
         return names
 
+    def prepare(self) -> WorkbookWriter:
+        store, folder = self._files(self.staging)
+        store.create_dir(folder, recursive=True)
+        return self
+
     def abort(self, messages: list) -> None:
         store, folder = self._files(self.staging)
-        with contextlib.suppress(FileNotFoundError):
-            store.delete_dir(folder)
+        for wait in (0.1, 0.5, 2.0):
+            try:
+                return store.delete_dir(folder)
+            except FileNotFoundError:
+                return None
+            except OSError:  # a task that is being killed has just made a file in it
+                time.sleep(wait)
+        return store.delete_dir(folder)
 
 
 class _Counted:
@@ -176,7 +186,7 @@ class WorkbookSource(DataSource):
         return "workbook"
 
     def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(schema, dict(self.options), overwrite)
+        return WorkbookWriter(schema, dict(self.options), overwrite).prepare()
 
 
 def register(spark: SparkSession) -> None:
