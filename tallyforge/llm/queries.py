@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, near_dedup, sentencepiece_codec, sharding, token_alignment, topk_search, url_filter, whitening
+from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,13 +60,14 @@ DROPOUT, SEED = 0.1, 20240
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     codec = sentencepiece_codec.SentencePiece(spark, model_file, DROPOUT, SEED)
     out = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
-    return out.select(
+    digests = out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.xxhash64("ids").alias("ids_xxhash64"),
         F.octet_length("decoded").cast("long").alias("decoded_bytes"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
     )
+    return stored(digests, "encoded")  # written in small batches, texts being long
 
 
 # --- 3: language identification ---------------------------------------------------------------------------------

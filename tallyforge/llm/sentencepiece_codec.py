@@ -43,7 +43,7 @@ WORD, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 LEFT, MIDDLE, RIGHT = ([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), k) for i in range(PLACES + 1)] for k in (1, 2, 3))
 _LEFT, _MIDDLE, _RIGHT = (np.array(x, np.uint64) for x in (LEFT, MIDDLE, RIGHT))
 #: Courses that a worker remembers before it starts anew: about 350 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
 #: Texts that a worker holds as strings at once, and their characters that are encoded at once.
