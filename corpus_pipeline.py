@@ -16,7 +16,7 @@ from tallyforge.llm.queries import DROPOUT, MODEL_FILE, SEED
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language: null texts, and texts without any letter."""
     known = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), docs.select("text", "lang"))
-    return known.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    return stored(known.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*"), "known")  # written in small batches, texts being long
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with seeded merge-dropout, and whether they decode to the text."""
     codec = sentencepiece_codec.SentencePiece(spark, MODEL_FILE, DROPOUT, SEED)
     out = sentencepiece_codec.encode_documents(docs.select("doc_id", "text", "lang", "source"), codec)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return stored(out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")), "tokens")
 
 
 STAGES = [
@@ -54,6 +54,8 @@ STAGES = [
     ("sentencepiece", tokenise),
 ]
 
+#: Stages that return what they have written themselves.
+WRITTEN = ("language_id", "sentencepiece")
 #: SQL can't express language ID and tokenisation; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
@@ -61,6 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        made = stage(spark, docs, sf_dir)
+        docs = made if name in WRITTEN else stored(made, name)
+    return docs
