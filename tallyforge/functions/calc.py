@@ -22,6 +22,8 @@ SYMBOLS = {"INR": "₹", "USD": "$", "EUR": "€"}
 SUFFIXES = {"PCT": "%", "BPS": " bps", "MULTIPLE": "x"}
 MINUS = "−"
 ZERO_DENOMINATOR, NEGATIVE_BASE, INVALID_YEARS, MISMATCHED_PERIODS = "zero_denominator", "negative_base", "invalid_years", "mismatched_periods"
+# Why units don't go together, in words.
+DATE_UNIT, OTHER_CURRENCY, OTHER_UNIT = "A date can't be used in a calculation.", "The values are in different currencies.", "The values are in different units."
 INCOMPATIBLE_UNITS, TOO_FEW_INPUTS, WRONG_INPUT_COUNT = "incompatible_units", "too_few_inputs", "wrong_input_count"
 
 
@@ -65,7 +67,7 @@ def same_unit(a: Column, b: Column) -> Column:
 def unit_message(a: Column, b: Column) -> Column:
     """Why two units don't go together, in words; null if they do."""
     money = lambda u: u.isin(*SYMBOLS)
-    return F.when(same_unit(a, b).isNotNull(), F.when((a == "DATE") | (b == "DATE"), "A date can't be used in a calculation.").when(money(a) & money(b), "The values are in different currencies.").otherwise("The values are in different units."))
+    return F.when(same_unit(a, b).isNotNull(), F.when((a == "DATE") | (b == "DATE"), DATE_UNIT).when(money(a) & money(b), OTHER_CURRENCY).otherwise(OTHER_UNIT))
 
 
 def canonical(value: Column, scale: Column) -> Column:

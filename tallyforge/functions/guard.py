@@ -42,8 +42,8 @@ def _verdict(*cases: tuple[Column | None, str, str | Column]) -> Column:
 def salt_verdict(same: Column, other: Column) -> Column:
     """Whether a cache keeps salts apart: its hits when a request is repeated with the same salt and with another."""
     return _verdict(
-        (same.isNull() | other.isNull(), INCONCLUSIVE, "prefix-cache metrics not exposed"), (same <= 0, INCONCLUSIVE, "no hits even with the same salt"),
-        (other > 0, IGNORED, "a different salt still hit the cache"), (None, HONOURED, "hits only within one salt"),
+        (same.isNull() | other.isNull(), INCONCLUSIVE, "a counter is missing"), (same <= 0, INCONCLUSIVE, "no hits under one salt either"),
+        (other > 0, IGNORED, "hits under another salt too"), (None, HONOURED, "hits under one salt alone"),
     )
 
 
@@ -53,12 +53,12 @@ def priority_verdict(rejected: Column, high: Column, low: Column, factor: float
     n = F.size(sorted_)
     middle = (F.get(sorted_, ((n - 1) / 2).cast("int")) + F.get(sorted_, (n / 2).cast("int"))) / 2
     return _verdict(
-        (rejected.isNotNull(), UNSUPPORTED, F.concat(F.lit("server answered "), rejected.cast("string"))), (high.isNull() | F.coalesce(n <= 0, F.lit(True)), INCONCLUSIVE, "missing timings"),
-        (high < middle * factor, HONOURED, "high priority jumped the queue"), (None, IGNORED, "high priority waited like the rest"),
+        (rejected.isNotNull(), UNSUPPORTED, F.concat(F.lit("refused with status "), rejected.cast("string"))), (high.isNull() | F.coalesce(n <= 0, F.lit(True)), INCONCLUSIVE, "no times to compare"),
+        (high < middle * factor, HONOURED, "it overtook those that waited"), (None, IGNORED, "it waited as long as others"),
     )
 
 
 def thinking_verdict(replies: Column) -> Column:
     """replies: array of struct(content, reasoning). Fails if any shows its thinking."""
     leaks = F.exists(replies, lambda m: F.coalesce(F.contains(m["content"], F.lit("<think>")), F.lit(False)) | (F.coalesce(m["reasoning"], F.lit("")) != ""))
-    return _verdict((F.coalesce(F.size(replies) <= 0, F.lit(True)), INCONCLUSIVE, "no replies"), (leaks, FAIL, "thinking output present"), (None, PASS, "no thinking output"))
+    return _verdict((F.coalesce(F.size(replies) <= 0, F.lit(True)), INCONCLUSIVE, "no replies"), (leaks, FAIL, "a reply shows its thinking"), (None, PASS, "no reply shows its thinking"))

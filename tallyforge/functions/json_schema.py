@@ -16,6 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What errors say behind the path.
+MISSING, NOT_ALLOWED, TOO_FEW, TOO_MANY, NOT_ONE_OF, BAD_LENGTH, BELOW, NOT_ABOVE = (
+    ": missing", ": not allowed", ": too few items", ": too many items", ": not one of ", ": bad length", ": below minimum", ": not above minimum",
+)
+
+
 def parsed(text: Column) -> Column:
     """The document as a variant; null where the text is null or no JSON."""
     return F.try_parse_json(text)
@@ -83,10 +89,10 @@ def _object(schema, value, at, say, none):
     keys, properties = F.map_keys(fields), schema.get("properties", {})
     parts = []
     if missing := schema.get("required"):
-        parts.append(F.transform(F.filter(F.array(*map(F.lit, missing)), lambda k: ~F.array_contains(keys, k)), lambda k: F.concat(at, F.lit("."), k, F.lit(": missing"))))
+        parts.append(F.transform(F.filter(F.array(*map(F.lit, missing)), lambda k: ~F.array_contains(keys, k)), lambda k: F.concat(at, F.lit("."), k, F.lit(MISSING))))
     if schema.get("additionalProperties") is False:
         known = F.array(*map(F.lit, properties)) if properties else none
-        parts.append(F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(at, F.lit("."), k, F.lit(": not allowed"))))
+        parts.append(F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(at, F.lit("."), k, F.lit(NOT_ALLOWED))))
     for name, sub in properties.items():
         inner = errors(sub, F.try_element_at(fields, F.lit(name)), F.concat(at, F.lit(f".{name}")))
         parts.append(F.when(F.array_contains(keys, name), inner).otherwise(none))
@@ -95,9 +101,9 @@ def _object(schema, value, at, say, none):
 
 def _array(schema, value, at, say, none):
     inside = items(value)
-    parts = [F.when(F.size(inside) < schema.get("minItems", 0), say(": too few items")).otherwise(none)]
+    parts = [F.when(F.size(inside) < schema.get("minItems", 0), say(TOO_FEW)).otherwise(none)]
     if "maxItems" in schema:
-        parts.append(F.when(F.size(inside) > schema["maxItems"], say(": too many items")).otherwise(none))
+        parts.append(F.when(F.size(inside) > schema["maxItems"], say(TOO_MANY)).otherwise(none))
     if schema.get("items"):
         each = F.transform(inside, lambda v, i: errors(schema["items"], v, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
         parts.append(F.flatten(each))
@@ -108,18 +114,18 @@ def _string(schema, value, at, say, none):
     text = _as(value, "string")
     size = F.char_length(text)
     bad = (size < schema.get("minLength", 0)) | (size > schema["maxLength"] if "maxLength" in schema else F.lit(False))
-    out = F.when(bad, say(": bad length")).otherwise(none)
+    out = F.when(bad, say(BAD_LENGTH)).otherwise(none)
     if "enum" in schema:
-        out = F.when(~text.isin(*schema["enum"]), say(": not one of ", str([*schema["enum"]]))).otherwise(out)
+        out = F.when(~text.isin(*schema["enum"]), say(NOT_ONE_OF, str([*schema["enum"]]))).otherwise(out)
     return out, "string"
 
 
 def _number(schema, value, at, say, none):
     x, out = _as(value, "double"), none
     if "exclusiveMinimum" in schema:
-        out = F.when(x <= schema["exclusiveMinimum"], say(": not above minimum")).otherwise(out)
+        out = F.when(x <= schema["exclusiveMinimum"], say(NOT_ABOVE)).otherwise(out)
     if "minimum" in schema:
-        out = F.when(x < schema["minimum"], say(": below minimum")).otherwise(out)
+        out = F.when(x < schema["minimum"], say(BELOW)).otherwise(out)
     return out, schema["type"]
 
 

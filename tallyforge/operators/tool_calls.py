@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Why an answer fails.
+FAILURES = ("unparsed_tool_call", "no_call", "malformed_json", "unknown_tool", "schema", "unexpected_call", "wrong_tool", "wrong_args")
+UNPARSED, NO_CALL, MALFORMED, UNKNOWN, SCHEMA, UNEXPECTED, WRONG_TOOL, WRONG_ARGS = FAILURES
 CALLS = "array<struct<index: int, id: string, name: string, args: string>>"
 
 
@@ -30,8 +33,7 @@ def score(answers: DataFrame, schemas: dict[str, dict], expected: dict[str, dict
     """answers(case, name, args, content, ...) with valid, right_tool, right_args, failure, detail.
 
     name and args: of the first tool call, name null where there is none. expected: by case the tool (None: an answer without one) and
-    matchers of its arguments. Failures: unparsed_tool_call, no_call, malformed_json, unknown_tool, schema, unexpected_call, wrong_tool,
-    wrong_args.
+    matchers of its arguments. failure: one of FAILURES.
     """
     from ..functions import json_schema as js
 
@@ -41,19 +43,19 @@ def score(answers: DataFrame, schemas: dict[str, dict], expected: dict[str, dict
     tool = js.by_name(F.col("case"), {c: F.lit(e["tool"]) if e["tool"] else F.lit(None).cast("string") for c, e in expected.items()}, F.lit(None).cast("string"))
     rows = answers.withColumns({"_errors": errors, "_wrong": wrong, "_tool": tool, "_parsed": value.isNotNull(), "_known": F.col("name").isin(*schemas)})
     none, left = F.col("name").isNull(), F.coalesce(F.col("content"), F.lit("")).rlike(r"<tool_call>|\"name\"\s*:\s*\"[^\"]*\"\s*,\s*\"arguments\"")
-    broken = F.when(F.size("_errors") > 0, "schema")
+    broken = F.when(F.size("_errors") > 0, SCHEMA)
     failure = (
-        F.when(none & left, "unparsed_tool_call").when(none & F.col("_tool").isNull(), F.lit(None)).when(none, "no_call")
-        .when(~F.col("_parsed"), "malformed_json").when(~F.col("_known"), "unknown_tool")
-        .when(F.col("_tool").isNull(), F.coalesce(broken, F.lit("unexpected_call"))).when(F.col("name") != F.col("_tool"), F.coalesce(broken, F.lit("wrong_tool")))
-        .when(broken.isNotNull(), broken).when(F.size("_wrong") > 0, "wrong_args")
+        F.when(none & left, UNPARSED).when(none & F.col("_tool").isNull(), F.lit(None)).when(none, NO_CALL)
+        .when(~F.col("_parsed"), MALFORMED).when(~F.col("_known"), UNKNOWN)
+        .when(F.col("_tool").isNull(), F.coalesce(broken, F.lit(UNEXPECTED))).when(F.col("name") != F.col("_tool"), F.coalesce(broken, F.lit(WRONG_TOOL)))
+        .when(broken.isNotNull(), broken).when(F.size("_wrong") > 0, WRONG_ARGS)
     )
     silent = none & ~left
     valid = silent | (F.col("_parsed") & F.col("_known") & (F.size("_errors") == 0) & ~none)
     right_tool = (silent & F.col("_tool").isNull()) | F.coalesce(~none & F.col("_parsed") & F.col("_known") & (F.col("name") == F.col("_tool")), F.lit(False))
     detail = (
-        F.when(F.col("failure").isin("unexpected_call", "wrong_tool", "unknown_tool"), F.col("name")).when(F.col("failure") == "schema", F.array_join(F.slice("_errors", 1, 3), "; "))
-        .when(F.col("failure") == "wrong_args", F.array_join(F.sort_array("_wrong"), ", ")).otherwise("")
+        F.when(F.col("failure").isin(UNEXPECTED, WRONG_TOOL, UNKNOWN), F.col("name")).when(F.col("failure") == SCHEMA, F.array_join(F.slice("_errors", 1, 3), "; "))
+        .when(F.col("failure") == WRONG_ARGS, F.array_join(F.sort_array("_wrong"), ", ")).otherwise("")
     )
     done = rows.withColumns({"failure": failure, "valid": valid, "right_tool": right_tool})
     return done.withColumns({"right_args": F.col("failure").isNull() & F.col("right_tool"), "detail": detail}).drop("_errors", "_wrong", "_tool", "_parsed", "_known")
