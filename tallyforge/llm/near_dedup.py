@@ -39,7 +39,7 @@ AT_ONCE, TEXTS = 100_000, 256
 #: Pairs for each listed row (a class has as many as bands) from which another way than going through them is taken.
 MANY = 1
 #: Pivots that a class meets in a round.
-PIVOTS = 4
+PIVOTS = 3
 #: Candidate classes that are broadcast at most (40 bytes each).
 CHOSEN = 500_000
 _FREE = np.uint64(2**64 - 1)
