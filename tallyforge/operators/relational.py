@@ -80,8 +80,8 @@ def first_failure(rows: DataFrame, chain: str, body: Column) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of a key as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
+    """Overlapping or touching intervals of a key as one; ones without a start come last and begin none of their own."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
     island = F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -248,7 +248,8 @@ m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT k, min(a) AS a, max(b) AS b FROM i GROUP BY k, island""")
 def _(t):
-    return rel.merge_intervals(t.lineitem.selectExpr("l_suppkey AS k", "l_partkey AS a", "l_partkey + CAST(l_quantity AS BIGINT) AS b"), "k", "a", "b")
+    """Quantities are rounded, halves to even, as the SQL's cast does."""
+    return rel.merge_intervals(t.lineitem.selectExpr("l_suppkey AS k", "l_partkey AS a", "l_partkey + CAST(rint(l_quantity) AS BIGINT) AS b"), "k", "a", "b")
 
 
 @query("ordinal", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n FROM conversations")

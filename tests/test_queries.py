@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
+from conftest import rows_of
 
 import __spark_entry__ as entry
 from tallyforge.plans import ORACLE, QUERIES
@@ -29,3 +31,20 @@ def test_entry(spark):
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def odd_rows(spark, tmp_path, name, rows, schema):
+    """A query's rows on a table of a few odd rows, and those of its SQL."""
+    table = spark.createDataFrame(rows, schema)
+    folder, view = tmp_path / "odd", {"merge_intervals": "lineitem", "align_best_match": "embeddings"}[name]
+    table.coalesce(1).write.parquet(f"{folder}/{view}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{folder}/{view}.parquet/*.parquet'")
+    df, got = QUERIES[name](spark, str(folder)), con.execute(ORACLE[name])
+    return rows_of(df.columns, df.collect()), rows_of([d[0] for d in got.description], got.fetchall())
+
+
+def test_intervals_of_fractions_and_nulls(spark, tmp_path):
+    rows = [(1, 0, 2.5), (1, 3, 0.5), (1, 4, 2.7), (1, 8, 1.5), (1, 10, -0.5), (2, None, 3.0), (2, None, 1.0), (2, 5, 2.0), (2, 5, None), (2, 20, 1.0), (None, 1, 1.0), (None, None, None)]
+    got, want = odd_rows(spark, tmp_path, "merge_intervals", rows, "l_suppkey long, l_partkey long, l_quantity double")
+    assert got == want
