@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import ordered, sheet
+from ..operators import best_match, ordered, sheet
 from ..operators import relational as rel
 from .base import query
 
@@ -187,11 +187,7 @@ def _(t):
 SELECT a.vec_id, b.vec_id AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) DESC, b.vec_id) = 1""")
 def _(t):
-    dot = F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    b = t.embeddings.select(F.col("vec_id").alias("best"), "label", F.col("embedding").alias("other"))
-    pairs = t.embeddings.join(b, "label").where("vec_id <> best").select("vec_id", "best", F.round(dot, 6).alias("s"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "best")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("vec_id", "best")
+    return best_match.best_match(t.embeddings, "vec_id", F.col("label"), F.col("embedding"))
 
 
 @query("last_started", "SELECT user_id, max(ts) AS last_started FROM events WHERE ts > TIMESTAMP '2024-01-29' GROUP BY 1")
