@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calc, figures
+from ..storage import written
 from .relational import range_join
 
 MATCHED, EXEMPT, CROSS_CURRENCY, NOT_FOUND = "matched", "exempt", "cross_currency", "not_found"
@@ -42,7 +43,7 @@ def entries(sources: DataFrame) -> DataFrame:
     """
     has = set(sources.columns)
     unit, scale = (F.col(c) if c in has else F.lit(None).cast("string") for c in ("unit", "scale"))
-    f = sources.select("id", unit.alias("_unit"), scale.alias("_scale"), F.explode(figures.figures(F.col("text"))).alias("f")).select("id", "_unit", "_scale", "f.*")
+    f = figures.each(sources.select("id", unit.alias("_unit"), scale.alias("_scale"), "text").repartition("id"), "text", ["id", "_unit", "_scale"])
     bare = F.col("unit").isin("PLAIN", "COUNT") & (F.col("kind") == "number")
     f = f.withColumn("value", F.when(bare & F.col("_scale").isNotNull(), (F.col("value") * calc.scale_factor(F.col("_scale"))).cast(DECIMAL)).otherwise(F.col("value")))
     f = f.withColumn("unit", F.when(bare & F.col("_unit").isNotNull(), F.col("_unit")).otherwise(F.col("unit")))
@@ -67,7 +68,10 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     sign is compared with signs, others by size. One that stands only in another currency is told apart from one that stands
     nowhere; labels, places, small counts, years of a period phrase ("fiscal 2025") and all inside links to sources are exempt.
     """
-    f = answers.select("id", "text", F.explode(figures.figures(F.col("text"))).alias("f")).select("id", "f.*", figures.is_exempt(F.col("f"), F.col("text")).alias("exempt"))
+    cited = answers.repartition("id").select("id", "text", figures.cited_spans(F.col("text")).alias("_spans"))
+    each = figures.each(cited, "text", ["id", "text", "_spans"])
+    exempt = figures.is_exempt({c: F.col(c) for c in ("kind", "unit", "value", "start", "stop")}, F.col("text"), F.col("_spans"))
+    f = written(each.select("id", "start", "raw", "value", "unit", "step", "signed", exempt.alias("exempt")), "figures")  # read three times
     value = figures.key(F.col("unit"), F.col("value")).cast("double")
     step = figures.key(F.col("unit"), F.col("step")).cast("double")
     signed = F.col("signed")
@@ -82,4 +86,4 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     hits = range_join(by(entries(sources), F.col("dim")).select("dim", "key"), by(asked, F.concat("sign", "d")).select("dim", "lo", "hi", "id", "start", "rank"))
     best = hits.groupBy("id", "start").agg(F.min("rank").alias("rank"))
     reason = F.when(F.col("exempt"), EXEMPT).when(F.col("rank") == 0, MATCHED).when(F.col("rank") > 0, CROSS_CURRENCY).otherwise(NOT_FOUND)
-    return f.join(best, ["id", "start"], "left").select("id", "start", "raw", reason.alias("reason"))
+    return f.join(best.hint("merge"), ["id", "start"], "left").select("id", "start", "raw", reason.alias("reason"))

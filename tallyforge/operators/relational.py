@@ -125,7 +125,7 @@ def range_join(values: DataFrame, intervals: DataFrame) -> DataFrame:
     binned = sized.withColumn("_bin", F.explode(F.sequence(place("lo"), place("hi"))))
     widths = sized.agg(F.collect_set("_width").alias("_widths"))  # one row of at most two thousand numbers
     listed = values.crossJoin(F.broadcast(widths)).withColumn("_width", F.explode("_widths")).drop("_widths").withColumn("_bin", place("key"))
-    return listed.join(binned, ["dim", "_width", "_bin"]).where("key >= lo AND key < hi").drop("_bin", "_width")
+    return listed.join(binned.hint("merge"), ["dim", "_width", "_bin"]).where("key >= lo AND key < hi").drop("_bin", "_width")
 
 
 def chain_roots(df: DataFrame, ident: str, parent: str) -> DataFrame:

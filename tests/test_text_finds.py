@@ -138,3 +138,24 @@ def test_check_characters(spark):
     rows = [("27AAPFU0939F1ZV", "US0378331005"), ("27AAPFU0939F1ZW", "US0378331006"), ("27aapfu0939f1zv", "US037833100"), (None, None), ("", ""), ("29AAGCB7383J1Z4", "INE009A01021")]
     got = [tuple(r) for r in spark.createDataFrame(rows, "g string, i string").select(tx.gstin_valid(F.col("g")), tx.isin_valid(F.col("i"))).collect()]
     assert got == [(True, True), (False, False), (False, False), (None, None), (False, False), (True, True)]
+
+
+def test_superscripts_do_not_stop_the_scan():
+    assert [f[3] for f in figures.scan("5² and 3² of 7")] == ["5", "3", "7"] and [f[3] for f in figures.scan("unimportant Sheet1!A1, x, page 3")] == ["Sheet1!A1", "page 3"]
+
+
+def test_figures_one_by_one_are_those_of_the_list(spark):
+    rows = [(1, "Up 12% to ₹1,200 crore in FY25, (3.5) at -2 bps"), (2, None), (3, "none"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    listed = df.select("id", F.explode(figures.figures(F.col("text"))).alias("f")).select("id", "f.*")
+    each = figures.each(df, "text", ["id"])
+    assert each.columns == listed.columns and sorted(map(repr, each.collect())) == sorted(map(repr, listed.collect())) and each.count() > 4
+
+
+def test_range_join_and_grounding_broadcast_no_bins(spark):
+    from tallyforge.operators import relational
+
+    values = spark.createDataFrame([("N", 1.0)], "dim string, key double")
+    spans = spark.createDataFrame([(1, "N", 0.0, 4.0)], "id int, dim string, lo double, hi double")
+    plan = relational.range_join(values, spans)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
