@@ -9,7 +9,7 @@ zero (2.0) is a number and no integer. Lengths are in characters.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column
@@ -27,9 +27,17 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What becomes of a value that is used in many places: it is worked out once, not in each of them."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def kind(value: Column) -> Column:
     """object, array, string, integer, number, boolean or null; null where there is no value."""
-    name = F.schema_of_variant(value)
+    return once(F.schema_of_variant(value), _kind)
+
+
+def _kind(name: Column) -> Column:
     return (
         F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BIGINT", "integer")
         .when(name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"), "number").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
@@ -77,37 +85,46 @@ def errors(schema: Mapping[str, Any], value: Column, path: str | Column = "$") -
     check = _CHECKS.get(schema.get("type"))
     if check is None:
         return none
-    own, name = check(schema, value, at, say, none)
-    return F.when(~_is(value, *_KINDS[schema["type"]]), say(": not an " if name[0] in "aeio" else ": not a ", name)).otherwise(own)
+
+    def checked(v: Column) -> Column:
+        own, name = check(schema, v, at, say, none)
+        return F.when(~_is(v, *_KINDS[schema["type"]]), say(": not an " if name[0] in "aeio" else ": not a ", name)).otherwise(own)
+
+    return once(value, checked)
 
 
 _KINDS = {"object": ("object",), "array": ("array",), "string": ("string",), "integer": ("integer",), "number": ("integer", "number")}
 
 
 def _object(schema, value, at, say, none):
-    fields = members(value)
-    keys, properties = F.map_keys(fields), schema.get("properties", {})
-    parts = []
-    if missing := schema.get("required"):
-        parts.append(F.transform(F.filter(F.array(*map(F.lit, missing)), lambda k: ~F.array_contains(keys, k)), lambda k: F.concat(at, F.lit("."), k, F.lit(MISSING))))
-    if schema.get("additionalProperties") is False:
-        known = F.array(*map(F.lit, properties)) if properties else none
-        parts.append(F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(at, F.lit("."), k, F.lit(NOT_ALLOWED))))
-    for name, sub in properties.items():
-        inner = errors(sub, F.try_element_at(fields, F.lit(name)), F.concat(at, F.lit(f".{name}")))
-        parts.append(F.when(F.array_contains(keys, name), inner).otherwise(none))
-    return F.concat(none, *parts), "object"
+    properties = schema.get("properties", {})
+
+    def inside(fields: Column) -> Column:
+        keys, parts = F.map_keys(fields), []
+        if missing := schema.get("required"):
+            parts.append(F.transform(F.filter(F.array(*map(F.lit, missing)), lambda k: ~F.array_contains(keys, k)), lambda k: F.concat(at, F.lit("."), k, F.lit(MISSING))))
+        if schema.get("additionalProperties") is False:
+            known = F.array(*map(F.lit, properties)) if properties else none
+            parts.append(F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(at, F.lit("."), k, F.lit(NOT_ALLOWED))))
+        for name, sub in properties.items():
+            inner = errors(sub, F.try_element_at(fields, F.lit(name)), F.concat(at, F.lit(f".{name}")))
+            parts.append(F.when(F.array_contains(keys, name), inner).otherwise(none))
+        return F.concat(none, *parts)
+
+    return once(members(value), inside), "object"
 
 
 def _array(schema, value, at, say, none):
-    inside = items(value)
-    parts = [F.when(F.size(inside) < schema.get("minItems", 0), say(TOO_FEW)).otherwise(none)]
-    if "maxItems" in schema:
-        parts.append(F.when(F.size(inside) > schema["maxItems"], say(TOO_MANY)).otherwise(none))
-    if schema.get("items"):
-        each = F.transform(inside, lambda v, i: errors(schema["items"], v, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
-        parts.append(F.flatten(each))
-    return F.concat(none, *parts), "array"
+    def within(inside: Column) -> Column:
+        parts = [F.when(F.size(inside) < schema.get("minItems", 0), say(TOO_FEW)).otherwise(none)]
+        if "maxItems" in schema:
+            parts.append(F.when(F.size(inside) > schema["maxItems"], say(TOO_MANY)).otherwise(none))
+        if schema.get("items"):
+            each = F.transform(inside, lambda v, i: errors(schema["items"], v, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
+            parts.append(F.flatten(each))
+        return F.concat(none, *parts)
+
+    return once(items(value), within), "array"
 
 
 def _string(schema, value, at, say, none):

@@ -356,3 +356,10 @@ def test_guard_outputs_and_verdicts(spark):
     times = spark.createDataFrame([(0, None, 1.0, [3.0, 2.0, None]), (1, None, 1.3, [2.0, 3.0]), (2, 400, 0.1, [9.0]), (3, None, None, [1.0]), (4, None, 1.0, []), (5, None, 1.0, None)], "i int, rejected int, high double, low array<double>")
     verdicts = [r[0] for r in times.orderBy("i").select(guard.priority_verdict(F.col("rejected"), F.col("high"), F.col("low"))["verdict"]).collect()]
     assert verdicts == ["honoured", "ignored", "unsupported", "inconclusive", "inconclusive", "inconclusive"]
+
+
+def test_schema_errors_read_each_value_once(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "object", "properties": {"b": {"type": "array", "items": {"type": "integer", "minimum": 3}}}}, "c": {"type": "number"}}}
+    df = spark.createDataFrame([('{"a": {"b": [1, 5, "x"]}, "c": "y"}',), ('{"a": 1}',), ("no",), (None,)], "t string").select(js.errors(schema, js.parsed(F.col("t"))).alias("e"))
+    assert [r["e"] for r in df.collect()] == [["$.a.b[0]: below minimum", "$.a.b[2]: not an integer", "$.c: not a number"], ["$.a: not an object"], ["$: not an object"], ["$: not an object"]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("schema_of_variant") <= 6
