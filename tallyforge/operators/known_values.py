@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Characters of a piece, and pieces of which one is an anchor.
 PIECE, WINDOW = 5, 4
 SPAN = PIECE + WINDOW - 1
 #: Anchors of values up to which texts are filtered by them before the join (8 bytes each).
 FEW = 2_000_000
+#: Anchors, or texts, that are handed on together.
+MANY, FLUSH = 500_000, 500
 
 
 def _low(c: str) -> str:
@@ -66,6 +70,11 @@ def text_anchors(text: str, short: list[int]) -> np.ndarray:
     return np.unique(np.concatenate([*least, *(_grams(points, n) for n in short), np.empty(0, np.uint64)]))
 
 
+def among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of these are known; known is sorted, and is looked up in, not gone through."""
+    return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found if len(known) else np.zeros(len(found), bool)
+
+
 def _masked(text: str, values: list[tuple[str, str]]) -> str:
     """values: (value without white space, label), in the order in which they are replaced."""
     body, places = squeezed(text), [i for i, c in enumerate(text) if not c.isspace()]
@@ -101,19 +110,29 @@ def mask_known(texts: DataFrame, text: str, values: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64))], ["value", "label", "anchor"])
 
     given = values.where("value is not null").select(F.col("value").cast("string").alias("value"), F.coalesce("label", F.lit("value")).alias("label"))
-    known = given.distinct().mapInArrow(anchored, "value string, label string, anchor bigint").distinct()
+    known = written(given.distinct().mapInArrow(anchored, "value string, label string, anchor bigint").distinct(), "values")  # read four times
     short = [r[0] for r in known.select(F.char_length("value").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN numbers
     sought = known.select("anchor").distinct()
     few = sought.limit(FEW + 1).count() <= FEW
     only = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in sought.collect()], np.int64))) if few else None  # checked: 16 MB at most
 
+    def pairs(keys: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], ["key", "anchor"])
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, all_found = [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = text_anchors(squeezed(body), short).view(np.int64)
                 if only is not None:
-                    found = found[np.isin(found, only.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "anchor"])
+                    found = found[among(found, only.value)]
+                keys.append(np.full(len(found), key, np.int64))
+                all_found.append(found)
+                if sum(map(len, all_found)) >= MANY or len(keys) == FLUSH:
+                    yield pairs(keys, all_found)
+                    keys, all_found = [], []
+            if keys:
+                yield pairs(keys, all_found)
 
     @F.arrow_udf("string")
     def masked(bodies: pa.Array, lists: pa.Array) -> pa.Array:

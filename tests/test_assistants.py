@@ -363,3 +363,16 @@ def test_schema_errors_read_each_value_once(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, 5, "x"]}, "c": "y"}',), ('{"a": 1}',), ("no",), (None,)], "t string").select(js.errors(schema, js.parsed(F.col("t"))).alias("e"))
     assert [r["e"] for r in df.collect()] == [["$.a.b[0]: below minimum", "$.a.b[2]: not an integer", "$.c: not a number"], ["$.a: not an object"], ["$: not an object"], ["$: not an object"]]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("schema_of_variant") <= 6
+
+
+def test_known_anchors_are_looked_up(spark, monkeypatch):
+    import numpy as np
+
+    known = np.array([-5, 2, 9], np.int64)
+    assert known_values.among(np.array([-6, -5, 3, 9, 10]), known).tolist() == [False, True, False, True, False]
+    assert known_values.among(np.array([1]), known[:0]).tolist() == [False]
+    kept, real = [], known_values.written
+    monkeypatch.setattr(known_values, "written", lambda df, name: kept.append(name) or real(df, name))
+    texts = spark.createDataFrame([(1, "call a@b.cd now"), (2, None), (3, "")], "id int, text string")
+    got = known_values.mask_known(texts, "text", spark.createDataFrame([("A@B.cd", "mail")], "value string, label string"))
+    assert sorted((r["id"], r["text"]) for r in got.collect()) == [(1, "call [MAIL] now"), (2, None), (3, "")] and kept == ["values"]
