@@ -22,10 +22,9 @@ import heapq
 import re
 import string
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -46,9 +45,13 @@ _LEFT, _MIDDLE, _RIGHT = (np.array(x, np.uint64) for x in (LEFT, MIDDLE, RIGHT))
 REMEMBERED = 300_000
 #: Above so many characters a unit takes the heap, below it a plain scan for the best candidate.
 SHORT = 48
+#: Lengths up to which short units go through the agenda together, filled up to the longest.
+TOGETHER = (2, 4, 6, 8, 11, 15, 24, SHORT)
 #: Texts that a worker holds as strings at once, and their characters that are encoded at once.
 SLICE = 1024
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
+#: What a character is to the cut into units.
+OTHER, LETTER, STOP, ALONE = 1, 2, 4, 8
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ class Courses:
     def add(self, units: list[str], skips: list[tuple[int, ...]], candidates: np.ndarray, many: np.ndarray, ids: np.ndarray, many_ids: np.ndarray) -> int:
         """Returns the number of the first; candidates and ids stand one course after another."""
         at = len(self.of)
-        self.of += zip(units, skips)
+        self.of.extend(zip(units, skips))
         self.first.add(self.candidates.add(candidates) + np.cumsum(many) - many)
         self.skipped.add(np.full(len(candidates), -1))
         self.many.add(many)
@@ -110,6 +113,15 @@ class Courses:
         self.many_ids.add(many_ids)
         return at
 
+    def sizes(self) -> list[int]:
+        return [len(self.of), *(x.n for x in (self.candidates, self.skipped, self.ids, self.first, self.many, self.first_id, self.many_ids))]
+
+    def forget(self, sizes: list[int]) -> None:
+        """Courses that were added since these sizes, which nothing leads to."""
+        del self.of[sizes[0] :]
+        for x, n in zip((self.candidates, self.skipped, self.ids, self.first, self.many, self.first_id, self.many_ids), sizes[1:]):
+            x.n = n
+
 
 class Codec:
     """Encoder and decoder of one vocabulary, seed and rate; lives in a worker."""
@@ -125,9 +137,12 @@ class Codec:
         self.adjacent = adjacent
         inside = {c for pair in adjacent for c in pair}
         alone = "".join(c for c in " \n\t\r" if (MARK if c == " " else c) not in inside)
+        letters, stops = self._before_stops(adjacent)
+        # what a unit is; many texts are cut by the kinds of their characters to the same effect
         other = "[^ " + re.escape(alone) + "]"
-        word = self._word_before_stop(adjacent)
+        word = f" *[^\\W{re.escape(''.join(sorted(letters)))}]+(?=[{re.escape(''.join(stops))}])|" if stops else ""
         self.units = re.compile(f"{word} *{other}+| +" + (f"|[{re.escape(alone)}]" if alone else ""))
+        self.kinds = self._kinds(letters, stops, alone)
         self.courses = Courses()
         # for many units at once: ids of characters, and the piece that two pieces in a row make
         self.id_of_char = np.full(0x110000, -1, np.int32)
@@ -141,8 +156,7 @@ class Codec:
                 left, right = self.id_of.get(piece[:k]), self.id_of.get(piece[k:])
                 if left is not None and right is not None:
                     made[left * self.none + right] = i
-        self.pairs = np.array(sorted(made), np.int64)
-        self.makes = np.array([made[x] for x in self.pairs.tolist()], np.int32)
+        self.row, self.pairs, self.makes = self._pairs(made, self.none)
         self.rank_of_id = np.array([*v.ranks, self.none], np.int32)
         self.rank_of_id[: v.first_piece] = self.none
         bytes_of = [b""] * len(v.pieces)
@@ -153,12 +167,39 @@ class Codec:
         self.bytes_of = bytes_of
 
     @staticmethod
-    def _word_before_stop(adjacent: set[str]) -> str:
-        """Pattern of a word apart from the punctuation after it, where no piece has a letter and that punctuation in a row."""
+    def _before_stops(adjacent: set[str]) -> tuple[set[str], list[str]]:
+        """Punctuation that hardly any piece has after a letter, and the letters that one has; other letters before it are a unit apart from it."""
         before = {c: {p[0] for p in adjacent if p[1] == c and p[0].isalnum() | (p[0] == "_")} for c in string.punctuation}
         stops = [c for c, letters in before.items() if len(letters) <= 3]
-        not_letters = {"_"}.union(*(before[c] for c in stops))
-        return f" *[^\\W{re.escape(''.join(sorted(not_letters)))}]+(?=[{re.escape(''.join(stops))}])|" if stops else ""
+        return {"_"}.union(*(before[c] for c in stops)), stops
+
+    @staticmethod
+    def _kinds(letters: set[str], stops: list[str], alone: str) -> np.ndarray:
+        """For every code point: whether it is white space that is a unit by itself, or else no space; a letter that a stop is cut from; a stop."""
+        kinds = np.fromiter((OTHER | LETTER * chr(i).isalnum() for i in range(0x110000)), np.uint8, 0x110000)
+        kinds[[ord(c) for c in letters]] &= 0xFF - LETTER
+        kinds[[ord(c) for c in stops]] |= STOP
+        kinds[ord(" ")] = 0
+        kinds[[ord(c) for c in alone]] = ALONE
+        return kinds
+
+    @staticmethod
+    def _pairs(made: dict[int, int], none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of left pieces laid over each other in one table without two pairs in a place: each row's start, and by place the pair and what it makes."""
+        pairs = np.array(sorted(made), np.int64)
+        lefts, starts = np.unique(pairs // none, return_index=True)
+        rows = sorted(zip(lefts.tolist(), np.split(pairs % none, starts[1:])), key=lambda x: -len(x[1]))
+        size = 4 * len(pairs) + 1
+        row, held, makes = np.zeros(none + 1, np.int64), np.full(size + none + 1, -1, np.int64), np.full(size + none + 1, none, np.int32)
+        place = 0
+        for left, rights in rows:
+            while (held[place + rights] >= 0).any():
+                place = (place * 5 + 7919) % size
+            row[left] = place
+            held[place + rights] = left * none + rights
+            makes[place + rights] = [made[x] for x in (left * none + rights).tolist()]
+            place = (place * 5 + 7919) % size
+        return row, held, makes
 
     # -- encoding
 
@@ -178,36 +219,61 @@ class Codec:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x ^ (x >> np.uint64(31))
 
+    def _cut(self, points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where units start in the code points of texts that begin at these places, each with a space before it.
+
+        A unit is a run of other characters with the spaces before it, less what begins with a stop after nothing but letters; spaces
+        that no such run follows; or one character that stands alone.
+        """
+        kind = self.kinds.take(points)
+        other = kind & OTHER
+        start = (kind == ALONE) | np.append(True, (kind[:-1] == ALONE) | (other[1:] < other[:-1]))[: len(kind)]
+        start[begin] = True
+        letter = np.concatenate(([0], kind & LETTER, [0]))
+        edges = np.flatnonzero(letter[1:] != letter[:-1])
+        first, after = edges[::2], edges[1::2]  # of runs of letters
+        first, after = first[after < len(kind)], after[after < len(kind)]
+        start[after[(kind[after] & STOP > 0) & (other[first - 1] == 0)]] = True  # a space is before every text
+        return np.flatnonzero(start)
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids."""
         if len(self.courses.of) > self.remembered:
             self.courses = Courses()
         met = self.courses
-        split = [self.units.findall(" " + t) if t else [] for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        units = [*chain.from_iterable(split)]
-        keys = self._keys(texts, n) if self.below else np.zeros(len(units), np.uint64)
-        course = np.fromiter(map(met.root.get, units, repeat(-2)), np.int64, len(units))
-        missing = np.flatnonzero(course < 0)
-        if len(missing):
-            names = [units[i] for i in missing.tolist()]
-            times = Counter(names)
-            once = np.fromiter(map(times.__getitem__, names), np.int64, len(names)) == 1
-            long = np.fromiter(map(len, names), np.int64, len(names)) > SHORT
-            # a unit that comes up the first time, and once, takes its own draws right away, and so does a long one
-            alone = (long | once & (course[missing] == -2)) & (self.below > 0)
-            met.root.update(zip(compress(names, (alone & ~long).tolist()), repeat(-1)))
-            drawn, again = [*compress(names, alone.tolist())], [*compress(names, (~alone).tolist())]
-            new = [*dict.fromkeys(again)]
-            met.root.update(zip(new, self._courses(new, [()] * len(new)).tolist()))
-            course[missing[~alone]] = np.fromiter(map(met.root.__getitem__, again), np.int64, len(again))
-            course[missing[alone]] = self._courses(drawn, None, keys[missing[alone]])
-        end = self._ends(course, keys)
+        joined = "".join([" " + t for t in texts if t])
+        data = joined.encode("utf-32-le")
+        points = np.frombuffer(data, np.uint32)
+        ends = np.cumsum(np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts)))
+        begin = np.append(0, ends[:-1])
+        starts = self._cut(points, begin[begin < ends])
+        n = np.diff(np.searchsorted(starts, np.append(0, ends)))
+        bounds = np.append(starts, len(points))
+        keys = self._keys(texts, n) if self.below else np.zeros(len(starts), np.uint64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(4 * bounds), pa.py_buffer(data)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        names = [joined[a:b] for a, b in zip(bounds[first].tolist(), bounds[first + 1].tolist())]
+        number = np.fromiter(map(met.root.get, names, repeat(-2)), np.int64, len(names))
+        long = bounds[first + 1] - bounds[first] > SHORT
+        # a unit that comes up the first time, and once, takes its own draws right away, and so does a long one
+        alone = (number < 0) & (long | (np.bincount(which, minlength=len(names)) == 1) & (number == -2)) & (self.below > 0)
+        met.root.update((names[i], -1) for i in np.flatnonzero(alone & ~long).tolist())
+        new = np.flatnonzero((number < 0) & ~alone)
+        fresh = [names[i] for i in new.tolist()]
+        number[new] = self._courses(fresh, [()] * len(fresh))
+        met.root.update(zip(fresh, number[new].tolist()))
+        end, own = number[which], alone[which]
+        end[~own] = self._ends(end[~own], keys[~own])
+        before = met.sizes()
+        end[own] = self._courses([names[i] for i in which[own].tolist()], None, keys[own])
         many = met.many_ids.data[end]
         upto = np.cumsum(many)
         place = np.arange(upto[-1] if len(upto) else 0) + np.repeat(met.first_id.data[end] - (upto - many), many)
-        bounds = np.append(0, upto)[np.append(0, np.cumsum(n))]
-        return np.diff(bounds), met.ids.data[place]
+        ids = met.ids.data[place]
+        met.forget(before)
+        return np.diff(np.append(0, upto)[np.append(0, np.cumsum(n))]), ids
 
     def _courses(self, units: list[str], skips: list[tuple[int, ...]] | None, keys: np.ndarray | None = None) -> np.ndarray:
         """Numbers of the courses after these skips, newly met; without skips, of the courses that these keys draw to their ends."""
@@ -224,17 +290,21 @@ class Codec:
             ids = np.frombuffer(self.unit(units[i], 0 if keys is None else int(keys[i]), trail, skips and skips[i]), np.int32)
             left = np.array(trail if skips and self.below else [], np.uint64)[of[i][-1] + 1 if of[i] else 0 :]
             number[i] = self.courses.add([units[i]], [of[i]], left, np.array([len(left)]), ids, np.array([len(ids)]))
-        for n in np.unique(lengths[~one_by_one]):
-            some = np.flatnonzero((lengths == n) & ~one_by_one)
+        upto = np.searchsorted(TOGETHER, lengths)
+        for k in np.unique(upto[~one_by_one]).tolist():
+            some = np.flatnonzero((upto == k) & ~one_by_one)
+            at = np.arange(lengths[some].max())
+            inside = at < lengths[some][:, None]
+            symbols = np.where(inside, chars.take(starts[some][:, None] + at, mode="clip"), self.none)
             mine = [of[i] for i in some.tolist()]
-            got = self._agendas(chars[starts[some][:, None] + np.arange(n)], mine, None if keys is None else keys[some])
+            got = self._agendas(symbols, lengths[some], mine, None if keys is None else keys[some])
             number[some] = self.courses.add([units[i] for i in some.tolist()], mine, *got) + np.arange(len(some))
         return number
 
-    def _agendas(self, symbols: np.ndarray, skips: list[tuple[int, ...]], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The agenda over many units of one length, a row each: candidates after the last skip, how many each has, ids, how many.
+    def _agendas(self, symbols: np.ndarray, lengths: np.ndarray, skips: list[tuple[int, ...]], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda over many units of like lengths, a row each: candidates after the last skip, how many each has, ids, how many.
 
-        With keys, the skips are drawn and no candidates are returned.
+        With keys, the skips are drawn and no candidates are returned. After a unit's end its row is filled with what is in no pair.
 
         A symbol stands at the place of its first character; rank[u, i] is that of the pair which the symbol at i begins.
         """
@@ -245,17 +315,15 @@ class Codec:
         makes, rank = np.full(m * n, none, np.int32), np.full(m * n, none, np.int32)
         after = np.tile(np.arange(1, n + 1), m)
         before = np.tile(np.arange(-1, n - 1), m)
-        alive = np.ones(m * n, bool)
+        alive = (np.arange(n) < lengths[:, None]).ravel()
 
         def pair(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-            both = left.astype(np.int64) * none + right
-            place = np.searchsorted(self.pairs, both)
-            place[place == len(self.pairs)] = 0
-            makes[at] = made = np.where(self.pairs.take(place) == both, self.makes.take(place), none)
+            place = self.row.take(left) + right
+            makes[at] = made = np.where(self.pairs.take(place) == left.astype(np.int64) * none + right, self.makes.take(place), none)
             rank[at] = self.rank_of_id.take(made)
 
         if n > 1:
-            at = np.flatnonzero(after < n)
+            at = np.flatnonzero(after < np.repeat(lengths, n))
             pair(at, symbol[at], symbol[at + 1])
         most = 1 + max(map(len, skips))
         to_skip = np.array([s + (-1,) * (most - len(s)) for s in skips])

@@ -250,6 +250,26 @@ def test_dropout_varies_by_occurrence():
     assert 0.9 ** len("▁international") < kept < 1
 
 
+def test_many_texts_are_cut_by_the_pattern():
+    """Runs of spaces, stops, white space and letters that pieces have before stops, in texts beside each other."""
+    import random
+
+    codec, draw = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(queries.MODEL_FILE), 0.1, 1), random.Random(5)
+    texts = ["".join(draw.choice("  aZs9é_.,;:'-!)(\"\n\t\r▁東\u00a0\u2028😀t") for _ in range(draw.randrange(12))) for _ in range(20_000)]
+    texts += ["", " ", "word", "word.", ".", "\n", *("x" * k + ". y" for k in range(60))]
+    joined, begin = "", []
+    want = []
+    for t in filter(None, texts):
+        begin.append(len(joined))
+        joined += " " + t
+        want += codec.units.findall(" " + t)
+    starts = codec._cut(__import__("numpy").frombuffer(joined.encode("utf-32-le"), "uint32"), __import__("numpy").array(begin)).tolist()
+    assert [joined[a:b] for a, b in zip(starts, [*starts[1:], len(joined)])] == want
+    plain = [b"".join(codec.unit(u, k) for u, k in zip(us, codec.keys(t, len(us)))) for t in texts for us in [codec.units.findall(" " + t) if t else []]]
+    assert [x.values.to_numpy().tobytes() for x in codec.encode_batch(texts)] == plain
+    assert len(codec.courses.of) == codec.courses.first.n  # what was drawn for one occurrence is not remembered
+
+
 def test_language_sample(spark):
     """Shared openings, many copies and many languages don't take the sample."""
     import random
