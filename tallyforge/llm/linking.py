@@ -7,7 +7,10 @@ inside what is already known to be connected:
 2. While lists with several labels have many pairs left, and each round halves them, what is outside a list's commonest label meets
    pivots of it.
 3. The rest: in lists and groups that still hold several labels, all pairs of different labels that pass the filters; or, if they
-   are still many, whatever other exact way the caller has for the sets in these lists.
+   are still many, whatever other exact way the caller has for the sets in these lists. Here sets also carry the parities of their
+   hashes in so many bits: each shingle that only one of two sets has changes one bit at most, so sets whose bits differ in more
+   places than linked sets differ in shingles are no pair. That rules out nearly all sets that are much alike but not linked
+   (texts around one passage) inside the join of the lists; their full sets are never brought together.
 
 Labels are joined by union-find: each task makes a forest of the edges it has, and what the forests leave is contracted step by step
 across tasks until one task can take in the rest, so neither a task nor the driver ever holds all links.
@@ -29,6 +32,8 @@ from .common import Scratch, release
 ROUNDS, MANY = 3, 4
 #: Edges that a forest takes in at once (about 100 MB).
 EDGES = 1 << 19
+#: Words of 64 parity bits of a set.
+WORDS = 8
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,11 @@ class Similarity:
         rest = f"least({x}.n - {x}.i, {y}.n - {y}.i)"
         return F.expr(f"{self.low} * least({x}.n, {y}.n) >= {self.top} * greatest({x}.n, {y}.n) and {self.both} * {rest} >= {self.top} * ({x}.n + {y}.n)")
 
+    def near(self, x: str, y: str) -> Column:
+        """Parity filter of a pair; sets without parities pass. alone: shingles of a set that no other has."""
+        apart = " + ".join([f"{x}.alone + {y}.alone", *(f"bit_count({x}.w{k} ^ {y}.w{k})" for k in range(WORDS))])
+        return F.expr(f"coalesce({self.both} * ({apart}) <= {self.low - self.top} * ({x}.n + {y}.n), true)")
+
 
 # -- links
 
@@ -76,6 +86,24 @@ def _compare(similarity: Similarity):
     return run
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, keys) -> id, alone, and the parities of the keys by their last bits."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        keys = np.concatenate([*sets, np.empty(0, np.uint64)])
+        words = np.zeros(len(sets) * WORDS, np.uint64)
+        np.bitwise_xor.at(words, np.repeat(np.arange(len(sets)) * WORDS, sizes) + (keys >> np.uint64(6) & np.uint64(WORDS - 1)).astype(np.int64), np.uint64(1) << (keys & np.uint64(63)))
+        columns = words.view(np.int64).reshape(-1, WORDS).T
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(batch.column("n").to_numpy() - sizes), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["id", "alone", *(f"w{k}" for k in range(WORDS))])
+
+
+def _with_parities(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entries(id, ...) with the parities of those ids' sets that nodes(id, n, keys) has."""
+    here = nodes.join(entries.select("id").distinct(), "id").select("id", F.col("n").cast("long").alias("n"), "keys")
+    return entries.join(here.mapInArrow(_parities, f"id bigint, alone bigint, {', '.join(f'w{k} bigint' for k in range(WORDS))}"), "id", "left")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
     """pairs(a, b, la, lb) -> edges (a, b) between the labels of the linked ones.
 
@@ -207,15 +235,19 @@ def _more_pairs(mixed: DataFrame, seed: int, similarity: Similarity, few: int |
 
 
 def _rest_pairs(mixed: DataFrame, similarity: Similarity) -> DataFrame:
-    """ids (a, b) of all pairs with different labels that pass the filters."""
+    """ids (a, b) of all pairs with different labels that pass the filters. mixed: with parities, null where an id stands for several sets."""
     met = mixed.where(MINOR).alias("x").join(mixed.alias("y"), "key").where(
-        F.expr("x.id <> y.id and not (x.lo = y.hi and x.hi = y.lo) and (y.lo = y.major and y.hi = y.major or x.id < y.id)") & similarity.possible("x", "y")
+        F.expr("x.id <> y.id and not (x.lo = y.hi and x.hi = y.lo) and (y.lo = y.major and y.hi = y.major or x.id < y.id)") & similarity.possible("x", "y") & similarity.near("x", "y")
     )
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame, inside: DataFrame, here: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+def _rest(lists: DataFrame, inside: DataFrame, here: DataFrame, nodes: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
     """Edges among all that is left: pairs of groups in mixed lists, expanded to members, and pairs inside mixed groups."""
+    sets = nodes.select(F.col("rep").alias("id"), "n", "keys")
+    single = here.groupBy("gid").count().where("count = 1").select(F.col("gid").alias("id"))
+    lists = scratch(_with_parities(lists, sets.join(single, "id")), "parities")
+    inside = scratch(_with_parities(inside, sets), "parities")
     of = lambda key, c: here.select(F.col(key).alias(f"g{c}"), F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
     named = lambda pairs, key: pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(of(key, "a"), "ga").join(of(key, "b"), "gb")
     pairs = named(_rest_pairs(lists, similarity), "gid").unionAll(named(_rest_pairs(inside, similarity), "rep")).where("la <> lb").select("a", "b", "la", "lb")
@@ -269,6 +301,6 @@ def components(classed: DataFrame, nodes: DataFrame, lists: DataFrame, similarit
         mine = mixed.select(F.col("id").alias("gid")).distinct().join(here, "gid").select(F.col("rep").alias("id"), "label")
         labels = merged(labels, scratch(other(mine.unionAll(inside.select("id", "label")).distinct()), "found"))
     elif left or not inside.isEmpty():
-        labels = merged(labels, scratch(_rest(mixed, inside, here, nodes, similarity), "found"))
+        labels = merged(labels, scratch(_rest(mixed, inside, here, nodes, similarity, scratch), "found"))
     component = labels.groupBy("label").agg(F.min("least").alias("component"))
     return scratch(labels.join(component, "label").select("rep", "component"), "components")

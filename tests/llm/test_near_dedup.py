@@ -130,6 +130,36 @@ def test_groups_chains_passages(spark, monkeypatch, many):
     assert got(n.near_duplicates(df)) == brute(docs)
 
 
+def test_alike_but_not_linked(spark, monkeypatch):
+    """Copies that are somewhat too far from each other: the sets that are brought together grow with the copies, not with their pairs."""
+    met, verified = [], linking._verified
+    monkeypatch.setattr(linking, "_verified", lambda pairs, nodes, similarity: met.append(pairs.count()) or verified(pairs, nodes, similarity))
+    docs = near_copies(random.Random(4), [f"b{i}" for i in range(150)], range(500), 4)
+    assert got(n.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
+    assert sum(met) < 10 * len(docs), met
+
+
+def test_parities_lose_no_pair(spark):
+    """The filter passes all linked pairs, also where sets hold more shingles than there are bits, and sets without parities."""
+    rng, similarity = random.Random(6), linking.Similarity(17, 20)
+    rows = []
+    for k in range(300):
+        size = rng.choice((1, 3, 20, 150, 2000))
+        base = [rng.randrange(2**64) for _ in range(size)]
+        for i in range(2):
+            cut = rng.randrange(size // 5 + 1)
+            rows.append((2 * k + i, size, np.array(sorted(base[cut:] + [rng.randrange(2**64) for _ in range(rng.randrange(cut + 1))]), np.uint64)))
+    sets = {i: s for i, _, s in rows}
+    df = spark.createDataFrame([(i, len(s) + i % 3, bytearray(s.tobytes())) for i, _, s in rows], "id bigint, n int, keys binary")
+    entries = df.select("id", "n")
+    signed = linking._with_parities(entries, df.where("id % 10 > 0"))
+    pairs = signed.alias("x").join(signed.alias("y"), F.expr("x.id = y.id - 1 and x.id % 2 = 0")).select("x.id", similarity.near("x", "y").alias("near")).collect()
+    assert len(pairs) == 300
+    linked = lambda i: 37 * len(np.intersect1d(sets[i], sets[i + 1])) >= 17 * (len(sets[i]) + i % 3 + len(sets[i + 1]) + (i + 1) % 3)
+    assert all(r["near"] for r in pairs if linked(r["id"]) or r["id"] % 10 == 0)
+    assert sum(linked(r["id"]) for r in pairs) > 50 and sum(not r["near"] for r in pairs) > 50
+
+
 def test_bands_lose_no_link(spark):
     """Pairs at the threshold, of short and of long sets."""
     rng = random.Random(8)
