@@ -484,15 +484,16 @@ def _lists(ids: pa.Array) -> Iterator[np.ndarray | None]:
         yield values[ends[i] : ends[i + 1]] if ok else None
 
 
-_codecs: dict[tuple, Codec] = {}
+class Shared:
+    """A vocabulary as it is broadcast. A worker's codec hangs on it, with what it has met, and goes with it once the worker has other tasks."""
 
+    def __init__(self, vocabulary: Vocabulary, *how):
+        self.vocabulary, self.how, self.made = vocabulary, how, None
 
-def _codec(shared, *how) -> Codec:
-    """The worker's codec for a broadcast vocabulary: built once, kept with what it has met."""
-    if (shared.value, *how) not in _codecs:
-        _codecs.clear()
-        _codecs[(shared.value, *how)] = Codec(shared.value, *how)
-    return _codecs[(shared.value, *how)]
+    def codec(self) -> Codec:
+        if self.made is None:
+            self.made = Codec(self.vocabulary, *self.how)
+        return self.made
 
 
 class SentencePiece:
@@ -502,19 +503,18 @@ class SentencePiece:
         """dropout: rate at which candidates are skipped."""
         if not 0 <= dropout <= 1 or seed < 0:
             raise ValueError("dropout must be in [0, 1], seed not negative")
-        shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))  # as large as the model file
-        how = (dropout, seed)
+        shared = spark.sparkContext.broadcast(Shared(Vocabulary.load(model_file), dropout, seed))  # as large as the model file
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(shared, *how)
+            codec = shared.value.codec()
             parts = [codec.encode_batch(texts.slice(a, SLICE).to_pylist()) for a in range(0, len(texts), SLICE)]
             release()
             return pa.concat_arrays(parts) if parts else codec.encode_batch([])
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            parts = [_codec(shared, *how).decode_batch(ids.slice(a, SLICE)) for a in range(0, len(ids), SLICE)]
+            parts = [shared.value.codec().decode_batch(ids.slice(a, SLICE)) for a in range(0, len(ids), SLICE)]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
         self._encode, self._decode = encode, decode

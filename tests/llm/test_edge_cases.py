@@ -270,6 +270,25 @@ def test_many_texts_are_cut_by_the_pattern():
     assert len(codec.courses.of) == codec.courses.first.n  # what was drawn for one occurrence is not remembered
 
 
+def test_a_worker_drops_its_codec(spark, tmp_path):
+    """A codec with what it has met doesn't stay in a worker that goes on to other work (checked in the tasks that follow)."""
+    import gc
+
+    from pyspark.sql import functions as F
+
+    codec = sentencepiece_codec.SentencePiece(spark, queries.MODEL_FILE, 0.1, 1)
+    texts = spark.range(0, 64, 1, 8).select(F.col("id").cast("string").alias("text"))
+
+    def held(batches):
+        for batch in batches:
+            gc.collect()
+            n = sum(type(x).__name__ == "Codec" for x in gc.get_objects())
+            yield batch.from_pydict({"n": [n]})
+
+    assert texts.select(codec.encode(F.col("text")).alias("ids")).where("size(ids) > 0").count() == 64
+    assert {r["n"] for r in texts.mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_language_sample(spark):
     """Shared openings, many copies and many languages don't take the sample."""
     import random
