@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,36 @@ def test_topk(spark):
     assert topk_search.top_k(few, few.where("vec_id = 100").withColumnRenamed("vec_id", "query_id"), 10).count() == 1
     assert topk_search.top_k(vectors.limit(0), ask.limit(0), 10).count() == 0
 
+def test_topk_in_cells(spark, monkeypatch):
+    """Small cells and blocks, copies, ids of several vectors, ties, numbers of every width, vectors of several lengths."""
+    for name, n in {"GROUP": 40, "SHARE": 3, "PAIRS": 50, "BLOCK": 16, "NUMBERS": 30, "AT_ONCE": 2}.items():
+        monkeypatch.setattr(topk_search, name, n)
+    rng = random.Random(11)
+    for size in (1.0, 40.0, 3e5):
+        some = [[rng.choice((-1, 1)) * rng.randrange(5) * size / 4 for _ in range(rng.choice((1, 3, 3, 3, 6)))] for _ in range(60)]
+        rows = [(rng.randrange(150) if i % 4 else 7 + i % 3, rng.choice(some)) for i in range(250)]
+        vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+        out = topk_search.top_k(vectors, vectors.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), 4)
+        clean, want = sorted({(i, tuple(int(1024 * x // 1) for x in v)) for i, v in rows}), []
+        for qi, qv in clean:
+            if qi < 20:
+                best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in clean if i != qi and len(v) == len(qv))[:4]
+                want += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+        assert len(want) > 100 and got(out, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_topk_asks_equal_queries_once_and_deals_them_once_a_group(spark, monkeypatch):
+    """What is shuffled and compared doesn't grow with copies, nor with the product of queries and blocks."""
+    packs, stored = [], topk_search.stored
+    monkeypatch.setattr(topk_search, "stored", lambda df, name: packs.append((name, stored(df, name))) or packs[-1][1])
+    rows = [(i, [float(i % 30), 1.0]) for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = topk_search.top_k(vectors, vectors.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id"), 2)
+    assert out.count() == 3000
+    sizes = {name: df.count() for name, df in packs}
+    assert sizes["classes"] == 15 and sizes["found"] <= 15 * 3
+
+
 
 def test_license(spark, docs, none):
     mit = "Copyright (c) 2020 Someone\n\n" + license_scan.MIT.upper().replace('"', "“").replace("\n", "\n\n  * ")
