@@ -105,8 +105,8 @@ p AS (SELECT list({'w': array_to_string(list_transform(string_split(v, ''), lamb
 SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE list_reduce(list_prepend({'w': text, 'l': ''}, ps), lambda a, x: {'w': regexp_replace(a.w, x.w, '[' || x.l || ']', 'gi'), 'l': ''}).w END AS text FROM documents, p""")
 def _(t):
     """E-mail addresses and telephone numbers that any document has are masked in all of them."""
-    found = lambda pattern, label: t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value"), F.lit(label).alias("label"))
-    values = found(r"[a-z0-9.]+@[a-z0-9.]+[a-z0-9]", "email").unionAll(found(r"[+]?[0-9][0-9 -]{8,14}[0-9]", "phone"))
+    found = lambda pattern, label, docs=t.documents: docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value"), F.lit(label).alias("label"))
+    values = found(r"[a-z0-9.]+@[a-z0-9.]+[a-z0-9]", "email", t.documents.where(F.contains("text", F.lit("@")))).unionAll(found(r"[+]?[0-9][0-9 -]{8,14}[0-9]", "phone"))
     return known_values.mask_known(t.documents.select("doc_id", "text"), "text", values)
 
 

@@ -376,3 +376,22 @@ def test_known_anchors_are_looked_up(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "call a@b.cd now"), (2, None), (3, "")], "id int, text string")
     got = known_values.mask_known(texts, "text", spark.createDataFrame([("A@B.cd", "mail")], "value string, label string"))
     assert sorted((r["id"], r["text"]) for r in got.collect()) == [(1, "call [MAIL] now"), (2, None), (3, "")] and kept == ["values"]
+
+
+def test_known_values_meet_texts_where_they_lie(spark, monkeypatch):
+    """Texts aren't shuffled for values that fit a broadcast; more values meet only texts that have them, though they begin alike."""
+    import numpy as np
+
+    values = [f"4000 0000 0000 {i:04}" for i in range(300)]
+    texts = spark.createDataFrame([(i, f"card {v}, paid") for i, v in enumerate(values)] + [(300, "4000 0000 0000 none"), (301, None)], "id int, text string")
+    given = spark.createDataFrame([(v, "card") for v in values], "value string, label string")
+    want = [(i, "card [CARD], paid") for i in range(300)] + [(300, "4000 0000 0000 none"), (301, None)]
+    masked = known_values.mask_known(texts, "text", given)
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and sorted((r["id"], r["text"]) for r in masked.collect()) == want
+    monkeypatch.setattr(known_values, "BYTES", 0)
+    bare = [v.replace(" ", "") for v in values]
+    known = known_values.Known(*(np.array(x, np.int64) for x in ([np.array(known_values.value_anchor(v), np.uint64).view(np.int64) for v in bare], [16] * 300, [known_values.value_hash(v) for v in bare])))
+    assert len(set(known.anchor.tolist())) == 1 and all(known.within(f"card{v},paid").tolist() == [known_values.value_hash(v)] for v in bare)
+    assert sorted((r["id"], r["text"]) for r in known_values.mask_known(texts, "text", given).collect()) == want
+    test_known_values(spark, monkeypatch, known_values.FEW)
