@@ -35,8 +35,8 @@ def _precision(value: Column) -> Column:
     return F.when(code % 100 > 0, "DATE:D").when(code % 10_000 >= 100, "DATE:M").otherwise("DATE:Y")
 
 
-def entries(sources: DataFrame) -> DataFrame:
-    """sources(id, text[, unit, scale]) -> id, dim, key: what may be matched.
+def entries(sources: DataFrame, dims: list[str]) -> DataFrame:
+    """sources(id, text[, unit, scale]) -> id, dim, key: what may be matched, of these dimensions.
 
     Dates are listed by year, month and day. Money is also a number, as it is and as its numeral was written. Signs: each entry
     is listed signed and by its size. unit and scale, where given, hold for numbers of a cell that say none of their own.
@@ -56,9 +56,10 @@ def entries(sources: DataFrame) -> DataFrame:
         .when(F.col("unit").isin("PLAIN", "COUNT"), F.array(one(number, value), one(number, F.col("number"))))
         .otherwise(F.array(one(figures.dimension(F.col("unit")), value)))
     )
-    rows = f.where("value is not null").select("id", F.explode(listed).alias("e")).select("id", "e.*").distinct()
+    rows = f.where("value is not null").select("id", F.explode(listed).alias("e")).select("id", "e.*")
     signs = F.explode(F.array(F.struct(F.lit("signed:").alias("s"), F.col("key").alias("k")), F.struct(F.lit("size:").alias("s"), F.abs("key").alias("k"))))
-    return rows.select("id", "dim", signs.alias("x")).select("id", F.concat("x.s", "dim").alias("dim"), F.col("x.k").alias("key")).distinct()
+    both = rows.select("id", "dim", signs.alias("x")).select("id", F.concat("x.s", "dim").alias("dim"), F.col("x.k").alias("key"))
+    return both.where(F.col("dim").isin(*dims)).distinct()
 
 
 def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -71,19 +72,24 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     cited = answers.repartition("id").select("id", "text", figures.cited_spans(F.col("text")).alias("_spans"))
     each = figures.each(cited, "text", ["id", "text", "_spans"])
     exempt = figures.is_exempt({c: F.col(c) for c in ("kind", "unit", "value", "start", "stop")}, F.col("text"), F.col("_spans"))
-    f = written(each.select("id", "start", "raw", "value", "unit", "step", "signed", exempt.alias("exempt")), "figures")  # read three times
     value = figures.key(F.col("unit"), F.col("value")).cast("double")
     step = figures.key(F.col("unit"), F.col("step")).cast("double")
-    signed = F.col("signed")
+    signed, date = F.col("signed"), F.col("unit") == "DATE"
     at = F.when(signed, value).otherwise(F.abs(value))
-    date = F.col("unit") == "DATE"
     dims = F.when(date, F.array(_precision(F.col("value")))).when(_money(F.col("unit")), F.concat(F.array(figures.dimension(F.col("unit"))), F.filter(F.array(*[F.lit(f"MONEY:{c}") for c in CURRENCIES]), lambda c: c != figures.dimension(F.col("unit"))))).otherwise(F.array(figures.dimension(F.col("unit"))))
-    asked = f.where("not exempt and value is not null").select(
-        "id", "start", F.when(date, at).otherwise(at - step / 2).alias("lo"), F.when(date, at + 1).otherwise(at + step / 2).alias("hi"),
-        F.when(signed, "signed:").otherwise("size:").alias("sign"), F.posexplode(dims).alias("rank", "d"),
-    )
+    sought = ~exempt & F.col("value").isNotNull()
+    f = written(
+        each.select(
+            "id", "start", "raw", exempt.alias("exempt"), F.when(date, at).otherwise(at - step / 2).alias("lo"), F.when(date, at + 1).otherwise(at + step / 2).alias("hi"),
+            F.when(signed, "signed:").otherwise("size:").alias("sign"), F.when(sought, dims).alias("dims"),
+        ),
+        "figures",
+    )  # read several times, so all that is calculated of a figure is in it
+    asked = f.where("dims is not null").select("id", "start", "lo", "hi", "sign", F.posexplode("dims").alias("rank", "d"))
     by = lambda df, dim: df.select(*[c for c in df.columns if c not in ("id", "dim")], F.struct(F.col("id"), dim.alias("dim")).alias("dim"), *([F.col("id")] if "start" in df.columns else []))
-    hits = range_join(by(entries(sources), F.col("dim")).select("dim", "key"), by(asked, F.concat("sign", "d")).select("dim", "lo", "hi", "id", "start", "rank"))
+    kinds = [r[0] for r in asked.select(F.concat("sign", "d")).distinct().collect()]  # two signs, and as many dimensions as there are units
+    found = by(entries(sources, kinds), F.col("dim")).select("dim", "key")
+    hits = range_join(found, by(asked, F.concat("sign", "d")).select("dim", "lo", "hi", "id", "start", "rank"), lambda dim: dim["dim"])
     best = hits.groupBy("id", "start").agg(F.min("rank").alias("rank"))
     reason = F.when(F.col("exempt"), EXEMPT).when(F.col("rank") == 0, MATCHED).when(F.col("rank") > 0, CROSS_CURRENCY).otherwise(NOT_FOUND)
     return f.join(best.hint("merge"), ["id", "start"], "left").select("id", "start", "raw", reason.alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,19 +112,20 @@ def failure_runs(df: DataFrame, key: str, order: Sequence[str], failed: Column)
     return runs.withColumn("failures", F.sum(1 - F.col("_ok")).over(inside)).drop("_ok", "_run")
 
 
-def range_join(values: DataFrame, intervals: DataFrame) -> DataFrame:
+def range_join(values: DataFrame, intervals: DataFrame, sort: Callable[[Column], Column] = lambda dim: F.lit("")) -> DataFrame:
     """values(dim, key, ...) inside intervals(dim, lo, hi, ...): lo <= key < hi.
 
     An interval falls into bins as wide as the next power of two, so it covers two or three of them, wherever it lies. A value
-    is listed once for each width that occurs (at most one for each binary exponent): an equi-join on dimension, width and bin,
-    then the exact test.
+    is listed once for each width that occurs (at most one for each binary exponent) among intervals of its sort of dimension, of
+    which there are few: an equi-join on dimension, width and bin, then the exact test.
     """
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("hi").cast("double") - F.col("lo").cast("double"), F.lit(1e-9)))))
     place = lambda c: F.floor(F.col(c).cast("double") / F.col("_width"))
     sized = intervals.where("lo < hi").withColumn("_width", width)
     binned = sized.withColumn("_bin", F.explode(F.sequence(place("lo"), place("hi"))))
-    widths = sized.agg(F.collect_set("_width").alias("_widths"))  # one row of at most two thousand numbers
-    listed = values.crossJoin(F.broadcast(widths)).withColumn("_width", F.explode("_widths")).drop("_widths").withColumn("_bin", place("key"))
+    widths = sized.agg(F.collect_set(F.struct(sort(F.col("dim")).alias("sort"), "_width")).alias("_widths"))  # one row of at most two thousand numbers a sort
+    own = F.transform(F.filter("_widths", lambda w: w["sort"] == sort(F.col("dim"))), lambda w: w["_width"])
+    listed = values.crossJoin(F.broadcast(widths)).withColumn("_width", F.explode(own)).drop("_widths").withColumn("_bin", place("key"))
     return listed.join(binned.hint("merge"), ["dim", "_width", "_bin"]).where("key >= lo AND key < hi").drop("_bin", "_width")
 
 

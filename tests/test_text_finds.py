@@ -159,3 +159,33 @@ def test_range_join_and_grounding_broadcast_no_bins(spark):
     spans = spark.createDataFrame([(1, "N", 0.0, 4.0)], "id int, dim string, lo double, hi double")
     plan = relational.range_join(values, spans)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_texts_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    read, scan = [], figures.scan
+    monkeypatch.setattr(figures, "scan", lambda text: read.append(text) or scan(text))
+    monkeypatch.setattr(figures, "REMEMBERED", 100)
+    monkeypatch.setattr(figures, "_known", {})
+    monkeypatch.setattr(figures, "_held", 0)
+    find = getattr(figures.find_figures, "func", figures.find_figures)
+    texts = ["up 5%", None, "", "up 7 bps", "up 5%", None, "₹3 cr and 4%"]
+    got = find(pa.array(texts * 3, pa.string()))
+    assert read == ["up 5%", "", "up 7 bps", "₹3 cr and 4%"] and got.to_pylist() == [None if t is None else [dict(zip(figures.FIELDS, x)) for x in scan(t)] for t in texts * 3]
+    again = find(pa.array(["up 7 bps", "up 8 bps"] * 2, pa.string()))
+    assert read[4:] in (["up 8 bps"], ["up 7 bps", "up 8 bps"]) and [len(x) for x in again.to_pylist()] == [1, 1, 1, 1]
+    assert find(pa.array([None], pa.string())).to_pylist() == [None] and find(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_only_what_is_asked_is_listed(spark):
+    """Entries of dimensions that no figure asks about are left out, and a value is listed for the widths of its own sort only."""
+    from tallyforge.operators import grounding, relational
+
+    sources = spark.createDataFrame([(1, "₹5 cr, 40% and 7 units"), (2, None)], "id int, text string")
+    got = sorted((r["id"], r["dim"], r["key"]) for r in grounding.entries(sources, ["size:RATIO", "signed:MONEY:INR"]).collect())
+    assert got == [(1, "signed:MONEY:INR", 5e7), (1, "size:RATIO", 40.0)] and grounding.entries(sources, []).count() == 0
+    values = spark.createDataFrame([(f"{s}{i % 4}", i / 2) for i in range(60) for s in "ab"], "dim string, key double")
+    spans = spark.createDataFrame([(i, f"{'ab'[i % 2]}{i % 4}", float(i), i + (0.5, 8.0)[i % 2]) for i in range(30)], "id int, dim string, lo double, hi double")
+    rows = lambda df: sorted((r["id"], r["dim"], r["key"]) for r in df.collect())
+    assert rows(relational.range_join(values, spans, lambda dim: F.substring(dim, 1, 1))) == rows(relational.range_join(values, spans)) != []
