@@ -35,6 +35,11 @@ def _precision(value: Column) -> Column:
     return F.when(code % 100 > 0, "DATE:D").when(code % 10_000 >= 100, "DATE:M").otherwise("DATE:Y")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """By id into as many parts as a shuffle has: reading texts takes far longer than their size tells, so parts aren't put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def entries(sources: DataFrame, dims: list[str]) -> DataFrame:
     """sources(id, text[, unit, scale]) -> id, dim, key: what may be matched, of these dimensions.
 
@@ -43,7 +48,7 @@ def entries(sources: DataFrame, dims: list[str]) -> DataFrame:
     """
     has = set(sources.columns)
     unit, scale = (F.col(c) if c in has else F.lit(None).cast("string") for c in ("unit", "scale"))
-    f = figures.each(sources.select("id", unit.alias("_unit"), scale.alias("_scale"), "text").repartition("id"), "text", ["id", "_unit", "_scale"])
+    f = figures.each(_dealt(sources.select("id", unit.alias("_unit"), scale.alias("_scale"), "text")), "text", ["id", "_unit", "_scale"])
     bare = F.col("unit").isin("PLAIN", "COUNT") & (F.col("kind") == "number")
     f = f.withColumn("value", F.when(bare & F.col("_scale").isNotNull(), (F.col("value") * calc.scale_factor(F.col("_scale"))).cast(DECIMAL)).otherwise(F.col("value")))
     f = f.withColumn("unit", F.when(bare & F.col("_unit").isNotNull(), F.col("_unit")).otherwise(F.col("unit")))
@@ -69,7 +74,7 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     sign is compared with signs, others by size. One that stands only in another currency is told apart from one that stands
     nowhere; labels, places, small counts, years of a period phrase ("fiscal 2025") and all inside links to sources are exempt.
     """
-    cited = answers.repartition("id").select("id", "text", figures.cited_spans(F.col("text")).alias("_spans"))
+    cited = _dealt(answers).select("id", "text", figures.cited_spans(F.col("text")).alias("_spans"))
     each = figures.each(cited, "text", ["id", "text", "_spans"])
     exempt = figures.is_exempt({c: F.col(c) for c in ("kind", "unit", "value", "start", "stop")}, F.col("text"), F.col("_spans"))
     value = figures.key(F.col("unit"), F.col("value")).cast("double")
